@@ -40,15 +40,16 @@ def constant(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def last_at_or_below(bounds: list, kind: str, key: Column) -> Column:
-    """How many of the sorted bounds are <= key, by binary search inside the expression."""
+def last_at_or_below(bounds: list, kind: str, key: Column, strictly: bool = False) -> Column:
+    """How many of the sorted bounds are <= key (or < key), by binary search inside the expression."""
     if not bounds:
         return F.lit(0)
     steps, array = [1 << k for k in reversed(range(len(bounds).bit_length()))], constant(bounds, kind)
+    reached = lambda x: x < key if strictly else x <= key
     return F.aggregate(
         F.array(*map(F.lit, steps)),
         F.lit(0),
-        lambda a, s: F.when(a + s > len(bounds), a).when(F.get(array, a + s - 1) <= key, a + s).otherwise(a),
+        lambda a, s: F.when(a + s > len(bounds), a).when(reached(F.get(array, a + s - 1)), a + s).otherwise(a),
     )
 
 

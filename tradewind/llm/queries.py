@@ -10,6 +10,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm import warc
+    from tradewind.llm.common import new_folder
+
+    pages, folder = _table(spark, sf_dir, "pages"), new_folder(spark, "warc")
+    upper = warc.build_index(warc.write_archives(pages, f"{folder}/archives"), f"{folder}/index")
+    keys = pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key")).distinct()
+    captures = warc.lookup(spark, upper, f"{folder}/index", keys)
+    records = warc.read_records(captures, f"{folder}/archives", payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tradewind.llm import sstable
+    from tradewind.llm.common import new_folder
+
+    folder = new_folder(spark, "tokens")
+    manifest = sstable.write_shards(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return sstable.scan_shards(spark, manifest, folder)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.mixing import mix_documents
 
@@ -37,5 +60,5 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op6_quality_rules, op9_sampled_splitters, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op5_mix_sources, op6_quality_rules, op9_sampled_splitters, op10_simhash_components)}
 ORACLES: dict[str, str] = {}
