@@ -33,6 +33,18 @@ def op2_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.scan_shards(spark, manifest, folder)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.linededup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.extraction import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.mixing import mix_documents
 
@@ -46,6 +58,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.decontamination import find_leaks
+
+    leaks = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"), F.max("changed").alias("changed"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.language import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.sharding import shard_documents
 
@@ -60,5 +85,5 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op5_mix_sources, op6_quality_rules, op9_sampled_splitters, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op3_line_dedup, op4_extract_main_text, op5_mix_sources, op6_quality_rules, op7_decontaminate, op8_language_id, op9_sampled_splitters, op10_simhash_components)}
 ORACLES: dict[str, str] = {}
