@@ -185,3 +185,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_WIN
     joined = joined.where("b.n is null or (b.n = b.a and b.n = b.b)").select("h.*", F.coalesce("b.changed", F.lit(False)).alias("changed"))
     found = joined.groupBy("doc_id", "th", "item_id").agg(F.countDistinct("item_at").alias("windows"), F.max("item_windows").alias("item_windows"), F.max("changed").alias("changed"))
     return found.where(F.col("windows") >= F.greatest(F.lit(1), F.ceil(SHARE * F.col("item_windows"))))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that no benchmark item contaminates."""
+    leaks = stored(find_leaks(docs, benchmark).select(F.col("th").alias("__leak")).distinct(), "leaks")
+    return docs.join(leaks, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__leak"), "left_anti")

@@ -1,6 +1,6 @@
 """Language identification by compression: the language whose text, as a raw-content dictionary, makes a text smallest.
 
-Texts are compressed in pieces, so that a long text doesn't become its own dictionary; all pieces count. The score is
+Texts are compressed in lower case and in pieces, so that a long text doesn't become its own dictionary; all pieces count. The score is
 the share by which the winner beats the next language, from 0 to 1; below MARGIN the decision counts as rejected.
 
 Dictionaries come from a bounded sample of the labelled rows that are not held out: of each language the DOCS rows of
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 DOCS = 96
 TAKE = 4096
 DICTIONARY = 1 << 17
-PIECE = 2048
-LEVEL = 3
+PIECE = 4096
+LEVEL = 6
 MARGIN = 0.01
 UNKNOWN = "und"
 
@@ -43,7 +43,7 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     found: dict[str, list] = {}
     for r in texts.collect():
         found.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
-    return {lang: "\n".join(x[1] for x in sorted(rows)).encode("utf-8", "replace")[:DICTIONARY] for lang, rows in sorted(found.items())}
+    return {lang: "\n".join(x[1] for x in sorted(rows)).lower().encode("utf-8", "replace")[:DICTIONARY] for lang, rows in sorted(found.items())}
 
 
 def _classify(learned):
@@ -57,7 +57,7 @@ def _classify(learned):
         def one(text: str | None) -> tuple[str, float]:
             if not packs or not text or not any(map(str.isalpha, text)):
                 return UNKNOWN, 0.0
-            raw = text.encode("utf-8", "replace")
+            raw = text.lower().encode("utf-8", "replace")
             pieces = [raw[k : k + PIECE] for k in range(0, len(raw), PIECE)]
             sizes = sorted((sum(len(pack.compress(x)) for x in pieces), lang) for lang, pack in packs.items())
             return sizes[0][1], 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0

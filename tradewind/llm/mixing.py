@@ -155,3 +155,26 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     per_doc = pieces.groupBy("doc_id", "th", "skey", "rep", "size").agg(F.coalesce(F.sum(F.col("to") - F.col("from")), F.lit(0)).alias("taken"))
     named = sources.select("skey", F.col("size").alias("source_size"), "target")
     return per_doc.join(named, "skey").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def take_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The columns of docs, a row for each document and epoch from which the mix takes words, with those words as text.
+
+    The text is unchanged where all its words are taken; a part has its words joined by blanks. n_chars, if there, follows.
+    """
+    _, pieces = mix(docs, seed)
+    key = ["doc_id", "th", "skey", "rep"]
+    spans = pieces.where("to > from").groupBy(*key, "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("__spans"), F.first("size").alias("__size"))
+    spans = spans.select(*[F.col(c).alias(f"__{c}") for c in key], "__spans", "__size")
+    rows = docs.withColumns(row_key(docs)).withColumn("rep", F.row_number().over(equal_rows()))
+    same = F.col("rep") == F.col("__rep")
+    for c in key[:3]:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    rows = rows.join(spans, same).withColumn("__words", F.array_remove(F.split("text", f"{SPACE}+"), ""))
+    n = F.aggregate("__spans", F.lit(0).cast("bigint"), lambda a, s: a + s["to"] - s["from"])
+    part = lambda s: F.array_join(F.slice("__words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), " ")
+    text = F.when(n == F.col("__size"), F.col("text")).otherwise(F.array_join(F.transform("__spans", part), " "))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

@@ -168,3 +168,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = learn_rules(docs, labels)
     judged = statistics(docs).withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs."""
+    return judge(docs, labels).where("kept").select(*docs.columns)

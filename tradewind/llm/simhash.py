@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,3 +204,14 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     links = stored(near_links(nodes.select(F.col("node").alias("print")), bits), "links")
     found = components(nodes, links).select(F.col("node").alias("print"), F.col("id").alias("component_id"))
     return prints.join(found, "print").select("doc_id", "print", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows of docs whose id is their component's, one row an id; rows without id stay where no id is in their component."""
+    found = stored(near_duplicates(docs, bits), "components")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return rows
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1 or doc_id is null").drop("__n")
