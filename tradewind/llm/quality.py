@@ -2,8 +2,8 @@
 
 Everything is DataFrame functions. Statistics need no shuffle: repeated word windows are found inside the row by sorting
 window hashes. Rules are learned by sequential covering: a rule grows condition by condition on two thirds of the
-labelled rows, is pruned on the rest, and the rows it covers leave before the next rule grows. The learned list is one
-Spark expression.
+labelled rows that pass the base rules, is pruned on the rest, and the rows it covers leave before the next rule grows.
+If a rule doesn't hold on the rest, the statistic that it opens with is given up. The list is one Spark expression.
 
 Defined results: a null text has no words and fails the base rules; without labelled rows of both classes there are no
 learned rules; repeated rows give equal results; other columns don't matter.
@@ -89,10 +89,10 @@ def _expression(rule: list[Condition]) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of at most LABELLED labelled documents, with bad (1: low quality) and grow (for growing, else pruning)."""
+    """Statistics of at most LABELLED labelled documents that pass the base rules, with bad (1: low quality) and grow (for growing, else pruning)."""
     wanted = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"))
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")).where(~base_failed())
     return stored(rows.select(*FEATURES, (F.col("__quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0).alias("grow")).coalesce(4), "labelled")
 
 
@@ -149,7 +149,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
         n = -max(worth)[1]
         b, g = held[n - 1]
         if not b or b / (b + g) < PRECISION:
-            break
+            thresholds = {f: t for f, t in thresholds.items() if f != rule[0][0]}  # what it opens with doesn't carry over
+            continue
         rules.append(rule[:n])
         rows = rows.where(~_expression(rule[:n]))
     return rules
