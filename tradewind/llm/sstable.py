@@ -12,7 +12,10 @@ an empty table makes no shard; columns other than doc_id and text don't matter.
 from __future__ import annotations
 
 import bisect
+import functools
+import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -31,40 +34,83 @@ RESTART = 16
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
 MAGIC = b"TOKSST01"
-CACHED = 400_000
+CACHED = 600_000
 _FOOT = "<QQQQQI8s"  # index at, length; Bloom at, length; documents; width of an id; magic
 SHARD = "shard int, file string, low bigint, high bigint, n_docs bigint, n_tokens bigint, bytes bigint"
 
 
-def _blank(text: str) -> str:
-    for c in "\n\t\r\v\f":
-        text = text.replace(c, " ")
-    return text
+#: Parts of a tokenizer file under which the ids of a text are those of its words, and those of a word of letters and a
+#: tail of ASCII signs are those of the letters (one pre-token, lower case, as bytes) and of the tail.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_TAIL = ".,;:!?%&*#$|"
+#: Characters that case folding of a whole word treats otherwise than character by character.
+_ODD = frozenset("\u03a3\u0130")
 
 
-def _encoder(tokenizer: str, end: int | None):
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level models use for each byte."""
+    out = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    spare = iter(range(256, 512))
+    return {b: out.get(b) or chr(next(spare)) for b in range(256)}
+
+
+class Words(dict):
+    """Token ids, as bytes, of the words seen so far; a new word is encoded when it is asked for."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        kind = np.dtype("<u2" if model.get_vocab_size() <= 1 << 16 else "<u4")
-        tail = b"" if end is None else np.array([end], kind).tobytes()
-        # White space never is part of a token here, so the ids of a text are those of its words, one after the other.
-        known: dict[str, bytes] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        normal, pre = parts["normalizer"] or {}, parts["pre_tokenizer"] or {}
+        split, level = [*pre.get("pretokenizers", []), {}, {}][:2]
+        self.by_word = normal.get("normalizers") == _NORMAL and split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed" and level.get("type") == "ByteLevel" and not level.get("add_prefix_space")
+        self.model, self.letters = self.whole.model, _byte_letters()
+
+    def text(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._ids(self.whole.encode(text, add_special_tokens=False).ids)
+        if len(self) > CACHED:
+            self.clear()
+        for c in "\n\t\r\v\f":
+            text = text.replace(c, " ")
+        return b"".join(map(self.__getitem__, text.split(" ")))
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_TAIL)
+        if core and len(core) < len(word):
+            ids = self[core] + self[word[len(core) :]] if core.isalpha() else self._ids(self.whole.encode(word, add_special_tokens=False).ids)
+        elif core.isalpha() and _ODD.isdisjoint(core):
+            if core.isascii():
+                low = core.lower()
+            else:
+                low = unicodedata.normalize("NFC", core).lower().encode().decode("latin-1").translate(self.letters)
+            ids = self._ids([x.id for x in self.model.tokenize(low)])
+        else:
+            ids = self._ids(self.whole.encode(word, add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+
+@functools.lru_cache(maxsize=2)
+def _words(path: str) -> Words:
+    """One for each Python worker, which serves many tasks."""
+    return Words(path)
+
+
+def _encoder(tokenizer: str, end: int | None):
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words(tokenizer)
+        tail = b"" if end is None else np.array([end], words.kind).tobytes()
         for batch in batches:
-            ids = []
-            texts = batch["text"]
-            for low in range(0, len(texts), 256):
-                words = [_blank(x or "").split(" ") for x in texts.slice(low, 256).to_pylist()]
-                new = list({w for x in words for w in x}.difference(known))
-                if len(known) + len(new) > CACHED:
-                    known.clear()
-                    new = list({w for x in words for w in x})
-                for k in range(0, len(new), 4096):
-                    part = new[k : k + 4096]
-                    known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False), strict=True))
-                ids += [b"".join(map(known.__getitem__, x)) + tail for x in words]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary()), pa.array([kind.itemsize] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
+            ids = [words.text(x.as_py() or "") + tail for x in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary()), pa.array([words.kind.itemsize] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
 
     return encode
 
