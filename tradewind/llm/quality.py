@@ -110,15 +110,16 @@ def _best(counts: dict, thresholds: dict[str, list[float]], rule: list[Condition
 
     bad = sum(b for (f, _), (b, _) in counts.items() if f == next(iter(thresholds)))
     good = sum(g for (f, _), (_, g) in counts.items() if f == next(iter(thresholds)))
-    start, best, found, kept = log2((bad + 1) / (bad + good + 1)), 0.0, None, (bad, good)
+    start, best, found, kept = log2((bad + 1) / (bad + good + 1)), (1e-9, 0.0), None, (bad, good)
     for f, t in thresholds.items():
         low_b = low_g = 0
+        gaps = [(b - a) / ((t[-1] - t[0]) or 1) for a, b in zip([t[0], *t], [*t[1:], t[-1], t[-1]], strict=False)]
         for k, x in enumerate(t):
             b, g = counts.get((f, k), (0, 0))
             low_b, low_g = low_b + b, low_g + g
             for op, b, g in (("<=", low_b, low_g), (">", bad - low_b, good - low_g)):
-                gain = b * (log2((b + 1) / (b + g + 1)) - start)
-                if gain > best + 1e-9 and (f, op, x) not in rule and b:
+                gain = (round(b * (log2((b + 1) / (b + g + 1)) - start), 6), gaps[k])  # of equal gains, the wider gap
+                if gain > best and (f, op, x) not in rule and b:
                     best, found, kept = gain, (f, op, x), (b, g)
     return found, *kept
 
@@ -128,8 +129,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     rows = labelled_sample(docs, labels)
     cuts = rows.agg(*[F.percentile_approx(f, [k / THRESHOLDS for k in range(1, THRESHOLDS)], 1000).alias(f) for f in FEATURES]).first()
     extremes = rows.groupBy("bad").agg(*[F.percentile_approx(f, [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0], 1000).alias(f) for f in FEATURES]).collect()
-    thresholds = {f: sorted({float(x) for r in [cuts, *extremes] for x in (r[f] or [])}) for f in FEATURES}
-    thresholds = {f: t for f, t in thresholds.items() if t}
+    values = {f: sorted({float(x) for r in [cuts, *extremes] for x in (r[f] or [])}) for f in FEATURES}
+    thresholds = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in values.items() if len(v) > 1}
     rules: list[list[Condition]] = []
     while thresholds and len(rules) < MAX_RULES:
         rule: list[Condition] = []

@@ -198,19 +198,19 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, print (the fingerprint as a signed long) and component_id for each row of docs."""
-    prints = stored(docs.select("doc_id", fingerprint_of("text").alias("print")), "prints")
+    """doc_id, th (hash of the text), print (the fingerprint as a signed long) and component_id for each row of docs."""
+    prints = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), fingerprint_of("text").alias("print")), "prints")
     nodes = stored(prints.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("id")), "nodes")
     links = stored(near_links(nodes.select(F.col("node").alias("print")), bits), "links")
     found = components(nodes, links).select(F.col("node").alias("print"), F.col("id").alias("component_id"))
-    return prints.join(found, "print").select("doc_id", "print", "component_id")
+    return prints.join(found, "print").select("doc_id", "th", "print", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows of docs whose id is their component's, one row an id; rows without id stay where no id is in their component."""
     found = stored(near_duplicates(docs, bits), "components")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), "th").distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.xxhash64("text") == F.col("th")), "left_semi")
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return rows
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
