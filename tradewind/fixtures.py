@@ -54,7 +54,7 @@ class Views:
         p, q = F.col("l_partkey"), F.col("l_quantity").cast("bigint")
         price = F.when(F.col("l_suppkey") % 47 == 0, F.lit(0)).otherwise(F.expr("(cast(round(l_extendedprice * 100) as bigint) * 2 + cast(l_quantity as bigint)) div (2 * cast(l_quantity as bigint))"))
         rows = self.table("lineitem").select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_orderkey").alias("order_id"), p.alias("product_id"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("id"), F.col("l_orderkey").alias("order_id"), p.alias("product_id"),
             F.when(p % 101 == 0, None).when(p % 103 == 0, F.concat(F.lit("X"), p.cast("string"))).otherwise(p.cast("string")).alias("sku"),
             F.expr("cast((cast(l_quantity as bigint) + 4) div 5 as int)").alias("quantity"), price.cast("bigint").alias("price_cents"), F.round(F.col("l_discount") * 100).cast("bigint").alias("discount_pct"),
             q.alias("units"), "l_linenumber", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus",
@@ -188,7 +188,7 @@ f_order AS (SELECT *, CAST(total_cents * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(1
   FROM orders)),
 f_line AS (SELECT *, CAST(price_cents * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS price, CAST(discount_cents * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(14,2)) AS discount FROM (
   SELECT *, (price_cents * quantity * discount_pct + 50) // 100 AS discount_cents FROM (
-  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_orderkey AS order_id, l_partkey AS product_id,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS id, l_orderkey AS order_id, l_partkey AS product_id,
     CASE WHEN l_partkey % 101 = 0 THEN NULL WHEN l_partkey % 103 = 0 THEN 'X' || l_partkey ELSE CAST(l_partkey AS VARCHAR) END AS sku,
     CAST((CAST(l_quantity AS BIGINT) + 4) // 5 AS INTEGER) AS quantity,
     CASE WHEN l_suppkey % 47 = 0 THEN 0 ELSE (CAST(round(l_extendedprice * 100) AS BIGINT) * 2 + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT)) END AS price_cents,

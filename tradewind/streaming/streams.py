@@ -29,7 +29,7 @@ def dedup_stream(df: DataFrame, key: str, delay: str = "10 minutes", column: str
 
 def attribute_ads(ads: DataFrame, orders: DataFrame, minutes: int = 2) -> DataFrame:
     """Left interval join: an ad's order within so many minutes on either side; spend without an order stays, revenue 0."""
-    span = F.make_dt_interval(mins=F.lit(minutes))
+    span = F.expr(f"interval {minutes} minutes")
     ads, orders = event_time_watermark(ads, delay=f"{minutes} minutes"), event_time_watermark(orders, delay=f"{minutes} minutes")
     orders = orders.select(F.col("order_id").alias("o_order_id"), "amount_cents", F.col("event_time").alias("order_time"))
     on = (F.col("order_id") == F.col("o_order_id")) & (F.col("event_time") >= F.col("order_time") - span) & (F.col("event_time") <= F.col("order_time") + span)
