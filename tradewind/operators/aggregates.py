@@ -124,7 +124,7 @@ def daily_basket_metrics(lines: DataFrame) -> DataFrame:
     """Per-order figures averaged over each day. Columns day, order_id, quantity, sku, style, net_line_cents."""
     per_order = lines.groupBy("day", "order_id").agg(F.sum("quantity").alias("units"), F.countDistinct("sku").alias("skus"), F.countDistinct("style").alias("styles"), F.sum("net_line_cents").alias("cents"))
     mean = lambda c: F.round(F.sum(c).cast("double") / F.count("*"), 4)
-    return per_order.groupBy("day").agg(F.count("*").alias("orders"), mean("units").alias("units_per_order"), mean("skus").alias("skus_per_order"), mean("styles").alias("styles_per_order"), F.round(F.sum("cents").cast("double") / F.count("*") / 100, 3).alias("order_value"))
+    return per_order.groupBy("day").agg(F.count("*").alias("orders"), mean("units").alias("units_per_order"), mean("skus").alias("skus_per_order"), mean("styles").alias("styles_per_order"), F.round(F.sum("cents").cast("double") / F.count("*") / 100, 8).alias("order_value"))
 
 
 def daily_quantiles(orders: DataFrame, day: str, cents: str) -> DataFrame:

@@ -65,7 +65,7 @@ def _basket(s: Star):
 
 
 query("a26_daily_basket_metrics", lambda s: A.daily_basket_metrics(_basket(s)), "day:d orders:i units_per_order:f skus_per_order:f styles_per_order:f order_value:f",
-      "SELECT day, count(*) AS orders, round(CAST(sum(u) AS DOUBLE) / count(*), 4) AS units_per_order, round(CAST(sum(k) AS DOUBLE) / count(*), 4) AS skus_per_order, round(CAST(sum(y) AS DOUBLE) / count(*), 4) AS styles_per_order, round(CAST(sum(c) AS DOUBLE) / count(*) / 100, 3) AS order_value FROM (SELECT CAST(o.processed_at AS DATE) AS day, l.order_id, sum(l.quantity) AS u, count(DISTINCT l.sku) AS k, count(DISTINCT p.vend_id) AS y, sum(net_line_cents) AS c FROM net_line l JOIN f_order o ON o.id = l.order_id LEFT JOIN dim_product p ON p.sku = l.sku GROUP BY 1, 2) GROUP BY 1")
+      "SELECT day, count(*) AS orders, round(CAST(sum(u) AS DOUBLE) / count(*), 4) AS units_per_order, round(CAST(sum(k) AS DOUBLE) / count(*), 4) AS skus_per_order, round(CAST(sum(y) AS DOUBLE) / count(*), 4) AS styles_per_order, round(CAST(sum(c) AS DOUBLE) / count(*) / 100, 8) AS order_value FROM (SELECT CAST(o.processed_at AS DATE) AS day, l.order_id, sum(l.quantity) AS u, count(DISTINCT l.sku) AS k, count(DISTINCT p.vend_id) AS y, sum(net_line_cents) AS c FROM net_line l JOIN f_order o ON o.id = l.order_id LEFT JOIN dim_product p ON p.sku = l.sku GROUP BY 1, 2) GROUP BY 1")
 query("a27_daily_median_order_value", lambda s: A.daily_quantiles(s.v.order.withColumn("day", F.to_date("processed_at")), "day", "total_cents"), "day:d p25:f median:f p75:f p90:f",
       "SELECT CAST(processed_at AS DATE) AS day, " + ", ".join(f"round(quantile_cont(CAST(total_cents AS DOUBLE), {p}) / 100, 4) AS {n}" for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))) + " FROM f_order GROUP BY 1")
 query("a28_freight_cost", lambda s: A.freight_cost(s.v.freight, J.flag_by_id_set(s.v.order.select(F.col("id").alias("order_id")), s.v.metafield.where("replace_refund = 'Replace'").select("order_id"), "order_id", "is_replacement_order")), "label is_replacement_order orders:i cost:f",
