@@ -26,7 +26,7 @@ WORDS = 4
 BITS = 4
 #: A node pair with so many fingerprints at most is finished inside one task.
 PAIR = 4096
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
