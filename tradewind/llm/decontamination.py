@@ -56,7 +56,7 @@ def _kind(token: str) -> int:
 class Templates:
     """Canonical words of texts as hashes; remembers the words seen last."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         self.known: dict[str, tuple[int, int]] = {}
         self.most = most
         self.of = {2: self._hash(NUMBER), 1: self._hash(NAME), 3: self._hash(UNIT)}
@@ -138,7 +138,7 @@ def _windows(id_column: str, widths: list[int] | None, wanted):
                         if part.count(0) >= LITERALS:
                             template, slots = _template(tokens[k : k + width], part)
                             rows.append({"id": key, "th": th, "width": width, "at": k, "n": n, "template": template, "slots": slots})
-                if len(rows) >= 20_000:
+                if len(rows) >= 5_000:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
             if rows:
