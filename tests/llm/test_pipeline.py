@@ -52,3 +52,33 @@ def test_op8_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     rows = got.join(docs, "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) >= 0.97
+
+
+def test_filters_keep_columns_of_clashing_names(spark, make_docs):
+    from tradewind.llm import decontamination, mixing, quality, simhash
+
+    extra = ", th string, rep string, skey string, n_words string, kept string, size string, print string, label string"
+    words = "some plain words of one document that are enough to pass the rules of length here"
+    rows = [(k, f"{words} {k}", "en", "s", 5, *"abcdefgh") for k in range(3)]
+    docs = make_docs(rows, extra)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "another text that is in none of them at all")], "item_id bigint, text string")
+    for out in (quality.keep_good(docs, labels), simhash.keep_one_of_each(docs, 0), decontamination.drop_leaks(docs, bench), mixing.take_mix(docs)):
+        assert out.columns == docs.columns and out.count() >= 1
+        assert {tuple(r)[5:] for r in out.collect()} == {tuple("abcdefgh")}
+
+
+def test_shared_folder_where_none_is_set(spark, monkeypatch):
+    from tradewind.llm import common
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    before = spark.sparkContext.getCheckpointDir()
+    assert common.shared_dir(Session()) == common.shared_dir(Session()) != common.shared_dir(spark)
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    assert before

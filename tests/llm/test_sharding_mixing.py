@@ -66,7 +66,7 @@ def test_mix_meets_targets(spark, make_docs):
     rows = [(k, t, "en", ["a", "b", "c", None, "é"][k % 5] if k % 3 else "a", 0) for k, t in enumerate(_texts(200, 2))]
     rows += [(900, None, "en", "empty", 0), (901, "one two", "en", "tiny", 0), (901, "one two", "en", "tiny", 0), (None, "no id here", "en", "b", 0), (902, " ".join(WORDS * 700), "en", "long", 0)]
     got = mixing.mix_documents(make_docs(rows)).collect()
-    assert sorted((r["doc_id"] or -1, r["size"]) for r in got) == sorted((d if d is not None else -1, len((t or "").split())) for d, t, *_ in rows)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["size"]) for r in got) == sorted((d if d is not None else -1, len((t or "").split())) for d, t, *_ in rows)
     sizes = defaultdict(int)
     for _, t, _, s, _ in rows:
         sizes[s] += len((t or "").split())

@@ -166,7 +166,8 @@ def take_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     key = ["doc_id", "th", "skey", "rep"]
     spans = pieces.where("to > from").groupBy(*key, "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("__spans"), F.first("size").alias("__size"))
     spans = spans.select(*[F.col(c).alias(f"__{c}") for c in key], "__spans", "__size")
-    rows = docs.withColumns(row_key(docs)).withColumn("rep", F.row_number().over(equal_rows()))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", *[c.alias(n) for n, c in row_key(docs).items()])
+    rows = rows.withColumn("rep", F.row_number().over(equal_rows()))
     same = F.col("rep") == F.col("__rep")
     for c in key[:3]:
         same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
@@ -175,6 +176,5 @@ def take_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     part = lambda s: F.array_join(F.slice("__words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), " ")
     text = F.when(n == F.col("__size"), F.col("text")).otherwise(F.array_join(F.transform("__spans", part), " "))
     rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return rows.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col(f"__row.`{f.name}`") for f in docs.schema])

@@ -166,12 +166,13 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with statistics, base_failed, rule (the first learned rule that rejects, or 0) and kept."""
+    """docs with statistics (in place of columns of these names), base_failed, rule (the first learned rule that rejects, or 0) and kept."""
     rules = learn_rules(docs, labels)
     judged = statistics(docs).withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    return judge(docs, labels).where("kept").select(*docs.columns)
+    """The rows of docs that the rules keep, with the columns of docs, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text")
+    return judge(rows, labels).where("kept").select("__row.*")

@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows of docs whose id is their component's, one row an id; rows without id stay where no id is in their component."""
     found = stored(near_duplicates(docs, bits), "components")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), "th").distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.xxhash64("text") == F.col("th")), "left_semi")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), F.col("th").alias("__th")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.xxhash64("text") == F.col("__th")), "left_semi")
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return rows
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
