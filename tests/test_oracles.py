@@ -6,12 +6,12 @@ import os
 import duckdb
 import pytest
 
-from tradewind.plans import queries  # noqa: F401
+from tradewind.plans import queries_io  # noqa: F401
 from tradewind.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: One or two of each family; the driver compares all of them.
-NAMES = [n for n in QUERIES if n.split("_")[0] in ("a1", "a2", "a3", "a9", "a31", "src9", "src11", "src16", "p8", "p11", "j2", "j3", "j8", "j12", "j15", "j17", "j18", "w1", "w3", "w7", "t5", "u6", "d3", "d4", "d9", "snk5", "f2", "f4", "f10", "l3", "q5", "q7", "r2", "r5", "m1", "v2", "v7", "st1", "st5", "g6", "g13")]
+NAMES = [n for n in QUERIES if n.split("_")[0] in ("a1", "a2", "a3", "a9", "a31", "src9", "src11", "src16", "p8", "p11", "j2", "j3", "j8", "j12", "j15", "j17", "j18", "w1", "w3", "w7", "t5", "u6", "d3", "d4", "d9", "snk5", "f2", "f4", "f10", "l3", "q5", "q7", "r2", "r5", "m1", "v2", "v7", "st1", "st5", "g6", "g13", "src6", "snk3", "snk8", "snk14", "d8", "g7", "g9")]
 
 
 @pytest.fixture(scope="module")

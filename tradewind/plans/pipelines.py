@@ -222,3 +222,30 @@ def success_digest(spark: SparkSession, out: str, fact: DataFrame, results: Data
     state = R.table_or_default(spark, path)
     K.replace_table(row if state is None else K.replace_key(state, "run_date", day, row), path)
     return W.day_over_day_delta(spark.read.parquet(path), "run_date", "fact_row_count")
+
+
+#: Web reports by grain: new names, whole numbers, key.
+REPORTS = {
+    "page": ({"pagePath": "page_path", "screenPageViews": "event_count", "addToCarts": "add_to_carts"}, ["event_count", "add_to_carts"], ["date", "page_path"]),
+    "session": ({"landingPage": "landing_page", "sessionDefaultChannelGroup": "channel_group"}, ["sessions"], ["date", "landing_page", "channel_group"]),
+    "item": ({"itemId": "item_id", "itemsViewed": "items_viewed"}, ["items_viewed"], ["date", "item_id"]),
+}
+
+
+def ingest_web_report(silver: DataFrame | None, raw: DataFrame, grain: str) -> DataFrame:
+    """The silver table after a pull of a report (all texts): typed, one row a key, keys compared null-safely."""
+    rename, ints, keys = REPORTS[grain]
+    typed = R.typed_report(raw, rename, ints, [], "date")
+    return typed if silver is None else K.upsert(silver, typed, keys, null_safe=True)
+
+
+def snapshot_rankings(payload: DataFrame, day: str, path: str) -> DataFrame:
+    """Replaces a day's positions; a rerun of the day leaves one copy. Returns all days."""
+    K.replace_where(R.explode_ranking(payload).withColumn("snapshot_date", F.lit(day)), path, "snapshot_date")
+    return payload.sparkSession.read.parquet(path)
+
+
+def build_cohort(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Orders by month, new and returning; and the retention of each month's new customers."""
+    seq = W.order_sequence(P.valid_orders(orders))
+    return A.new_vs_returning_by_month(seq), A.cohort_retention(seq)

@@ -103,3 +103,9 @@ def replace_table(df: DataFrame, path: str) -> None:
         fs.rename(at(path), at(old))
     fs.rename(at(fresh), at(path))
     fs.delete(at(old), True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder (spark.checkpoint.dir), or below the warehouse where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
