@@ -42,9 +42,10 @@ def lookup_key(df: DataFrame, dim: DataFrame, value: str, dim_value: str, key: s
     return df.join(found, F.col(value) == F.col("__value"), "left").withColumn(key, F.coalesce("__key", F.lit(0)).cast("int")).drop("__value", "__key")
 
 
-def lookup_dims(df: DataFrame, dates: DataFrame, products: DataFrame, channels: DataFrame) -> DataFrame:
-    df = df.join(dates.select("date_key", "iso_year", "iso_week"), "date_key", "left")
-    return lookup_key(lookup_key(df, products, "sku", "sku", "product_key"), channels, "channel_source_norm", "channel_source", "channel_key")
+def lookup_order_dims(orders: DataFrame, dates: DataFrame, channels: DataFrame) -> DataFrame:
+    """ISO week of the date key, and the channel's key: what an order's lines have in common."""
+    orders = orders.join(dates.select("date_key", "iso_year", "iso_week"), "date_key", "left")
+    return lookup_key(orders, channels, "channel_source_norm", "channel_source", "channel_key")
 
 
 def join_star(fact: DataFrame, dates: DataFrame, products: DataFrame, channels: DataFrame) -> DataFrame:

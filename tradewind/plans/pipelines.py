@@ -37,18 +37,19 @@ def build_dim_product(raw: DataFrame) -> DataFrame:
 def build_fact(v: Views, dates: DataFrame, products: DataFrame, channels: DataFrame, since: str | None = None, metafield: DataFrame | None = None) -> DataFrame:
     """The order-line fact: all orders, or those changed since the watermark less two days (with all of their lines)."""
     orders = P.filter_since(v.order, "updated_at", since)
-    lines = J.lines_with_header(v.line, orders)
     local = S.business_time(F.col("processed_at"))
-    lines = lines.withColumns({"date_key": F.date_format(local, "yyyyMMdd").cast("int"), "local_day": F.to_date(local)})
-    lines = P.filter_window(lines, "local_day", START, END)
+    orders = orders.select(F.col("id").alias("order_id"), F.col("name").alias("order_name"), "processed_at", "financial_status", F.col("updated_at").alias("order_updated_at"), F.date_format(local, "yyyyMMdd").cast("int").alias("date_key"), F.to_date(local).alias("local_day"))
+    orders = P.filter_window(orders, "local_day", START, END)
+    # all that depends on the order is joined to the orders, so that the lines are shuffled once for it
     if metafield is None:
-        lines = lines.withColumn("is_replacement_order", F.lit(False))
+        orders = orders.withColumn("is_replacement_order", F.lit(False))
     else:
-        lines = J.flag_by_id_set(lines, metafield.where("replace_refund = 'Replace'").select("order_id"), "order_id", "is_replacement_order")
-    lines = J.net_refunds(P.exclusion_flags(lines), v.refund)
-    touches = v.touch if since is None else J.semi_prefilter(v.touch, orders.select(F.col("id").alias("order_id")))
+        orders = J.flag_by_id_set(orders, metafield.where("replace_refund = 'Replace'").select("order_id"), "order_id", "is_replacement_order")
+    touches = v.touch if since is None else J.semi_prefilter(v.touch, orders)
     touches = W.last_touch(touches).withColumn("channel_source_norm", S.normalize_source(F.col("source")))
-    lines = J.lookup_dims(J.attach_attribution(lines, touches), dates, products, channels)
+    orders = J.lookup_order_dims(J.attach_attribution(P.exclusion_flags(orders), touches), dates, channels)
+    lines = J.net_refunds(v.line.join(orders, "order_id"), v.refund)
+    lines = J.lookup_key(lines, products, "sku", "sku", "product_key")
     return project_fact(lines)
 
 
