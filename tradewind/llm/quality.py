@@ -92,8 +92,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics of at most LABELLED labelled documents that pass the base rules, with bad (1: low quality) and grow (for growing, else pruning)."""
     wanted = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")).where(~base_failed())
-    return stored(rows.select(*FEATURES, (F.col("__quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0).alias("grow")).coalesce(4), "labelled")
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"))
+    rows = rows.select(*FEATURES, (F.col("__quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0).alias("grow"), base_failed().alias("failed"))
+    # the filter comes after the table is written: before, it would be pushed below the join, to all documents
+    return stored(rows.repartition(4), "labelled").where("not failed").drop("failed")
 
 
 def _counts(rows: DataFrame, thresholds: dict[str, list[float]]) -> dict:
