@@ -93,6 +93,11 @@ def test_extraction_follows_the_host(spark):
     assert got[9] == "Short."
 
 
+def test_words_of_layout_in_articles():
+    page = "<body><div class='header'>Site</div><article class='post with-sidebar'><div class='entry-header'><h1>Title</h1></div><p>Text.</p><div class='share'>Share</div></article></body>"
+    assert extraction.Page(page).extract([]) == "Title\nText."
+
+
 def test_extraction_of_no_pages(spark):
     assert extraction.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 

@@ -27,6 +27,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("aside button canvas dialog footer form head iframe input label menu nav noscript object option script select style svg template textarea title".split())
 #: Class and id words of parts that are no article text.
 OTHER = frozenset("ad ads adv advert advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar warning widget".split())
+#: Those of them that make an article element one of the others; its layout words don't.
+NO_ARTICLE = frozenset("advert advertisement comment comments promo promoted related reply sponsored teaser".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: A start tag closes these open elements, up to the named limits.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -87,10 +89,13 @@ class Page(HTMLParser):
             return False
         if "hidden" in values or values.get("role") in ROLES:
             return True
+        inside = any(x[0] in ("article", "main") for x in self.stack)
         if tag == "header":
-            return not any(x[0] in ("article", "main") for x in self.stack)
+            return not inside
         names = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower())
-        return not OTHER.isdisjoint(names)
+        if tag == "article":
+            return not NO_ARTICLE.isdisjoint(names)
+        return not OTHER.isdisjoint(set(names) - {"header"} if inside else names)
 
     def _close_to(self, tags: set, limits: set) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
