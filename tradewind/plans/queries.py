@@ -306,7 +306,7 @@ query("l3_connected", lambda s: L.connected(s.v.edges.select("source", "target")
 query("g5_build_lineage_edges", lambda s: L.build_edges(s.v.edges.withColumnRenamed("last_seen", "event_time"), "cat.mart"), "source target last_seen:t", "SELECT source, target, max(last_seen) AS last_seen FROM f_edges WHERE source <> target AND (source LIKE '%cat.mart%' OR target LIKE '%cat.mart%') GROUP BY 1, 2")
 
 # ---- checks
-NOW = ts("2001-01-02 00:00:00")
+NOW = "2001-01-02 00:00:00"
 SPECS = [
     {"type": "not_null", "table": "fact", "column": "shopify_line_id"}, {"type": "not_null", "table": "fact", "column": "sku_raw", "severity": "warn"}, {"type": "unique", "table": "fact", "column": "shopify_line_id"}, {"type": "unique", "table": "fact", "columns": ["shopify_order_id", "sku_raw"], "severity": "warn"},
     {"type": "range", "table": "fact", "column": "quantity", "min": 1, "max": 9}, {"type": "range", "table": "fact", "column": "pre_tax_price", "min": 0}, {"type": "freshness", "table": "fact", "column": "date_key", "hours": 72}, {"type": "allowed_values", "table": "fact", "column": "financial_status", "values": ["paid", "pending"]}, {"type": "row_count", "table": "fact", "min": 1},
@@ -320,14 +320,14 @@ def _unique(s: Star):
 
 
 query("q2_check_unique", _unique, "checked:i failed:i", "SELECT sum(n) AS checked, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS failed FROM (SELECT count(*) AS n FROM fact GROUP BY shopify_order_id, sku_raw)")
-query("q5_run_checks", lambda s: Q.run_checks(s.spark, SPECS, {"fact": s.fact}, NOW), "check_type column_name severity checked:i failed:i passed",
+query("q5_run_checks", lambda s: Q.run_checks(s.spark, SPECS, {"fact": s.fact}, ts(NOW)), "check_type column_name severity checked:i failed:i passed",
       "SELECT *, failed = 0 AS passed FROM ("
       "SELECT 'not_null' AS check_type, 'shopify_line_id' AS column_name, 'fail' AS severity, count(*) AS checked, sum((shopify_line_id IS NULL)::INT) AS failed FROM fact UNION ALL SELECT 'not_null', 'sku_raw', 'warn', count(*), sum((sku_raw IS NULL)::INT) FROM fact "
       "UNION ALL SELECT 'unique', 'shopify_line_id', 'fail', sum(n), sum(CASE WHEN n > 1 THEN n ELSE 0 END) FROM (SELECT count(*) AS n FROM fact GROUP BY shopify_line_id) UNION ALL SELECT 'unique', 'shopify_order_id,sku_raw', 'warn', sum(n), sum(CASE WHEN n > 1 THEN n ELSE 0 END) FROM (SELECT count(*) AS n FROM fact GROUP BY shopify_order_id, sku_raw) "
       "UNION ALL SELECT 'range', 'quantity', 'warn', count(*), sum((quantity < 1 OR quantity > 9)::INT) FROM fact UNION ALL SELECT 'range', 'pre_tax_price', 'warn', count(*), sum((pre_tax_price < 0)::INT) FROM fact "
       "UNION ALL SELECT 'freshness', 'date_key', 'warn', count(*), (epoch(TIMESTAMP '2001-01-02') - epoch(strptime(CAST(max(date_key) AS VARCHAR), '%Y%m%d')) > 72 * 3600)::INT FROM fact UNION ALL SELECT 'allowed_values', 'financial_status', 'fail', count(*), sum((financial_status NOT IN ('paid', 'pending'))::INT) FROM fact UNION ALL SELECT 'row_count', '', 'warn', count(*), 0 FROM fact)")
 query("q7_slo_tier", lambda s: Q.pct_unresolved(s.fact, "channel_key", 0.5, 2.0).unionByName(Q.pct_unresolved(s.fact, "product_key", 1.0, 5.0)), "pct:f tier", "SELECT round(r, 4) AS pct, CASE WHEN r >= f THEN 'FAIL' WHEN r >= w THEN 'WARN' ELSE 'PASS' END AS tier FROM (SELECT 100.0 * sum((channel_key = 0)::INT) / count(*) AS r, 0.5 AS w, 2.0 AS f FROM fact UNION ALL SELECT 100.0 * sum((product_key = 0)::INT) / count(*), 1.0, 5.0 FROM fact)")
-query("q8_report", lambda s: Q.report(Q.run_checks(s.spark, [x | {"table": t} for t in ("fact", "star") for x in SPECS[4:6]], {"fact": s.fact, "star": s.star}, NOW)), "table_name checks:i passed:i pass_rate:f", "SELECT t AS table_name, 2 AS checks, p AS passed, round(100.0 * p / 2, 2) AS pass_rate FROM (SELECT 'fact' AS t, (sum((quantity < 1 OR quantity > 9)::INT) = 0)::INT + (sum((pre_tax_price < 0)::INT) = 0)::INT AS p FROM fact UNION ALL SELECT 'star', (sum((quantity < 1 OR quantity > 9)::INT) = 0)::INT + (sum((pre_tax_price < 0)::INT) = 0)::INT FROM star)")
+query("q8_report", lambda s: Q.report(Q.run_checks(s.spark, [x | {"table": t} for t in ("fact", "star") for x in SPECS[4:6]], {"fact": s.fact, "star": s.star}, ts(NOW))), "table_name checks:i passed:i pass_rate:f", "SELECT t AS table_name, 2 AS checks, p AS passed, round(100.0 * p / 2, 2) AS pass_rate FROM (SELECT 'fact' AS t, (sum((quantity < 1 OR quantity > 9)::INT) = 0)::INT + (sum((pre_tax_price < 0)::INT) = 0)::INT AS p FROM fact UNION ALL SELECT 'star', (sum((quantity < 1 OR quantity > 9)::INT) = 0)::INT + (sum((pre_tax_price < 0)::INT) = 0)::INT FROM star)")
 query("q10_iso_boundary_checks", lambda s: Q.iso_boundary_checks(R.calendar_of(s.v.order.select(F.to_date("processed_at").alias("day")).distinct())), "date_key:i iso_year:i iso_week:i cal_year:i", f"SELECT strftime(day, '%Y%m%d') AS date_key, isoyear(day) AS iso_year, week(day) AS iso_week, year(day) AS cal_year FROM ({DAYS}) WHERE isoyear(day) <> year(day)")
 query("q11_check_fk", lambda s: Q.check_fk(s.v.line, s.products, "sku", "sku"), "checked:i failed:i", "SELECT count(*) AS checked, sum((l.sku IS NOT NULL AND p.sku IS NULL)::INT) AS failed FROM f_line l LEFT JOIN dim_product p USING (sku)")
 query("q13_no_fanout", lambda s: s.v.line.agg(F.count("*").alias("before")).crossJoin(J.lookup_key(s.v.line, s.products, "sku", "sku", "product_key").agg(F.count("*").alias("after"))), "before:i after:i", "SELECT count(*) AS before, count(*) AS after FROM f_line")
