@@ -102,7 +102,9 @@ def calendar_wide(days: DataFrame) -> DataFrame:
 
 
 def seed_channels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CHANNELS, "channel_key int, channel_source string, channel_group string, is_paid boolean, is_meta boolean")
+    """The seed rows as inline values, whose size Spark knows, so that joins to them are broadcast."""
+    rows = ", ".join(f"({key}, '{source}', '{group}', {paid}, {meta})" for key, source, group, paid, meta in CHANNELS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(channel_key, channel_source, channel_group, is_paid, is_meta)")
 
 
 def land_raw(df: DataFrame, source: str, run_id: str, at: Column) -> DataFrame:
