@@ -32,7 +32,8 @@ def _repeated(rows: DataFrame) -> DataFrame:
     """Rows whose name (a, b) occurs twice or more, with the earliest row of the name (first)."""
     place = F.struct("doc_id", "dk", "th", "pos")
     names = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    return rows.join(names, ["a", "b"])
+    # a table of its own, so that Spark may split the rows of a line that very many documents have
+    return rows.join(stored(names, "repeated"), ["a", "b"])
 
 
 def line_runs(docs: DataFrame) -> DataFrame:

@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     prints = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), fingerprint_of("text").alias("print")), "prints")
     nodes = stored(prints.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("id")), "nodes")
     links = stored(near_links(nodes.select(F.col("node").alias("print")), bits), "links")
-    found = components(nodes, links).select(F.col("node").alias("print"), F.col("id").alias("component_id"))
+    # a table of its own, so that Spark may split the rows of a fingerprint that very many documents have
+    found = stored(components(nodes, links).select(F.col("node").alias("print"), F.col("id").alias("component_id")), "found")
     return prints.join(found, "print").select("doc_id", "th", "print", "component_id")
 
 
