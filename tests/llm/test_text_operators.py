@@ -150,6 +150,19 @@ def test_inconsistent_values_are_no_leak(spark, make_docs):
     assert _leaks(spark, make_docs, [item.replace("5", "7"), item.replace("5", "7", 1).replace("5", "8", 1)], [item]) == {(0, 0): True}
 
 
+SHOP = "A shop buys 12 apples on Monday and sells some of them to a farmer who brings back 12 pears on the next day, how many pieces of fruit are left?"
+
+
+def test_copies_with_an_altered_value(spark, make_docs):
+    mixed = ITEM.replace("240", "120")
+    altered = SHOP.replace("12 pears", "15 pears")
+    both = altered.replace("12 apples", "7 apples")
+    merged = altered.replace("15", "12")
+    texts = [altered, both, mixed, merged, "Once, " + both]
+    assert _leaks(spark, make_docs, texts, [SHOP, ITEM]) == {(0, 0): True, (1, 0): True, (2, 1): True, (3, 0): False, (4, 0): True}
+    assert _leaks(spark, make_docs, [merged], [altered]) == {(0, 0): True}
+
+
 def test_drop_leaks(spark, make_docs):
     docs = make_docs([(1, ITEM), (None, ITEM), (2, "clean text of some words"), (3, None)])
     bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")

@@ -1,8 +1,10 @@
 """Benchmark decontamination by templates: windows of words in which numbers, names and units are typed placeholders.
 
 Documents' windows meet the benchmark's in a hash join on the whole template. Along each alignment of a document with an
-item, the placeholders' values must correspond one to one: a re-parameterised question replaces a value by one other
-value everywhere. A document is contaminated by an item when enough of the item's windows match consistently.
+item, the placeholders' values should correspond one to one: a re-parameterised question replaces a value by one other
+value everywhere. A document is contaminated by an item when SHARE of the item's windows match along such alignments, or
+when OWN_SHARE of them match each with values that correspond in the window itself, whatever the others have: a copy with
+one value altered, or with two values for what happened to be equal. Copied windows are among these always.
 
 Up to BENCHMARK_WINDOWS benchmark windows, their hashes go to the tasks as a filter, so that only likely windows are
 shuffled; above that, all windows are shuffled to the join.
@@ -29,6 +31,7 @@ WINDOW = 8
 LEAST = 5
 LITERALS = 3
 SHARE = 0.3
+OWN_SHARE = 0.5
 BENCHMARK_WINDOWS = 1 << 20
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]|[$€£%]")
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
@@ -179,12 +182,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_WIN
     hits = stored(hits.withColumn("shift", F.col("at") - F.col("item_at")).drop("template"), "hits")
     line = ["doc_id", "th", "item_id", "shift"]
     pairs = hits.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select(*line, F.col("x.item_slots").alias("was"), F.col("x.slots").alias("is")).distinct()
-    bad = pairs.groupBy(*line).agg(F.count("*").alias("n"), F.countDistinct("was").alias("a"), F.countDistinct("is").alias("b"), F.max(F.col("was") != F.col("is")).alias("changed"))
+    along = pairs.groupBy(*line).agg(F.count("*").alias("n"), F.countDistinct("was").alias("a"), F.countDistinct("is").alias("b"))
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in line]
-    joined = hits.alias("h").join(bad.alias("b"), same({c: F.col(f"h.{c}") for c in line}, {c: F.col(f"b.{c}") for c in line}), "left")
-    joined = joined.where("b.n is null or (b.n = b.a and b.n = b.b)").select("h.*", F.coalesce("b.changed", F.lit(False)).alias("changed"))
-    found = joined.groupBy("doc_id", "th", "item_id").agg(F.countDistinct("item_at").alias("windows"), F.max("item_windows").alias("item_windows"), F.max("changed").alias("changed"))
-    return found.where(F.col("windows") >= F.greatest(F.lit(1), F.ceil(SHARE * F.col("item_windows"))))
+    joined = hits.alias("h").join(along.alias("b"), same({c: F.col(f"h.{c}") for c in line}, {c: F.col(f"b.{c}") for c in line}), "left")
+    distinct = lambda c: F.size(F.array_distinct(c))
+    own = distinct(F.arrays_zip("item_slots", "slots"))
+    joined = joined.where((own == distinct("item_slots")) & (own == distinct("slots")))
+    joined = joined.withColumns({"whole": F.coalesce(F.expr("b.n = b.a and b.n = b.b"), F.lit(True)), "differs": F.col("item_slots") != F.col("slots")})
+    windows = lambda where: F.countDistinct(F.when(where, F.col("item_at")))
+    sums = {"windows": windows(F.lit(True)), "whole": windows(F.col("whole")), "item_windows": F.max("item_windows"), "changed": F.max("differs")}
+    found = joined.select("h.*", "whole", "differs").groupBy("doc_id", "th", "item_id").agg(*[v.alias(k) for k, v in sums.items()])
+    enough = lambda share: F.greatest(F.lit(1), F.ceil(share * F.col("item_windows")))
+    return found.where((F.col("whole") >= enough(SHARE)) | (F.col("windows") >= enough(OWN_SHARE))).drop("whole")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
