@@ -163,6 +163,19 @@ def test_copies_with_an_altered_value(spark, make_docs):
     assert _leaks(spark, make_docs, [merged], [altered]) == {(0, 0): True}
 
 
+def test_copies_of_items_with_few_plain_words(spark, make_docs):
+    table = "Alice 12 Bob 15 Carol 18 Dave 21 Erin 24 Frank 27 Grace 30 Heidi 33 Ivan 36 Judy 39 Karl 42 and the rest of them have none"
+    names = "In Vienna Anna met Karl Maria Otto and then went to Paris with Hans"
+    short = "What is the capital of France?"
+    texts = [table, names.lower(), f"Q: {short}", f'He said "{short}"', "the capital of france is what is known"]
+    for limit in (1 << 20, 0):
+        assert _leaks(spark, make_docs, texts, [table, names, short], limit) == {(0, 0): False, (1, 1): False, (2, 2): False, (3, 2): False}
+    assert _leaks(spark, make_docs, ["Alice 12 Bob 15 Carol 18 Dave 21 Erin"], ["Alice 12 Bob 15 Carol 18 Dave 21 Erin"]) == {(0, 0): False}
+    long, filler = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)), " ".join(f"other{k}" for k in range(50))
+    passage = lambda n: f"{filler} {' '.join(long.split()[100 : 100 + n])} {filler}"
+    assert _leaks(spark, make_docs, [passage(13), passage(12)], [long]) == {(0, 0): False}
+
+
 def test_drop_leaks(spark, make_docs):
     docs = make_docs([(1, ITEM), (None, ITEM), (2, "clean text of some words"), (3, None)])
     bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")

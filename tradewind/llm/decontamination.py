@@ -6,7 +6,11 @@ value everywhere. A document is contaminated by an item when SHARE of the item's
 when OWN_SHARE of them match each with values that correspond in the window itself, whatever the others have: a copy with
 one value altered, or with two values for what happened to be equal. Copied windows are among these always.
 
-Up to BENCHMARK_WINDOWS benchmark windows, their hashes go to the tasks as a filter, so that only likely windows are
+Beside the templates, windows meet on their words as they are, without regard to case. So every window of an item can be
+copied, while only those with LITERALS plain words can be matched with other values: shares are of all windows, or of
+the latter for matches of templates alone. RUN copied words in a row are enough whatever the share.
+
+Up to BENCHMARK_WINDOWS different keys of benchmark windows, their hashes go to the tasks as a filter, so that only likely windows are
 shuffled; above that, all windows are shuffled to the join.
 
 Defined results: null texts have no windows; items of fewer than LEAST words are not searched; items shorter than a
@@ -22,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.common import stored
@@ -32,6 +36,7 @@ LEAST = 5
 LITERALS = 3
 SHARE = 0.3
 OWN_SHARE = 0.5
+RUN = 13
 BENCHMARK_WINDOWS = 1 << 20
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]|[$€£%]")
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
@@ -57,10 +62,10 @@ def _kind(token: str) -> int:
 
 
 class Templates:
-    """Canonical words of texts as hashes; remembers the words seen last."""
+    """Words of texts and their canonical forms as hashes; remembers the words seen last."""
 
     def __init__(self, most: int = 200_000) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known = _Known()
         self.most = most
         self.of = {2: self._hash(NUMBER), 1: self._hash(NAME), 3: self._hash(UNIT)}
 
@@ -68,17 +73,13 @@ class Templates:
     def _hash(word: str) -> int:
         return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
-    def words(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens, their kinds after looking at their neighbours, and hashes of their canonical forms."""
+    def words(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, their kinds after looking at their neighbours, and hashes of their canonical forms and of themselves."""
         tokens = TOKEN.findall(text)
         if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        for t in set(tokens).difference(known):
-            known[t] = (self._hash(t.lower()), _kind(t))
-        both = [known[t] for t in tokens]
-        kinds = np.fromiter((x[1] for x in both), np.uint8, len(both))
-        hashes = np.fromiter((x[0] for x in both), np.uint64, len(both))
+            self.known = _Known()
+        places = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        kinds, plain = self.known.kinds[places], self.known.hashes[places]
         number = kinds == 2
         first = np.ones(len(kinds), dtype=bool)
         first[1:] = kinds[:-1] == 5
@@ -88,76 +89,100 @@ class Templates:
         kinds = np.where((kinds == 1) & first | (kinds == 3) & ~beside, 0, kinds)
         kinds = np.where((kinds == 4) & beside, 3, kinds)
         keep = kinds < 4
+        hashes = plain.copy()
         for kind, h in self.of.items():
             hashes[kinds == kind] = np.uint64(h)
         at = np.flatnonzero(keep)
-        return [tokens[k] for k in at] if len(at) < len(tokens) else tokens, kinds[keep], hashes[keep]
+        return [tokens[k] for k in at] if len(at) < len(tokens) else tokens, kinds[keep], hashes[keep], plain[keep]
+
+
+class _Known(dict):
+    """Places of tokens in the arrays of their hashes and kinds; a new token is added when it is asked for."""
+
+    def __init__(self) -> None:
+        self.hashes, self.kinds = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint8)
+
+    def __missing__(self, token: str) -> int:
+        at = len(self)
+        if at == len(self.kinds):
+            self.hashes, self.kinds = np.concatenate([self.hashes] * 2), np.concatenate([self.kinds] * 2)
+        self.hashes[at], self.kinds[at] = Templates._hash(token.casefold()), _kind(token)
+        self[token] = at
+        return at
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Polynomial hashes of all windows of so many words."""
-    n = len(hashes) - width + 1
-    out = np.zeros(max(0, n), dtype=np.uint64)
-    for k in range(width if n > 0 else 0):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-    return out
+def window_hashes(hashes: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
+    """Polynomial hashes of all windows of so many words, for each of the widths that the text has."""
+    found, n = {}, len(hashes)
+    out = np.zeros(n, dtype=np.uint64)
+    for width in range(1, min(max(widths, default=0), n) + 1):
+        out = out[: n - width + 1] * np.uint64(0x9E3779B97F4A7C15) + hashes[width - 1 :]
+        if width in widths:
+            found[width] = out
+    return found
 
 
 def _template(tokens: list[str], kinds: list[int]) -> tuple[str, list[str]]:
     names = {1: NAME, 2: NUMBER, 3: UNIT}
-    return " ".join(names.get(k) or t.lower() for t, k in zip(tokens, kinds, strict=True)), [t.lower() for t, k in zip(tokens, kinds, strict=True) if k]
+    return " ".join(names.get(k) or t.casefold() for t, k in zip(tokens, kinds, strict=True)), [t.casefold() for t, k in zip(tokens, kinds, strict=True) if k]
 
 
 def _windows(id_column: str, widths: list[int] | None, wanted):
-    """Windows of each row: of the given widths (None: WINDOW, or the whole text if shorter), those in wanted only if given."""
+    """Windows of each row, by template (searchable of them) and copied: of the given widths (None: WINDOW, or the whole
+    text if shorter), those in wanted only if given. A window has words if LITERALS are no numbers."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
-        schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("width", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
+        schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("copied", pa.bool_()), ("width", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("searchable", pa.int64()), ("has_words", pa.bool_()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
         filters = {}
         if wanted is not None:
-            for width, values in wanted.value.items():
+            for key, values in wanted.value.items():
                 table = np.zeros(1 << 22, dtype=bool)
                 table[values >> np.uint64(42)] = True
-                filters[width] = (table, values)
+                filters[key] = (table, values)
         for batch in batches:
             rows = []
             for key, th, text in zip(batch[id_column].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
-                tokens, kinds, hashes = templates.words(text.as_py() or "")
-                own = [min(WINDOW, len(tokens))] if widths is None else [w for w in widths if w <= len(tokens)]
-                for width in own:
-                    if width < LEAST:
-                        continue
-                    found = window_hashes(hashes, width)
-                    n, places = len(found), np.arange(len(found))
-                    if wanted is not None:
-                        table, values = filters[width]
-                        places = np.flatnonzero(table[found >> np.uint64(42)])
-                        if len(places):
-                            near = np.minimum(np.searchsorted(values, found[places]), len(values) - 1)
-                            places = places[values[near] == found[places]]
-                    for k in places.tolist():
-                        part = kinds[k : k + width].tolist()
-                        if part.count(0) >= LITERALS:
-                            template, slots = _template(tokens[k : k + width], part)
-                            rows.append({"id": key, "th": th, "width": width, "at": k, "n": n, "template": template, "slots": slots})
-                if len(rows) >= 5_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
+                tokens, kinds, *hashes = templates.words(text.as_py() or "")
+                own = [min(WINDOW, len(tokens))] if widths is None else widths
+                own = [w for w in own if LEAST <= w <= len(tokens)]
+                plain = np.concatenate([[0], np.cumsum(kinds == 0)]) if own else None
+                for copied in (False, True):
+                    for width, found in window_hashes(hashes[copied], own).items():
+                        n, places = len(found), np.arange(len(found))
+                        if wanted is not None:
+                            if (copied, width) not in filters:
+                                continue
+                            table, values = filters[copied, width]
+                            places = np.flatnonzero(table[found >> np.uint64(42)])
+                            if len(places):
+                                near = np.minimum(np.searchsorted(values, found[places]), len(values) - 1)
+                                places = places[values[near] == found[places]]
+                        if not len(places):
+                            continue
+                        fit = plain[width:] - plain[:-width] >= LITERALS
+                        searchable = int(fit.sum())
+                        for k in places.tolist() if copied else places[fit[places]].tolist():
+                            part = kinds[k : k + width].tolist()
+                            template, slots = _template(tokens[k : k + width], [0] * width if copied else part)
+                            rows.append({"id": key, "th": th, "copied": copied, "width": width, "at": k, "n": n, "searchable": searchable, "has_words": width - part.count(2) >= LITERALS, "template": template, "slots": slots})
+                            if len(rows) >= 5_000:
+                                yield pa.RecordBatch.from_pylist(rows, schema)
+                                rows = []
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return cut
 
 
-WINDOWS = "id bigint, th bigint, width int, at bigint, n bigint, template string, slots array<string>"
+WINDOWS = "id bigint, th bigint, copied boolean, width int, at bigint, n bigint, searchable bigint, has_words boolean, template string, slots array<string>"
 
 
 def _hashes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name = Templates._hash
     for batch in batches:
-        out = [int(window_hashes(np.array([name(w) for w in x.split(" ")], np.uint64), w)[0]) for x, w in zip(batch["template"].to_pylist(), batch["width"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["width"], pa.array(np.array(out, np.uint64).view(np.int64))], ["width", "hash"])
+        out = [int(window_hashes(np.array([name(w) for w in x.split(" ")], np.uint64), [w])[w][0]) for x, w in zip(batch["template"].to_pylist(), batch["width"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["copied"], batch["width"], pa.array(np.array(out, np.uint64).view(np.int64))], ["copied", "width", "hash"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_WINDOWS) -> DataFrame:
@@ -167,18 +192,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_WIN
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint"), F.xxhash64(text).alias("th"), text.alias("text"))
     items = stored(items.mapInArrow(_windows("item_id", None, None), WINDOWS), "item-windows")
-    templates = items.select("width", "template").distinct()
+    templates = items.select("copied", "width", "template").distinct()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     wanted = None
     if templates.count() <= limit:
-        found: dict[int, list[int]] = {w: [] for w in widths}
-        for r in templates.mapInArrow(_hashes_of, "width int, hash bigint").collect():
-            found[r[0]].append(r[1] % (1 << 64))
-        wanted = spark.sparkContext.broadcast({w: np.unique(np.array(x, np.uint64)) for w, x in found.items()})
+        found: dict[tuple[bool, int], list[int]] = {}
+        for r in templates.mapInArrow(_hashes_of, "copied boolean, width int, hash bigint").collect():
+            found.setdefault((r[0], r[1]), []).append(r[2] % (1 << 64))
+        wanted = spark.sparkContext.broadcast({k: np.unique(np.array(x, np.uint64)) for k, x in found.items()})
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("th"), text.alias("text"))
     windows = rows.mapInArrow(_windows("doc_id", widths, wanted), WINDOWS)
-    own = items.select("width", "template", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n").alias("item_windows"), F.col("slots").alias("item_slots"))
-    hits = windows.select(F.col("id").alias("doc_id"), "th", "width", "template", "at", "slots").join(own, ["width", "template"])
+    own = items.select("copied", "width", "template", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n").alias("item_windows"), "searchable", "has_words", F.col("slots").alias("item_slots"))
+    hits = windows.select(F.col("id").alias("doc_id"), "th", "copied", "width", "template", "at", "slots").join(own, ["copied", "width", "template"])
     hits = stored(hits.withColumn("shift", F.col("at") - F.col("item_at")).drop("template"), "hits")
     line = ["doc_id", "th", "item_id", "shift"]
     pairs = hits.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select(*line, F.col("x.item_slots").alias("was"), F.col("x.slots").alias("is")).distinct()
@@ -189,11 +214,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_WIN
     own = distinct(F.arrays_zip("item_slots", "slots"))
     joined = joined.where((own == distinct("item_slots")) & (own == distinct("slots")))
     joined = joined.withColumns({"whole": F.coalesce(F.expr("b.n = b.a and b.n = b.b"), F.lit(True)), "differs": F.col("item_slots") != F.col("slots")})
+    joined = stored(joined.select("h.*", "whole", "differs"), "matches")
+    copies = joined.where("copied and has_words").select(*line, "width", "item_at").distinct()
+    row = F.row_number().over(Window.partitionBy(*line, "width").orderBy("item_at"))
+    runs = copies.withColumn("start", F.col("item_at") - row).groupBy(*line, "width", "start").agg(F.count("*").alias("n"))
+    runs = runs.where(F.col("n") + F.col("width") > RUN).select("doc_id", "th", "item_id", F.lit(True).alias("run")).distinct()
     windows = lambda where: F.countDistinct(F.when(where, F.col("item_at")))
-    sums = {"windows": windows(F.lit(True)), "whole": windows(F.col("whole")), "item_windows": F.max("item_windows"), "changed": F.max("differs")}
-    found = joined.select("h.*", "whole", "differs").groupBy("doc_id", "th", "item_id").agg(*[v.alias(k) for k, v in sums.items()])
-    enough = lambda share: F.greatest(F.lit(1), F.ceil(share * F.col("item_windows")))
-    return found.where((F.col("whole") >= enough(SHARE)) | (F.col("windows") >= enough(OWN_SHARE))).drop("whole")
+    template = ~F.col("copied")
+    sums = {"windows": windows(F.lit(True)), "own_t": windows(template), "whole": windows(F.col("whole")), "whole_t": windows(F.col("whole") & template)}
+    sums |= {"item_windows": F.max("item_windows"), "searchable": F.max(F.when(template, F.col("searchable"))), "changed": F.max("differs")}
+    found = joined.groupBy("doc_id", "th", "item_id").agg(*[v.alias(k) for k, v in sums.items()])
+    enough = lambda share, of: F.greatest(F.lit(1), F.ceil(share * F.col(of)))
+    some = (F.col("whole") >= enough(SHARE, "item_windows")) | (F.col("windows") >= enough(OWN_SHARE, "item_windows"))
+    some |= (F.col("whole_t") >= enough(SHARE, "searchable")) | (F.col("own_t") >= enough(OWN_SHARE, "searchable"))
+    key = ["doc_id", "th", "item_id"]
+    found = found.alias("f").join(runs.alias("r"), [F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key], "left")
+    leak = F.coalesce(some, F.lit(False)) | F.col("run").isNotNull()
+    return found.where(leak).select(*[f"f.{c}" for c in (*key, "windows", "item_windows", "changed")])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
