@@ -86,6 +86,15 @@ def test_token_shards_round_trip(spark, make_docs, monkeypatch):
     assert sorted(((x["doc_id"], x["ids"]) for x in found), key=repr) == sorted(((d, i) for d in (7, None, -100, 8) for i in texts[d]), key=repr)
 
 
+@pytest.mark.parametrize("form", ["{}", "a{}b", "হ{}", "{}.", "b{}!"])
+def test_words_of_every_letter(form):
+    words, whole = sstable.Words(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    texts = [form.format(c) for c in map(chr, range(0x110000)) if c.isalpha()]
+    assert words.by_word
+    want = whole.encode_batch(texts, add_special_tokens=False)
+    assert [x for x, y in zip(texts, want, strict=True) if np.frombuffer(words.text(x), words.kind).tolist() != y.ids] == []
+
+
 def test_damaged_block_is_noticed(spark, make_docs):
     folder = new_folder(spark, "test-sst")
     manifest = sstable.write_shards(make_docs([(1, "some words")]), folder, TOKENIZER)

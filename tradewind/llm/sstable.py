@@ -84,13 +84,12 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(_TAIL)
+        low = _letters(core)
         if core and len(core) < len(word):
-            ids = self[core] + self[word[len(core) :]] if core.isalpha() else self._ids(self.whole.encode(word, add_special_tokens=False).ids)
-        elif core.isalpha() and _ODD.isdisjoint(core):
-            if core.isascii():
-                low = core.lower()
-            else:
-                low = unicodedata.normalize("NFC", core).lower().encode().decode("latin-1").translate(self.letters)
+            ids = self[core] + self[word[len(core) :]] if low else self._ids(self.whole.encode(word, add_special_tokens=False).ids)
+        elif low and _ODD.isdisjoint(core):
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(self.letters)
             ids = self._ids([x.id for x in self.model.tokenize(low)])
         else:
             ids = self._ids(self.whole.encode(word, add_special_tokens=False).ids)
@@ -98,6 +97,14 @@ class Words(dict):
         return ids
 
 
+def _letters(word: str) -> str:
+    """The word as the tokenizer normalises it; nothing unless it is letters before and after, as some decompose to a letter and a mark."""
+    if not word.isalpha():
+        return ""
+    low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+    return low if low.isalpha() else ""
+
+
 @functools.lru_cache(maxsize=2)
 def _words(path: str) -> Words:
     """One for each Python worker, which serves many tasks."""
