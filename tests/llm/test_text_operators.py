@@ -98,6 +98,21 @@ def test_words_of_layout_in_articles():
     assert extraction.Page(page).extract([]) == "Title\nText."
 
 
+def test_wrappers_with_layout_words_stay():
+    for head in ("div id='page' class='has-sidebar'", "div class='content no-sidebar'", "div class='header-fixed'", "div class='elementor-widget-container'", "form action='x.aspx'"):
+        tag = head.split()[0]
+        page = f"<body><div class='menu'><a href='/'>Home</a></div><{head}><div class='story'><p>The first paragraph of the story.</p><p>The second one of it.</p></div><div class='sidebar'><p>Other things.</p></div></{tag}><div class='cookie-notice'><p>Cookies.</p></div></body>"
+        assert extraction.Page(page).extract([]) == "The first paragraph of the story.\nThe second one of it.", head
+    talk = "<body><div class='story'><h1>Title</h1><p>Short.</p></div><div class='comments'><p>" + "A comment. " * 30 + "</p></div></body>"
+    assert extraction.Page(talk).extract([]) == "Title\nShort."
+    assert extraction.Page("<body><div class='comments-open'><p>Text of the page.</p></div></body>").extract([]) == "Text of the page."
+
+
+def test_text_before_an_inline_part_stays():
+    page = "<body><div class='story'>Text before <span class='share'>Share <div>this</div></span> and after.</div></body>"
+    assert extraction.Page(page).extract([]) == "Text before\nand after."
+
+
 def test_extraction_of_no_pages(spark):
     assert extraction.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 

@@ -4,6 +4,9 @@ Each page's containers are scored by the text of their blocks; the page votes fo
 a path is the chain of tags with their classes, digits generalised. Spark counts the votes for each host. Pages are then
 extracted from the most voted path of their host that they have; a page that has none of them uses its own best one.
 
+Parts that are no article text by their class or id, and forms, are dropped only once the page is read: one that has more
+than half of the page's text outside links may be a wrapper of a theme, and then stays, see Page._wraps.
+
 Defined results: a null or empty html gives an empty text; a null url (or one without a host) votes with others of its
 kind; repeated rows are separate pages; an empty table gives an empty result; other columns don't matter.
 """
@@ -24,11 +27,13 @@ PATHS_PER_HOST = 8
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article blockquote body center div main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("aside button canvas dialog footer form head iframe input label menu nav noscript object option script select style svg template textarea title".split())
+DROPPED = frozenset("aside button canvas dialog footer head iframe input label menu nav noscript object option script select style svg template textarea title".split())
 #: Class and id words of parts that are no article text.
 OTHER = frozenset("ad ads adv advert advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar warning widget".split())
 #: Those of them that make an article element one of the others; its layout words don't.
 NO_ARTICLE = frozenset("advert advertisement comment comments promo promoted related reply sponsored teaser".split())
+#: Those of them that themes put in compound class words of wrappers, as in no-sidebar.
+LAYOUT = frozenset("ad ads banner banners breadcrumb breadcrumbs footer header menu nav navbar navigation search share sharing sidebar social toolbar topbar widget".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: A start tag closes these open elements, up to the named limits.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -39,29 +44,61 @@ class Page(HTMLParser):
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, container, dropped
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, container, dropped, other part
         self.paths, self.parents, self.tags = [""], [0], [""]
-        self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
-        self.text: list[str] = []
-        self.linked = self.links = 0
+        self.others: list[list] = [[0, False, False, 0]]  # the one around it, named as a wrapper may be, has a landmark, text
+        self.parts: list[tuple[int, list]] = []  # container, pieces of text
+        self.text: list[tuple[int, str, bool]] = []  # other part, text, in a link
+        self.where = self.links = 0
         self.feed(html)
         self.close()
         self._flush()
+        self.blocks = self._kept()  # container, text, characters in links
 
-    def _here(self) -> tuple[int, bool]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (0, False)
+    def _here(self) -> tuple[int, bool, int]:
+        return self.stack[-1][1:] if self.stack else (0, False, 0)
 
     def _flush(self) -> None:
         if self.text:
-            text = " ".join("".join(self.text).split())
-            where, dropped = self._here()
-            if text and not dropped:
-                self.blocks.append((where, text, min(self.linked, len(text))))
-        self.text, self.linked = [], 0
+            self.parts.append((self.where, self.text))
+            self.text = []
+
+    def _add(self, data: str) -> None:
+        if not self.text:
+            self.where = self._here()[0]
+        self.text.append((self._here()[2], data, self.links > 0))
+
+    def _wraps(self) -> list[bool]:
+        """Whether each of the other parts stays: it has more than half of the text, and a landmark or a wrapper's name. If that leaves no text, half is enough."""
+        if len(self.others) == 1:
+            return [True]
+        for _, pieces in self.parts:
+            for other, data, linked in pieces:
+                if not linked:
+                    self.others[other][3] += len(" ".join(data.split()))
+        for x in reversed(self.others[1:]):  # a part comes after the one around it
+            self.others[x[0]][3] += x[3]
+        most = [2 * x[3] > self.others[0][3] for x in self.others]
+        for strict in (True, False):
+            stays = [True]
+            for k, (around, named, landmark, _) in enumerate(self.others[1:], 1):
+                stays.append(stays[around] and most[k] and (named or landmark or not strict))
+            if any(stays[other] and data.strip() for _, pieces in self.parts for other, data, _ in pieces):
+                break
+        return stays
+
+    def _kept(self) -> list[tuple[int, str, int]]:
+        stays, out = self._wraps(), []
+        for where, pieces in self.parts:
+            pieces = [x for x in pieces if stays[x[0]]]
+            text = " ".join("".join([x[1] for x in pieces]).split())
+            if text:
+                out.append((where, text, min(sum(len(x[1]) for x in pieces if x[2]), len(text))))
+        return out
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
-            self.text.append(" ")
+            self._add(" ")
         if tag in VOID and tag != "hr":
             return
         if tag in BLOCKS or tag in DROPPED:
@@ -72,9 +109,20 @@ class Page(HTMLParser):
             self._close_to(*CLOSES[tag])
         if tag == "hr":
             return
-        container, dropped = self._here()
+        container, dropped, other = self._here()
         values = {k: v or "" for k, v in attrs}
-        dropped = dropped or tag in DROPPED or self._other(tag, values)
+        dropped = dropped or tag in DROPPED or tag not in ("html", "body", "main", "h1") and ("hidden" in values or values.get("role") in ROLES)
+        dropped = dropped or tag == "header" and not self._inside()
+        names = () if dropped else self._other(tag, values)
+        if names or tag == "form" and not dropped:
+            exact = {x.lower() for x in f"{values.get('class', '')} {values.get('id', '')}".split()}
+            self.others.append([other, OTHER.isdisjoint(exact) and LAYOUT.issuperset(names), False, 0])
+            other = len(self.others) - 1
+        elif tag in ("h1", "main", "article") and not dropped:
+            around = other
+            while around:
+                self.others[around][2] |= tag != "article" or self.others[around][1]
+                around = self.others[around][0]
         if tag in CONTAINERS:
             name = tag + "".join("." + re.sub(r"\d+", "#", c) for c in sorted(values.get("class", "").split()))
             self.paths.append(f"{self.paths[container]}>{name}" if container else name)
@@ -82,20 +130,22 @@ class Page(HTMLParser):
             self.tags.append(tag)
             container = len(self.paths) - 1
         self.links += tag == "a"
-        self.stack.append((tag, container, dropped))
+        self.stack.append((tag, container, dropped, other))
+
+    def _inside(self) -> bool:
+        return any(x[0] in ("article", "main") for x in self.stack)
 
-    def _other(self, tag: str, values: dict) -> bool:
+    def _other(self, tag: str, values: dict) -> set[str]:
+        """The words that make this element one of the other parts."""
         if tag in ("html", "body", "main", "h1"):
-            return False
-        if "hidden" in values or values.get("role") in ROLES:
-            return True
-        inside = any(x[0] in ("article", "main") for x in self.stack)
-        if tag == "header":
-            return not inside
-        names = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower())
+            return set()
+        if tag == "header" or "class" not in values and "id" not in values:
+            return set()
+        inside = self._inside()
+        names = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower()))
         if tag == "article":
-            return not NO_ARTICLE.isdisjoint(names)
-        return not OTHER.isdisjoint(set(names) - {"header"} if inside else names)
+            return names & NO_ARTICLE
+        return names & OTHER - {"header"} if inside else names & OTHER
 
     def _close_to(self, tags: set, limits: set) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -122,9 +172,7 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self._here()[1]:
             return
-        self.text.append(data)
-        if self.links:
-            self.linked += len(data)
+        self._add(data)
 
     def best(self) -> str:
         """The path of the container that has most of the text in and just below it, or of the article around it."""
