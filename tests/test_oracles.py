@@ -36,5 +36,10 @@ def test_query_equals_sql(spark, duck, name):
     assert _rows([tuple(r) for r in df.collect()], df.columns) == _rows(found.fetchall(), columns)
 
 
+def test_fallback_join_takes_touches_of_all_lines(spark):
+    all_hits, some = (QUERIES[n](spark, SF) for n in ("j17_multi_key_fallback_all", "j17_multi_key_fallback"))
+    assert some.subtract(all_hits).count() == 0 and all_hits.count() > 2 * some.count()
+
+
 def test_every_query_has_sql():
     assert not set(QUERIES) ^ set(ORACLES)

@@ -200,6 +200,9 @@ query("j16_baseline_join", lambda s: s.channel_gold, "window_start:t channel spe
 query("j17_multi_key_fallback", lambda s: J.multi_key_fallback_join(s.v.order.select("id", "name", F.col("customer_id").alias("checkout_id")), s.v.touch.where("position = 7").select(F.when(F.col("tie_1") % 3 == 0, F.concat(F.lit("#"), "order_id")).otherwise(F.col("order_id")).alias("hit"), "source"), ["id", "name", "checkout_id"], "hit"), "id:i name checkout_id:i hit source",
       "SELECT DISTINCT o.id, o.name, o.customer_id AS checkout_id, h.hit, h.source FROM f_order o JOIN (SELECT CASE WHEN tie_1 % 3 = 0 THEN '#' || order_id ELSE order_id END AS hit, source FROM f_touch WHERE position = 7) h ON h.hit = CAST(o.id AS VARCHAR) OR h.hit = o.name OR h.hit = CAST(o.customer_id AS VARCHAR)")
 
+query("j17_multi_key_fallback_all", lambda s: J.multi_key_fallback_join(s.v.order.select("id", "name", F.col("customer_id").alias("checkout_id")), s.v.touch.select(F.when(F.col("tie_1") % 3 == 0, F.concat(F.lit("#"), "order_id")).otherwise(F.col("order_id")).alias("hit"), "source"), ["id", "name", "checkout_id"], "hit"), "id:i name checkout_id:i hit source",
+      "WITH h AS (SELECT CASE WHEN tie_1 % 3 = 0 THEN '#' || order_id ELSE order_id END AS hit, source FROM f_touch) SELECT o.id, o.name, o.customer_id AS checkout_id, h.hit, h.source FROM f_order o JOIN h ON h.hit = CAST(o.id AS VARCHAR) UNION SELECT o.id, o.name, o.customer_id, h.hit, h.source FROM f_order o JOIN h ON h.hit = o.name UNION SELECT o.id, o.name, o.customer_id, h.hit, h.source FROM f_order o JOIN h ON h.hit = CAST(o.customer_id AS VARCHAR)")
+
 
 def _degraded(s: Star):
     lines = s.v.line.select("id", "sku", F.concat(F.lit("item "), (F.col("product_id") % 64).cast("string")).alias("item_description"))
