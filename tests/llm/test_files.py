@@ -48,6 +48,12 @@ def test_warc_round_trip_with_revisits(spark, monkeypatch):
     assert warc.lookup(spark, upper, f"{folder}/i", lost).count() == 0
 
 
+def test_warc_keys_with_control_characters(spark):
+    urls = ["http://a.b/x\ty", "http://a\t.b/", "http://a\nb.c/\tz", "http://a\r\n.c/q\x00\x7f", "\t", "\n", "a\x0bb\x1fc"]
+    rows = [(k, u, f"page {k}", "") for k, u in enumerate(urls)]
+    assert sorted((r["page_id"], bytes(r["payload"])) for r in _round_trip(spark, rows)[0]) == [(k, f"page {k}".encode()) for k in range(len(urls))]
+
+
 def test_warc_of_no_pages(spark):
     assert _round_trip(spark, [])[0] == []
 

@@ -39,10 +39,15 @@ RECORD = "page_id bigint, url string, record_type string, payload_bytes bigint,
 
 
 def surt(url: Column) -> Column:
-    """Reversed host, ')', then path and query: net,example,www)/path. Scheme, user, port and fragment don't matter."""
+    """Reversed host, ')', then path and query: net,example,www)/path. Scheme, user, port and fragment don't matter;
+    control characters, which part the lines of the index and their fields, are percent-encoded."""
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rest = F.regexp_replace(F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", ""), "[#\n\r].*", "")
-    return F.coalesce(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, " ", "%20")), F.lit(""))
+    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, " ", "%20"))
+    encoded = key
+    for c in (*range(32), 127):
+        encoded = F.replace(encoded, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.coalesce(F.when(key.rlike(r"[\x00-\x1F\x7F]"), encoded).otherwise(key), F.lit(""))
 
 
 def capture_key(url: Column, page_id: Column) -> Column:
