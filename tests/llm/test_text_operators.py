@@ -7,40 +7,18 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _brute_lines(rows, least=linededup.MIN_WORDS):
-    """Deletes runs shared with the witness: the earliest suffix that agrees on the largest power of two of lines."""
-    from pyspark.sql import functions as F  # noqa: F401
-
-    docs = [(d, t.split("\n")) for d, t in rows]
-    at = {}
-    suffixes = [(n, p) for n, (_, lines) in enumerate(docs) for p, x in enumerate(lines) if WORD.search(x)]
-    prefix = lambda n, p, k: tuple(docs[n][1][p : p + k])
-
-    def ok(n, p, k):
-        return p + k <= len(docs[n][1]) and all(WORD.search(x) for x in docs[n][1][p : p + k])
-
-    k, gone = 1, set()
-    witness = {}
-    while True:
-        first, any_later = {}, False
-        for n, p in suffixes:
-            if ok(n, p, k):
-                key = prefix(n, p, k)
-                if key in first:
-                    witness[n, p] = first[key]
-                    any_later = True
-                else:
-                    first[key] = (n, p)
-        if not any_later:
-            break
-        k *= 2
-    for (n, p), (m, q) in witness.items():
-        run = 0
-        while ok(n, p + run, 1) and ok(m, q + run, 1) and p + run < len(docs[n][1]) and q + run < len(docs[m][1]) and docs[n][1][p + run] == docs[m][1][q + run]:
-            run += 1
-        if sum(len(WORD.findall(x)) for x in docs[n][1][p : p + run]) >= least:
-            gone |= {(n, p + j) for j in range(run)}
-    del at
-    return {d: "\n".join(x for p, x in enumerate(lines) if (n, p) not in gone) for n, (d, lines) in enumerate(docs)}
+    """Deletes each line that lies in a run of least words which starts earlier too: all pairs of starts are compared."""
+    docs = [[(p, x) for p, x in enumerate(t.split("\n")) if WORD.search(x)] for _, t in rows]
+    starts = [(n, i) for n, lines in enumerate(docs) for i in range(len(lines))]
+    gone = set()
+    for at, (n, i) in enumerate(starts):
+        for m, j in starts[:at]:
+            run = 0
+            while i + run < len(docs[n]) and j + run < len(docs[m]) and docs[n][i + run][1] == docs[m][j + run][1]:
+                run += 1
+            if sum(len(WORD.findall(x)) for _, x in docs[n][i : i + run]) >= least:
+                gone |= {(n, p) for p, _ in docs[n][i : i + run]}
+    return {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (n, p) not in gone) for n, (d, t) in enumerate(rows)}
 
 
 def test_line_dedup_matches_brute_force(spark, make_docs):
@@ -49,8 +27,10 @@ def test_line_dedup_matches_brute_force(spark, make_docs):
     rows = [(k, "\n".join(r.choice(pool) for _ in range(r.randint(1, 14)))) for k in range(60)]
     rows.append((60, rows[3][1]))
     rows.append((61, "\n".join(["again and again and again"] * 9)))
+    rows += [(62, "a b c\nd e f\nx"), (63, "a b c\nd e f\ng h i"), (64, "start\na b c\n\nd e f\n \ng h i\nend"), (65, "g h i\na b c\nd e f")]
     got = {x["doc_id"]: x for x in linededup.dedup_lines(make_docs(rows)).collect()}
     want = _brute_lines(rows)
+    assert want[64] == "start\n\n \nend" and want[65] == rows[-1][1]
     assert {d: x["text"] for d, x in got.items()} == want
     for d, t in rows:
         kept = len(want[d].split("\n")) if want[d] or got[d]["n_removed"] < got[d]["n_lines"] else 0
@@ -63,6 +43,19 @@ def test_line_dedup_edges(spark, make_docs):
     got = sorted(((x["doc_id"], x["text"], x["n_removed"]) for x in linededup.dedup_lines(make_docs(rows)).collect()), key=repr)
     assert got == sorted([(None, passage, 0), (1, "start\nend", 1), (2, None, 0), (3, "", 0), (4, "x", 1), (4, "x", 1)], key=repr)
     assert linededup.dedup_lines(make_docs([])).count() == 0
+    clash = make_docs([(1, passage, None, None, None, 7, "x")], ", n_removed bigint, rank string")
+    assert [(r["n_removed"], r["n_lines"], r["rank"]) for r in linededup.dedup_lines(clash).collect()] == [(0, 1, "x")]
+    for least, want in ((1, {1: "a b\nc", 2: "", 3: "d"}), (3, {1: "a b\nc", 2: "", 3: "d\na b"}), (4, {1: "a b\nc", 2: "a b\nc", 3: "d\na b"})):
+        got = linededup.dedup_lines(make_docs([(1, "a b\nc"), (2, "a b\nc"), (3, "d\na b")]), least).collect()
+        assert {r["doc_id"]: r["text"] for r in got} == want
+
+
+def test_line_dedup_of_long_common_runs(spark, make_docs):
+    r = random.Random(3)
+    lines = [f"w{k} and {' '.join('v' * r.randint(1, 3) for _ in range(r.randint(0, 5)))}".strip() for k in range(200)]
+    rows = [(k, "\n".join(lines[a : a + r.randint(1, 90)] + [f"own {k}"] + lines[b : b + 5])) for k in range(40) for a, b in [(r.randint(0, 190), r.randint(0, 190))]]
+    got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(make_docs(rows)).collect()}
+    assert got == _brute_lines(rows)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{x}}</style><script>var a="</p><p>no</p>";</script></head><body class="has-sidebar">

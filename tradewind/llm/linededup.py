@@ -1,90 +1,120 @@
-"""Line deduplication by prefix doubling over sequences of line ids; everything is DataFrame functions.
+"""Line deduplication by a suffix array over sequences of line ids; everything is DataFrame functions.
 
-A suffix starts at each line that has a word. Round k names the first 2**k lines of a suffix by the names of its two
-halves; suffixes that share their name with no other leave, so a round handles repeated runs only. Suffixes of one name
-form an interval of common prefix 2**k; the earliest of the deepest interval in which a suffix is not itself the earliest
-is its witness. The longest common prefix of both, found by comparing the rounds' names from the longest down, is a
-repeated run, and its lines are deleted here, as the later copy, if the run has MIN_WORDS words.
+A document is the sequence of its lines that have a word; lines without one neither belong to a run nor end it. Lines
+that occur once get no id and end every run. Suffixes are ranked by prefix doubling: their rank by 2**(k+1) lines is the
+place of the pair (rank by 2**k, rank by 2**k of the suffix 2**k lines on) among all such pairs. Sorted by rank, they are
+the suffix array; the longest common prefix of neighbours gives the intervals of suffixes that agree on so many lines.
+A suffix that is not the earliest of its interval starts a later copy of a run, whose lines are deleted.
+
+A line is to be deleted if it lies in a run of MIN_WORDS words that occurs earlier too. Every such maximal run is the
+union of its shortest parts of MIN_WORDS words: from each of its lines on, and up to each of its lines. As every line has
+a word, these have at most MIN_WORDS lines, so doubling stops there, however long the maximal runs are.
 
 Documents are ordered by doc_id (null first), then by a hash of the text. Defined results: a null text stays null and
-has no lines; lines without words are never part of a run and stay; rows equal in id and text count as one document and
-get the same result; an empty table gives an empty result; columns other than doc_id and text don't matter.
+has no lines; lines without words stay; rows equal in id and text count as one document and get the same result; of
+runs that are equal the earliest stays, also within a document; an empty table gives an empty result; columns other
+than doc_id and text are kept, but for n_lines and n_removed, which are replaced; very long texts are arrays in one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import SPACE, stored
+from tradewind.llm.common import SPACE, constant, stored, with_global_index
 
 MIN_WORDS = 8
-_ROW = ["dk", "th", "pos"]
+_DOC = ["doc_id", "dk", "th"]
+_WORD = f"[^{SPACE[1:-1]}]+"
 
 
-def _named(a: str, b: str) -> dict:
-    """Two hashes of a pair of names, 96 bits together."""
-    pair = (f"{a}.a", f"{a}.b", f"{b}.a", f"{b}.b")
-    return {"a": F.xxhash64(*pair), "b": F.hash(*pair)}
+def _ranked(rows: DataFrame, key: list[str], least: int) -> DataFrame:
+    """rows whose key occurs so often at least, with rank: the place of their key among all such keys in order."""
+    keys = rows.groupBy(*key).count().where(F.col("count") >= least).select(*key)
+    # a table of its own, so that Spark may split the rows of a line that very many documents have
+    return rows.join(stored(with_global_index(keys, [F.col(c) for c in key], "rank"), "ranks"), key)
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose name (a, b) occurs twice or more, with the earliest row of the name (first)."""
-    place = F.struct("doc_id", "dk", "th", "pos")
-    names = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    # a table of its own, so that Spark may split the rows of a line that very many documents have
-    return rows.join(stored(names, "repeated"), ["a", "b"])
-
-
-def line_runs(docs: DataFrame) -> DataFrame:
-    """(dk, th, pos, n): runs of n lines from line pos on (0-based) that have an earlier copy; no run lies in one from the line before."""
-    text = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("dk"), F.xxhash64("text").alias("th"), "text")
-    lines = text.select("doc_id", "dk", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(f"[^{SPACE[1:-1]}]"))
-    lines = lines.select("doc_id", "dk", "th", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
-    level = stored(_repeated(lines).dropDuplicates(_ROW), "names")
-    level = stored(_repeated(level.drop("first")), "names")  # rows equal in id and text were one document
-    later = F.struct("doc_id", "dk", "th", "pos") > F.col("first")
-    levels, witness, k = [level], [level.where(later).select(*_ROW, F.lit(0).alias("k"), "first")], 0
-    while level.limit(1).count():
-        x, y = level.drop("first").alias("x"), level.select(*_ROW, "a", "b").alias("y")
-        both = x.join(y, (F.col("x.dk") == F.col("y.dk")) & (F.col("x.th") == F.col("y.th")) & (F.col("x.pos") + (1 << k) == F.col("y.pos")))
-        named = stored(both.select("x.doc_id", *[f"x.{c}" for c in _ROW], *[v.alias(n) for n, v in _named("x", "y").items()]), "pairs")
-        level, k = stored(_repeated(named), "names"), k + 1
-        levels.append(level)
-        witness.append(level.where(later).select(*_ROW, F.lit(k).alias("k"), "first"))
-    all_found = witness[0]
-    for more in witness[1:]:
-        all_found = all_found.union(more)
-    deepest = all_found.groupBy(*_ROW).agg(F.max(F.struct("k", "first")).alias("x")).select(*_ROW, "x.k", F.col("x.first.dk").alias("wdk"), F.col("x.first.th").alias("wth"), F.col("x.first.pos").alias("wpos"))
-    before = Window.partitionBy("dk", "th").orderBy("pos")
-    prior = F.struct(F.lag("pos").over(before).alias("pos"), F.lag("wdk").over(before).alias("dk"), F.lag("wth").over(before).alias("th"), F.lag("wpos").over(before).alias("wpos"))
-    goes_on = (F.col("p.pos") == F.col("pos") - 1) & (F.col("p.dk") == F.col("wdk")) & (F.col("p.th") == F.col("wth")) & (F.col("p.wpos") == F.col("wpos") - 1)
-    starts = deepest.withColumn("p", prior).where(~F.coalesce(goes_on, F.lit(False))).drop("p")
-    runs = stored(starts.withColumn("n", F.shiftleft(F.lit(1).cast("bigint"), 0) * F.pow(F.lit(2.0), F.col("k")).cast("bigint")), "runs")
-    for q in range(k - 1, -1, -1):
-        here = levels[q].select(F.col("dk").alias("hdk"), F.col("th").alias("hth"), F.col("pos").alias("hpos"), F.col("a").alias("ha"), F.col("b").alias("hb"))
-        there = levels[q].select(F.col("dk").alias("tdk"), F.col("th").alias("tth"), F.col("pos").alias("tpos"), F.col("a").alias("ta"), F.col("b").alias("tb"))
-        open_runs = runs.where(F.col("k") > q)
-        on = (F.col("dk") == F.col("hdk")) & (F.col("th") == F.col("hth")) & (F.col("pos") + F.col("n") == F.col("hpos"))
-        at = (F.col("wdk") == F.col("tdk")) & (F.col("wth") == F.col("tth")) & (F.col("wpos") + F.col("n") == F.col("tpos"))
-        same = open_runs.join(here, on).join(there, at).where("ha = ta and hb = tb").select(*_ROW, F.lit(1 << q).alias("more"))
-        runs = stored(runs.join(same, _ROW, "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))).drop("more"), "runs")
-    return runs.select(*_ROW, "n")
+def _in_documents(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row a document with its lines in order; rows equal in id and text fall together."""
+    return rows.groupBy("dk", "th").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_set(F.struct("i", *columns))).alias("lines"))
+
+
+def _ahead(at: Column, i: Column, steps: int) -> Column:
+    """The line so many steps after index at (of number i), or null where one in between has no id."""
+    line = F.get("lines", at + steps)
+    return F.when(line["i"] == i + steps, line)
+
+
+def _suffixes(docs: DataFrame, depth: int) -> DataFrame:
+    """A row for each line that is repeated: rank (by depth lines), ids, words and places of the lines from it on."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, p: F.struct(p.alias("pos"), F.regexp_count(x, F.lit(_WORD)).alias("words"), F.xxhash64(x).alias("a"), F.hash(x).alias("b"))), lambda x: x["words"] > 0)
+    text = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.xxhash64("text").alias("th"), F.posexplode(lines).alias("i", "line"))
+    rows = text.select(*_DOC, "i", "line.pos", "line.words", "line.a", "line.b")
+    rows = _ranked(rows, ["a", "b"], 2).select(*_DOC, "i", "pos", "words", F.col("rank").alias("id"), "rank")
+    step = 1
+    while step < depth:
+        found = _in_documents(rows, "pos", "words", "id", "rank")
+        moved = F.transform("lines", lambda x, at: F.struct(x["i"].alias("i"), x["pos"].alias("pos"), x["words"].alias("words"), x["id"].alias("id"), x["rank"].alias("low"), F.coalesce(_ahead(at, x["i"], step)["rank"], F.lit(-1)).alias("high")))  # noqa: B023
+        rows = _ranked(stored(found.select(*_DOC, F.explode(moved).alias("x")).select(*_DOC, "x.*"), "pairs"), ["low", "high"], 1).drop("low", "high")
+        step *= 2
+    some = lambda at, x, field: F.filter(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda k: F.when(F.get("lines", at + k)["i"] == x["i"] + k, F.get("lines", at + k)[field])), lambda v: v.isNotNull())
+    suffix = F.transform("lines", lambda x, at: F.struct(x["i"].alias("i"), x["rank"].alias("rank"), some(at, x, "id").alias("ids"), some(at, x, "words").alias("words"), some(at, x, "pos").alias("places")))
+    return _in_documents(rows, "pos", "words", "id", "rank").select(*_DOC, F.explode(suffix).alias("x")).select(*_DOC, "x.*")
+
+
+def _prefix(ids: Column, before: Column, depth: int) -> Column:
+    """How many ids both arrays have in common from the start."""
+    same = F.lit(depth)
+    for k in reversed(range(depth)):
+        same = F.when(F.get(ids, k).eqNullSafe(F.get(before, k)) & F.get(ids, k).isNotNull(), same).otherwise(F.lit(k))
+    return same
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(dk, th, places): runs of lines at these places (0-based) of a document that have an earlier copy and min_words words."""
+    depth = max(1, min_words)
+    upto = lambda k, start: F.aggregate(F.slice("words", start, F.greatest(k - start + 1, F.lit(0))), F.lit(0), lambda a, x: a + x)
+    lengths = F.sequence(F.lit(1), F.size("words"))
+    # the shortest run from here on with the words, and those up to a later line with the words that start here
+    fit = F.filter(lengths, lambda k: (upto(k, 1) >= min_words) & ((upto(k, 2) < min_words) | (upto(k - 1, 1) < min_words)))
+    rows = _suffixes(docs, depth).withColumn("depths", fit).drop("words")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["rank", "doc_id", "th", "i"]
+    array = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "suffix-array")
+    # of each range of the array, the last suffix and then the last starts of intervals go on into the next one
+    last = dict(array.groupBy("part").agg(F.max_by("ids", "at")).collect())
+    before, ids = [], []
+    for part in range(max(last, default=-1) + 1):
+        before.append(ids)
+        ids = last.get(part, ids)
+    window = Window.partitionBy("part").orderBy("at")
+    previous = F.coalesce(F.lag("ids").over(window), F.get(constant(before, "array<bigint>"), F.col("part")))
+    array = array.withColumn("lcp", _prefix(F.col("ids"), previous, depth))
+    start = lambda k: F.max(F.when(F.col("lcp") < k, F.col("at"))).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    array = stored(array.select(*_DOC, "i", "places", "depths", "part", F.array(*[start(k) for k in range(1, depth + 1)]).alias("starts")), "intervals")
+    last = {r[0]: r[1:] for r in array.groupBy("part").agg(*[F.max(F.get("starts", k)) for k in range(depth)]).collect()}
+    carried, starts = [], [None] * depth
+    for part in range(max(last, default=-1) + 1):
+        carried.append(starts)
+        starts = [b if b is not None else a for a, b in zip(starts, last.get(part, starts), strict=True)]
+    within = array.select(*_DOC, "i", "places", "starts", "part", F.explode("depths").alias("depth"))
+    begun = F.coalesce(F.get("starts", F.col("depth") - 1), F.get(F.get(constant(carried, "array<bigint>"), F.col("part")), F.col("depth") - 1))
+    within = within.select(*_DOC, "i", "depth", begun.alias("interval"), F.slice("places", 1, F.col("depth")).alias("places"))
+    place = F.struct("doc_id", "th", "i")
+    firsts = within.groupBy("depth", "interval").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = within.join(stored(firsts, "firsts"), ["depth", "interval"]).where(place > F.col("first"))
+    return later.select("dk", "th", "places")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs, with the text less its repeated runs; and n_lines, n_removed."""
-    runs = line_runs(docs).groupBy("dk", "th").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("n").cast("int").alias("n")))).alias("__runs"))
-    rows = docs.withColumns({"__dk": F.xxhash64("doc_id", "text"), "__th": F.xxhash64("text")})
-    runs = runs.select(F.col("dk").alias("__dk"), F.col("th").alias("__th"), "__runs")
-    rows = rows.join(runs, ["__dk", "__th"], "left").withColumn("__lines", F.split("text", "\n"))
-    rows = rows.withColumn("__words", F.when(F.col("__runs").isNotNull(), F.transform("__lines", lambda x: F.regexp_count(x, F.lit(f"[^{SPACE[1:-1]}]+")))))
-    long = lambda r: F.aggregate(F.slice("__words", r["pos"] + 1, r["n"]), F.lit(0), lambda a, x: a + x) >= min_words
-    rows = rows.withColumn("__runs", F.filter("__runs", long))
-    gone = lambda i: F.exists("__runs", lambda r: (r["pos"] <= i) & (i < r["pos"] + r["n"]))
-    rows = rows.withColumn("__left", F.when(F.size("__runs") > 0, F.filter("__lines", lambda x, i: ~gone(i))).otherwise(F.col("__lines")))
-    n = F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint")
-    counts = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("bigint")}
-    counts["n_removed"] = counts["n_lines"] - F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__left")).cast("bigint")
-    counts["text"] = F.array_join("__left", "\n")
-    return rows.withColumns(counts).drop("__dk", "__th", "__runs", "__lines", "__words", "__left")
+    """All columns of docs, with the text less its later copies of runs; and n_lines, n_removed."""
+    gone = repeated_lines(docs, min_words).groupBy(F.col("dk").alias("__dk"), F.col("th").alias("__th")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("__gone"))
+    rows = docs.withColumns({"__dk": F.xxhash64("doc_id", "text"), "__th": F.xxhash64("text")}).join(gone, ["__dk", "__th"], "left")
+    rows = rows.withColumn("__lines", F.split("text", "\n")).withColumn("__n", F.coalesce(F.size("__lines"), F.lit(0)))
+    left = F.array_except(F.sequence(F.lit(0), F.col("__n") - 1), "__gone")
+    rows = rows.withColumn("__left", F.when(F.col("__gone").isNotNull(), F.transform(left, lambda p: F.get("__lines", p))).otherwise(F.col("__lines")))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("__n")).cast("bigint")
+    counts = {"n_lines": n, "n_removed": n - F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__left"))}
+    counts["text"] = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n"))
+    return rows.withColumns(counts).drop("__dk", "__th", "__gone", "__lines", "__n", "__left")

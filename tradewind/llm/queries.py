@@ -86,4 +86,29 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op3_line_dedup, op4_extract_main_text, op5_mix_sources, op6_quality_rules, op7_decontaminate, op8_language_id, op9_sampled_splitters, op10_simhash_components)}
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+#: op1: of equal payloads of 1000 bytes or more, the one of the largest page_id is the response.
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to FROM q
+"""
+
+#: op3 by its definition: pairs of equal lines on one diagonal of two documents are a run, and a line goes that lies in a
+#: run of eight words whose other copy is earlier.
+LINES_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '{WORD}')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM l WHERE regexp_matches(line, '{WORD}')),
+pairs AS (SELECT a.doc_id, a.i, a.n, b.doc_id AS other, a.i - b.i AS apart, a.i - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, a.i - b.i ORDER BY a.i) AS run
+  FROM w a JOIN w b ON a.line = b.line AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.i < a.i)),
+runs AS (SELECT DISTINCT doc_id, min(i) AS low, max(i) AS high FROM pairs GROUP BY doc_id, other, apart, run HAVING sum(n) >= 8),
+gone AS (SELECT DISTINCT w.doc_id, w.pos FROM w JOIN runs r ON w.doc_id = r.doc_id AND w.i BETWEEN r.low AND r.high),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text, count(*) AS n FROM l LEFT JOIN gone g USING (doc_id, pos) WHERE g.pos IS NULL GROUP BY l.doc_id),
+all_lines AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(a.n, 0) AS n_lines, coalesce(a.n, 0) - coalesce(k.n, 0) AS n_removed
+FROM documents d LEFT JOIN all_lines a USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_capture_index": WARC_SQL, "op3_line_dedup": LINES_SQL}
