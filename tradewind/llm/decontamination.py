@@ -6,16 +6,19 @@ value everywhere. A document is contaminated by an item when SHARE of the item's
 when OWN_SHARE of them match each with values that correspond in the window itself, whatever the others have: a copy with
 one value altered, or with two values for what happened to be equal. Copied windows are among these always.
 
-Beside the templates, windows meet on their words as they are, without regard to case. So every window of an item can be
-copied, while only those with LITERALS plain words can be matched with other values: shares are of all windows, or of
-the latter for matches of templates alone. RUN copied words in a row are enough whatever the share.
-
-Up to BENCHMARK_WINDOWS different keys of benchmark windows, their hashes go to the tasks as a filter, so that only likely windows are
-shuffled; above that, all windows are shuffled to the join.
-
-Defined results: null texts have no windows; items of fewer than LEAST words are not searched; items shorter than a
-window are searched whole; repeated rows and ids count as one document; items or documents that are empty tables give an
-empty result; other columns don't matter.
+There are three templates of a window. COPIED has the words as they are, without regard to case, so every window of an
+item can be copied. In PLACED a capitalised word that begins a sentence is a word, in FREE it is a name wherever it
+stands, unless it is one of STARTERS; so what stands before a copy, or a name that begins it, doesn't matter: either one
+of a document may meet either one of an item. These two are searched where they have LITERALS plain words: shares are of all windows, or of these for matches of templates
+alone. RUN copied words in a row are enough whatever the share.
+
+Windows travel as two 64-bit hashes with the hashes of their values, never as text. Up to BENCHMARK_WINDOWS different
+templates of benchmark windows go to the tasks as a filter, so that only likely windows are shuffled; above that, all
+windows are shuffled to the join. Results are the same.
+
+Defined results: null texts have no windows; items shorter than a window are searched whole, those of fewer than LEAST
+words only where they stand as a sentence of their own; repeated rows and ids count as one document; items or documents
+that are empty tables give an empty result; other columns don't matter; very long texts are one row of a task.
 """
 
 from __future__ import annotations
@@ -38,17 +41,22 @@ SHARE = 0.3
 OWN_SHARE = 0.5
 RUN = 13
 BENCHMARK_WINDOWS = 1 << 20
+#: Tokens and windows that a task handles at a time.
+CHUNK = 1 << 18
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]|[$€£%]")
+COPIED, PLACED, FREE = 0, 1, 2
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 #: Words and signs of measure; they are units next to a number only.
 UNITS = frozenset("% $ € £ percent dollar dollars euro euros cent cents pound pounds mm cm m km kg g mg lb lbs oz ml l liter liters litre litres meter meters metre metres mile miles foot feet inch inches yard yards second seconds minute minutes hour hours day days week weeks month months year years".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
+#: Words that begin sentences and questions; they are no names however they are written.
+STARTERS = frozenset("a after all an and are as at before both but by can compute could did do does each every explain find for from give given had has have he how i if in is it its let list many more most name no of on or she should solve some suppose that the their there these they this those to was we were what when where which who whom whose why will with would write you".split())
 _SIGNS = frozenset("$€£%")
 _STOPS = frozenset(".!?\n")
 
 
 def _kind(token: str) -> int:
-    """0 word, 1 capitalised, 2 number, 3 unit, 4 sign, 5 end of a sentence."""
+    """0 word, 1 capitalised, 2 number, 3 unit, 4 sign, 5 end of a sentence, 6 capitalised starter."""
     if token in _STOPS:
         return 5
     if token in _SIGNS:
@@ -58,42 +66,13 @@ def _kind(token: str) -> int:
         return 2
     if low in UNITS:
         return 3
-    return int(len(token) > 1 and token[0].isupper() and token[1:].islower())
-
-
-class Templates:
-    """Words of texts and their canonical forms as hashes; remembers the words seen last."""
-
-    def __init__(self, most: int = 200_000) -> None:
-        self.known = _Known()
-        self.most = most
-        self.of = {2: self._hash(NUMBER), 1: self._hash(NAME), 3: self._hash(UNIT)}
-
-    @staticmethod
-    def _hash(word: str) -> int:
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-    def words(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, their kinds after looking at their neighbours, and hashes of their canonical forms and of themselves."""
-        tokens = TOKEN.findall(text)
-        if len(self.known) > self.most:
-            self.known = _Known()
-        places = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-        kinds, plain = self.known.kinds[places], self.known.hashes[places]
-        number = kinds == 2
-        first = np.ones(len(kinds), dtype=bool)
-        first[1:] = kinds[:-1] == 5
-        beside = np.zeros(len(kinds), dtype=bool)
-        beside[1:] |= number[:-1]
-        beside[:-1] |= number[1:]
-        kinds = np.where((kinds == 1) & first | (kinds == 3) & ~beside, 0, kinds)
-        kinds = np.where((kinds == 4) & beside, 3, kinds)
-        keep = kinds < 4
-        hashes = plain.copy()
-        for kind, h in self.of.items():
-            hashes[kinds == kind] = np.uint64(h)
-        at = np.flatnonzero(keep)
-        return [tokens[k] for k in at] if len(at) < len(tokens) else tokens, kinds[keep], hashes[keep], plain[keep]
+    if len(token) > 1 and token[0].isupper() and token[1:].islower():
+        return 6 if low in STARTERS else 1
+    return 0
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 class _Known(dict):
@@ -106,105 +85,179 @@ class _Known(dict):
         at = len(self)
         if at == len(self.kinds):
             self.hashes, self.kinds = np.concatenate([self.hashes] * 2), np.concatenate([self.kinds] * 2)
-        self.hashes[at], self.kinds[at] = Templates._hash(token.casefold()), _kind(token)
+        self.hashes[at], self.kinds[at] = _hash(token.casefold()), _kind(token)
         self[token] = at
         return at
 
 
-def window_hashes(hashes: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
-    """Polynomial hashes of all windows of so many words, for each of the widths that the text has."""
-    found, n = {}, len(hashes)
-    out = np.zeros(n, dtype=np.uint64)
-    for width in range(1, min(max(widths, default=0), n) + 1):
-        out = out[: n - width + 1] * np.uint64(0x9E3779B97F4A7C15) + hashes[width - 1 :]
-        if width in widths:
-            found[width] = out
-    return found
-
-
-def _template(tokens: list[str], kinds: list[int]) -> tuple[str, list[str]]:
-    names = {1: NAME, 2: NUMBER, 3: UNIT}
-    return " ".join(names.get(k) or t.casefold() for t, k in zip(tokens, kinds, strict=True)), [t.casefold() for t, k in zip(tokens, kinds, strict=True) if k]
-
-
-def _windows(id_column: str, widths: list[int] | None, wanted):
-    """Windows of each row, by template (searchable of them) and copied: of the given widths (None: WINDOW, or the whole
-    text if shorter), those in wanted only if given. A window has words if LITERALS are no numbers."""
+class Words:
+    """The words of some texts in a row: text each is of, whether it begins or ends a sentence, and by template its kind
+    (0 word, 1 name, 2 number, 3 unit) and the hash of what stands for it."""
+
+    def __init__(self, texts: list[str], known: _Known) -> None:
+        tokens, ends = [], []
+        for text in texts:
+            tokens += TOKEN.findall(text)
+            ends.append(len(tokens))
+        places = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        kinds, plain = known.kinds[places], known.hashes[places]
+        text = np.repeat(np.arange(len(texts)), np.diff(np.array([0, *ends])))
+        border = np.ones(len(tokens) + 1, dtype=bool)  # between two tokens
+        border[1:-1] = text[1:] != text[:-1]
+        stop, number = kinds == 5, kinds == 2
+        begins, ended, beside = border[:-1].copy(), border[1:].copy(), np.zeros(len(kinds), dtype=bool)
+        begins[1:] |= stop[:-1]
+        ended[:-1] |= stop[1:]
+        beside[1:] |= number[:-1] & ~border[1:-1]
+        beside[:-1] |= number[1:] & ~border[1:-1]
+        kinds = np.where(((kinds == 3) | (kinds == 4)) & beside, 3, np.where(kinds == 3, 0, kinds))
+        keep = kinds != 5
+        keep &= kinds != 4
+        kinds, self.plain, self.text, self.begins, self.ended = kinds[keep], plain[keep], text[keep], begins[keep], ended[keep]
+        free = np.where(kinds == 6, 0, kinds)
+        placed = np.where((kinds == 1) & self.begins | (kinds == 6) & self.begins, 0, np.where(kinds == 6, 1, kinds))
+        self.kinds = {COPIED: kinds, PLACED: placed, FREE: free}
+        self.hashes = {COPIED: self.plain}
+        for mode in (PLACED, FREE):
+            self.hashes[mode] = self.plain.copy()
+            for kind, name in ((1, NAME), (2, NUMBER), (3, UNIT)):
+                self.hashes[mode][self.kinds[mode] == kind] = np.uint64(_hash(name))
+
+    def windows(self, mode: int, widths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """Polynomial hashes of all windows of so many words, those over the border of two texts too."""
+        hashes = self.hashes[mode]
+        out, n = np.zeros(len(hashes), dtype=np.uint64), len(hashes)
+        for width in range(1, min(max(widths, default=0), n) + 1):
+            out = out[: n - width + 1] * np.uint64(0x9E3779B97F4A7C15) + hashes[width - 1 :]
+            if width in widths:
+                yield width, out
+
+    def searched(self, mode: int, width: int, at: np.ndarray) -> np.ndarray:
+        """Those of the windows that are searched: inside a text, short ones as a sentence, templates with enough words."""
+        last = at + width - 1
+        fit = self.text[at] == self.text[last]
+        if mode != COPIED:
+            plain = np.concatenate([[0], np.cumsum(self.kinds[mode] == 0)])
+            fit &= (plain[last + 1] - plain[at] >= LITERALS) & (width >= LEAST)
+        if mode == FREE:
+            differ = np.concatenate([[0], np.cumsum(self.hashes[FREE] != self.hashes[PLACED])])
+            fit &= differ[last + 1] > differ[at]
+        if width < LEAST:
+            fit &= self.begins[at] & self.ended[last]
+        return at[fit]
+
+    def rows(self, mode: int, width: int, at: np.ndarray, hashes: np.ndarray) -> list[pa.Array]:
+        """mode (PLACED for FREE too), width, place in the text, two hashes, and the hashes of the placeholders' values, by window."""
+        inside = at[:, None] + np.arange(width)
+        second = np.zeros(len(at), dtype=np.uint64)
+        for k in range(width):
+            h = self.hashes[mode][inside[:, k]]
+            second = second * np.uint64(0xC2B2AE3D27D4EB4F) + (h ^ (h >> np.uint64(31))) * np.uint64(0x165667B19E3779F9)
+        slot = (self.kinds[mode][inside] > 0) & (mode != COPIED)
+        offsets = np.concatenate([[0], np.cumsum(slot.sum(axis=1))]).astype(np.int32)
+        slots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.plain[inside][slot].view(np.int64)))
+        place = at - np.searchsorted(self.text, self.text[at])
+        same = lambda x: pa.array(np.full(len(at), x, np.int32))
+        return [same(min(mode, PLACED)), same(width), pa.array(place), pa.array(hashes.view(np.int64)), pa.array(second.view(np.int64)), slots]
+
+
+FIELDS = ["mode", "width", "at", "h1", "h2", "slots"]
+WINDOWS = "id bigint, th bigint, mode int, width int, at bigint, h1 bigint, h2 bigint, slots array<bigint>"
+ITEMS = WINDOWS + ", n bigint, searchable bigint, has_words boolean"
+
+
+def _item_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of each item: of WINDOW words, or the whole item if it is shorter; with how many it has, how many of
+    them templates can match, and whether LITERALS of the words are no numbers."""
+    known = _Known()
+    for batch in batches:
+        for key, th, text in zip(batch["id"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
+            words = Words([text.as_py() or ""], known)
+            width = min(WINDOW, len(words.text))
+            if not width:
+                continue
+            found, n = [], len(words.text) - width + 1
+            for mode in (COPIED, PLACED, FREE):
+                hashes = dict(words.windows(mode, [width]))[width]
+                at = words.searched(mode, width, np.arange(n))
+                if len(at):
+                    found.append((at, words.rows(mode, width, at, hashes[at])))
+            searchable = len(set().union(*[at.tolist() for at, x in found if x[0][0].as_py() != COPIED]))
+            numbers = np.concatenate([[0], np.cumsum(words.kinds[COPIED] == 2)])
+            for at, columns in found:
+                has_words = width - (numbers[at + width] - numbers[at]) >= LITERALS
+                same = lambda x: pa.array([x] * len(at), pa.int64())  # noqa: E731,B023
+                yield pa.RecordBatch.from_arrays([same(key), same(th), *columns, same(n), same(searchable), pa.array(has_words)], ["id", "th", *FIELDS, "n", "searchable", "has_words"])
+
+
+def _document_windows(widths: list[int], wanted):
+    """Windows of the given widths that are searched; of those in wanted only, where it is given."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates()
-        schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("copied", pa.bool_()), ("width", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("searchable", pa.int64()), ("has_words", pa.bool_()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
-        filters = {}
-        if wanted is not None:
-            for key, values in wanted.value.items():
-                table = np.zeros(1 << 22, dtype=bool)
-                table[values >> np.uint64(42)] = True
-                filters[key] = (table, values)
+        known, filters = _Known(), {}
+        for key, values in (wanted.value if wanted is not None else {}).items():
+            table = np.zeros(1 << 22, dtype=bool)
+            table[values >> np.uint64(42)] = True
+            filters[key] = (table, values)
+
+        def likely(mode: int, width: int, hashes: np.ndarray) -> np.ndarray:
+            if wanted is None:
+                return np.arange(len(hashes))
+            if (min(mode, PLACED), width) not in filters:
+                return np.arange(0)
+            table, values = filters[min(mode, PLACED), width]
+            at = np.flatnonzero(table[hashes >> np.uint64(42)])
+            near = np.minimum(np.searchsorted(values, hashes[at]), len(values) - 1)
+            return at[values[near] == hashes[at]]
+
+        def found(ids: list, ths: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            nonlocal known
+            if len(known) > CHUNK:
+                known = _Known()
+            words, ids, ths = Words(texts, known), np.array([x or 0 for x in ids], np.int64), np.array(ths, np.int64)
+            none = np.array([x is None for x in ids])
+            for mode in (COPIED, PLACED, FREE):
+                for width, hashes in words.windows(mode, widths):
+                    at = words.searched(mode, width, likely(mode, width, hashes))
+                    for part in np.split(at, range(CHUNK, len(at), CHUNK)) if len(at) else []:
+                        of = words.text[part]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[of], mask=none[of]), pa.array(ths[of]), *words.rows(mode, width, part, hashes[part])], ["id", "th", *FIELDS])
+
         for batch in batches:
-            rows = []
-            for key, th, text in zip(batch[id_column].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
-                tokens, kinds, *hashes = templates.words(text.as_py() or "")
-                own = [min(WINDOW, len(tokens))] if widths is None else widths
-                own = [w for w in own if LEAST <= w <= len(tokens)]
-                plain = np.concatenate([[0], np.cumsum(kinds == 0)]) if own else None
-                for copied in (False, True):
-                    for width, found in window_hashes(hashes[copied], own).items():
-                        n, places = len(found), np.arange(len(found))
-                        if wanted is not None:
-                            if (copied, width) not in filters:
-                                continue
-                            table, values = filters[copied, width]
-                            places = np.flatnonzero(table[found >> np.uint64(42)])
-                            if len(places):
-                                near = np.minimum(np.searchsorted(values, found[places]), len(values) - 1)
-                                places = places[values[near] == found[places]]
-                        if not len(places):
-                            continue
-                        fit = plain[width:] - plain[:-width] >= LITERALS
-                        searchable = int(fit.sum())
-                        for k in places.tolist() if copied else places[fit[places]].tolist():
-                            part = kinds[k : k + width].tolist()
-                            template, slots = _template(tokens[k : k + width], [0] * width if copied else part)
-                            rows.append({"id": key, "th": th, "copied": copied, "width": width, "at": k, "n": n, "searchable": searchable, "has_words": width - part.count(2) >= LITERALS, "template": template, "slots": slots})
-                            if len(rows) >= 5_000:
-                                yield pa.RecordBatch.from_pylist(rows, schema)
-                                rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+            keys, ths, texts, held = [], [], [], 0
+            for key, th, text in zip(batch["id"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
+                keys.append(key), ths.append(th), texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                if held > 4 * CHUNK:
+                    yield from found(keys, ths, texts)
+                    keys, ths, texts, held = [], [], [], 0
+            yield from found(keys, ths, texts)
 
     return cut
 
 
-WINDOWS = "id bigint, th bigint, copied boolean, width int, at bigint, n bigint, searchable bigint, has_words boolean, template string, slots array<string>"
-
-
-def _hashes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name = Templates._hash
-    for batch in batches:
-        out = [int(window_hashes(np.array([name(w) for w in x.split(" ")], np.uint64), [w])[w][0]) for x, w in zip(batch["template"].to_pylist(), batch["width"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["copied"], batch["width"], pa.array(np.array(out, np.uint64).view(np.int64))], ["copied", "width", "hash"])
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_WINDOWS) -> DataFrame:
     """doc_id, th (hash of the text), item_id, windows (matched of the item), item_windows, and changed: some placeholder's
     value differs. A row for each contaminated document and item."""
     text = F.coalesce("text", F.lit(""))
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint"), F.xxhash64(text).alias("th"), text.alias("text"))
-    items = stored(items.mapInArrow(_windows("item_id", None, None), WINDOWS), "item-windows")
-    templates = items.select("copied", "width", "template").distinct()
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    items = stored(items.mapInArrow(_item_windows, ITEMS), "item-windows")
+    templates = items.select("mode", "width", "h1").distinct()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     wanted = None
     if templates.count() <= limit:
-        found: dict[tuple[bool, int], list[int]] = {}
-        for r in templates.mapInArrow(_hashes_of, "copied boolean, width int, hash bigint").collect():
+        found: dict[tuple[int, int], list[int]] = {}
+        for r in templates.collect():
             found.setdefault((r[0], r[1]), []).append(r[2] % (1 << 64))
         wanted = spark.sparkContext.broadcast({k: np.unique(np.array(x, np.uint64)) for k, x in found.items()})
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("th"), text.alias("text"))
-    windows = rows.mapInArrow(_windows("doc_id", widths, wanted), WINDOWS)
-    own = items.select("copied", "width", "template", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n").alias("item_windows"), "searchable", "has_words", F.col("slots").alias("item_slots"))
-    hits = windows.select(F.col("id").alias("doc_id"), "th", "copied", "width", "template", "at", "slots").join(own, ["copied", "width", "template"])
-    hits = stored(hits.withColumn("shift", F.col("at") - F.col("item_at")).drop("template"), "hits")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    windows = rows.mapInArrow(_document_windows(widths, wanted), WINDOWS)
+    key = ["mode", "width", "h1", "h2"]
+    own = items.select(*key, F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n").alias("item_windows"), "searchable", "has_words", F.col("slots").alias("item_slots"))
+    hits = windows.select(F.col("id").alias("doc_id"), "th", *key, "at", "slots").join(own, key)
+    hits = hits.withColumns({"shift": F.col("at") - F.col("item_at"), "copied": F.col("mode") == COPIED})
+    hits = stored(hits.drop("mode", "h1", "h2"), "hits")
     line = ["doc_id", "th", "item_id", "shift"]
     pairs = hits.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select(*line, F.col("x.item_slots").alias("was"), F.col("x.slots").alias("is")).distinct()
     along = pairs.groupBy(*line).agg(F.count("*").alias("n"), F.countDistinct("was").alias("a"), F.countDistinct("is").alias("b"))
