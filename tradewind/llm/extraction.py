@@ -3,17 +3,23 @@
 Each page's containers are scored by the text of their blocks; the page votes for the path of its best container, where
 a path is the chain of tags with their classes, digits generalised. Spark counts the votes for each host. Pages are then
 extracted from the most voted path of their host that they have; a page that has none of them uses its own best one.
+A path counts as its host's if it has CONSENSUS of the host's votes, so a host has 1 / CONSENSUS paths at most.
 
-Parts that are no article text by their class or id, and forms, are dropped only once the page is read: one that has more
-than half of the page's text outside links may be a wrapper of a theme, and then stays, see Page._wraps.
+Parts that are no article text by their class or id, and forms, are dropped only once the page is read and its text is
+weighed: one that has more than half of the page's text outside links may be a wrapper of a theme, and then stays, see
+Page._wraps. A class that says something about other parts (no-sidebar, comments-open) doesn't count.
 
 Defined results: a null or empty html gives an empty text; a null url (or one without a host) votes with others of its
-kind; repeated rows are separate pages; an empty table gives an empty result; other columns don't matter.
+kind; of paths with equal votes the first by name wins, of containers with equal scores the first in the page; malformed
+markup is read as far as it goes, time is linear in its length; repeated rows are separate pages; an empty table gives
+an empty result; other columns don't matter; very long or deep pages are read whole.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.common import stored
 
-PATHS_PER_HOST = 8
+CONSENSUS = 0.01
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article blockquote body center div main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,19 +40,40 @@ OTHER = frozenset("ad ads adv advert advertisement advertising adsense banner ba
 NO_ARTICLE = frozenset("advert advertisement comment comments promo promoted related reply sponsored teaser".split())
 #: Those of them that themes put in compound class words of wrappers, as in no-sidebar.
 LAYOUT = frozenset("ad ads banner banners breadcrumb breadcrumbs footer header menu nav navbar navigation search share sharing sidebar social toolbar topbar widget".split())
+#: Words of a class that says something about the parts it names, as in has-sidebar.
+ABOUT = frozenset("closed disabled enabled has have is no not open with without".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: A start tag closes these open elements, up to the named limits.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _part_names(values: str) -> tuple[frozenset[str], bool]:
+    """The words of OTHER in class and id, and whether a theme may have put them in a wrapper: no class is just such a word."""
+    names, alone = set(), False
+    for value in values.split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+        if len(words) < 2 or ABOUT.isdisjoint(words):
+            names.update(OTHER.intersection(words))
+            alone |= value.lower() in OTHER
+    return frozenset(names), not alone
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _name(tag: str, classes: str) -> str:
+    """The step of a path: the tag with its classes, digits generalised."""
+    return tag + "".join("." + re.sub(r"\d+", "#", c).replace(">", "_") for c in sorted(classes.split()))
+
+
 class Page(HTMLParser):
     """Blocks of text with the containers around them."""
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, int]] = []  # tag, container, dropped, other part
-        self.paths, self.parents, self.tags = [""], [0], [""]
-        self.others: list[list] = [[0, False, False, 0]]  # the one around it, named as a wrapper may be, has a landmark, text
+        self.stack: list[tuple[str, int, bool, int, bool, int]] = []  # tag, container, dropped, other part, in an article, last block's place
+        self.open: dict[str, list[int]] = defaultdict(list)  # places of the open elements of a tag
+        self.names, self.parents, self.tags = [""], [0], [""]
+        self.others: list[list] = [[0, False, False, False, 0]]  # the one around it, named as a wrapper may be, has a heading, has an article, text
         self.parts: list[tuple[int, list]] = []  # container, pieces of text
         self.text: list[tuple[int, str, bool]] = []  # other part, text, in a link
         self.where = self.links = 0
@@ -55,8 +82,12 @@ class Page(HTMLParser):
         self._flush()
         self.blocks = self._kept()  # container, text, characters in links
 
+    def parse_html_declaration(self, i: int) -> int:
+        """Sections such as <![if ...]> and <![CDATA[ are comments up to the next '>', as in browsers."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def _here(self) -> tuple[int, bool, int]:
-        return self.stack[-1][1:] if self.stack else (0, False, 0)
+        return self.stack[-1][1:4] if self.stack else (0, False, 0)
 
     def _flush(self) -> None:
         if self.text:
@@ -75,14 +106,14 @@ class Page(HTMLParser):
         for _, pieces in self.parts:
             for other, data, linked in pieces:
                 if not linked:
-                    self.others[other][3] += len(" ".join(data.split()))
+                    self.others[other][4] += len(" ".join(data.split()))
         for x in reversed(self.others[1:]):  # a part comes after the one around it
-            self.others[x[0]][3] += x[3]
-        most = [2 * x[3] > self.others[0][3] for x in self.others]
+            self.others[x[0]][4] += x[4]
+        most = [2 * x[4] > self.others[0][4] for x in self.others]
         for strict in (True, False):
             stays = [True]
-            for k, (around, named, landmark, _) in enumerate(self.others[1:], 1):
-                stays.append(stays[around] and most[k] and (named or landmark or not strict))
+            for k, (around, named, heading, article, _) in enumerate(self.others[1:], 1):
+                stays.append(stays[around] and most[k] and (named or heading or not strict))
             if any(stays[other] and data.strip() for _, pieces in self.parts for other, data, _ in pieces):
                 break
         return stays
@@ -110,113 +141,154 @@ class Page(HTMLParser):
         if tag == "hr":
             return
         container, dropped, other = self._here()
+        inside, block = self.stack[-1][4:] if self.stack else (False, -1)
         values = {k: v or "" for k, v in attrs}
         dropped = dropped or tag in DROPPED or tag not in ("html", "body", "main", "h1") and ("hidden" in values or values.get("role") in ROLES)
-        dropped = dropped or tag == "header" and not self._inside()
-        names = () if dropped else self._other(tag, values)
+        dropped = dropped or tag == "header" and not inside
+        names, wrapper = (frozenset(), True) if dropped else self._other(tag, values, inside)
         if names or tag == "form" and not dropped:
-            exact = {x.lower() for x in f"{values.get('class', '')} {values.get('id', '')}".split()}
-            self.others.append([other, OTHER.isdisjoint(exact) and LAYOUT.issuperset(names), False, 0])
+            self.others.append([other, wrapper and LAYOUT.issuperset(names), False, False, 0])
             other = len(self.others) - 1
         elif tag in ("h1", "main", "article") and not dropped:
-            around = other
-            while around:
-                self.others[around][2] |= tag != "article" or self.others[around][1]
-                around = self.others[around][0]
+            self._landmark(other, 3 if tag == "article" else 2)
         if tag in CONTAINERS:
-            name = tag + "".join("." + re.sub(r"\d+", "#", c) for c in sorted(values.get("class", "").split()))
-            self.paths.append(f"{self.paths[container]}>{name}" if container else name)
+            self.names.append(_name(tag, values.get("class", "")))
             self.parents.append(container)
             self.tags.append(tag)
-            container = len(self.paths) - 1
+            container = len(self.names) - 1
         self.links += tag == "a"
-        self.stack.append((tag, container, dropped, other))
-
-    def _inside(self) -> bool:
-        return any(x[0] in ("article", "main") for x in self.stack)
-
-    def _other(self, tag: str, values: dict) -> set[str]:
-        """The words that make this element one of the other parts."""
-        if tag in ("html", "body", "main", "h1"):
-            return set()
-        if tag == "header" or "class" not in values and "id" not in values:
-            return set()
-        inside = self._inside()
-        names = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower()))
+        self.open[tag].append(len(self.stack))
+        block = len(self.stack) if tag in BLOCKS else block
+        self.stack.append((tag, container, dropped, other, inside or tag in ("article", "main"), block))
+
+    def _landmark(self, other: int, flag: int) -> None:
+        """Notes a heading or an article in the part and those around it, up to one that has it already."""
+        while other and not self.others[other][flag]:
+            self.others[other][flag] = True
+            other = self.others[other][0]
+
+    @staticmethod
+    def _other(tag: str, values: dict, inside: bool) -> tuple[frozenset[str], bool]:
+        """The words that make this element one of the other parts, and whether they may be a wrapper's."""
+        if tag in ("html", "body", "main", "h1", "header") or "class" not in values and "id" not in values:
+            return frozenset(), True
+        names, wrapper = _part_names(f"{values.get('class', '')} {values.get('id', '')}")
         if tag == "article":
-            return names & NO_ARTICLE
-        return names & OTHER - {"header"} if inside else names & OTHER
+            return names & NO_ARTICLE, wrapper
+        return names - {"header"} if inside else names, wrapper
+
+    def _last(self, tags: set) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
 
     def _close_to(self, tags: set, limits: set) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                self._cut(k)
-                return
-            if self.stack[k][0] in limits:
-                return
+        at = self._last(tags)
+        if at >= 0 and at > self._last(limits - tags):
+            self._cut(at)
 
-    def _cut(self, k: int) -> None:
-        self.links -= sum(x[0] == "a" for x in self.stack[k:])
-        del self.stack[k:]
+    def _cut(self, at: int) -> None:
+        for x in reversed(self.stack[at:]):
+            self.open[x[0]].pop()
+            self.links -= x[0] == "a"
+        del self.stack[at:]
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if any(x[0] in BLOCKS or x[0] in DROPPED for x in self.stack[k:]):
-                    self._flush()
-                self._cut(k)
-                return
-            if tag not in BLOCKS and tag not in DROPPED and self.stack[k][0] in BLOCKS:
-                return
+        at = self._last({tag})
+        if at < 0 or tag not in BLOCKS and tag not in DROPPED and self.stack[-1][5] > at:
+            return
+        if any(x[0] in BLOCKS or x[0] in DROPPED for x in self.stack[at:]):
+            self._flush()
+        self._cut(at)
 
     def handle_data(self, data: str) -> None:
         if self._here()[1]:
             return
         self._add(data)
 
-    def best(self) -> str:
-        """The path of the container that has most of the text in and just below it, or of the article around it."""
-        own, whole = [0.0] * len(self.paths), [0.0] * len(self.paths)
+    def path(self, container: int) -> str:
+        steps = []
+        while container:
+            steps.append(self.names[container])
+            container = self.parents[container]
+        return ">".join(reversed(steps))
+
+    def best(self) -> int:
+        """The container that has most of the text in and just below it, or the article around it; 0 for none."""
+        own, whole = [0.0] * len(self.names), [0.0] * len(self.names)
         for where, text, linked in self.blocks:
             worth = len(text) - 2 * linked
             own[where] += worth
             own[self.parents[where]] += worth / 2
-            up = where
-            while up:
-                whole[up] += worth
-                up = self.parents[up]
+            whole[where] += worth
+        for k in range(len(whole) - 1, 0, -1):  # a container comes after the one around it
+            whole[self.parents[k]] += whole[k]
         if len(own) == 1 or not self.blocks:
-            return ""
+            return 0
         at = max(range(1, len(own)), key=lambda k: (own[k] * (1.2 if self.tags[k] in ("article", "main") else 1), -k))
         up = at
         while up:
             if self.tags[up] == "article":
-                return self.paths[up]
+                return up
             up = self.parents[up]
         while self.parents[at] and self.tags[self.parents[at]] != "body" and whole[self.parents[at]] <= 1.4 * whole[at]:
             at = self.parents[at]
-        return self.paths[at]
-
-    def extract(self, paths: list[str]) -> str:
-        """The blocks below the first of the paths that the page has, in page order."""
-        for path in paths:
-            if path in self.paths:
-                inside = [k == 0 and not path for k in range(len(self.paths))]
-                for k in range(1, len(self.paths)):
-                    inside[k] = self.paths[k] == path or inside[self.parents[k]]
-                return "\n".join(text for where, text, _ in self.blocks if inside[where])
-        return self.extract([self.best()]) if self.best() else "\n".join(x[1] for x in self.blocks)
+        return at
+
+    def extract(self, paths: "Paths | list[str]") -> str:
+        """The blocks below the most voted of the paths that the page has, or below its best container, in page order."""
+        at = (paths if isinstance(paths, Paths) else Paths(paths)).of(self)
+        own = [] if at else [self.best()]
+        at = at or [k in own for k in range(len(self.names))]
+        inside = [own == [0]]
+        for k in range(1, len(self.names)):
+            inside.append(at[k] or inside[self.parents[k]])
+        return "\n".join(text for where, text, _ in self.blocks if inside[where])
+
+
+class Paths:
+    """The paths of a host as a tree of steps, so that a page's containers are looked up along their parents'."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.steps: dict[tuple[int, str], int] = {}
+        self.rank: dict[int, int] = {}
+        for n, path in enumerate(paths):
+            node = 0
+            for step in path.split(">"):
+                node = self.steps.setdefault((node, step), len(self.steps) + 1)
+            self.rank.setdefault(node, n)
+
+    def of(self, page: Page) -> list[bool]:
+        """Whether each container of the page is the path of the first rank that the page has; empty if it has none."""
+        if not self.rank:
+            return []
+        nodes = [0]
+        for k in range(1, len(page.names)):
+            above = nodes[page.parents[k]]
+            nodes.append(self.steps.get((above, page.names[k]), -1) if above >= 0 else -1)
+        ranks = [self.rank.get(node, len(self.steps)) for node in nodes]
+        first = min(ranks)
+        return [r == first for r in ranks] if first < len(self.steps) else []
 
 
 def _vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = [Page(x).best() if x else "" for x in batch["html"].to_pylist()]
+        paths = [_best_path(x.as_py()) for x in batch["html"]]
         yield pa.RecordBatch.from_arrays([batch["host"], pa.array(paths, pa.string())], ["host", "path"])
 
 
+def _best_path(html: str | None) -> str:
+    page = Page(html or "")
+    return page.path(page.best())
+
+
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str | None, Paths] = {}
     for batch in batches:
-        texts = [Page(x.as_py()).extract(p or []) if x.as_py() else "" for x, p in zip(batch["html"], batch["paths"].to_pylist(), strict=True)]
+        texts = []
+        for html, host, paths in zip(batch["html"], batch["host"].to_pylist(), batch["paths"], strict=True):
+            if host not in known:
+                known = known if len(known) < 10_000 else {}
+                known[host] = Paths(paths.as_py() or [])
+            texts.append(Page(html.as_py() or "").extract(known[host]))
         arrays = [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
@@ -226,12 +298,13 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host and paths: the most voted container paths of each host, in order of votes."""
+    """host and paths: the container paths that have CONSENSUS of each host's votes, in order of votes."""
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path string")
-    counted = votes.where("path != ''").groupBy("host", "path").agg(F.count("*").alias("votes"))
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    top = counted.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PATHS_PER_HOST)
-    lists = top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("n", "path"))).alias("x"))
+    counted = stored(votes.where("path != ''").groupBy("host", "path").agg(F.count("*").alias("votes")), "votes")
+    # a table of its own, so that Spark may split the paths of a host that very many pages are of
+    hosts = stored(counted.groupBy("host").agg(F.sum("votes").alias("all")), "hosts")
+    some = counted.join(hosts, "host").where(F.col("votes") >= CONSENSUS * F.col("all"))
+    lists = some.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("n"), "path"))).alias("x"))
     return lists.select("host", F.transform("x", lambda x: x["path"]).alias("paths"))
 
 
@@ -239,4 +312,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     paths = stored(host_paths(pages), "host-paths")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(paths, "host", "left")
-    return rows.select("page_id", "url", "html", "paths").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.select("page_id", "url", "html", "host", "paths").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
