@@ -1,14 +1,16 @@
 """SimHash near-duplicates: fingerprints, and a self-join of their binary trie that prunes node pairs by Hamming distance.
 
-Two tries are walked, one over the fingerprints and one over them turned by half their bits: two fingerprints within 4
-bits differ in 2 bits at most in one of their halves, so node pairs above 2 differing bits in the first half of either
-trie go. The top of the tries is walked as tables of node pairs, one bit a level; a pair with few fingerprints below it
+TURNS tries are walked, over the fingerprints turned by a multiple of 64 / TURNS bits each. Of two fingerprints within
+so many bits there is a turn in which, for each n, the first n of the TURNS parts have n / TURNS of these bits at most (if
+every turn had too many somewhere, going round from each such place would count more than there are). So in each trie
+node pairs with more differing bits than that go: with 4 bits and 8 parts, the first part must be equal. The top of the
+tries is walked as tables of node pairs, one bit a level; a pair with few fingerprints below it
 leaves the tables, and its subtrees are walked inside a task, which returns a spanning forest of the links it found.
 A pair of large nodes goes down another level instead, so that one large group of near copies is spread over tasks.
 
 Defined results: texts without words (or null) have fingerprint zero and are linked like any other; repeated rows are
 in the component of their fingerprint; an id that is null never becomes a component's id unless all its ids are null;
-an empty table gives an empty result.
+an empty table gives an empty result; other columns don't matter to the groups, and texts of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from tradewind.llm.common import stored
 
 WORDS = 4
 BITS = 4
+TURNS = 8
 #: A node pair with so many fingerprints at most is finished inside one task.
 PAIR = 4096
 CHUNK = 1 << 16
@@ -54,7 +57,8 @@ def fingerprint_of(text: pd.Series) -> pd.Series:
 
 
 def _budget(depth: int, bits: int) -> int:
-    return bits // 2 if depth <= 32 else bits
+    """The most bits in which prefixes of so many bits may differ."""
+    return -(-depth * TURNS // 64) * bits // TURNS
 
 
 def _count(x: np.ndarray) -> np.ndarray:
@@ -126,13 +130,15 @@ def trie_links(left: np.ndarray, right: np.ndarray, depth: int, bits: int, link)
         stack.append((at + 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
 
 
-def _turn(values: np.ndarray, half: int) -> np.ndarray:
-    return (values << np.uint64(32)) | (values >> np.uint64(32)) if half else values
+def _back(values: np.ndarray, turn: int) -> np.ndarray:
+    """The fingerprints whose bits were turned to the left by so many parts."""
+    n = np.uint64(turn * 64 // TURNS)
+    return (values >> n) | (values << (np.uint64(64) - n)) if turn else values
 
 
 def _walk(bits: int):
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        half, depth, node = (int(x) for x in key)
+        turn, depth, node = (int(x) for x in key)
         values = np.unique(pdf["turned"].to_numpy().view(np.uint64))
         own = np.arange(len(values))
         if depth:
@@ -141,7 +147,7 @@ def _walk(bits: int):
         if len(own):
             trie_links(values[own], values, depth if len(own) == len(values) else 0, bits, lambda i, j: forest.link(own[i], j))
         out = np.flatnonzero(forest.root != np.arange(len(values)))
-        plain = _turn(values, half).view(np.int64)
+        plain = _back(values, turn).view(np.int64)
         return pd.DataFrame({"a": plain[out], "b": plain[forest.root[out]]})
 
     return walk
@@ -149,33 +155,33 @@ def _walk(bits: int):
 
 def near_links(prints: DataFrame, bits: int = BITS, pair: int = PAIR) -> DataFrame:
     """(a, b): links between the distinct values of column print whose components are those of all links within bits."""
-    turned = F.shiftleft("print", 32).bitwiseOR(F.shiftrightunsigned("print", 32))
-    both = prints.select(F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("print").alias("turned")), F.struct(F.lit(1).alias("half"), turned.alias("turned")))).alias("x")).select("x.*")
-    both = stored(both, "turned")
+    left = lambda n: F.shiftleft("print", n).bitwiseOR(F.shiftrightunsigned("print", 64 - n)) if n else F.col("print")
+    turned = [F.struct(F.lit(t).alias("turn"), left(t * 64 // TURNS).alias("turned")) for t in range(TURNS)]
+    both = stored(prints.select(F.explode(F.array(*turned)).alias("x")).select("x.*"), "turned")
     at = lambda depth, c="turned": F.shiftrightunsigned(c, 64 - depth) if depth else F.lit(0).cast("bigint")
-    pairs = both.groupBy("half").count().select("half", F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("count").alias("na"), F.col("count").alias("nb"))
+    pairs = both.groupBy("turn").count().select("turn", F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("count").alias("na"), F.col("count").alias("nb"))
     done, depth = [], 0
     while True:
         pairs = stored(pairs, "pairs")
         large = (F.col("na") + F.col("nb") > pair) if depth < 64 else F.lit(False)
         light = pairs.where(~large)
         members = both.withColumn("b", at(depth))
-        asked = light.select("half", "a", "b").union(light.where("a != b").select("half", "a", F.col("a").alias("b"))).distinct()
-        done.append(members.join(asked, ["half", "b"]).select("half", F.lit(depth).alias("depth"), "a", "turned"))
+        asked = light.select("turn", "a", "b").union(light.where("a != b").select("turn", "a", F.col("a").alias("b"))).distinct()
+        done.append(members.join(asked, ["turn", "b"]).select("turn", F.lit(depth).alias("depth"), "a", "turned"))
         heavy = pairs.where(large)
         if depth == 64 or not heavy.limit(1).count():
             break
         depth += 1
-        nodes = both.groupBy("half", at(depth).alias("node")).agg(F.count("*").alias("n"))
+        nodes = both.groupBy("turn", at(depth).alias("node")).agg(F.count("*").alias("n"))
         up = F.shiftrightunsigned("node", 1)
-        side = lambda c: nodes.select("half", up.alias(c), F.col("node").alias(f"{c}2"), F.col("n").alias(f"n{c}2"))  # noqa: E731,B023
-        down = heavy.select("half", "a", "b").join(side("a"), ["half", "a"]).join(side("b"), ["half", "b"])
+        side = lambda c: nodes.select("turn", up.alias(c), F.col("node").alias(f"{c}2"), F.col("n").alias(f"n{c}2"))  # noqa: E731,B023
+        down = heavy.select("turn", "a", "b").join(side("a"), ["turn", "a"]).join(side("b"), ["turn", "b"])
         down = down.where((F.col("a2") <= F.col("b2")) & (F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= _budget(depth, bits)))
-        pairs = down.select("half", F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("na2").alias("na"), F.col("nb2").alias("nb"))
+        pairs = down.select("turn", F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("na2").alias("na"), F.col("nb2").alias("nb"))
     rows = done[0]
     for more in done[1:]:
         rows = rows.union(more)
-    return rows.groupBy("half", "depth", "a").applyInPandas(_walk(bits), "a bigint, b bigint")
+    return rows.groupBy("turn", "depth", "a").applyInPandas(_walk(bits), "a bigint, b bigint")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
