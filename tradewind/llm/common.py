@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words, as a Java character class; the task fixes it.
@@ -17,9 +18,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and Spark is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -58,16 +61,33 @@ def last_at_or_below(bounds: list, kind: str, key: Column, strictly: bool = Fals
     )
 
 
-def with_global_index(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
-    """Adds the 0-based position in the given order: ranges are sorted apart, and only a count per range reaches the driver."""
+def _ranges(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+    """The rows as a table of sorted ranges, with the number of the range (__part) and the place in it (__at)."""
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     low = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    table = stored(ranged.withColumns({"__part": F.spark_partition_id(), "__at": low.bitwiseAND(F.lit((1 << 33) - 1))}), "index")
-    counts = dict(table.groupBy("__part").count().collect())
+    return stored(ranged.withColumns({"__part": F.spark_partition_id(), "__at": low.bitwiseAND(F.lit((1 << 33) - 1))}), "ranges")
+
+
+def _before(totals: dict[int, int]) -> Column:
+    """The sum over the ranges before a row's; one number for each range reaches the driver and the plan."""
     base, total = [], 0
-    for part in range(max(counts, default=-1) + 1):
+    for part in range(max(totals, default=-1) + 1):
         base.append(total)
-        total += counts.get(part, 0)
-    offset = F.get(constant(base, "bigint"), F.col("__part")) if base else F.lit(0)
-    return table.withColumn(name, offset + F.col("__at")).drop("__part", "__at")
+        total += totals.get(part) or 0
+    return F.get(constant(base, "bigint"), F.col("__part")) if base else F.lit(0).cast("bigint")
+
+
+def with_global_index(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
+    """Adds the 0-based position in the given order: ranges are sorted apart, and only a count per range reaches the driver."""
+    table = _ranges(df, order, partitions)
+    counts = dict(table.groupBy("__part").count().collect())
+    return table.withColumn(name, _before(counts) + F.col("__at")).drop("__part", "__at")
+
+
+def with_running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds the sum of value over all rows before a row in the given order; a window spans one sorted range, never a whole key."""
+    table = _ranges(df, order)
+    sums = dict(table.groupBy("__part").agg(F.sum(value)).collect())
+    earlier = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    return table.withColumn(name, _before(sums) + F.coalesce(F.sum(value).over(earlier), F.lit(0))).drop("__part", "__at")

@@ -1,12 +1,15 @@
 """Mixing sources to target weights by packing words into fixed-length blocks and drawing blocks by index.
 
 Each source is one long stream of words: its documents in hash order, cut into blocks of BLOCK words. A source owns as
-many slots as its target needs; a multinomial draw deals them out to the output shards; slot s takes the block
-perm(s mod blocks) of the source, where perm is a keyed bijection, so a block comes at most once per epoch. The last
-slot of a source is cut short, so that the words taken meet the target exactly (after rounding to whole words).
+many slots as its target needs. Output shards have so many slots each, and a multinomial draw for each shard says how
+many of them each source gets; draws beyond what a source owns go to those sources that the draws left short, so totals
+are exact. Slot s of a source takes its block perm(s mod blocks), where perm is a keyed bijection, so a block comes at
+most once per epoch, and the join of slots and blocks is by index. The last slot of a source is cut short, so that the
+words taken meet the target exactly (after rounding to whole words).
 
 Defined results: a null text has size 0, a null source is a source of its own (last in order), repeated rows are
-separate documents, documents without words take 0, an empty table gives an empty result.
+separate documents, documents without words take 0, an empty table gives an empty result; a text of any length is as
+many blocks as it needs; columns of any other names are kept as they are by take_mix.
 """
 
 from __future__ import annotations
@@ -19,28 +22,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.common import SPACE, stored, with_global_index
+from tradewind.llm.common import SPACE, stored, with_global_index, with_running_sum
 
 BLOCK = 512
-BUCKETS = 256
 SLOTS_PER_SHARD = 1 << 15
+LEAST_SHARDS = 16
+#: Sources whose share of a shard is drawn in one task.
+SOURCES = 1024
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 
 
-def permute(at: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """A keyed bijection of 0..n-1 for each element: a Feistel network over the next even power of two, walked until inside."""
+def permute(at: np.ndarray, n: np.ndarray, seed: np.ndarray, back: bool = False) -> np.ndarray:
+    """A keyed bijection of 0..n-1 for each element, or its inverse: a Feistel network over the next even power of two, walked until inside."""
     at, n, seed = (np.asarray(x, dtype=np.uint64) for x in (at, n, seed))
     half = np.maximum(1, np.ceil(np.ceil(np.log2(np.maximum(n, 2).astype(np.float64))) / 2)).astype(np.uint64)
     mask, out, todo = (np.uint64(1) << half) - np.uint64(1), at.copy(), np.ones(len(at), dtype=bool)
+
+    def mixed(x: np.ndarray, key: np.ndarray, m: np.ndarray, turn: int) -> np.ndarray:
+        x = x * np.uint64(0x9E3779B97F4A7C15) + key + np.uint64(turn * 0x632BE59B)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ (x >> np.uint64(32))) & m
+
     while todo.any():
         h, m, k = half[todo], mask[todo], seed[todo]
         left, right = out[todo] >> h, out[todo] & m
-        for r in range(6):
-            x = right * np.uint64(0x9E3779B97F4A7C15) + k + np.uint64(r * 0x632BE59B)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((x ^ (x >> np.uint64(32))) & m)
+        for turn in reversed(range(6)) if back else range(6):
+            if back:
+                left, right = right ^ mixed(left, k, m, turn), left
+            else:
+                left, right = right, left ^ mixed(right, k, m, turn)
         out[todo] = (left << h) | right
         todo[todo] = out[todo] >= n[todo]
     return out
@@ -59,7 +71,7 @@ def targets(sources: DataFrame, total: float, key: str = "skey") -> DataFrame:
     return table.withColumn("target", F.when(F.col("capped"), F.lit(float(MOST)) * F.col("size")).otherwise(F.lit(level) * F.col("weight"))).drop("capped")
 
 
-def _slots(seed: int, shards: int, block: int):
+def _owned(seed: int, block: int):
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
@@ -71,7 +83,7 @@ def _slots(seed: int, shards: int, block: int):
                 short, last, slots = r.size - (blocks - 1) * block, block, epochs * blocks
                 if rest:
                     # the rank at which the permutation reaches the short block decides where the words run out
-                    rank = _rank_of(blocks - 1, blocks, key)
+                    rank = int(permute(np.array([blocks - 1]), np.array([blocks]), np.array([key], dtype=np.uint64), back=True)[0])
                     if rest <= rank * block:
                         full, last = divmod(rest, block)
                     elif rest <= rank * block + short:
@@ -80,21 +92,62 @@ def _slots(seed: int, shards: int, block: int):
                         full, last = divmod(rest + block - short, block)
                     slots += full + (last > 0)
                     last = last or block
-                counts = np.random.default_rng([seed, int(r.source_id)]).multinomial(slots, np.full(shards, 1 / shards))
-                ends = np.cumsum(counts)
-                yield pd.DataFrame({"source_id": r.source_id, "blocks": blocks, "key": np.array([key], dtype=np.uint64).view(np.int64)[0], "shard": np.arange(shards), "first": ends - counts, "n": counts, "slots": slots, "last": last})
+                yield pd.DataFrame({"source_id": [r.source_id], "blocks": [blocks], "key": np.array([key], dtype=np.uint64).view(np.int64), "slots": [slots], "last": [last]})
 
     return plan
 
 
-def _rank_of(index: int, n: int, key: int) -> int:
-    """Where the permutation of 0..n-1 takes the value index, in chunks of bounded size."""
-    for low in range(0, n, 1 << 20):
-        chunk = np.arange(low, min(n, low + (1 << 20)))
-        found = np.flatnonzero(permute(chunk, np.full(len(chunk), n), np.full(len(chunk), key, dtype=np.uint64)) == index)
-        if len(found):
-            return low + int(found[0])
-    raise ValueError("not a bijection")
+def _shares(seed: int, size: int, total: int, of: list[int]):
+    """How many of each shard's slots each group of sources gets."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chances = np.array(of) / total
+        for pdf in batches:
+            for shard in pdf["id"]:
+                n = np.random.default_rng([seed, int(shard)]).multinomial(min(size, total - int(shard) * size), chances)
+                yield pd.DataFrame({"shard": shard, "group": np.flatnonzero(n), "n": n[n > 0]})
+
+    return draw
+
+
+def _within(seed: int):
+    """How many slots of a shard each source of the group gets."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids, slots = (np.array([x[c] for x in r.members]) for c in ("source_id", "slots"))
+                n = np.random.default_rng([seed, int(r.shard), int(r.group)]).multinomial(int(r.n), slots / slots.sum())
+                yield pd.DataFrame({"shard": r.shard, "source_id": ids[n > 0], "n": n[n > 0]})
+
+    return draw
+
+
+def deal(owned: DataFrame, seed: int) -> DataFrame:
+    """source_id, slot and shard of each slot that the sources own: a multinomial draw for each shard, settled to exact totals."""
+    spark = owned.sparkSession
+    group = F.floor(F.col("source_id") / SOURCES).cast("bigint").alias("group")
+    members = F.sort_array(F.collect_list(F.struct("source_id", "slots"))).alias("members")
+    groups = stored(owned.groupBy(group).agg(F.sum("slots").alias("all"), members), "groups")
+    of = dict(groups.select("group", "all").collect())  # a number for SOURCES sources each
+    total = sum(of.values())
+    size = max(1, min(SLOTS_PER_SHARD, -(-total // LEAST_SHARDS)))
+    chances = [of.get(k, 0) for k in range(max(of, default=-1) + 1)]
+    drawn = spark.range(-(-total // size)).mapInPandas(_shares(seed, size, total, chances), "shard bigint, group bigint, n bigint")
+    drawn = drawn.join(groups.select("group", "members"), "group").mapInPandas(_within(seed), "shard bigint, source_id bigint, n bigint")
+    drawn = stored(with_running_sum(stored(drawn, "drawn"), [F.col("source_id"), F.col("shard")], "n", "at"), "running")
+    per_source = stored(drawn.groupBy("source_id").agg(F.min("at").alias("begin"), F.sum("n").alias("drawn")), "per-source")
+    kept = drawn.join(per_source, "source_id").join(owned.select("source_id", "slots"), "source_id")
+    kept = kept.withColumn("first", F.col("at") - F.col("begin")).withColumn("fit", F.greatest(F.lit(0), F.least("n", F.col("slots") - F.col("first"))))
+    kept = stored(kept.select("source_id", "shard", "first", "fit", (F.col("n") - F.col("fit")).alias("over")), "kept")
+    numbers = lambda low, high: F.explode(F.sequence(F.col(low) if isinstance(low, str) else low, high))
+    own = kept.where("fit > 0").repartition("source_id", "shard").select("source_id", "shard", numbers("first", F.col("first") + F.col("fit") - 1).alias("slot"))
+    free = kept.where("over > 0").select("shard", "source_id", numbers(F.lit(1).cast("bigint"), F.col("over")).alias("k"))
+    free = with_global_index(free, [F.col("shard"), F.col("source_id"), F.col("k")], "n").select("n", F.col("shard").cast("bigint"))
+    short = owned.join(per_source.select("source_id", "drawn"), "source_id", "left").select("source_id", F.coalesce("drawn", F.lit(0)).alias("drawn"), "slots").where("drawn < slots")
+    short = short.select("source_id", numbers("drawn", F.col("slots") - 1).alias("slot"))
+    short = with_global_index(short, [F.col("source_id"), F.col("slot")], "n")
+    return own.unionByName(short.join(free, "n").select("source_id", "shard", "slot"))
 
 
 @F.pandas_udf(T.LongType())
@@ -121,24 +174,22 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK) -> tuple[DataFrame,
     and one with nulls for a document of which nothing is taken. Columns doc_id, th, skey, rep, size tell documents apart."""
     rows = docs.withColumns(row_key(docs)).select("doc_id", "skey", "th", "source", word_count().alias("size"))
     rows = stored(rows, "sizes")
-    rows = rows.withColumns({"rep": F.row_number().over(equal_rows()), "bucket": F.pmod(F.xxhash64("doc_id", "th"), F.lit(BUCKETS)).cast("int")})
+    rows = rows.withColumn("rep", F.row_number().over(equal_rows()))
     per_source = rows.groupBy("skey").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
     weight = F.get(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.col("source_id"), F.lit(len(WEIGHTS))).cast("int"))
     numbered = with_global_index(per_source, [F.col("source").asc_nulls_last()], "source_id").withColumn("weight", weight)
     total = numbered.agg(F.sum("size")).first()[0] or 0
     sources = stored(targets(numbered, SHARE * total), "targets")
-    shards = max(16, -(-int(SHARE * total / block) // SLOTS_PER_SHARD))
-    dealt = sources.select("source_id", "size", "target").mapInPandas(_slots(seed, shards, block), "source_id bigint, blocks bigint, key bigint, shard int, first bigint, n bigint, slots bigint, last bigint")
-    slots = (
-        dealt.where("n > 0").repartition("source_id", "shard")
-        .select("source_id", "blocks", "key", "shard", "slots", "last", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-        .select("source_id", "shard", "slot", _block_of("slot", "blocks", "key").alias("block"), F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("epoch"), F.when(F.col("slot") == F.col("slots") - 1, F.col("last")).otherwise(F.lit(block)).alias("cut"))
-    )
-    place = Window.partitionBy("skey", "bucket").orderBy("doc_id", "th", "rep")
-    before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("in_bucket")).select("skey", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("base"))
-    placed = rows.withColumn("start", F.sum("size").over(place) - F.col("size")).join(base, ["skey", "bucket"]).withColumn("start", F.col("start") + F.col("base"))
-    placed = placed.join(sources.select("skey", "source_id"), "skey")
+    owned = stored(sources.select("source_id", "size", "target").mapInPandas(_owned(seed, block), "source_id bigint, blocks bigint, key bigint, slots bigint, last bigint"), "owned")
+    # tables of their own, so that Spark knows how large they are when it chooses a join
+    dealt = stored(deal(owned.select("source_id", "slots"), seed), "dealt").join(owned, "source_id")
+    slots = dealt.select("source_id", "shard", "slot", _block_of("slot", "blocks", "key").alias("block"), F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("epoch"), F.when(F.col("slot") == F.col("slots") - 1, F.col("last")).otherwise(F.lit(block)).alias("cut"))
+    slots = stored(slots, "slots")
+    order = [F.col("skey"), F.xxhash64("doc_id", "th", F.lit(seed)), F.col("doc_id"), F.col("th"), F.col("rep")]
+    placed = stored(with_running_sum(rows, order, "size", "at"), "placed")
+    begins = placed.groupBy("skey").agg(F.min("at").alias("begin"))
+    begins = stored(begins.join(sources.select("skey", "source_id"), "skey"), "begins")
+    placed = placed.join(begins, "skey").withColumn("start", F.col("at") - F.col("begin"))
     low, high = F.col("start"), F.col("start") + F.col("size")
     spans = F.when(F.col("size") > 0, F.sequence(F.floor(low / block), F.floor((high - 1) / block)))
     pieces = placed.select("doc_id", "th", "skey", "rep", "size", "source_id", "start", F.explode_outer(spans).alias("block"))
@@ -157,24 +208,35 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     return per_doc.join(named, "skey").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _joined(spans):
+    """Spans (from, to) in order, with those that meet made one."""
+    none = F.array().cast("array<struct<from: bigint, to: bigint>>")
+
+    def add(found, s):
+        last = F.get(found, F.size(found) - 1)
+        longer = F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(F.struct(last["from"].alias("from"), s["to"].alias("to"))))
+        return F.when(last["to"] == s["from"], longer).otherwise(F.concat(found, F.array(F.struct(s["from"].alias("from"), s["to"].alias("to")))))
+
+    return F.aggregate(spans, none, add)
+
+
 def take_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The columns of docs, a row for each document and epoch from which the mix takes words, with those words as text.
+    """The columns of docs, a row for each run of a document's words that the mix takes in an epoch, with those words as text.
 
     The text is unchanged where all its words are taken; a part has its words joined by blanks. n_chars, if there, follows.
     """
     _, pieces = mix(docs, seed)
     key = ["doc_id", "th", "skey", "rep"]
     spans = pieces.where("to > from").groupBy(*key, "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("__spans"), F.first("size").alias("__size"))
-    spans = spans.select(*[F.col(c).alias(f"__{c}") for c in key], "__spans", "__size")
+    spans = spans.select(*[F.col(c).alias(f"__{c}") for c in key], F.explode(_joined(F.col("__spans"))).alias("__span"), "__size")
     rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", *[c.alias(n) for n, c in row_key(docs).items()])
     rows = rows.withColumn("rep", F.row_number().over(equal_rows()))
     same = F.col("rep") == F.col("__rep")
     for c in key[:3]:
         same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
     rows = rows.join(spans, same).withColumn("__words", F.array_remove(F.split("text", f"{SPACE}+"), ""))
-    n = F.aggregate("__spans", F.lit(0).cast("bigint"), lambda a, s: a + s["to"] - s["from"])
-    part = lambda s: F.array_join(F.slice("__words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), " ")
-    text = F.when(n == F.col("__size"), F.col("text")).otherwise(F.array_join(F.transform("__spans", part), " "))
-    rows = rows.withColumn("text", text)
+    low, n = F.col("__span.from"), F.col("__span.to") - F.col("__span.from")
+    part = F.array_join(F.slice("__words", (low + 1).cast("int"), n.cast("int")), " ")
+    rows = rows.withColumn("text", F.when(n == F.col("__size"), F.col("text")).otherwise(part))
     new = {"text": F.col("text"), "n_chars": F.length("text")}
     return rows.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col(f"__row.`{f.name}`") for f in docs.schema])
