@@ -3,10 +3,15 @@
 A key is the document's id in 8 bytes that sort as the ids do (nothing for null, which sorts first). A block holds
 entries (shared prefix, rest of the key, token ids), restarts with a whole key every RESTART entries, and is compressed
 with a checksum. Documents lie in ascending order of id over the shards, so a shard's first token number is the sum of
-the shards before it.
+the shards before it. Shards are cut by the bytes of their texts: as many as there are shuffle partitions, and more where
+they would be above SHARD_BYTES; only an id whose documents fill a shard goes on in the next one.
 
-Defined results: a null text has only the end id; repeated ids are entries of their own, in order of their token ids;
-an empty table makes no shard; columns other than doc_id and text don't matter.
+Ids are those of Tokenizer.encode for the whole text. The library's own batch call takes about 850 CPU seconds a GB, so
+words are encoded once a worker where the parts of the tokenizer file show that ids of a text are those of its words.
+
+Defined results: a null text has only the end id; repeated ids are entries of their own, in order of their token ids (if
+they go on over shards, in order of a hash of the text first); a null id comes first; an empty table makes no shard; a very long text is one entry and block; columns other than doc_id
+and text don't matter.
 """
 
 from __future__ import annotations
@@ -26,10 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import last_at_or_below, stored
+from tradewind.llm.common import constant, last_at_or_below, stored, with_running_sum
 from tradewind.llm.files import Reader, create
 
 BLOCK_BYTES = 1 << 16
+SHARD_BYTES = 1 << 28
 RESTART = 16
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
@@ -117,14 +123,15 @@ def _encoder(tokenizer: str, end: int | None):
         tail = b"" if end is None else np.array([end], words.kind).tobytes()
         for batch in batches:
             ids = [words.text(x.as_py() or "") + tail for x in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary()), pa.array([words.kind.itemsize] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(ids, pa.binary()), pa.array([words.kind.itemsize] * len(ids), pa.int32())], ["doc_id", "th", "ids", "width"])
 
     return encode
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end: int | None = 1) -> DataFrame:
-    """doc_id, ids (little-endian, width bytes each) of whole texts, with the end id appended."""
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_encoder(tokenizer, end), "doc_id bigint, ids binary, width int")
+    """doc_id, th (hash of the text), ids (little-endian, width bytes each) of whole texts, with the end id appended."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(_encoder(tokenizer, end), "doc_id bigint, th bigint, ids binary, width int")
 
 
 def _key(doc_id: int | None) -> bytes:
@@ -270,12 +277,28 @@ def _shards(folder: str):
     return write
 
 
+_KNOWN, _ID = "doc_id is not null", "coalesce(doc_id, 0)"
+
+
+def shard_bounds(docs: DataFrame) -> list[dict]:
+    """The first (known: the id is not null, id, hash of the text) of each shard but the first, by equal sums of bytes."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1
+    rows = docs.select(F.expr(_KNOWN).cast("int").alias("k"), F.expr(_ID).cast("bigint").alias("i"), F.xxhash64("text").alias("t"), size.alias("size"))
+    rows = with_running_sum(rows, [F.col("k"), F.col("i"), F.col("t")], "size", "at")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    firsts = rows.groupBy(F.floor(F.col("at") * F.lit(n).cast("decimal(20,0)") / max(1, total)).alias("shard")).agg(F.min(F.struct("k", "i", "t")).alias("x"))
+    bounds = sorted({(r["x"]["k"], r["x"]["i"], r["x"]["t"]) for r in firsts.collect()})[1:]  # one a shard
+    # the rows of an id stay together, unless they fill a shard of their own
+    whole = [n == 0 or bounds[n - 1][:2] != bounds[n][:2] for n in range(len(bounds))]
+    return [{"k": k, "i": i, "t": -(1 << 63) if own else t} for own, (k, i, t) in zip(whole, bounds, strict=True)]
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1) -> DataFrame:
     """Encodes docs into shards below folder, in ascending order of doc_id; returns the manifest, one row a shard."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else None
-    bounds = sorted(set(cuts or []))
-    encoded = encode_documents(docs, tokenizer, end).withColumn("shard", F.coalesce(last_at_or_below(bounds, "bigint", F.col("doc_id")), F.lit(0)))
+    bounds = shard_bounds(docs)
+    at = F.struct(F.expr(_KNOWN).cast("int").alias("k"), F.expr(_ID).alias("i"), F.col("th").alias("t"))
+    encoded = encode_documents(docs, tokenizer, end).withColumn("shard", last_at_or_below(bounds, "struct<k:int,i:bigint,t:bigint>", at))
     ordered = encoded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
     return stored(ordered.select("shard", "doc_id", "ids", "width").mapInArrow(_shards(folder), SHARD), "manifest")
 
@@ -326,10 +349,16 @@ def _get(folder: str):
 
 
 def get_documents(spark: SparkSession, manifest: DataFrame, folder: str, ids: DataFrame) -> DataFrame:
-    """doc_id and ids of the asked documents (column doc_id), each found by binary search in its shards."""
-    shards = manifest.select("file", "low", "high").withColumn("low", F.coalesce("low", F.lit(-(1 << 63))))
-    asked = ids.select("doc_id").distinct()
-    # shards follow each other, so the range of a key is one shard but where a repeated id lies on a border
-    near = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).between(F.col("low"), F.coalesce("high", F.col("low")))
-    found = asked.join(F.broadcast(shards), near)
+    """doc_id and ids of the asked documents (column doc_id), each found by binary searches: for its shards, and in them.
+    The manifest has a row for each shard, so the number of shards bounds what reaches the driver and the plan."""
+    key = lambda x: {"k": int(x is not None), "i": x or 0}
+    shards = sorted(((key(r["low"]), key(r["high"]), r["file"]) for r in manifest.collect()), key=lambda x: (*x[0].values(), *x[1].values()))
+    kind = "struct<k:int,i:bigint>"
+    at = F.struct(F.expr(_KNOWN).cast("int").alias("k"), F.expr(_ID).cast("bigint").alias("i"))
+    # shards follow each other, so a key lies in one shard, or in those over which a repeated id goes on
+    to = last_at_or_below([x[0] for x in shards], kind, at) - 1
+    below = last_at_or_below([x[1] for x in shards], kind, at, strictly=True)
+    asked = ids.select("doc_id").distinct().select("doc_id", F.explode(F.when(below <= to, F.sequence(below, to))).alias("n"))
+    files = constant([x[2] for x in shards], "string")
+    found = asked.select("doc_id", "n", F.get(files, F.col("n")).alias("file"))
     return found.repartition("file").sortWithinPartitions("file", "doc_id").select("doc_id", "file").mapInArrow(_get(folder), "doc_id bigint, ids array<bigint>")
