@@ -4,11 +4,12 @@ Texts are compressed in lower case and in pieces, so that a long text doesn't be
 the share by which the winner beats the next language, from 0 to 1; below MARGIN the decision counts as rejected.
 
 Dictionaries come from a bounded sample of the labelled rows that are not held out: of each language the DOCS rows of
-the smallest hashes, with TAKE characters of each, DICTIONARY bytes together.
+the smallest hashes, with TAKE characters of each, of which the first DICTIONARY bytes in order of doc_id are used, or an
+equal part of ALL bytes where there are very many languages. Predictions read whole texts.
 
 Defined results: a null text, or one without a letter, is 'und' with score 0; a null id is neither learned from nor
 held out; with one learned language every other text gets it with score 1, with none it is 'und'; repeated rows get
-equal results; other columns don't matter.
+equal results; of languages of equal size the first by name wins; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.llm.common import stored
+
 DOCS = 96
 TAKE = 4096
 DICTIONARY = 1 << 17
+ALL = 1 << 26
 PIECE = 4096
 LEVEL = 6
 MARGIN = 0.01
@@ -36,14 +40,20 @@ def held_out(doc_id: Column) -> Column:
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """Raw text of each language from rows that are not held out; at most DICTIONARY bytes each reach the driver."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
-    # the limit on row_number is pushed below the shuffle, so each task sends DOCS ids a language at most
-    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS)
-    texts = usable.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "doc_id", F.substring("text", 1, TAKE).alias("text"))
-    found: dict[str, list] = {}
-    for r in texts.collect():
-        found.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
-    return {lang: "\n".join(x[1] for x in sorted(rows)).lower().encode("utf-8", "replace")[:DICTIONARY] for lang, rows in sorted(found.items())}
+    usable = usable.select("doc_id", "lang", F.xxhash64("text").alias("th"), "text")
+    key = ["lang", "doc_id", "th"]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th")
+    # the limit on row_number is pushed below the shuffle, so each task sends DOCS rows a language at most
+    chosen = usable.select(*key).withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS).select(*key).distinct()
+    chosen = stored(chosen, "chosen")
+    most = min(DICTIONARY, ALL // max(1, chosen.select("lang").distinct().count()))
+    each = min(TAKE, most)
+    # rows equal in language, id and text are one
+    texts = usable.join(chosen, key).groupBy(*key).agg(F.first(F.substring("text", 1, each)).alias("text"))
+    joined = texts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("doc_id", "th", "text"))).alias("x"))
+    joined = joined.select("lang", F.lower(F.array_join(F.transform("x", lambda x: x["text"]), "\n")).alias("raw"))
+    joined = joined.select("lang", F.substring("raw", 1, most).alias("raw"))
+    return {r["lang"]: r["raw"].lower().encode("utf-8", "replace")[:most] for r in joined.orderBy("lang").collect()}
 
 
 def _classify(learned):
