@@ -1,7 +1,10 @@
 """Sharding by sampled splitters: size-weighted key samples give quantile boundaries, and overfull ranges are subdivided.
 
+Shards differ in bytes by the size of their border documents, so with few and very unequal documents they are less equal.
+
 Defined results: a null text counts as empty, a null id sorts first, repeated rows are separate rows with slots of
-their own, an empty table gives an empty result, other columns are carried only on request.
+their own, and rows equal in all that is kept may lie in several ranges; very long texts only count by their size; an
+empty table gives an empty result, other columns are carried only on request.
 """
 
 from __future__ import annotations
@@ -12,24 +15,30 @@ from pyspark.sql import functions as F
 from tradewind.llm.common import constant, last_at_or_below, stored
 
 RANGES_PER_SHARD = 64
+#: A range has about so many rows, where RANGES_PER_SHARD would leave it more.
+ROWS_PER_RANGE = 1 << 20
 SAMPLES_PER_RANGE = 16
 ROUNDS = 4
 
 
-def _sample(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+Splitter = tuple[int, int, int]
+
+
+def _sample(rows: DataFrame, n: int) -> list[Splitter]:
     """n keys drawn without replacement with chances in proportion to size: the n smallest of exponential draws over size."""
-    u = (F.pmod(F.xxhash64("__key", "__sub", F.lit(9)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = rows.select("__key", "__sub", (-F.log(u) / F.col("__size")).alias("p")).orderBy("p", "__key", "__sub").limit(n)
-    return sorted((r[0], r[1]) for r in drawn.collect())
+    u = (F.pmod(F.xxhash64("__key", "__sub", "__row", F.lit(9)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = rows.select("__key", "__sub", "__row", (-F.log(u) / F.col("__size")).alias("p")).orderBy("p", "__key", "__sub", "__row").limit(n)
+    return sorted((r[0], r[1], r[2]) for r in drawn.collect())
 
 
-def _range(bounds: list[tuple[int, int]]) -> Column:
-    pairs = [{"k": k, "s": s} for k, s in bounds]
-    return last_at_or_below(pairs, "struct<k:bigint,s:bigint>", F.struct(F.col("__key").alias("k"), F.col("__sub").alias("s")))
+def _range(bounds: list[Splitter]) -> Column:
+    splitters = [{"k": k, "s": s, "r": r} for k, s, r in bounds]
+    at = F.struct(F.col("__key").alias("k"), F.col("__sub").alias("s"), F.col("__row").alias("r"))
+    return last_at_or_below(splitters, "struct<k:bigint,s:bigint,r:bigint>", at)
 
 
-def split_ranges(rows: DataFrame, n_ranges: int) -> list[tuple[int, int]]:
-    """Quantile boundaries of (__key, __sub) by bytes. A range above twice the mean in bytes or rows is sampled again inside."""
+def split_ranges(rows: DataFrame, n_ranges: int) -> list[Splitter]:
+    """Quantile boundaries of (__key, __sub, __row) by bytes. A range above twice the mean in bytes or rows is sampled again inside."""
     sample = _sample(rows, n_ranges * SAMPLES_PER_RANGE)
     bounds = sorted({sample[i * len(sample) // n_ranges] for i in range(1, n_ranges)}) if sample else []
     for _ in range(ROUNDS):
@@ -37,8 +46,8 @@ def split_ranges(rows: DataFrame, n_ranges: int) -> list[tuple[int, int]]:
         stats = by_range.groupBy("__range").agg(
             F.sum("__size").alias("size"),
             F.count("*").alias("n"),
-            F.min(F.struct("__key", "__sub")).alias("low"),
-            F.max(F.struct("__key", "__sub")).alias("high"),
+            F.min(F.struct("__key", "__sub", "__row")).alias("low"),
+            F.max(F.struct("__key", "__sub", "__row")).alias("high"),
         ).collect()
         size, n = sum(r["size"] for r in stats) / n_ranges, sum(r["n"] for r in stats) / n_ranges
         over = [r["__range"] for r in stats if r["low"] != r["high"] and r["n"] > 2 and (r["size"] > 2 * size or r["n"] > 2 * n)]
@@ -60,8 +69,10 @@ def assign_shards(df: DataFrame, n_shards: int, key: Column, tie: list[Column],
     key orders the rows, tie (such as the id) orders rows of one key, and lets a hot key be cut into several ranges.
     Bytes differ between shards by no more than the largest row.
     """
-    rows = stored(df.select(*keep, size.cast("bigint").alias("__size"), F.xxhash64(key).alias("__key"), F.xxhash64(*tie, F.lit(1)).alias("__sub")), "keys")
-    bounds = split_ranges(rows, n_shards * RANGES_PER_SHARD)
+    rows = df.select(*keep, size.cast("bigint").alias("__size"), F.xxhash64(key).alias("__key"), F.xxhash64(*tie, F.lit(1)).alias("__sub"))
+    # a number of the row, which the table keeps, lets rows that are equal in all else be cut apart
+    rows = stored(rows.withColumn("__row", F.xxhash64(F.monotonically_increasing_id())), "keys")
+    bounds = split_ranges(rows, max(n_shards * RANGES_PER_SHARD, -(-rows.count() // ROWS_PER_RANGE)))
     ranged = rows.withColumn("__range", _range(bounds))
     stats = {r[0]: (r[1], r[2]) for r in ranged.groupBy("__range").agg(F.sum("__size"), F.count("*")).collect()}
     bytes_before, rows_before, b, n = [], [], 0, 0
@@ -70,7 +81,7 @@ def assign_shards(df: DataFrame, n_shards: int, key: Column, tie: list[Column],
         rows_before.append(n)
         b, n = b + stats.get(k, (0, 0))[0], n + stats.get(k, (0, 0))[1]
     names = [c for c in rows.columns if not c.startswith("__")]
-    w = Window.partitionBy("__range").orderBy("__key", "__sub", "__size", *names)
+    w = Window.partitionBy("__range").orderBy("__key", "__sub", *names, "__row")
     ends = F.get(constant(bytes_before, "bigint"), F.col("__range")) + F.sum("__size").over(w.rowsBetween(Window.unboundedPreceding, 0))
     at = F.get(constant(rows_before, "bigint"), F.col("__range")) + F.row_number().over(w) - 1
     middle = F.col("__end") - F.col("__size") / 2
