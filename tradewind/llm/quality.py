@@ -5,8 +5,12 @@ window hashes. Rules are learned by sequential covering: a rule grows condition
 labelled rows that pass the base rules, is pruned on the rest, and the rows it covers leave before the next rule grows.
 If a rule doesn't hold on the rest, the statistic that it opens with is given up. The list is one Spark expression.
 
+LABELLED, THRESHOLDS, MAX_RULES and MAX_CONDITIONS are parameters of the learner; every document is judged by the whole list.
+
 Defined results: a null text has no words and fails the base rules; without labelled rows of both classes there are no
-learned rules; repeated rows give equal results; other columns don't matter.
+learned rules; of labels that a document has twice the lower counts; of conditions of equal gain that of the wider gap
+between values wins, then the first; repeated rows give equal results; very long texts are arrays in one row; other
+columns don't matter, and those named as a statistic are replaced by judge and kept by keep_good.
 """
 
 from __future__ import annotations
@@ -98,16 +102,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(rows.repartition(4), "labelled").where("not failed").drop("failed")
 
 
-def _counts(rows: DataFrame, thresholds: dict[str, list[float]]) -> dict:
+def _binned(rows: DataFrame, thresholds: dict[str, list[float]]) -> DataFrame:
+    """For each statistic of the labelled sample how many thresholds lie below it; LABELLED rows at most, so in one partition."""
+    above = lambda f, t: F.size(F.filter(F.array(*map(F.lit, t)), lambda x: F.col(f) > x))
+    return stored(rows.select("bad", "grow", *[above(f, t).alias(f) for f, t in thresholds.items()]).repartition(1), "bins")
+
+
+def _counts(rows: DataFrame, features: list[str]) -> dict:
     """{(feature, k): (bad, good)} of rows whose feature lies above exactly k thresholds."""
-    passed = lambda f, t: F.size(F.filter(F.array(*map(F.lit, t)), lambda x: F.col(f) > x))
-    above = [F.struct(F.lit(f).alias("f"), passed(f, t).alias("k")) for f, t in thresholds.items()]
-    found = rows.select(F.explode(F.array(*above)).alias("x"), "bad").groupBy("x.f", "x.k").agg(F.sum("bad"), F.sum(1 - F.col("bad"))).collect()
+    pairs = [F.struct(F.lit(f).alias("f"), F.col(f).alias("k")) for f in features]
+    found = rows.select(F.explode(F.array(*pairs)).alias("x"), "bad").groupBy("x.f", "x.k").agg(F.sum("bad"), F.sum(1 - F.col("bad"))).collect()
     return {(r[0], r[1]): (r[2], r[3]) for r in found}
 
 
 def _best(counts: dict, thresholds: dict[str, list[float]], rule: list[Condition]) -> tuple[Condition | None, int, int]:
-    """The condition of the best gain in information for the bad rows that stay covered."""
+    """The condition, with the place of its threshold, of the best gain in information for the bad rows that stay covered."""
     from math import log2
 
     bad = sum(b for (f, _), (b, _) in counts.items() if f == next(iter(thresholds)))
@@ -116,13 +125,13 @@ def _best(counts: dict, thresholds: dict[str, list[float]], rule: list[Condition
     for f, t in thresholds.items():
         low_b = low_g = 0
         gaps = [(b - a) / ((t[-1] - t[0]) or 1) for a, b in zip([t[0], *t], [*t[1:], t[-1], t[-1]], strict=False)]
-        for k, x in enumerate(t):
+        for k in range(len(t)):
             b, g = counts.get((f, k), (0, 0))
             low_b, low_g = low_b + b, low_g + g
             for op, b, g in (("<=", low_b, low_g), (">", bad - low_b, good - low_g)):
                 gain = (round(b * (log2((b + 1) / (b + g + 1)) - start), 6), gaps[k])  # of equal gains, the wider gap
-                if gain > best and (f, op, x) not in rule and b:
-                    best, found, kept = gain, (f, op, x), (b, g)
+                if gain > best and (f, op, k) not in rule and b:
+                    best, found, kept = gain, (f, op, k), (b, g)
     return found, *kept
 
 
@@ -133,12 +142,13 @@ def learn_rules(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     extremes = rows.groupBy("bad").agg(*[F.percentile_approx(f, [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0], 1000).alias(f) for f in FEATURES]).collect()
     values = {f: sorted({float(x) for r in [cuts, *extremes] for x in (r[f] or [])}) for f in FEATURES}
     thresholds = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in values.items() if len(v) > 1}
+    values, rows = thresholds, _binned(rows, thresholds) if thresholds else rows
     rules: list[list[Condition]] = []
     while thresholds and len(rules) < MAX_RULES:
         rule: list[Condition] = []
         grow, prune = (rows.where(F.col("grow") if side else ~F.col("grow")) for side in (True, False))
         while len(rule) < MAX_CONDITIONS:
-            condition, _, good = _best(_counts(grow.where(_expression(rule)), thresholds), thresholds, rule)
+            condition, _, good = _best(_counts(grow.where(_expression(rule)), list(thresholds)), thresholds, rule)
             if not condition:
                 break
             rule.append(condition)
@@ -154,7 +164,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
         if not b or b / (b + g) < PRECISION:
             thresholds = {f: t for f, t in thresholds.items() if f != rule[0][0]}  # what it opens with doesn't carry over
             continue
-        rules.append(rule[:n])
+        rules.append([(f, op, values[f][k]) for f, op, k in rule[:n]])
         rows = rows.where(~_expression(rule[:n]))
     return rules
 
