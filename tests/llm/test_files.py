@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,36 @@ def test_words_of_every_letter(form):
     assert [x for x, y in zip(texts, want, strict=True) if np.frombuffer(words.text(x), words.kind).tolist() != y.ids] == []
 
 
+def test_words_of_random_texts():
+    words, whole, r = sstable.Words(TOKENIZER), Tokenizer.from_file(TOKENIZER), random.Random(14)
+    letters = [c for c in map(chr, range(0x3000)) if c.isalpha()]
+    marks = [c for c in map(chr, range(0x20, 0x3100)) if not c.isalpha() and c.isprintable()] + list(" \n\t\r\x0b\x0c\x00\x85\xa0\u2028\u200d\ufeff")
+    pick = lambda: r.choice(r.choices((letters, marks, "abcdeXYZ", " .,;:!?%&*#$|'", "0123456789"), (3, 2, 8, 4, 1))[0])
+    texts = ["".join(pick() for _ in range(r.randint(1, 24))) for _ in range(100_000)] + ["It's I'LL we've <|endoftext|>end", "\u0130. \u03a3\u03a3. \u09ac\u09dc"]
+    want = whole.encode_batch(texts, add_special_tokens=False)
+    assert [x for x, y in zip(texts, want, strict=True) if np.frombuffer(words.text(x), words.kind).tolist() != y.ids] == []
+
+
+def test_words_of_the_given_documents():
+    words, whole = sstable.Words(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    want = whole.encode_batch(texts, add_special_tokens=False)
+    assert [x for x, y in zip(texts, want, strict=True) if np.frombuffer(words.text(x), words.kind).tolist() != y.ids] == []
+
+
+def test_hot_and_large_ids_over_shards(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 2000)
+    rows = [(5, f"hot {k} " + "w " * 100) for k in range(60)] + [(k, f"text {k}") for k in range(40)] + [(None, f"none {k}") for k in range(30)] + [(7, "long " * 3000)]
+    folder = new_folder(spark, "test-sst")
+    manifest = sstable.write_shards(make_docs(rows), folder, TOKENIZER)
+    got = sorted((tuple(x) for x in sstable.scan_shards(spark, manifest, folder).collect()), key=lambda x: x[1])
+    assert [x[0] for x in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert sorted((d, n, c) for d, _, n, c in got if d is not None) == sorted((d, n, c) for d, _, n, c in _want(rows) if d is not None)
+    assert manifest.where("low = 5 and high = 5").count() >= 3
+    ask = spark.createDataFrame([(5,), (7,), (None,)], "doc_id bigint")
+    assert sstable.get_documents(spark, manifest, folder, ask).count() == 60 + 1 + 1 + 1 + 30
+
+
 def test_damaged_block_is_noticed(spark, make_docs):
     folder = new_folder(spark, "test-sst")
     manifest = sstable.write_shards(make_docs([(1, "some words")]), folder, TOKENIZER)

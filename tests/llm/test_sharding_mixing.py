@@ -96,6 +96,27 @@ def test_mix_text_has_the_taken_words(spark, make_docs):
     assert dict(words) == taken
 
 
+def test_permutation_has_an_inverse():
+    for n in (1, 2, 3, 100, 4097):
+        key = np.full(n, 99, dtype=np.uint64)
+        out = mixing.permute(np.arange(n), np.full(n, n), key)
+        assert sorted(out) == list(range(n)) and mixing.permute(out, np.full(n, n), key, back=True).tolist() == list(range(n))
+
+
+def test_shards_have_equal_slots_and_sources_what_they_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 4)
+    owned = {k: (k * 37) % 300 + 1 for k in range(11)} | {11: 5000}
+    dealt = mixing.deal(spark.createDataFrame(list(owned.items()), "source_id bigint, slots bigint"), 5).collect()
+    total, size = sum(owned.values()), -(-sum(owned.values()) // mixing.LEAST_SHARDS)
+    slots, shards = defaultdict(list), defaultdict(int)
+    for r in dealt:
+        slots[r["source_id"]].append(r["slot"])
+        shards[r["shard"]] += 1
+    assert {k: sorted(x) for k, x in slots.items()} == {k: list(range(n)) for k, n in owned.items()}
+    assert sorted(shards.items()) == [(k, min(size, total - k * size)) for k in range(mixing.LEAST_SHARDS)]
+    assert mixing.deal(spark.createDataFrame([], "source_id bigint, slots bigint"), 5).count() == 0
+
+
 def test_mix_of_nothing(spark, make_docs):
     assert mixing.mix_documents(make_docs([])).count() == 0
     assert mixing.take_mix(make_docs([(1, None)])).count() == 0

@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import zstandard
 
 from tradewind.llm import decontamination, extraction, language, linededup
 
@@ -106,6 +109,57 @@ def test_text_before_an_inline_part_stays():
     assert extraction.Page(page).extract([]) == "Text before\nand after."
 
 
+def test_classes_that_say_something_about_other_parts():
+    for name in ("content with-sidebar", "no-ads", "post comments-open", "widget-content", "entry has-share no-comments"):
+        page = f"<body><div class='top'>Name of the site</div><div class='{name}'><p>The first paragraph of the story.</p><p>The second one.</p></div><footer>Foot</footer></body>"
+        assert extraction.Page(page).extract([]) == "The first paragraph of the story.\nThe second one.", name
+
+
+def test_malformed_markup_is_read():
+    for bad in ("<![foo bar]]>", "<![ ", "<![if IE]>", "<![CDATA[x]]>", "<!doctype", "<!-- open", "</ >", "<a <b>", "&#xFFFFFFFF;", "<p", "<!", "</", "<div class='x", "\x00"):
+        text = extraction.Page(f"<body><article><p>Before.</p></article>{bad}").extract([])
+        assert text.startswith("Before."), bad
+        extraction.Page(f"{bad}<article><p>After.</p></article>").extract([])
+    r = random.Random(4)
+    bits = ["<", ">", "<p>", "</p>", "<div class='a b1'>", "</div>", "<!", "[", "]]>", "--", "<a href='x'>", "</a>", "text ", "&amp", ";", "<li>", "<td>", "</table>", "<form>", "</form>", "'", '"', "<h1>", "<script>", "</script>", "<article>"]
+    for _ in range(2000):
+        page = extraction.Page("".join(r.choice(bits) for _ in range(r.randint(1, 60))))
+        assert isinstance(page.extract([page.path(page.best())]), str)
+
+
+def test_unclosed_and_deep_markup_takes_linear_time():
+    n = 30_000
+    for page in ("<p>" + "<b>" * n + "</i>" * n + "Text.", "<i><div>" + "<b>" * n + "</i>" * n + "Text.", "<div class='x y'>" * n + "Text.", "<h1><div class='menu'>" * n + "Text.", "<p>Text.</p>" * n, "<div><p>Text.</p>" * n):
+        began = time.process_time()
+        got = extraction.Page(page)
+        assert "Text." in got.extract([got.path(got.best())]) or "menu" in page
+        assert time.process_time() - began < 8
+
+
+ALPHABET = "abcdefghijklmnop"
+
+
+def _known_page(r, k):
+    """A page in one of several themes, with its article's blocks."""
+    sentence = lambda: " ".join("".join(r.choice(ALPHABET) for _ in range(r.randint(2, 8))) for _ in range(r.randint(6, 30))) + "."
+    title, paragraphs = sentence(), [sentence() for _ in range(r.randint(2, 7))]
+    menu = "".join(f"<li><a href='/{n}'>{sentence()[:9]}</a></li>" for n in range(6))
+    box, close = [("<article>", "</article>"), ("<div class='post comments-open'>", "</div>"), ("<div id='content' class='no-sidebar'>", "</div>"), ("<main><div class='entry entry-12'>", "</div></main>"), ("<section class='story'>", "</section>")][k % 5]
+    body = "".join(f"<p>{p}" + ("</p>" if r.random() < 0.8 else "") for p in paragraphs)
+    other = [f"<nav><ul>{menu}</ul></nav>", f"<div class='ad'>{sentence()}</div>", f"<div class='cookie-notice'><p>{sentence()}</p></div>", f"<aside><p>{sentence()}</p></aside>", f"<form><p>{sentence()}</p></form>", f"<div class='sidebar widget'><ul>{menu}</ul></div>"]
+    r.shuffle(other)
+    comments = f"<div class='comments'><p>{sentence()}</p></div>" if r.random() < 0.5 else ""
+    html = f"<!DOCTYPE html><html><head><title>{title}</title><script>x='</p>'</script></head><body>{''.join(other[:3])}{box}<h1>{title}</h1>{body}{close}{''.join(other[3:])}{comments}<footer>{sentence()}</footer></body></html>"
+    return html, "\n".join([title, *paragraphs])
+
+
+def test_articles_of_generated_pages(spark):
+    r = random.Random(12)
+    pages = [(k, f"http://host{k % 5}.org/{k}", *_known_page(r, k)) for k in range(200)]
+    got = {x["page_id"]: x["text"] for x in extraction.extract_pages(spark.createDataFrame([p[:3] for p in pages], "page_id bigint, url string, html string")).collect()}
+    assert [k for k, _, _, want in pages if got[k] != want] == []
+
+
 def test_extraction_of_no_pages(spark):
     assert extraction.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
@@ -127,6 +181,23 @@ def test_language_on_held_out_texts(spark, make_docs):
     assert got[1000]["lang_pred"] == got[1001]["lang_pred"] == "und" and got[1002]["lang_pred"] == "bb" and got[None]["lang_pred"] == "aa"
 
 
+def test_language_equals_a_plain_loop_and_collects_bounded_rows(spark, make_docs):
+    rows = _corpus(120, 5) + [(500, f"text {k} abc abd", "aa") for k in range(400)] + [(501, "same", "bb")] * 50
+    docs = make_docs(rows)
+    learned = language.dictionaries(docs)
+    assert all(raw.count(b"\n") < language.DOCS for raw in learned.values())
+    got = {(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language.identify(docs).collect()}
+    want = set()
+    for k, text, _ in rows:
+        raw, sizes = text.lower().encode(), []
+        for lang, known in learned.items():
+            pack = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes.append((sum(len(pack.compress(raw[a : a + language.PIECE])) for a in range(0, len(raw), language.PIECE)), lang))
+        sizes.sort()
+        want.add((k, sizes[0][1], round(1 - sizes[0][0] / sizes[1][0], 9)))
+    assert {x[:2] for x in got} == {x[:2] for x in want} and len(got ^ want) <= len(want) // 20
+
+
 def test_language_without_rows_or_labels(spark, make_docs):
     assert language.identify(make_docs([])).count() == 0
     assert [r["lang_pred"] for r in language.identify(make_docs([(1, "some text")])).collect()] == ["und"]
@@ -184,6 +255,47 @@ def test_copies_of_items_with_few_plain_words(spark, make_docs):
     assert _leaks(spark, make_docs, [passage(13), passage(12)], [long]) == {(0, 0): False}
 
 
+def test_items_below_five_words_as_sentences(spark, make_docs):
+    texts = ["He said. What is 2+2? Then he left.", "what is 2+2", "this is what is 2+2 and more", "Yes", "yes and no"]
+    for limit in (1 << 20, 0):
+        assert _leaks(spark, make_docs, texts, ["What is 2+2?", "Yes"], limit) == {(0, 0): False, (1, 0): False, (3, 1): False}
+
+
+def test_what_stands_before_a_copy(spark, make_docs):
+    item = "Anna has 3 apples and 5 pears in her bag."
+    texts = ["I ask: Anna has 3 apples and 5 pears in her bag.", "so Bert has 4 apples and 9 pears in her bag", "Bert has 4 apples and 9 pears in her bag."]
+    assert _leaks(spark, make_docs, texts, [item]) == {(0, 0): False, (1, 0): True, (2, 0): True}
+    question = "What is the capital of France?"
+    assert _leaks(spark, make_docs, ["I ask: What is the capital of Spain?", "Paris is the capital of France."], [question]) == {(0, 0): True}
+
+
+def test_recall_of_copies_and_new_parameters(spark, make_docs):
+    r = random.Random(21)
+    pool = ["".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(400)]
+    names, others, units = ["Anna", "Boris", "Clara", "Dmitri"], ["Emil", "Fatima", "Gerda", "Hugo"], ["km", "hours", "dollars"]
+
+    def item(n):
+        words = [r.choice(names) if x < 0.1 else f"{r.randint(1, 99)} {r.choice(units)}" if x < 0.2 else str(r.randint(100, 999)) if x < 0.25 else r.choice(pool) for x in (r.random() for _ in range(n))]
+        return words[0].capitalize() + "".join((". " + w.capitalize() if r.random() < 0.05 else " " + w) for w in words[1:]) + "."
+
+    items = [item(r.randint(1, 40)) for _ in range(150)]
+    filler = lambda: " ".join(r.choice(pool) for _ in range(r.randint(5, 60))) + r.choice([". ", ": ", "\n"])
+    change = {**dict(zip(names, others, strict=True)), **{str(k): str(1000 + k * 7) for k in range(1000)}}
+    changed = [re.sub(r"[A-Z][a-z]+|\d+", lambda m: change.get(m[0], m[0]), x) for x in items]
+    copies = [filler() + x + " " + filler() for x in items]
+    lower = [filler() + x.lower() for x in items]
+    anew = [filler() + x + " " + filler() for x in changed]
+    clean = [filler() * 3 for _ in range(150)]
+    got = _leaks(spark, make_docs, copies + lower + anew + clean, items)
+    n = len(items)
+    whole = [k for k, x in enumerate(items) if len(decontamination.TOKEN.findall(x)) > decontamination.LEAST + 1]
+    plain = lambda x: sum(w in pool or w.lower() in pool for w in re.findall(r"\w+", x))
+    searched = [k for k in whole if plain(items[k]) >= max(4, 0.6 * len(items[k].split()))]
+    found = lambda at, of: sum((at * n + k, k) in got for k in of) / len(of)
+    assert len(searched) > 60 and found(0, whole) == 1 and found(1, whole) >= 0.99 and found(2, searched) >= 0.99
+    assert not [d for d, _ in got if d >= 3 * n and not any(w in (copies + lower + anew + clean)[d] for w in (x[:-1].lower() for x in items if len(x.split()) < 5))]
+
+
 def test_drop_leaks(spark, make_docs):
     docs = make_docs([(1, ITEM), (None, ITEM), (2, "clean text of some words"), (3, None)])
     bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
