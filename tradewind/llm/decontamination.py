@@ -147,7 +147,7 @@ class Words:
         return at[fit]
 
     def rows(self, mode: int, width: int, at: np.ndarray, hashes: np.ndarray) -> list[pa.Array]:
-        """mode (PLACED for FREE too), width, place in the text, two hashes, and the hashes of the placeholders' values, by window."""
+        """mode, width, place in the text, two hashes, and the hashes of the placeholders' values, by window."""
         inside = at[:, None] + np.arange(width)
         second = np.zeros(len(at), dtype=np.uint64)
         for k in range(width):
@@ -158,7 +158,7 @@ class Words:
         slots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.plain[inside][slot].view(np.int64)))
         place = at - np.searchsorted(self.text, self.text[at])
         same = lambda x: pa.array(np.full(len(at), x, np.int32))
-        return [same(min(mode, PLACED)), same(width), pa.array(place), pa.array(hashes.view(np.int64)), pa.array(second.view(np.int64)), slots]
+        return [same(mode), same(width), pa.array(place), pa.array(hashes.view(np.int64)), pa.array(second.view(np.int64)), slots]
 
 
 FIELDS = ["mode", "width", "at", "h1", "h2", "slots"]
@@ -243,7 +243,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_WIN
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     items = stored(items.mapInArrow(_item_windows, ITEMS), "item-windows")
-    templates = items.select("mode", "width", "h1").distinct()
+    template = (F.col("mode") != COPIED).cast("int").alias("template")
+    templates = items.select(template, "width", "h1").distinct()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     wanted = None
     if templates.count() <= limit:
@@ -253,13 +254,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_WIN
         wanted = spark.sparkContext.broadcast({k: np.unique(np.array(x, np.uint64)) for k, x in found.items()})
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     windows = rows.mapInArrow(_document_windows(widths, wanted), WINDOWS)
-    key = ["mode", "width", "h1", "h2"]
-    own = items.select(*key, F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n").alias("item_windows"), "searchable", "has_words", F.col("slots").alias("item_slots"))
-    hits = windows.select(F.col("id").alias("doc_id"), "th", *key, "at", "slots").join(own, key)
-    hits = hits.withColumns({"shift": F.col("at") - F.col("item_at"), "copied": F.col("mode") == COPIED})
-    hits = stored(hits.drop("mode", "h1", "h2"), "hits")
-    line = ["doc_id", "th", "item_id", "shift"]
-    pairs = hits.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select(*line, F.col("x.item_slots").alias("was"), F.col("x.slots").alias("is")).distinct()
+    key = ["template", "width", "h1", "h2"]
+    own = items.select(template, *key[1:], F.col("mode").alias("item_mode"), F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n").alias("item_windows"), "searchable", "has_words", F.col("slots").alias("item_slots"))
+    hits = windows.select(F.col("id").alias("doc_id"), "th", template, *key[1:], "mode", "at", "slots").join(own, key)
+    hits = hits.withColumns({"shift": F.col("at") - F.col("item_at"), "copied": F.col("template") == 0, "free": F.greatest("mode", "item_mode") == FREE})
+    hits = stored(hits.drop("template", "mode", "item_mode", "h1", "h2"), "hits")
+    # windows of the template PLACED are held against each other only, those of FREE against all
+    line = ["doc_id", "th", "item_id", "shift", "free"]
+    all_hits = hits.where("not free").unionByName(hits.withColumn("free", F.lit(True)))
+    pairs = all_hits.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select(*line, F.col("x.item_slots").alias("was"), F.col("x.slots").alias("is")).distinct()
     along = pairs.groupBy(*line).agg(F.count("*").alias("n"), F.countDistinct("was").alias("a"), F.countDistinct("is").alias("b"))
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in line]
     joined = hits.alias("h").join(along.alias("b"), same({c: F.col(f"h.{c}") for c in line}, {c: F.col(f"b.{c}") for c in line}), "left")
@@ -267,7 +270,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_WIN
     own = distinct(F.arrays_zip("item_slots", "slots"))
     joined = joined.where((own == distinct("item_slots")) & (own == distinct("slots")))
     joined = joined.withColumns({"whole": F.coalesce(F.expr("b.n = b.a and b.n = b.b"), F.lit(True)), "differs": F.col("item_slots") != F.col("slots")})
-    joined = stored(joined.select("h.*", "whole", "differs"), "matches")
+    joined, line = stored(joined.select("h.*", "whole", "differs"), "matches"), line[:4]
     copies = joined.where("copied and has_words").select(*line, "width", "item_at").distinct()
     row = F.row_number().over(Window.partitionBy(*line, "width").orderBy("item_at"))
     runs = copies.withColumn("start", F.col("item_at") - row).groupBy(*line, "width", "start").agg(F.count("*").alias("n"))
