@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions import scalars as S
@@ -162,3 +162,9 @@ def kpi_parity(ours: DataFrame, theirs: DataFrame, key: str, tolerance: float =
     both = ours.select(key, F.col("value").alias("ours")).join(theirs.select(key, F.col("value").alias("theirs")), key)
     gap = F.abs(F.col("ours") - F.col("theirs")).cast("double") / F.nullif(F.col("theirs").cast("double"), F.lit(0.0))
     return both.withColumns({"gap": F.round(gap, 4), "consistent": F.coalesce(gap < tolerance, F.lit(False))})
+
+
+def table_profile(df: DataFrame, date: str, key: str, flags: dict[str, Column]) -> DataFrame:
+    """One row: number of rows, first and last date, number of keys, and how many rows have each flag."""
+    counts = [F.coalesce(F.sum(test.cast("int")), F.lit(0)).alias(name) for name, test in flags.items()]
+    return df.agg(F.count("*").alias("rows"), F.min(date).alias("first"), F.max(date).alias("last"), F.countDistinct(key).alias("keys"), *counts)

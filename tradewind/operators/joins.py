@@ -76,8 +76,9 @@ def join_on_composite(df: DataFrame, other: DataFrame, keys: list[str]) -> DataF
 
 
 def as_of_point(history: DataFrame, key: str, value, at) -> DataFrame:
-    """The version that was valid at a time: from <= time < to."""
-    return history.where((F.col(key) == F.lit(value)) & (F.col("effective_from") <= at) & (at < F.col("effective_to")))
+    """The version of a key, or of every key for None, that was valid at a time: from <= time < to."""
+    valid = (F.col("effective_from") <= at) & (at < F.col("effective_to"))
+    return history.where(valid if value is None else valid & (F.col(key) == F.lit(value)))
 
 
 def as_of_join(facts: DataFrame, history: DataFrame, key: str, time: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.fixtures import GROUPS, Views
@@ -13,6 +13,7 @@ from tradewind.operators import aggregates as A
 from tradewind.operators import filters as P
 from tradewind.operators import joins as J
 from tradewind.operators import quality as Q
+from tradewind.operators import scd as D
 from tradewind.operators import windows as W
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
@@ -34,12 +35,19 @@ def build_dim_product(raw: DataFrame) -> DataFrame:
     return unknown.unionByName(keyed)
 
 
-def build_fact(v: Views, dates: DataFrame, products: DataFrame, channels: DataFrame, since: str | None = None, metafield: DataFrame | None = None) -> DataFrame:
-    """The order-line fact: all orders, or those changed since the watermark less two days (with all of their lines)."""
+def build_dim_product_scd2(raw: DataFrame, history: DataFrame | None, at: Column, tracked: list[str] | None = None) -> DataFrame:
+    """Product dimension with history after a delivery: keyed and deduplicated, merged as of a time, with the unknown member."""
+    rows = P.drop_missing_key(raw, "sku").withColumn("sku", F.trim("sku"))
+    rows, tracked = W.latest_by_key(rows, ["sku"], ["key"]), tracked or ["season", "retail"]
+    return D.seed_unknown(D.seed_history(rows, "sku", tracked, at), "sku") if history is None else D.merge(history, rows, "sku", tracked, at)
+
+
+def build_fact(v: Views, dates: DataFrame, products: DataFrame, channels: DataFrame, since: str | None = None, metafield: DataFrame | None = None, start: str = START, end: str = END) -> DataFrame:
+    """The order-line fact: all orders of the days from start to end, or those changed since the watermark less two days (with all of their lines)."""
     orders = P.filter_since(v.order, "updated_at", since)
     local = S.business_time(F.col("processed_at"))
     orders = orders.select(F.col("id").alias("order_id"), F.col("name").alias("order_name"), "processed_at", "financial_status", F.col("updated_at").alias("order_updated_at"), F.date_format(local, "yyyyMMdd").cast("int").alias("date_key"), F.to_date(local).alias("local_day"))
-    orders = P.filter_window(orders, "local_day", START, END)
+    orders = P.filter_window(orders, "local_day", start, end)
     # all that depends on the order is joined to the orders, so that the lines are shuffled once for it
     if metafield is None:
         orders = orders.withColumn("is_replacement_order", F.lit(False))
@@ -85,8 +93,16 @@ def build_receiving(v: Views, days: int = 8) -> DataFrame:
     return gold.withColumns({"receiving_gap": F.col("quantity_shipped") - F.col("quantity_received"), "created_date": S.created_date(F.col("shipment_name"))})
 
 
+#: Where an application wrote the star of a folder, with the fact's columns.
+_WRITTEN: dict[tuple[str, str], tuple[str, list[str]]] = {}
+
+
 class Star:
-    """The star schema and gold tables of one folder, built lazily."""
+    """The star schema and gold tables of one folder, built lazily.
+
+    The product dimension and the fact, partitioned by ISO week, are written once an application and then read, as every
+    query over them would otherwise build them anew; the folder's tables are taken as unchanged meanwhile.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.v = spark, Views(spark, sf_dir)
@@ -97,7 +113,21 @@ class Star:
 
     @cached_property
     def products(self) -> DataFrame:
-        return build_dim_product(self.v.product(1))
+        return self.spark.read.parquet(f"{self._written[0]}/dim_product")
+
+    @cached_property
+    def _written(self) -> tuple[str, list[str]]:
+        key = (self.spark.sparkContext.applicationId, self.v.sf_dir)
+        if key not in _WRITTEN:
+            path = K.scratch(self.spark, "star")
+            K.overwrite_table(build_dim_product(self.v.product(1)), f"{path}/dim_product")
+            fact = self.new_fact(self.spark.read.parquet(f"{path}/dim_product"))
+            K.overwrite_partitioned(fact, f"{path}/fact", ["iso_year", "iso_week"])
+            _WRITTEN[key] = path, fact.columns
+        return _WRITTEN[key]
+
+    def new_fact(self, products: DataFrame) -> DataFrame:
+        return build_fact(self.v, self.dates, products, self.channels, metafield=self.v.metafield)
 
     @cached_property
     def channels(self) -> DataFrame:
@@ -105,7 +135,8 @@ class Star:
 
     @cached_property
     def fact(self) -> DataFrame:
-        return build_fact(self.v, self.dates, self.products, self.channels, metafield=self.v.metafield)
+        path, columns = self._written
+        return self.spark.read.parquet(f"{path}/fact").select(*columns)
 
     @cached_property
     def star(self) -> DataFrame:
@@ -202,9 +233,9 @@ def watermark_advance(spark: SparkSession, path: str, table: str, batch: DataFra
 def daily_run(spark: SparkSession, sf_dir: str, out: str, specs: list[dict]) -> DataFrame:
     """Dimensions, fact, checks, then what is published: a failed gate raises after the fact is written, before the gold tables."""
     star = Star(spark, sf_dir)
-    for name, df in (("dim_date", star.dates), ("dim_product", star.products), ("dim_channel", star.channels)):
+    for name, df in (("dim_date", star.dates), ("dim_product", build_dim_product(star.v.product(1))), ("dim_channel", star.channels)):
         K.overwrite_table(df, f"{out}/{name}")
-    K.overwrite_partitioned(star.fact, f"{out}/fact_orders_line", ["iso_year", "iso_week"])
+    K.overwrite_partitioned(star.new_fact(spark.read.parquet(f"{out}/dim_product")), f"{out}/fact_orders_line", ["iso_year", "iso_week"])
     fact = spark.read.parquet(f"{out}/fact_orders_line")
     results = Q.run_checks(spark, specs, {"fact_orders_line": fact}, F.lit(f"{END} 00:00:00").cast("timestamp"))
     K.write_json_report(results, f"{out}/checks", "daily")

@@ -56,7 +56,7 @@ query("a20_ad_spend_by_day", lambda s: s.ads_day.select("day", "channel", A.mone
 query("a21_reconciliation_side", lambda s: s.star.where("is_sales_attributable and iso_year = 1998 and iso_week = 28").groupBy("iso_year", "iso_week", "vend_id").agg(F.sum(F.expr(A.NET)).alias("qty")), "iso_year:i iso_week:i vend_id qty:i", "SELECT iso_year, iso_week, vend_id, sum(quantity - refunded_quantity) AS qty FROM star WHERE is_sales_attributable AND iso_year = 1998 AND iso_week = 28 GROUP BY ALL")
 query("a22_season_distribution", lambda s: A.top_counts(s.products, ["season", "is_complete"], 15), "season is_complete rows:i", "SELECT season, is_complete, count(*) AS rows FROM dim_product GROUP BY 1, 2 ORDER BY rows DESC, 1, 2 LIMIT 15")
 query("a24_dedup_check", lambda s: A.dedup_check(s.v.touch, "order_id"), "rows:i distinct_keys:i", "SELECT count(*) AS rows, count(DISTINCT order_id) AS distinct_keys FROM f_touch")
-query("a25_table_profile", lambda s: s.page_view.agg(F.count("*").alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.countDistinct("page").alias("pages"), F.sum((F.col("event_count") > 0).cast("int")).alias("with_web")), "rows:i first:d last:d pages:i with_web:i", "SELECT count(*) AS rows, min(date) AS first, max(date) AS last, count(DISTINCT page) AS pages, sum(CASE WHEN event_count > 0 THEN 1 ELSE 0 END) AS with_web FROM page_view")
+query("a25_table_profile", lambda s: A.table_profile(s.page_view, "date", "page", {"with_web": F.col("event_count") > 0}).withColumnRenamed("keys", "pages"), "rows:i first:d last:d pages:i with_web:i", "SELECT count(*) AS rows, min(date) AS first, max(date) AS last, count(DISTINCT page) AS pages, sum(CASE WHEN event_count > 0 THEN 1 ELSE 0 END) AS with_web FROM page_view")
 
 
 def _basket(s: Star):
@@ -179,7 +179,7 @@ def _history(s: Star, merged: bool = True):
 
 
 HISTORY = "product_key:i sku season retail:f row_hash effective_from:t effective_to:t is_current"
-query("j11_as_of_point", lambda s: D.current_view(_history(s)).where("false").unionByName(_history(s).where((F.col("effective_from") <= ts("1998-05-31")) & (ts("1998-05-31") < F.col("effective_to")))), HISTORY, "SELECT * FROM history_2 WHERE effective_from <= TIMESTAMP '1998-05-31' AND TIMESTAMP '1998-05-31' < effective_to")
+query("j11_as_of_point", lambda s: J.as_of_point(_history(s), "sku", None, ts("1998-05-31")), HISTORY, "SELECT * FROM history_2 WHERE effective_from <= TIMESTAMP '1998-05-31' AND TIMESTAMP '1998-05-31' < effective_to")
 query("j12_as_of_join", lambda s: J.as_of_join(s.v.line.select("id", "sku", "l_shipdate"), _history(s), "sku", "l_shipdate").select("id", "v_product_key", "v_retail"), "id v_product_key:i v_retail:f", "SELECT l.id, h.product_key AS v_product_key, h.retail AS v_retail FROM f_line l LEFT JOIN history_2 h ON h.sku = l.sku AND h.effective_from <= l.l_shipdate AND l.l_shipdate < h.effective_to")
 RECEIVING = "shipment_id:i seller_sku network_sku quantity_shipped:i quantity_received:i shipment_name shipment_status destination_fc_id receiving_gap:i created_date:d"
 query("j13_items_with_shipments", lambda s: J.items_with_shipments(s.v.shipment_item, s.v.shipment).groupBy("shipment_status").agg(F.sum("quantity_shipped").alias("units")), "shipment_status units:i", "SELECT shipment_status, sum(quantity_shipped) AS units FROM f_shipment_item LEFT JOIN f_shipment USING (shipment_id) GROUP BY 1")
@@ -254,6 +254,9 @@ def _cutover(s: Star):
 
 
 query("u4_cutover_union", _cutover, "era date:d page n:i", "SELECT era, date, page, sum(n) AS n FROM (SELECT 'old' AS era, date, regexp_extract(page_path, '(/products/[^/?#]+)', 1) AS page, event_count AS n FROM f_web_page WHERE date < DATE '1998-07-01' UNION ALL SELECT 'new', date, landing_page, sessions FROM f_web_traffic WHERE date >= DATE '1998-07-01') GROUP BY 1, 2, 3")
+_hits = lambda s: s.v.touch.select(F.when(F.col("tie_1") % 3 == 0, F.concat(F.lit("#"), "order_id")).otherwise(F.col("order_id")).alias("hit"))
+query("u5_union_of_fallback_paths", lambda s: J.multi_key_fallback_join(s.v.order.select("id", "name", "customer_id"), _hits(s), ["id", "name", "customer_id"], "hit").select("id", "hit").distinct(), "id:i hit",
+      "WITH h AS (SELECT CASE WHEN tie_1 % 3 = 0 THEN '#' || order_id ELSE order_id END AS hit FROM f_touch) SELECT o.id, h.hit FROM f_order o JOIN h ON h.hit = CAST(o.id AS VARCHAR) UNION SELECT o.id, h.hit FROM f_order o JOIN h ON h.hit = o.name UNION SELECT o.id, h.hit FROM f_order o JOIN h ON h.hit = CAST(o.customer_id AS VARCHAR)")
 query("u5_union_distinct", lambda s: s.v.order.select("customer_id").union(s.v.order.select((F.col("customer_id") + 1).alias("customer_id"))).distinct(), "customer_id:i", "SELECT customer_id FROM f_order UNION SELECT customer_id + 1 FROM f_order")
 query("u6_parity", lambda s: s.v.product(1).select("sku", "retail").exceptAll(s.v.product(2).select("sku", "retail")).unionByName(s.v.product(2).select("sku", "retail").exceptAll(s.v.product(1).select("sku", "retail"))), "sku retail:f", "(SELECT sku, retail FROM f_product_1 EXCEPT ALL SELECT sku, retail FROM f_product_2) UNION ALL (SELECT sku, retail FROM f_product_2 EXCEPT ALL SELECT sku, retail FROM f_product_1)")
 
@@ -314,15 +317,10 @@ SPECS = [
     {"type": "not_null", "table": "fact", "column": "shopify_line_id"}, {"type": "not_null", "table": "fact", "column": "sku_raw", "severity": "warn"}, {"type": "unique", "table": "fact", "column": "shopify_line_id"}, {"type": "unique", "table": "fact", "columns": ["shopify_order_id", "sku_raw"], "severity": "warn"},
     {"type": "range", "table": "fact", "column": "quantity", "min": 1, "max": 9}, {"type": "range", "table": "fact", "column": "pre_tax_price", "min": 0}, {"type": "freshness", "table": "fact", "column": "date_key", "hours": 72}, {"type": "allowed_values", "table": "fact", "column": "financial_status", "values": ["paid", "pending"]}, {"type": "row_count", "table": "fact", "min": 1},
 ]
-query("q1_check_not_null", lambda s: s.fact.agg(F.count("*").alias("checked"), F.sum(F.col("sku_raw").isNull().cast("int")).alias("failed")), "checked:i failed:i", "SELECT count(*) AS checked, sum(CASE WHEN sku_raw IS NULL THEN 1 ELSE 0 END) AS failed FROM fact")
+query("q1_check_not_null", lambda s: Q.run_checks(s.spark, SPECS[1:2], {"fact": s.fact}, ts(NOW)), "checked:i failed:i", "SELECT count(*) AS checked, sum(CASE WHEN sku_raw IS NULL THEN 1 ELSE 0 END) AS failed FROM fact")
 
 
-def _unique(s: Star):
-    n = F.col("count")
-    return s.fact.groupBy("shopify_order_id", "sku_raw").count().agg(F.sum(n).alias("checked"), F.sum(F.when(n > 1, n).otherwise(0)).alias("failed"))
-
-
-query("q2_check_unique", _unique, "checked:i failed:i", "SELECT sum(n) AS checked, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS failed FROM (SELECT count(*) AS n FROM fact GROUP BY shopify_order_id, sku_raw)")
+query("q2_check_unique", lambda s: s.spark.createDataFrame([Q.check_unique(s.fact, ["shopify_order_id", "sku_raw"])], "checked bigint, failed bigint"), "checked:i failed:i", "SELECT sum(n) AS checked, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS failed FROM (SELECT count(*) AS n FROM fact GROUP BY shopify_order_id, sku_raw)")
 query("q5_run_checks", lambda s: Q.run_checks(s.spark, SPECS, {"fact": s.fact}, ts(NOW)), "check_type column_name severity checked:i failed:i passed",
       "SELECT *, failed = 0 AS passed FROM ("
       "SELECT 'not_null' AS check_type, 'shopify_line_id' AS column_name, 'fail' AS severity, count(*) AS checked, sum((shopify_line_id IS NULL)::INT) AS failed FROM fact UNION ALL SELECT 'not_null', 'sku_raw', 'warn', count(*), sum((sku_raw IS NULL)::INT) FROM fact "
@@ -333,7 +331,7 @@ query("q7_slo_tier", lambda s: Q.pct_unresolved(s.fact, "channel_key", 0.5, 2.0)
 query("q8_report", lambda s: Q.report(Q.run_checks(s.spark, [x | {"table": t} for t in ("fact", "star") for x in SPECS[4:6]], {"fact": s.fact, "star": s.star}, ts(NOW))), "table_name checks:i passed:i pass_rate:f", "SELECT t AS table_name, 2 AS checks, p AS passed, round(100.0 * p / 2, 2) AS pass_rate FROM (SELECT 'fact' AS t, (sum((quantity < 1 OR quantity > 9)::INT) = 0)::INT + (sum((pre_tax_price < 0)::INT) = 0)::INT AS p FROM fact UNION ALL SELECT 'star', (sum((quantity < 1 OR quantity > 9)::INT) = 0)::INT + (sum((pre_tax_price < 0)::INT) = 0)::INT FROM star)")
 query("q10_iso_boundary_checks", lambda s: Q.iso_boundary_checks(R.calendar_of(s.v.order.select(F.to_date("processed_at").alias("day")).distinct())), "date_key:i iso_year:i iso_week:i cal_year:i", f"SELECT strftime(day, '%Y%m%d') AS date_key, isoyear(day) AS iso_year, week(day) AS iso_week, year(day) AS cal_year FROM ({DAYS}) WHERE isoyear(day) <> year(day)")
 query("q11_check_fk", lambda s: Q.check_fk(s.v.line, s.products, "sku", "sku"), "checked:i failed:i", "SELECT count(*) AS checked, sum((l.sku IS NOT NULL AND p.sku IS NULL)::INT) AS failed FROM f_line l LEFT JOIN dim_product p USING (sku)")
-query("q13_no_fanout", lambda s: s.v.line.agg(F.count("*").alias("before")).crossJoin(J.lookup_key(s.v.line, s.products, "sku", "sku", "product_key").agg(F.count("*").alias("after"))), "before:i after:i", "SELECT count(*) AS before, count(*) AS after FROM f_line")
+query("q13_no_fanout", lambda s: s.spark.createDataFrame([Q.assert_no_fanout(s.v.line, J.lookup_key(s.v.line, s.products, "sku", "sku", "product_key"))], "before bigint, after bigint"), "before:i after:i", "SELECT count(*) AS before, count(*) AS after FROM f_line")
 
 # ---- reconciliation and customers
 query("r1_normalize_side", lambda s: C.normalize_side(s.v.line.select(F.concat(F.lit(""), F.year("l_shipdate")).alias("iso_year"), F.concat(F.lit(" "), F.col("product_id"), F.lit(" ")).alias("vend_id"), F.col("sku").alias("raw")), ["iso_year"], "vend_id", "raw").groupBy("iso_year", "vend_id").agg(F.sum("qty").alias("qty")), "iso_year:i vend_id qty:i", "SELECT year(l_shipdate) AS iso_year, CAST(product_id AS VARCHAR) AS vend_id, sum(coalesce(TRY_CAST(sku AS BIGINT), 0)) AS qty FROM f_line GROUP BY 1, 2")
@@ -367,6 +365,7 @@ query("m1_quantity_by_style_channel_week", lambda s: _metric(s, "quantity_by_sty
 query("m1_units_dollars", lambda s: _metric(s, "units_dollars_by_sku_channel_week", 19980101, 19980331, seasons=["PROMO"]), "week_ending_date:d sku channel units_sold:i dollar_sales:f", "SELECT date_actual + (7 - iso_day_of_week) AS week_ending_date, product_sku AS sku, channel_source AS channel, sum(quantity - refunded_quantity) AS units_sold, round(sum((quantity - refunded_quantity) * pre_tax_price), 2) AS dollar_sales FROM star WHERE is_sales_attributable AND season = 'PROMO' AND date_key BETWEEN 19980101 AND 19980331 GROUP BY 1, 2, 3 HAVING sum(quantity - refunded_quantity) <> 0")
 query("m1_page_view", lambda s: _metric(s, "page_view_by_product", 19980101, 19981231), "page unique_orders:i unique_sold:i net_sales:f category", "SELECT page, sum(unique_orders) AS unique_orders, sum(unique_sold) AS unique_sold, round(CAST(sum(net_cents) AS DOUBLE) / 100, 2) AS net_sales, max(category) AS category FROM page_view WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY 1")
 query("m1_revenue_by_day", lambda s: _metric(s, "revenue_by_day", 19970101, 19971231), "day:d value:f", "SELECT day, round(CAST(revenue_cents AS DOUBLE) / 100, 2) AS value FROM sales_day WHERE date_key BETWEEN 19970101 AND 19971231")
+query("m1_aov_by_day", lambda s: _metric(s, "aov_by_day", 19970101, 19971231).withColumn("value", F.floor("value")), "day:d value:i", "SELECT day, floor(CAST(revenue_cents AS DOUBLE) / 100 / orders) AS value FROM sales_day WHERE date_key BETWEEN 19970101 AND 19971231")
 query("m1_order_count_by_day", lambda s: _metric(s, "order_count_by_day", 19970101, 19971231), "day:d value:i", "SELECT day, orders AS value FROM sales_day WHERE date_key BETWEEN 19970101 AND 19971231")
 query("m1_ad_spend_by_day", lambda s: _metric(s, "ad_spend_by_day", 20240101, 20240102), "day:d channel value:f", "SELECT day, channel, round(CAST(spend_cents AS DOUBLE) / 100, 2) AS value FROM ads_day WHERE date_key BETWEEN 20240101 AND 20240102")
 query("m1_roas_by_channel", lambda s: _metric(s, "roas_by_channel", 20240101, 20240102), "channel value:f", "SELECT channel, round(CAST(sum(revenue_cents) AS DOUBLE) / nullif(CAST(sum(spend_cents) AS DOUBLE), 0), 4) AS value FROM ads_day WHERE date_key BETWEEN 20240101 AND 20240102 GROUP BY 1")
@@ -396,7 +395,7 @@ query("v8_receiving_kpi", lambda s: V.receiving_kpi(s.receiving), "shipments:i s
 query("v9_revenue_30_days", lambda s: V.revenue_30_days(s.sales_day, "2000-06-30"), "revenue:f mean_aov:f latest_day", "SELECT round(CAST(sum(revenue_cents) AS DOUBLE) / 100, 2) AS revenue, round(avg(CAST(revenue_cents AS DOUBLE) / orders / 100), 3) AS mean_aov, strftime(max(day), '%Y-%m-%d') AS latest_day FROM sales_day WHERE day BETWEEN DATE '2000-06-01' AND DATE '2000-06-30'")
 query("v10_spend_matrix", lambda s: V.spend_matrix(s.ads_day, ["ch0", "ch1", "ch2", "ch3"]), "day:d ch0:f ch1:f ch2:f ch3:f", "SELECT day, " + ", ".join(f"round(CAST(coalesce(sum(CASE WHEN channel = 'ch{n}' THEN spend_cents END), 0) AS DOUBLE) / 100, 2) AS ch{n}" for n in range(4)) + " FROM ads_day GROUP BY 1")
 A90, B90 = V.date_preset("90d", datetime.date(2000, 6, 30))
-query("v11_date_preset", lambda s: s.sales_day.where(F.col("day").between(F.lit(A90), F.lit(B90))).select("day", "orders"), "day:d orders:i", f"SELECT day, orders FROM sales_day WHERE day BETWEEN DATE '{A90}' AND DATE '{B90}'")
+query("v11_date_preset", lambda s: s.sales_day.where(F.col("day").between(F.lit(A90), F.lit(B90))).select("day", "orders"), "day:d orders:i", f"SELECT day, orders FROM sales_day WHERE day BETWEEN DATE '2000-04-02' AND DATE '2000-06-30'")
 
 # ---- stream operators on static frames, and composite builds
 query("st1_dedup", lambda s: ST.dedup_stream(s.v.ads_stream.unionByName(s.v.ads_stream.where("spend_cents % 5 = 0").withColumn("event_time", F.col("event_time") + F.expr("interval 30 seconds"))), "ad_event_id"), "ad_event_id order_id channel spend_cents:i event_time:t", "SELECT * FROM f_ads_stream")

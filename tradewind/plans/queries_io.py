@@ -12,7 +12,7 @@ from tradewind.operators import windows as W
 from tradewind.plans import metrics as M
 from tradewind.plans import pipelines as L
 from tradewind.plans.pipelines import Star
-from tradewind.plans.queries import FLAGS, GRAIN, NOW, WINDOWS, _ranking, _sides, ts
+from tradewind.plans.queries import FLAGS, GRAIN, HISTORY, NOW, WINDOWS, _ranking, _sides, ts
 from tradewind.plans.registry import query
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
@@ -162,3 +162,44 @@ query("st8_upsert_gold", lambda s: W.latest_window_per_channel(_upserted(s)), "c
 query("st10_stream_status", lambda s: A.dedup_check(_stream(s), "ad_event_id"), "rows:i distinct_keys:i", "SELECT count(*) AS rows, count(DISTINCT ad_event_id) AS distinct_keys FROM f_ads_stream")
 query("f13_f14_names", lambda s: s.v.edges.select(S.short_name(F.col("source")).alias("name")).distinct().withColumn("layer", S.layer(F.col("name"))), "name layer:i", "SELECT DISTINCT substr(source, 5) AS name, CASE WHEN source LIKE 'cat.raw%' THEN 0 ELSE 2 END AS layer FROM f_edges")
 query("g4_build_cohort", lambda s: L.build_cohort(s.v.order)[1], "cohort_month:d period_index:i active_customers:i retention_rate:f", "SELECT cohort_month, period_index, active_customers, round(active_customers / cohort_size, 4) AS retention_rate FROM retention")
+
+
+def _anomalies(s: Star):
+    """The chain of the ad stream in two batches, the second held against the last hour of the first."""
+    path = K.scratch(s.spark, "gold")
+    middle = s.windows.agg(F.expr("date_format(date_trunc('HOUR', min(window_start) + (max(window_start) - min(window_start)) / 2), 'yyyy-MM-dd HH:mm:ss')")).first()[0]
+    write = ST.gold_upserter(path, ts(middle))
+    for n, part in enumerate((F.col("window_start") < ts(middle), F.col("window_start") >= ts(middle))):
+        write(s.windows.where(part), n)
+    return s.spark.read.parquet(path)
+
+
+MIDDLE = "WITH mid AS (SELECT date_trunc('hour', min(window_start) + (max(window_start) - min(window_start)) / 2) AS t FROM windows), base AS (SELECT channel, avg(roas) AS b, count(*) AS n FROM windows, mid WHERE window_start < t AND window_start >= t - INTERVAL 60 MINUTE GROUP BY 1)"
+query("g10_stream_anomaly", _anomalies, WINDOWS + " is_anomaly", f"{MIDDLE} SELECT w.*, w.window_start >= t AND coalesce(w.spend_cents >= 2000 AND n >= 3 AND w.roas < b * 0.5, false) AS is_anomaly FROM windows w CROSS JOIN mid LEFT JOIN base USING (channel)")
+
+
+def _late(s: Star):
+    """Ads in three micro-batches; of the third, those two hours older than the newest of the first are too late (a batch
+    holds its rows against the watermark before the last one's)."""
+    src, out, mark = (K.scratch(s.spark, x) for x in ("json", "silver", "mark"))
+    ads = s.v.ads_stream
+    for part in ("spend_cents % 3 = 0", "spend_cents % 3 = 1", "spend_cents % 3 = 2"):
+        ads.where(part).coalesce(1).write.mode("append").json(src)
+    stream = s.spark.readStream.schema(ads.schema).option("maxFilesPerTrigger", 1).json(src)
+    ST.stream_to_table(ST.dedup_stream(stream, "ad_event_id", "2 hours"), out, mark).awaitTermination()
+    return s.spark.read.schema(ads.schema).parquet(out)
+
+
+query("st9_late_events", _late, ADS, "SELECT a.* FROM f_ads_stream a, (SELECT max(event_time) - INTERVAL 2 HOUR AS w FROM f_ads_stream WHERE spend_cents % 3 = 0) WHERE spend_cents % 3 < 2 OR event_time > w")
+query("st3_event_time_watermark", lambda s: A.ad_channel_summary(_late(s)), "channel ads:i spend:f attributed:i", "SELECT channel, count(*) AS ads, round(CAST(sum(spend_cents) AS DOUBLE) / 100, 2) AS spend, count(order_id) AS attributed FROM f_ads_stream a, (SELECT max(event_time) - INTERVAL 2 HOUR AS w FROM f_ads_stream WHERE spend_cents % 3 = 0) WHERE spend_cents % 3 < 2 OR event_time > w GROUP BY 1")
+
+
+def _product_history(s: Star):
+    """The product dimension with history, built from two deliveries."""
+    first = L.build_dim_product_scd2(s.v.product(1), None, ts("1996-01-01 00:00:00"))
+    return L.build_dim_product_scd2(s.v.product(2), first, ts("1998-06-01 00:00:00")).where("product_key > 0")
+
+
+query("g2_build_dim_product_scd2", _product_history, HISTORY, "SELECT * FROM history_2")
+RUN_SPECS = [{"type": "unique", "table": "fact_orders_line", "column": "shopify_line_id"}, {"type": "row_count", "table": "fact_orders_line", "min": 1}]
+query("g11_daily_run", lambda s: L.daily_run(s.spark, s.v.sf_dir, K.scratch(s.spark, "daily"), RUN_SPECS), "run_date fact_row_count:i dq_summary delta:i", "SELECT '2000-12-31' AS run_date, count(*) AS fact_row_count, '2/2' AS dq_summary, 0 AS delta FROM fact")

@@ -16,8 +16,9 @@ def overwrite_table(df: DataFrame, path: str) -> None:
 
 
 def overwrite_partitioned(df: DataFrame, path: str, columns: list[str], parts: int | None = None) -> None:
-    """Full replacement partitioned by columns; rows of a partition are brought together, so that files stay few."""
-    df = df.repartition(parts, *columns) if parts else df.repartition(*columns)
+    """Full replacement partitioned by columns; rows of a partition are brought together, so that files stay few, and those
+    of a large one are split over tasks."""
+    df = df.repartition(parts, *columns) if parts else df.hint("rebalance", *columns)
     df.write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
