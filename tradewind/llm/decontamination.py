@@ -196,8 +196,8 @@ def _document_windows(widths: list[int], wanted):
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, filters = _Known(), {}
         for key, values in (wanted.value if wanted is not None else {}).items():
-            table = np.zeros(1 << 22, dtype=bool)
-            table[values >> np.uint64(42)] = True
+            table = np.zeros(1 << 20, dtype=bool)
+            table[values >> np.uint64(44)] = True
             filters[key] = (table, values)
 
         def likely(mode: int, width: int, hashes: np.ndarray) -> np.ndarray:
@@ -206,13 +206,13 @@ def _document_windows(widths: list[int], wanted):
             if (min(mode, PLACED), width) not in filters:
                 return np.arange(0)
             table, values = filters[min(mode, PLACED), width]
-            at = np.flatnonzero(table[hashes >> np.uint64(42)])
+            at = np.flatnonzero(table[hashes >> np.uint64(44)])
             near = np.minimum(np.searchsorted(values, hashes[at]), len(values) - 1)
             return at[values[near] == hashes[at]]
 
         def found(ids: list, ths: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
             nonlocal known
-            if len(known) > CHUNK:
+            if len(known) > CHUNK // 2:
                 known = _Known()
             words, ids, ths = Words(texts, known), np.array([x or 0 for x in ids], np.int64), np.array(ths, np.int64)
             none = np.array([x is None for x in ids])
