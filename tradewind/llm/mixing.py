@@ -133,7 +133,8 @@ def deal(owned: DataFrame, seed: int) -> DataFrame:
     total = sum(of.values())
     size = max(1, min(SLOTS_PER_SHARD, -(-total // LEAST_SHARDS)))
     chances = [of.get(k, 0) for k in range(max(of, default=-1) + 1)]
-    drawn = spark.range(-(-total // size)).mapInPandas(_shares(seed, size, total, chances), "shard bigint, group bigint, n bigint")
+    # written, so that a task has one Python worker at a time
+    drawn = stored(spark.range(-(-total // size)).mapInPandas(_shares(seed, size, total, chances), "shard bigint, group bigint, n bigint"), "shares")
     drawn = drawn.join(groups.select("group", "members"), "group").mapInPandas(_within(seed), "shard bigint, source_id bigint, n bigint")
     drawn = stored(with_running_sum(stored(drawn, "drawn"), [F.col("source_id"), F.col("shard")], "n", "at"), "running")
     per_source = stored(drawn.groupBy("source_id").agg(F.min("at").alias("begin"), F.sum("n").alias("drawn")), "per-source")
