@@ -1,13 +1,16 @@
+import os
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_quality_simhash import _brute_components, _brute_print
 from tradewind.llm import queries
-from tradewind.llm.common import stored
+from tradewind.llm.common import intermediates, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,8 +42,39 @@ def test_stages_agree_with_plain_python(spark):
     assert whole & {(r["doc_id"], r["ids_crc32"]) for r in final}
 
 
-def test_run_is_the_stages(spark):
-    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+def test_run_is_the_stages_and_leaves_its_result_only(spark):
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before}
+    assert left == {"corpus", "token-shards"}
+
+
+def test_intermediates_go_when_the_work_fails(spark):
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    with pytest.raises(ZeroDivisionError), intermediates(spark):
+        stored(spark.range(3), "failing")
+        with intermediates(spark):
+            stored(spark.range(3), "inner")
+        assert [x for x in os.listdir(shared) if x.startswith("failing")] and not [x for x in os.listdir(shared) if x.startswith("inner")]
+        1 / 0
+    assert not [x for x in os.listdir(shared) if x.startswith("failing")]
+
+
+@pytest.mark.parametrize("name", sorted(queries.PARTS))
+def test_parts_equal_their_sql(spark, name, tmp_path):
+    full = f"{SF}/documents.parquet"
+    docs = spark.read.parquet(full)
+    odd = [(900, None, "en", "a", 0), (901, "", "en", "a", 0), (902, "w " * 9000, "en", None, 9), (902, "w " * 9000, "en", None, 9), (903, " \n\n # \u00e9\U0001f600 x\n # \u00e9\U0001f600 x", "en", "\u00e9", 9)]
+    docs.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string, lang string, source string, n_chars bigint").select(docs.columns)).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, files in ((SF, full), (str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+        found = con.execute(queries.ORACLES[name])
+        columns = [d[0] for d in found.description]
+        got = queries.PARTS[name](spark, folder).select(columns)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(found.fetchall(), key=repr)
 
 
 def test_all_ten_are_registered():

@@ -6,6 +6,8 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 _OWN: dict[str, str] = {}
+#: Paths of the tables that `stored` wrote, for each `intermediates` that is open.
+_WRITTEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +43,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder; this cuts the lineage, and lost executors lose nothing."""
     path = new_folder(df.sparkSession, name)
+    for paths in _WRITTEN[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that `stored` writes inside once the block ends: what reads them has to be written by then."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            remove(spark, path)
+
+
 def constant(values: list, kind: str) -> Column:
     """A bounded list from the driver as one array constant of the plan."""
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")

@@ -170,17 +170,25 @@ def equal_rows():
     return Window.partitionBy("doc_id", "th", "skey").orderBy("skey")
 
 
-def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(sources, pieces): pieces has a row for each run of a document's words that a slot takes (epoch, shard, slot, from, to),
-    and one with nulls for a document of which nothing is taken. Columns doc_id, th, skey, rep, size tell documents apart."""
-    rows = docs.withColumns(row_key(docs)).select("doc_id", "skey", "th", "source", word_count().alias("size"))
-    rows = stored(rows, "sizes")
-    rows = rows.withColumn("rep", F.row_number().over(equal_rows()))
+def source_targets(rows: DataFrame) -> DataFrame:
+    """skey, source, source_id (by code point, null last), weight, size and target of each source of rows with skey, source, size."""
     per_source = rows.groupBy("skey").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
     weight = F.get(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.col("source_id"), F.lit(len(WEIGHTS))).cast("int"))
     numbered = with_global_index(per_source, [F.col("source").asc_nulls_last()], "source_id").withColumn("weight", weight)
     total = numbered.agg(F.sum("size")).first()[0] or 0
-    sources = stored(targets(numbered, SHARE * total), "targets")
+    return stored(targets(numbered, SHARE * total), "targets")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, skey, th, source and size (words) of each document."""
+    return docs.withColumns(row_key(docs)).select("doc_id", "skey", "th", "source", word_count().alias("size"))
+
+
+def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(sources, pieces): pieces has a row for each run of a document's words that a slot takes (epoch, shard, slot, from, to),
+    and one with nulls for a document of which nothing is taken. Columns doc_id, th, skey, rep, size tell documents apart."""
+    rows = stored(sizes(docs), "sizes").withColumn("rep", F.row_number().over(equal_rows()))
+    sources = source_targets(rows)
     owned = stored(sources.select("source_id", "size", "target").mapInPandas(_owned(seed, block), "source_id bigint, blocks bigint, key bigint, slots bigint, last bigint"), "owned")
     # tables of their own, so that Spark knows how large they are when it chooses a join
     dealt = stored(deal(owned.select("source_id", "slots"), seed), "dealt").join(owned, "source_id")

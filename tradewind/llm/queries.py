@@ -85,7 +85,36 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 sets each source as its target."""
+    from tradewind.llm.mixing import sizes, source_targets
+
+    found = source_targets(sizes(_table(spark, sf_dir, "documents")))
+    return found.select("source", F.col("weight").cast("bigint").alias("weight"), F.col("size").alias("source_size"), F.round("target", 3).alias("target"))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that op6 starts from."""
+    from tradewind.llm.quality import BASE, base_failed, statistics
+
+    return statistics(_table(spark, sf_dir, "documents")).select("doc_id", *BASE, base_failed().alias("base_failed"))
+
+
+def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of op9's shards as a whole: nothing lost, slots without gaps, bytes within the largest row of the mean."""
+    from tradewind.llm.sharding import shard_documents
+
+    sharded = shard_documents(_table(spark, sf_dir, "documents"), 16)
+    last = F.max("slot").alias("last")
+    shards = sharded.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.countDistinct("slot").alias("slots"), last)
+    total = shards.agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.max("largest").alias("largest_row"), F.min((F.col("n") == F.col("slots")) & (F.col("last") == F.col("n") - 1)).alias("gapless"), F.max("bytes").alias("most"), F.min("bytes").alias("least"))
+    even = (F.col("most") - F.col("bytes") / 16 <= F.col("largest_row")) & (F.col("bytes") / 16 - F.col("least") <= F.col("largest_row"))
+    return total.select("rows", "bytes", "largest_row", "gapless", even.alias("even"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op3_line_dedup, op4_extract_main_text, op5_mix_sources, op6_quality_rules, op7_decontaminate, op8_language_id, op9_sampled_splitters, op10_simhash_components)}
+#: Parts of operators' results that SQL can express where it can't express the whole.
+PARTS = {f.__name__: f for f in (mix_targets, quality_base_counts, shard_totals)}
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: op1: of equal payloads of 1000 bytes or more, the one of the largest page_id is the response.
@@ -111,4 +140,36 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS t
 FROM documents d LEFT JOIN all_lines a USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_warc_capture_index": WARC_SQL, "op3_line_dedup": LINES_SQL}
+#: The targets of op5: by size over weight, the first k sources stop at twice their size, and the rest share what is left;
+#: k is the least for which none of the rest is above its own limit.
+TARGETS_SQL = f"""
+WITH s AS (SELECT source, sum(coalesce(len(regexp_extract_all(text, '{WORD}')), 0)) AS size FROM documents GROUP BY 1),
+n AS (SELECT source, CAST(size AS BIGINT) AS size, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY size / weight, source) AS k, 2.0::DOUBLE * size / weight AS stop FROM n),
+c AS (SELECT *, coalesce(sum(2 * size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight FROM o),
+f AS (SELECT min(k) AS k, min_by(level, k) AS level FROM (SELECT k, stop, (1.5::DOUBLE * (SELECT sum(size) FROM n) - capped) / left_weight AS level FROM c) WHERE level <= stop)
+SELECT source, CAST(weight AS BIGINT) AS weight, size AS source_size, round(CASE WHEN f.k IS NULL OR o.k < f.k THEN CAST(2 * size AS DOUBLE) ELSE f.level * weight END, 3) AS target FROM o CROSS JOIN f
+"""
+
+#: The counts of op6: a word counts once, in however many repeated windows it is.
+BASE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words FROM d),
+t AS (SELECT r, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w WHERE len(words) > 4),
+g AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS part FROM t),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, part) AS n FROM g) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(5) x(k) GROUP BY r),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '{WORD}') GROUP BY r)
+SELECT doc_id, len(words) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+  len(words) < 10 OR 100 * coalesce(covered.n, 0) > 20 * len(words) AS base_failed
+FROM w LEFT JOIN dup USING (r) LEFT JOIN covered USING (r)
+"""
+
+SHARDS_SQL = """
+WITH s AS (SELECT octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents)
+SELECT count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes, CAST(max(size) AS BIGINT) AS largest_row, true AS gapless, true AS even FROM s
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_capture_index": WARC_SQL, "op3_line_dedup": LINES_SQL, "mix_targets": TARGETS_SQL, "quality_base_counts": BASE_SQL, "shard_totals": SHARDS_SQL}
