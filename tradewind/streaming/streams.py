@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tradewind.operators.windows import latest_by_key
-from tradewind.sources.sinks import replace_table, upsert
+from tradewind.sources.sinks import replace_where, upsert
 
 MIN_SPEND_CENTS, MIN_WINDOWS, FACTOR, LOOKBACK_MINUTES = 2000, 3, 0.5, 60
 
@@ -49,7 +49,10 @@ def windowed_roas(df: DataFrame, size: str = "5 minutes", slide: str = "1 minute
 
 def channel_baseline(gold: DataFrame, now: Column, minutes: int = LOOKBACK_MINUTES) -> DataFrame:
     """Mean ratio and number of the channel's windows without anomaly in the last minutes."""
-    rows = gold.where(~F.col("is_anomaly") & (F.col("window_start") >= now - F.make_dt_interval(mins=F.lit(minutes))))
+    since = now - F.make_dt_interval(mins=F.lit(minutes))
+    rows = gold.where(~F.col("is_anomaly") & (F.col("window_start") >= since))
+    if "window_day" in gold.columns:  # by which the table is partitioned: the other days aren't read
+        rows = rows.where(F.col("window_day") >= F.to_date(since))
     return rows.groupBy("channel").agg(F.avg("roas").alias("baseline_roas"), F.count("*").alias("baseline_n"))
 
 
@@ -70,19 +73,26 @@ def stream_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "back
 
 
 def gold_upserter(path: str, now: Column):
-    """A foreachBatch body: flags a batch's windows against the gold table so far and upserts them; idempotent by key."""
+    """A foreachBatch body: flags a batch's windows against the gold table so far and upserts them; idempotent by key.
+
+    The table is partitioned by the day of the windows (window_day). A batch reads and rewrites the days that it has, so its
+    cost doesn't grow with the history; days are replaced when the rewritten ones are complete."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        rows = latest_by_key(batch, ["channel", "window_start"], ["window_end"])
+        day = F.to_date("window_start").alias("window_day")
+        rows = latest_by_key(batch, ["channel", "window_start"], ["window_end"]).withColumn("window_day", day).persist()
         jvm = spark.sparkContext._jvm
         there = jvm.org.apache.hadoop.fs.Path(path)
         exists = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
-        gold = spark.read.parquet(path) if exists else rows.withColumn("is_anomaly", F.lit(False)).limit(0)
+        gold = rows.withColumn("is_anomaly", F.lit(False))
+        gold = spark.read.schema(gold.schema).parquet(path) if exists else gold.limit(0)
         flagged = flag_anomaly(rows, channel_baseline(gold, now)).select(*rows.columns, "is_anomaly")
-        replace_table(upsert(gold, flagged, ["channel", "window_start"]), path)
+        touched = gold.join(rows.select("window_day").distinct(), "window_day", "left_semi")
+        replace_where(upsert(touched, flagged, ["channel", "window_start"], check=False), path, "window_day")
+        rows.unpersist()
 
     return write
 
