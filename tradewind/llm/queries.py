@@ -85,6 +85,16 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tradewind.llm.alignment import align_documents
+
+    groups = lambda: F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    aligned = align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op5 sets each source as its target."""
     from tradewind.llm.mixing import sizes, source_targets
@@ -112,7 +122,7 @@ def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("rows", "bytes", "largest_row", "gapless", even.alias("even"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op3_line_dedup, op4_extract_main_text, op5_mix_sources, op6_quality_rules, op7_decontaminate, op8_language_id, op9_sampled_splitters, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op3_line_dedup, op4_extract_main_text, op5_mix_sources, op6_quality_rules, op7_decontaminate, op8_language_id, op9_sampled_splitters, op10_simhash_components, op13_align_tokenizers)}
 #: Parts of operators' results that SQL can express where it can't express the whole.
 PARTS = {f.__name__: f for f in (mix_targets, quality_base_counts, shard_totals)}
 WORD = r"[^\x20\x09-\x0D]+"
