@@ -85,6 +85,33 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """docs with the periods that op12's contract plants: from word a on, the words a, a + 1, ... a + p - 1 again and again."""
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    df = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.size("w")
+    df = df.withColumn("a", F.when(n > 0, F.col("g") % n))
+    df = df.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = F.array_join(F.transform("w", lambda _, i: F.get("w", at(i))), " ")
+    return df.select("doc_id", F.when(F.col("p").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.periodic import periodic_runs
+
+    found = periodic_runs(planted_periods(_table(spark, sf_dir, "documents")))
+    more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate("runs", F.get("runs", 0), lambda y, x: F.when(more(x, y), x).otherwise(y))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"], F.lit("\n"))))
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.array_join(lines, "").alias("said"), "collapsed")
+    return found.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("said", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -122,7 +149,7 @@ def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("rows", "bytes", "largest_row", "gapless", even.alias("even"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op3_line_dedup, op4_extract_main_text, op5_mix_sources, op6_quality_rules, op7_decontaminate, op8_language_id, op9_sampled_splitters, op10_simhash_components, op13_align_tokenizers)}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op3_line_dedup, op4_extract_main_text, op5_mix_sources, op6_quality_rules, op7_decontaminate, op8_language_id, op9_sampled_splitters, op10_simhash_components, op12_periodic_runs, op13_align_tokenizers)}
 #: Parts of operators' results that SQL can express where it can't express the whole.
 PARTS = {f.__name__: f for f in (mix_targets, quality_base_counts, shard_totals)}
 WORD = r"[^\x20\x09-\x0D]+"
