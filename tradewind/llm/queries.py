@@ -85,6 +85,24 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The rules of op11's contract.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.urls import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op11's rules decide before its trees do."""
+    from tradewind.llm.urls import by_rules, url_parts
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url").withColumns(url_parts(F.col("url"))).withColumn("found", by_rules(URL_RULES))
+    return pages.select("page_id", "host", "path", "found.rule", "found.verdict")
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """docs with the periods that op12's contract plants: from word a on, the words a, a + 1, ... a + p - 1 again and again."""
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
@@ -149,9 +167,9 @@ def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("rows", "bytes", "largest_row", "gapless", even.alias("even"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op3_line_dedup, op4_extract_main_text, op5_mix_sources, op6_quality_rules, op7_decontaminate, op8_language_id, op9_sampled_splitters, op10_simhash_components, op12_periodic_runs, op13_align_tokenizers)}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_token_sstable, op3_line_dedup, op4_extract_main_text, op5_mix_sources, op6_quality_rules, op7_decontaminate, op8_language_id, op9_sampled_splitters, op10_simhash_components, op11_url_filter, op12_periodic_runs, op13_align_tokenizers)}
 #: Parts of operators' results that SQL can express where it can't express the whole.
-PARTS = {f.__name__: f for f in (mix_targets, quality_base_counts, shard_totals)}
+PARTS = {f.__name__: f for f in (mix_targets, quality_base_counts, shard_totals, url_rules)}
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: op1: of equal payloads of 1000 bytes or more, the one of the largest page_id is the response.
@@ -209,4 +227,14 @@ WITH s AS (SELECT octet_length(encode(coalesce(text, ''))) + 1 AS size FROM docu
 SELECT count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes, CAST(max(size) AS BIGINT) AS largest_row, true AS gapless, true AS even FROM s
 """
 
-ORACLES: dict[str, str] = {"op1_warc_capture_index": WARC_SQL, "op3_line_dedup": LINES_SQL, "mix_targets": TARGETS_SQL, "quality_base_counts": BASE_SQL, "shard_totals": SHARDS_SQL}
+#: What the rules of op11 decide: of those that fit, the longest.
+RULES_SQL = """
+WITH r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) x(rule_host, rule_path, verdict)),
+p AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+f AS (SELECT page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(verdict, length(rule_host || rule_path)) AS verdict FROM u JOIN r
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT u.page_id, host, path, f.rule, f.verdict FROM u LEFT JOIN f USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_capture_index": WARC_SQL, "op3_line_dedup": LINES_SQL, "mix_targets": TARGETS_SQL, "quality_base_counts": BASE_SQL, "shard_totals": SHARDS_SQL, "url_rules": RULES_SQL}
