@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions import scalars as S
+from tradewind.operators.ranges import cut
+from tradewind.sources.sinks import stored
 
 NET = "quantity - refunded_quantity"
 STYLE_KEYS = ["iso_year", "iso_week", "vend_id", "item_description", "season", "channel_source", "channel_group"]
@@ -127,10 +132,31 @@ def daily_basket_metrics(lines: DataFrame) -> DataFrame:
     return per_order.groupBy("day").agg(F.count("*").alias("orders"), mean("units").alias("units_per_order"), mean("skus").alias("skus_per_order"), mean("styles").alias("styles_per_order"), F.round(F.sum("cents").cast("double") / F.count("*") / 100, 8).alias("order_value"))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of a key's values, by name; nulls don't count.
+
+    Values are counted first, then ranged by key and value with counts carried over the borders, and a quantile is where the
+    running count passes its rank: a key with very many values is spread over many tasks. n is the number of values.
+    """
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), "values")
+    r = cut(counts, keys, [value])
+    upto = r.rows.withColumn("__upto", F.sum("__n").over(r.window().rowsBetween(Window.unboundedPreceding, 0)))
+    upto = r.with_carried(upto, {"n": F.sum("__n")}, {"n": F.sum("n")}).withColumn("__upto", F.col("__upto") + F.coalesce("__before_n", F.lit(0)))
+    totals = df.groupBy(*keys).agg(F.count(value).alias("n")).select(*[F.col(k).alias(f"__k_{k}") for k in keys], "n")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    rank = lambda p: (F.col("n") - 1) * F.lit(p)
+    passed = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col(value)))
+    bounds = [x for name, p in at.items() for x in (passed(F.floor(rank(p))).alias(f"__low_{name}"), passed(F.ceil(rank(p))).alias(f"__high_{name}"))]
+    found = totals.join(upto, same, "left").groupBy(*[F.col(f"__k_{k}").alias(k) for k in keys], "n").agg(*bounds)
+    between = lambda name, p: F.col(f"__low_{name}") + (rank(p) - F.floor(rank(p))) * (F.col(f"__high_{name}") - F.col(f"__low_{name}"))
+    return found.select(*keys, "n", *[between(name, p).alias(name) for name, p in at.items()])
+
+
 def daily_quantiles(orders: DataFrame, day: str, cents: str) -> DataFrame:
     """Exact interpolated quartiles, median and 90th percentile of order values."""
     at = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
-    return orders.groupBy(day).agg(*[F.round(F.percentile(cents, p) / 100, 4).alias(n) for n, p in at.items()])
+    found = exact_quantiles(orders, [day], cents, at)
+    return found.select(day, *[F.round(F.col(n) / 100, 4).alias(n) for n in at])
 
 
 def freight_cost(freight: DataFrame, orders: DataFrame) -> DataFrame:

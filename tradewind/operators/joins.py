@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.operators.ranges import cut
 from tradewind.operators.windows import latest_by_key
 
 
@@ -82,10 +83,25 @@ def as_of_point(history: DataFrame, key: str, value, at) -> DataFrame:
 
 
 def as_of_join(facts: DataFrame, history: DataFrame, key: str, time: str) -> DataFrame:
-    """Each fact with the version of its key valid at its time; an equi-join on the key with the range as a residue."""
-    versions = history.select(F.col(key).alias("__k"), *[F.col(c).alias(f"v_{c}") for c in history.columns if c != key])
-    valid = (F.col("v_effective_from") <= F.col(time)) & (F.col(time) < F.col("v_effective_to"))
-    return facts.join(versions, (F.col(key) == F.col("__k")) & valid, "left").drop("__k")
+    """Each fact with the version of its key (as v_ columns) that began last before or at its time and has not ended by then.
+
+    No join: facts and the starts of versions are one table in order of key and time, and the last version is carried to the
+    facts after it; a hot key is cut into ranges of time, into which its last version so far is carried. Versions of a key
+    must not overlap.
+    """
+    columns = [c for c in history.columns if c != key]
+    version = F.struct(*[F.col(c).alias(f"v_{c}") for c in columns])
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("__at")
+    starts = history.where(F.col(key).isNotNull() & F.col("effective_from").isNotNull()).select(F.col(key).alias("__key"), at("effective_from"), F.lit(0).alias("__kind"), F.lit(0).cast("bigint").alias("__tie"), version.alias("__v"))
+    rows = facts.select(F.col(key).alias("__key"), at(time), F.lit(1).alias("__kind"), F.xxhash64(*facts.columns).alias("__tie"), F.struct(*facts.columns).alias("__fact"))
+    r = cut(starts.unionByName(rows, allowMissingColumns=True), ["__key"], ["__at", "__kind", "__tie"])
+    carried = F.last("__v", ignorenulls=True)
+    found = r.rows.withColumn("__in", carried.over(r.window().rowsBetween(Window.unboundedPreceding, 0))).where("__kind = 1")
+    found = r.with_carried(found, {"v": F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct("__at", "__tie")))}, {"v": F.last("v", ignorenulls=True)})
+    last = F.coalesce("__in", "__before_v")
+    open_ = F.col("__key").isNotNull() & (F.col("__at") < F.unix_micros(F.col("__last.v_effective_to")))
+    found = found.withColumn("__last", last).withColumn("__last", F.when(open_, F.col("__last")))
+    return found.select("__fact.*", *[F.col(f"__last.v_{c}").alias(f"v_{c}") for c in columns])
 
 
 def items_with_shipments(items: DataFrame, shipments: DataFrame) -> DataFrame:

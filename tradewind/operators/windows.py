@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.operators.ranges import numbered, numbered_whole
+
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is last by the order columns, nulls first; the limit on the number is pushed into the sort."""
@@ -19,33 +21,14 @@ def last_touch(touches: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def surrogate_key(df: DataFrame, order: str, name: str, above: int | Column = 0) -> DataFrame:
-    """Numbers from above + 1 in the order of a unique column, without one task for all rows.
-
-    Values are ranged into buckets by sampled quantiles; a bucket's rows are numbered apart, and the bucket counts, one
-    row a bucket, give the offsets.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = df.count()
-    if n <= 100_000:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(order)) + above).cast("int"))
-    cuts = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).sample(min(1.0, 200 * parts / n), 7).collect())
-    cuts = sorted({cuts[k * len(cuts) // parts] for k in range(1, parts)}) if cuts else []
-    bucket = F.lit(0)
-    for k, cut in enumerate(cuts, 1):
-        bucket = F.when(F.col(order) >= F.lit(cut), k).otherwise(bucket)
-    rows = df.withColumn("__b", bucket)
-    counts = rows.groupBy("__b").count()
-    before = counts.withColumn("__o", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__b", "__o")
-    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy(order)))
-    return numbered.join(before, "__b").withColumn(name, (F.col("__n") + F.col("__o") + above).cast("int")).drop("__b", "__n", "__o")
+    """Numbers from above + 1 in the order of a unique column, as bigint: ranges are numbered apart, their counts are the offsets."""
+    return numbered_whole(df, [order], name, above)
 
 
 def order_sequence(orders: DataFrame) -> DataFrame:
-    """order_seq within the customer, and cohort_month: the month of the first order."""
-    w = Window.partitionBy("customer_id")
+    """order_seq within the customer, and cohort_month: the month of the first order. A customer with very many orders is cut into ranges of time."""
     month = F.to_date(F.date_trunc("MONTH", F.col("created_at")))
-    return orders.withColumns({"order_month": month, "order_seq": F.row_number().over(w.orderBy("created_at", "id")), "cohort_month": F.min(month).over(w)})
+    return numbered(orders.withColumn("order_month", month), ["customer_id"], ["created_at", "id"], "order_seq", {"cohort_month": "order_month"})
 
 
 def latest_snapshot_by_update(df: DataFrame, day: str, updated: str) -> DataFrame:

@@ -11,12 +11,13 @@ from tradewind.fixtures import GROUPS, Views
 from tradewind.functions import scalars as S
 from tradewind.operators import aggregates as A
 from tradewind.operators import filters as P
+from tradewind.operators import history as H
 from tradewind.operators import joins as J
 from tradewind.operators import quality as Q
-from tradewind.operators import scd as D
 from tradewind.operators import windows as W
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
+from tradewind.sources import tables as T
 from tradewind.streaming import streams as ST
 
 START, END = "1996-01-01", "2000-12-31"
@@ -35,11 +36,15 @@ def build_dim_product(raw: DataFrame) -> DataFrame:
     return unknown.unionByName(keyed)
 
 
-def build_dim_product_scd2(raw: DataFrame, history: DataFrame | None, at: Column, tracked: list[str] | None = None) -> DataFrame:
-    """Product dimension with history after a delivery: keyed and deduplicated, merged as of a time, with the unknown member."""
+def build_dim_product_scd2(raw: DataFrame, path: str, at: Column, tracked: list[str] | None = None) -> DataFrame:
+    """Product dimension with history at a path after a delivery: keyed and deduplicated, merged as of a time, with the unknown member."""
     rows = P.drop_missing_key(raw, "sku").withColumn("sku", F.trim("sku"))
-    rows, tracked = W.latest_by_key(rows, ["sku"], ["key"]), tracked or ["season", "retail"]
-    return D.seed_unknown(D.seed_history(rows, "sku", tracked, at), "sku") if history is None else D.merge(history, rows, "sku", tracked, at)
+    rows, history = W.latest_by_key(rows, ["sku"], ["key"]), H.open_history(raw.sparkSession, path)
+    if history is None:
+        history = H.History.begin(rows, path, "sku", tracked or ["season", "retail"], at, unknown=True)
+    else:
+        history.merge(rows, at)
+    return history.all_versions()
 
 
 def build_fact(v: Views, dates: DataFrame, products: DataFrame, channels: DataFrame, since: str | None = None, metafield: DataFrame | None = None, start: str = START, end: str = END) -> DataFrame:
@@ -215,7 +220,7 @@ def sales_order_clean(orders: DataFrame, metafield: DataFrame) -> DataFrame:
 
 def watermark_read(spark: SparkSession, path: str, table: str) -> str | None:
     """The table's watermark, None before the first build."""
-    state = R.table_or_default(spark, path)
+    state = T.read_state(spark, path)
     row = state.where(F.col("table_name") == table).first() if state is not None else None
     return row["last_watermark"] if row else None
 
@@ -223,11 +228,8 @@ def watermark_read(spark: SparkSession, path: str, table: str) -> str | None:
 def watermark_advance(spark: SparkSession, path: str, table: str, batch: DataFrame, column: str) -> None:
     """Moves the watermark to the batch's maximum, after the batch was written; an empty batch leaves it."""
     top = batch.agg(F.date_format(F.max(column), "yyyy-MM-dd HH:mm:ss")).first()[0]
-    if top is None:
-        return
-    row = spark.createDataFrame([(table, top)], "table_name string, last_watermark string")
-    state = R.table_or_default(spark, path)
-    K.replace_table(row if state is None else K.replace_key(state, "table_name", table, row), path)
+    if top is not None:
+        T.upsert_row(spark, path, "table_name", spark.createDataFrame([(table, top)], "table_name string, last_watermark string"))
 
 
 def daily_run(spark: SparkSession, sf_dir: str, out: str, specs: list[dict]) -> DataFrame:
@@ -250,10 +252,7 @@ def success_digest(spark: SparkSession, out: str, fact: DataFrame, results: Data
     """Today's row of the run history (replaced on a rerun), with the change against the run before."""
     passed = results.agg(F.concat(F.sum(F.col("passed").cast("int")), F.lit("/"), F.count("*"))).first()[0]
     row = spark.createDataFrame([(day, fact.count(), passed)], "run_date string, fact_row_count bigint, dq_summary string")
-    path = f"{out}/history"
-    state = R.table_or_default(spark, path)
-    K.replace_table(row if state is None else K.replace_key(state, "run_date", day, row), path)
-    return W.day_over_day_delta(spark.read.parquet(path), "run_date", "fact_row_count")
+    return W.day_over_day_delta(T.upsert_row(spark, f"{out}/history", "run_date", row), "run_date", "fact_row_count")
 
 
 #: Web reports by grain: new names, whole numbers, key.

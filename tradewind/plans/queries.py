@@ -17,11 +17,13 @@ from tradewind.operators import quality as Q
 from tradewind.operators import reconcile as C
 from tradewind.operators import scd as D
 from tradewind.operators import windows as W
+from tradewind.operators.history import History
 from tradewind.plans import metrics as M
 from tradewind.plans.pipelines import Star, refund_analysis, sales_order_clean
 from tradewind.plans.registry import query
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
+from tradewind.sources.tables import KeyedTable
 from tradewind.streaming import streams as ST
 
 ts = lambda x: F.lit(x).cast("timestamp")
@@ -174,8 +176,17 @@ query("j10_join_on_composite", lambda s: s.page_view.select("date", "page", "eve
 
 
 def _history(s: Star, merged: bool = True):
-    first = D.seed_history(s.v.product(1), "sku", ["season", "retail"], ts("1996-01-01 00:00:00"))
-    return D.merge(first, s.v.product(2), "sku", ["season", "retail"], ts("1998-06-01 00:00:00")) if merged else first
+    """The product history after one delivery or two, kept in live and closed parts."""
+    history = History.begin(s.v.product(1), K.scratch(s.spark, "history"), "sku", ["season", "retail"], ts("1996-01-01 00:00:00"), 16)
+    if merged:
+        history.merge(s.v.product(2), ts("1998-06-01 00:00:00"))
+    return history.all_versions()
+
+
+def _upserted(s: Star, target, source, keys, buckets=16):
+    table = KeyedTable.create(target, K.scratch(s.spark, "keyed"), keys, buckets)
+    table.upsert(source)
+    return table.read()
 
 
 HISTORY = "product_key:i sku season retail:f row_hash effective_from:t effective_to:t is_current"
@@ -269,8 +280,8 @@ query("d5_scd2_seed_unknown", lambda s: D.seed_unknown(_history(s), "sku").selec
 query("d6_scd2_current_view", lambda s: D.current_view(_history(s)).select("product_key", "sku"), "product_key:i sku", "SELECT product_key, sku FROM history_2 WHERE is_current")
 query("a23_version_histogram", lambda s: A.version_histogram(_history(s), "sku"), "versions:i keys:i", "SELECT versions, count(*) AS keys FROM (SELECT sku, count(*) AS versions FROM history_2 GROUP BY 1) GROUP BY 1")
 PRODUCT = "sku season retail:f"
-query("snk4_upsert", lambda s: K.upsert(s.v.product(1).select("sku", "season", "retail"), s.v.product(2).select("sku", "season", "retail"), ["sku"]), PRODUCT, "SELECT sku, season, retail FROM f_product_2 UNION ALL SELECT sku, season, retail FROM f_product_1 WHERE sku NOT IN (SELECT sku FROM f_product_2)")
-query("snk5_upsert_null_safe", lambda s: K.upsert(A.breakdown(s.v.order, ["customer_id"]), A.breakdown(s.v.order.where("id % 2 = 0"), ["customer_id"]), ["customer_id"], null_safe=True), "customer_id:i rows:i", "WITH t AS (SELECT customer_id, count(*) AS rows FROM f_order GROUP BY 1), s AS (SELECT customer_id, count(*) AS rows FROM f_order WHERE id % 2 = 0 GROUP BY 1) SELECT * FROM s UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.customer_id IS NOT DISTINCT FROM t.customer_id)")
+query("snk4_upsert", lambda s: _upserted(s, s.v.product(1).select("sku", "season", "retail"), s.v.product(2).select("sku", "season", "retail"), ["sku"]), PRODUCT, "SELECT sku, season, retail FROM f_product_2 UNION ALL SELECT sku, season, retail FROM f_product_1 WHERE sku NOT IN (SELECT sku FROM f_product_2)")
+query("snk5_upsert_null_safe", lambda s: _upserted(s, A.breakdown(s.v.order, ["customer_id"]), A.breakdown(s.v.order.where("id % 2 = 0"), ["customer_id"]), ["customer_id"]), "customer_id:i rows:i", "WITH t AS (SELECT customer_id, count(*) AS rows FROM f_order GROUP BY 1), s AS (SELECT customer_id, count(*) AS rows FROM f_order WHERE id % 2 = 0 GROUP BY 1) SELECT * FROM s UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.customer_id IS NOT DISTINCT FROM t.customer_id)")
 query("snk6_merge_edges", lambda s: K.merge_edges(s.v.edges, s.v.edges.where("source like '%_1%'").withColumn("last_seen", F.col("last_seen") + F.expr("interval 1 day"))), "source target last_seen:t", "SELECT source, target, last_seen + CASE WHEN source LIKE '%\\_1%' ESCAPE '\\' OR source LIKE '%_1%' THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS last_seen FROM f_edges")
 query("snk9_replace_key", lambda s: K.replace_key(A.breakdown(s.v.order, ["status"]), "status", "O", s.v.order.agg(F.lit("O").alias("status"), F.max("id").alias("rows"))), "status rows:i", "SELECT status, count(*) AS rows FROM f_order WHERE status <> 'O' GROUP BY 1 UNION ALL SELECT 'O', max(id) FROM f_order")
 query("snk10_retention_delete", lambda s: K.retention_delete(s.v.order.select("id", F.to_date("processed_at").alias("day")), "day", 90, F.lit("2001-08-01").cast("date")), "id:i day:d", "SELECT id, CAST(processed_at AS DATE) AS day FROM f_order WHERE CAST(processed_at AS DATE) >= DATE '2001-08-01' - 90")
@@ -282,7 +293,7 @@ def _since(s: Star, since: str | None):
     return build_fact(s.v, s.dates, s.products, s.channels, since, s.v.metafield)
 
 
-query("d9_full_equals_incremental", lambda s: K.upsert(_since(s, None).where("order_updated_at < timestamp '2000-01-01'"), _since(s, "2000-01-01"), ["shopify_line_id"]), FACT, "SELECT * FROM fact")
+query("d9_full_equals_incremental", lambda s: _upserted(s, _since(s, None).where("order_updated_at < timestamp '2000-01-01'"), _since(s, "2000-01-01"), ["shopify_line_id"], 64), FACT, "SELECT * FROM fact")
 
 # ---- scalars
 query("f1_normalize_source", lambda s: s.v.touch.select("order_id", "position", "tie_1", "tie_2", S.normalize_source(F.col("source")).alias("source")), "order_id position:i tie_1:i tie_2:i source", "SELECT order_id, position, tie_1, tie_2, CASE WHEN regexp_matches(trim(source), '(?i)^google%') THEN 'google-ads' WHEN lower(trim(source)) = 'emarsys' THEN 'Emarsys' ELSE trim(source) END AS source FROM f_touch")

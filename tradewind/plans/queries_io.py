@@ -196,8 +196,9 @@ query("st3_event_time_watermark", lambda s: A.ad_channel_summary(_late(s)), "cha
 
 def _product_history(s: Star):
     """The product dimension with history, built from two deliveries."""
-    first = L.build_dim_product_scd2(s.v.product(1), None, ts("1996-01-01 00:00:00"))
-    return L.build_dim_product_scd2(s.v.product(2), first, ts("1998-06-01 00:00:00")).where("product_key > 0")
+    path = K.scratch(s.spark, "products")
+    L.build_dim_product_scd2(s.v.product(1), path, ts("1996-01-01 00:00:00"))
+    return L.build_dim_product_scd2(s.v.product(2), path, ts("1998-06-01 00:00:00")).where("product_key > 0")
 
 
 query("g2_build_dim_product_scd2", _product_history, HISTORY, "SELECT * FROM history_2")

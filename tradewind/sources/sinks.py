@@ -1,11 +1,14 @@
 """Write modes over plain Parquet: overwrite, append, upserts by key, retention, reports.
 
-A table that is read while it is replaced is written beside itself first and then swapped in, see replace_table.
+Tables that are read while they change are keyed tables with versions, see tables.py.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,9 +84,9 @@ def create_view(df: DataFrame, name: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str, headers: dict[str, str]) -> None:
-    """One CSV file with exact headers in this order and RFC 4180 quotes; for reports of bounded size."""
+    """CSV files, one a partition, each with exact headers in this order and RFC 4180 quotes."""
     renamed = df.select(*[F.col(c).alias(h) for c, h in headers.items()])
-    renamed.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    renamed.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json_report(results: DataFrame, path: str, run_id: str) -> str:
@@ -92,21 +95,41 @@ def write_json_report(results: DataFrame, path: str, run_id: str) -> str:
     return out
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Replaces a table that df itself may read: written to a sibling folder first, then swapped by renames."""
-    spark = df.sparkSession
-    fresh, old = f"{path}-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(fresh), at(path))
-    fs.delete(at(old), True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder (spark.checkpoint.dir), or below the warehouse where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder name in the folder that driver and executors share (spark.checkpoint.dir); where it is unset, below the
+    warehouse, for a local Spark only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Paths of the tables that `stored` wrote, for each `intermediates` that is open.
+_OPEN: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: it is computed once, and lost executors lose nothing."""
+    path = scratch(df.sparkSession, name)
+    for paths in _OPEN[-1:]:
+        paths.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that `stored` writes inside once the block ends: what reads them has to be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
