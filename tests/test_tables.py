@@ -166,3 +166,19 @@ def test_exact_quantiles_of_a_hot_day(spark):
     cut = ranges.cut(df.where("day = 'hot' and cents is not null").groupBy("day", "cents").count(), ["day"], ["cents"], 8)
     sizes = [x["count"] for x in cut.rows.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) <= 2 * sum(sizes) / len(sizes) and len(sizes) == 8
+
+
+def test_buckets_by_week_follow_moving_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda x: spark.createDataFrame(x, "k int, week int, v string")
+    table = KeyedTable.create(rows([(k, k % 10, "a") for k in range(100)]), path, ["k"], by="week")
+    before = _files(path)
+    assert table.upsert(rows([(3, 7, "moved"), (200, 12, "new")])) == {3, 7, 12}
+    assert before.items() <= _files(path).items()
+    got = {r["k"]: (r["week"], r["v"]) for r in table.read().collect()}
+    assert len(got) == 101 == table.read().count() and got[3] == (7, "moved") and got[200] == (12, "new")
+    assert table.read(buckets={12}).count() == 1 and table.read(buckets={3}).count() == 9
+    table.upsert(rows([(200, 1, "back"), (5, None, "lost")]))
+    assert table.read(buckets={12}).count() == 0 and table.read(buckets={-1}).first()["v"] == "lost"
+    table.replace(rows([(1, 1, "only")]), {1, 2})
+    assert table.read(buckets={1, 2}).count() == 1 and table.read().count() == 81

@@ -31,7 +31,7 @@ class History(KeyedTable):
         seeded = scd.seed_history(snapshot, key, tracked, at, surrogate)
         seeded = stored(scd.seed_unknown(seeded, key, surrogate) if unknown else seeded, "seeded")
         top = seeded.agg(F.max(surrogate)).first()[0] or 0
-        empty = {"version": 0, "keys": [key], "buckets": buckets, "schema": seeded.schema.jsonValue(), "folders": {}, "tracked": tracked, "surrogate": surrogate, "top": top, "closed": []}
+        empty = {"version": 0, "keys": [key], "buckets": buckets, "by": None, "schema": seeded.schema.jsonValue(), "folders": {}, "tracked": tracked, "surrogate": surrogate, "top": top, "closed": []}
         state = table._merged(empty, seeded)[0]
         table._commit(state | {"version": 1})
         return table

@@ -16,6 +16,7 @@ from tradewind.plans.queries import FLAGS, GRAIN, HISTORY, NOW, WINDOWS, _rankin
 from tradewind.plans.registry import query
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
+from tradewind.sources.tables import LoggedTable
 from tradewind.streaming import streams as ST
 
 ORDER = "id:i financial_status total_cents:i"
@@ -56,27 +57,42 @@ query("src6_stream_json", _stream, ADS, "SELECT * FROM f_ads_stream")
 query("snk13_stream_to_table", lambda s: A.ad_channel_summary(_stream(s)), "channel ads:i spend:f attributed:i", "SELECT channel, count(*) AS ads, round(CAST(sum(spend_cents) AS DOUBLE) / 100, 2) AS spend, count(order_id) AS attributed FROM f_ads_stream GROUP BY 1")
 
 
+def _middle(df, column: str) -> str:
+    """The full hour at the middle of a time column."""
+    return df.agg(F.expr(f"date_format(date_trunc('HOUR', min({column}) + (max({column}) - min({column})) / 2), 'yyyy-MM-dd HH:mm:ss')")).first()[0]
+
+
 def _stream_windows(s: Star):
-    """The attributed table as a stream, windowed, upserted into gold by micro-batches."""
+    """The attributed table as a stream, windowed, upserted into gold; the table is compacted between two runs."""
     src, gold, mark = (K.scratch(s.spark, x) for x in ("attributed", "gold", "mark"))
-    s.attributed.write.parquet(src)
-    windows = ST.windowed_roas(R.stream_table(s.spark, src, s.attributed.schema))
-    ST.stream_to_gold(windows, gold, mark, ts("2030-01-01 00:00:00")).awaitTermination()
+    rows = K.stored(s.attributed, "attributed")
+    middle = ts(_middle(rows, "event_time"))
+    table = LoggedTable.create(s.spark, src, rows.schema)
+    for part in (F.col("event_time") < middle, F.col("event_time") >= middle):
+        table.append(rows.where(part))
+        ST.stream_to_gold(ST.windowed_roas(R.stream_table(s.spark, src)), gold, mark, ts("2030-01-01 00:00:00")).awaitTermination()
+        table.compact()
     return s.spark.read.parquet(gold)
 
 
 query("src7_stream_table", _stream_windows, WINDOWS, "SELECT * FROM windows")
 
 
-def _upserted(s: Star):
-    path = K.scratch(s.spark, "gold")
-    write = ST.gold_upserter(path, ts("2030-01-01 00:00:00"))
-    for n in range(2):
-        write(s.windows, n)
+def _anomalies(s: Star):
+    """The windows of the ad stream in two batches, the second held against the last hour of the first, and replayed."""
+    path, windows = K.scratch(s.spark, "gold"), K.stored(s.windows, "windows")
+    middle = _middle(windows, "window_start")
+    write = ST.gold_upserter(path, ts(middle))
+    for n, part in enumerate((F.col("window_start") < ts(middle), F.col("window_start") >= ts(middle))):
+        for _ in range(n + 1):
+            write(windows.where(part), n)
     return s.spark.read.parquet(path)
 
 
-query("snk14_foreach_batch_upsert", _upserted, WINDOWS + " is_anomaly", "SELECT *, false AS is_anomaly FROM windows")
+MIDDLE = "WITH mid AS (SELECT date_trunc('hour', min(window_start) + (max(window_start) - min(window_start)) / 2) AS t FROM windows), base AS (SELECT channel, avg(roas) AS b, count(*) AS n FROM windows, mid WHERE window_start < t AND window_start >= t - INTERVAL 60 MINUTE GROUP BY 1)"
+FLAGGED = f"{MIDDLE} SELECT w.*, w.window_start >= t AND coalesce(w.spend_cents >= 2000 AND n >= 3 AND w.roas < b * 0.5, false) AS is_anomaly, t AS last_updated FROM windows w CROSS JOIN mid LEFT JOIN base USING (channel)"
+query("snk14_foreach_batch_upsert", _anomalies, WINDOWS + " is_anomaly", FLAGGED)
+query("g10_stream_anomaly", _anomalies, WINDOWS + " is_anomaly last_updated:t", FLAGGED)
 query("snk1_overwrite_table", lambda s: _written(s, lambda p: (K.overwrite_table(s.v.freight, p), K.overwrite_table(_order(s), p))), ORDER, ORDER_SQL)
 query("snk2_overwrite_partitioned", lambda s: _written(s, lambda p: K.overwrite_partitioned(s.fact, p, ["iso_year", "iso_week"])).groupBy("iso_year", "iso_week").agg(F.count("*").alias("rows"), F.sum("quantity").alias("units")), "iso_year:i iso_week:i rows:i units:i", "SELECT iso_year, iso_week, count(*) AS rows, sum(quantity) AS units FROM fact GROUP BY 1, 2")
 query("snk3_append_raw", lambda s: _written(s, lambda p: (K.append_raw(_order(s), p), K.append_raw(_order(s).withColumn("extra", F.lit("x")), p)), lambda p: K.read_merged(s.spark, p)), ORDER + " extra", f"SELECT *, NULL AS extra FROM ({ORDER_SQL}) UNION ALL SELECT *, 'x' FROM ({ORDER_SQL})")
@@ -158,38 +174,27 @@ def _digest(s: Star):
 query("g9_success_digest", _digest, "run_date fact_row_count:i delta:i", "SELECT '2026-01-01' AS run_date, count(*) FILTER (date_key < 19980101) AS fact_row_count, 0 AS delta FROM fact UNION ALL SELECT '2026-01-02', count(*), count(*) - count(*) FILTER (date_key < 19980101) FROM fact")
 query("st2_trigger_backfill", lambda s: _stream(s).agg(F.count("*").alias("rows"), F.countDistinct("ad_event_id").alias("ids")), "rows:i ids:i", "SELECT count(*) AS rows, count(*) AS ids FROM f_ads_stream")
 query("st4_attribute_ads", lambda s: A.breakdown(s.attributed, ["channel", "is_attributed"]), "channel is_attributed:i rows:i", "SELECT channel, is_attributed, count(*) AS rows FROM attributed GROUP BY 1, 2")
-query("st8_upsert_gold", lambda s: W.latest_window_per_channel(_upserted(s)), "channel window_start:t spend_cents:i", "SELECT channel, max(window_start) AS window_start, arg_max(spend_cents, window_start) AS spend_cents FROM windows GROUP BY 1")
+query("st8_upsert_gold", lambda s: _anomalies(s).groupBy("channel").agg(F.count("*").alias("windows"), F.sum(F.col("is_anomaly").cast("int")).alias("anomalies"), F.max_by("spend_cents", "window_start").alias("spend_cents")), "channel windows:i anomalies:i spend_cents:i", f"SELECT channel, count(*) AS windows, sum(is_anomaly::INT) AS anomalies, arg_max(spend_cents, window_start) AS spend_cents FROM ({FLAGGED}) GROUP BY 1")
 query("st10_stream_status", lambda s: A.dedup_check(_stream(s), "ad_event_id"), "rows:i distinct_keys:i", "SELECT count(*) AS rows, count(DISTINCT ad_event_id) AS distinct_keys FROM f_ads_stream")
 query("f13_f14_names", lambda s: s.v.edges.select(S.short_name(F.col("source")).alias("name")).distinct().withColumn("layer", S.layer(F.col("name"))), "name layer:i", "SELECT DISTINCT substr(source, 5) AS name, CASE WHEN source LIKE 'cat.raw%' THEN 0 ELSE 2 END AS layer FROM f_edges")
 query("g4_build_cohort", lambda s: L.build_cohort(s.v.order)[1], "cohort_month:d period_index:i active_customers:i retention_rate:f", "SELECT cohort_month, period_index, active_customers, round(active_customers / cohort_size, 4) AS retention_rate FROM retention")
 
 
-def _anomalies(s: Star):
-    """The chain of the ad stream in two batches, the second held against the last hour of the first."""
-    path = K.scratch(s.spark, "gold")
-    middle = s.windows.agg(F.expr("date_format(date_trunc('HOUR', min(window_start) + (max(window_start) - min(window_start)) / 2), 'yyyy-MM-dd HH:mm:ss')")).first()[0]
-    write = ST.gold_upserter(path, ts(middle))
-    for n, part in enumerate((F.col("window_start") < ts(middle), F.col("window_start") >= ts(middle))):
-        write(s.windows.where(part), n)
-    return s.spark.read.parquet(path)
-
-
-MIDDLE = "WITH mid AS (SELECT date_trunc('hour', min(window_start) + (max(window_start) - min(window_start)) / 2) AS t FROM windows), base AS (SELECT channel, avg(roas) AS b, count(*) AS n FROM windows, mid WHERE window_start < t AND window_start >= t - INTERVAL 60 MINUTE GROUP BY 1)"
-query("g10_stream_anomaly", _anomalies, WINDOWS + " is_anomaly", f"{MIDDLE} SELECT w.*, w.window_start >= t AND coalesce(w.spend_cents >= 2000 AND n >= 3 AND w.roas < b * 0.5, false) AS is_anomaly FROM windows w CROSS JOIN mid LEFT JOIN base USING (channel)")
-
-
-def _late(s: Star):
+def _late_query(s: Star):
     """Ads in three micro-batches; of the third, those two hours older than the newest of the first are too late (a batch
-    holds its rows against the watermark before the last one's)."""
+    holds its rows against the watermark before the last one's). The table and the query that wrote it."""
     src, out, mark = (K.scratch(s.spark, x) for x in ("json", "silver", "mark"))
     ads = s.v.ads_stream
     for part in ("spend_cents % 3 = 0", "spend_cents % 3 = 1", "spend_cents % 3 = 2"):
         ads.where(part).coalesce(1).write.mode("append").json(src)
     stream = s.spark.readStream.schema(ads.schema).option("maxFilesPerTrigger", 1).json(src)
-    ST.stream_to_table(ST.dedup_stream(stream, "ad_event_id", "2 hours"), out, mark).awaitTermination()
-    return s.spark.read.schema(ads.schema).parquet(out)
+    run = ST.stream_to_table(ST.dedup_stream(stream, "ad_event_id", "2 hours"), out, mark)
+    run.awaitTermination()
+    return s.spark.read.schema(ads.schema).parquet(out), run
 
 
+_late = lambda s: _late_query(s)[0]
+query("st10_stream_progress", lambda s: ST.stream_progress(s.spark, _late_query(s)[1]).where("input_rows > 0").select("batch", "input_rows", "late_rows"), "batch:i input_rows:i late_rows:i", "SELECT spend_cents % 3 AS batch, count(*) AS input_rows, count(*) FILTER (spend_cents % 3 = 2 AND event_time <= w) AS late_rows FROM f_ads_stream, (SELECT max(event_time) - INTERVAL 2 HOUR AS w FROM f_ads_stream WHERE spend_cents % 3 = 0) GROUP BY 1")
 query("st9_late_events", _late, ADS, "SELECT a.* FROM f_ads_stream a, (SELECT max(event_time) - INTERVAL 2 HOUR AS w FROM f_ads_stream WHERE spend_cents % 3 = 0) WHERE spend_cents % 3 < 2 OR event_time > w")
 query("st3_event_time_watermark", lambda s: A.ad_channel_summary(_late(s)), "channel ads:i spend:f attributed:i", "SELECT channel, count(*) AS ads, round(CAST(sum(spend_cents) AS DOUBLE) / 100, 2) AS spend, count(order_id) AS attributed FROM f_ads_stream a, (SELECT max(event_time) - INTERVAL 2 HOUR AS w FROM f_ads_stream WHERE spend_cents % 3 = 0) WHERE spend_cents % 3 < 2 OR event_time > w GROUP BY 1")
 

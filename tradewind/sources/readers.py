@@ -71,9 +71,12 @@ def stream_json(spark: SparkSession, folder: str, schema: T.StructType | str) ->
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.json").json(folder)
 
 
-def stream_table(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
-    """New files of an append-only Parquet folder."""
-    return spark.readStream.schema(schema).parquet(folder)
+def stream_table(spark: SparkSession, folder: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """New rows of a logged table, without what rewrites of it write again; or new files of a plain folder that is only appended to."""
+    from tradewind.sources.tables import LoggedTable
+
+    table = LoggedTable(spark, folder)
+    return table.stream() if table.exists() else spark.readStream.schema(schema).parquet(folder)
 
 
 def generate_calendar(spark: SparkSession, start: str, end: str) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Keyed tables over Parquet: rows in buckets by a hash of their key, immutable folders, and a manifest that says which bucket is where.
+"""Keyed tables over Parquet: rows in buckets, immutable folders, and a manifest that says which bucket is where.
+
+Buckets are hashes of the key, or values of an expression such as a week (then a key may move from one to another).
 
 An upsert finds the buckets that its rows touch, reads and rewrites only these into a new folder, and then publishes a new
 manifest; readers see one version or the next, and nothing is renamed or overwritten. A second writer that started from the
@@ -11,7 +13,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from contextlib import suppress
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +45,7 @@ class Folder:
     def names(self, name: str = "") -> list[str]:
         if not self.fs.exists(self.at(name)):
             return []
-        return sorted(n for n in (x.getPath().getName() for x in self.fs.listStatus(self.at(name))) if n[0] not in "._")
+        return sorted(n for n in (x.getPath().getName() for x in self.fs.listStatus(self.at(name))) if n[0] not in "._" or "=" in n)
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.at(name))
@@ -67,33 +72,45 @@ class Folder:
         self.fs.delete(self.at(name), True)
 
 
-class KeyedTable:
-    """A table of unique keys; nulls in keys are equal to each other."""
+class VersionedTable:
+    """What a table's versions have in common: a manifest each, of which the last counts."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.folder = spark, Folder(spark, path)
 
-    @classmethod
-    def create(cls, df: DataFrame, path: str, keys: list[str], buckets: int = 64) -> KeyedTable:
-        """A new table of df's rows, whose keys have to be unique."""
-        table = cls(df.sparkSession, path)
-        if table.exists():
-            raise ValueError(f"{path} is a table already")
-        empty = {"version": 0, "keys": keys, "buckets": buckets, "schema": df.schema.jsonValue(), "folders": {}}
-        table._commit(table._merged(empty, df)[0])
-        return table
-
     def exists(self) -> bool:
         return bool(self.folder.names("versions"))
 
     def manifest(self) -> dict:
-        """keys, number of buckets, schema, and the folders with the buckets that are valid in each."""
         return json.loads(self.folder.read(f"versions/{self.folder.names('versions')[-1]}"))
 
     def _commit(self, state: dict) -> None:
         self.folder.fs.mkdirs(self.folder.at("versions"))
         self.folder.publish(f"versions/{state['version']:012d}.json", json.dumps(state))
 
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Removes all but the last versions and the folders that none of these names; for times without readers of older ones."""
+        names = self.folder.names("versions")
+        used = {f for v in names[-keep:] for f in json.loads(self.folder.read(f"versions/{v}"))["folders"]}
+        gone = [f for f in self.folder.names("data") if f not in used]
+        for name in [*(f"versions/{v}" for v in names[:-keep]), *(f"data/{f}" for f in gone)]:
+            self.folder.remove(name)
+        return gone
+
+
+class KeyedTable(VersionedTable):
+    """A table of unique keys; nulls in keys are equal to each other. Manifest: keys, buckets or by, schema, and the buckets that are valid in each folder."""
+
+    @classmethod
+    def create(cls, df: DataFrame, path: str, keys: list[str], buckets: int = 64, by: str | None = None) -> KeyedTable:
+        """A new table of df's rows, whose keys have to be unique. by: an SQL expression of whole numbers in place of the hash."""
+        table = cls(df.sparkSession, path)
+        if table.exists():
+            raise ValueError(f"{path} is a table already")
+        empty = {"version": 0, "keys": keys, "buckets": buckets, "by": by, "schema": df.schema.jsonValue(), "folders": {}}
+        table._commit(table._merged(empty, df)[0] | {"version": 1})
+        return table
+
     def paths(self, state: dict, buckets: set[int] | None = None) -> list[str]:
         return [f"{self.folder.path}/data/{f}/{BUCKET}={b}" for f, own in state["folders"].items() for b in own if buckets is None or b in buckets]
 
@@ -103,29 +120,50 @@ class KeyedTable:
         schema, paths = StructType.fromJson(state["schema"]), self.paths(state, buckets)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _bucket(self, state: dict) -> Column:
+        return F.coalesce(F.expr(state["by"]), F.lit(-1)).cast("int") if state.get("by") else bucket_of(state["keys"], state["buckets"])
+
+    def _written(self, state: dict, rows: DataFrame, touched: set[int]) -> dict:
+        """The next version, in which rows (with their buckets) are all that the touched buckets have."""
+        name = uuid.uuid4().hex
+        rows.write.partitionBy(BUCKET).parquet(f"{self.folder.path}/data/{name}")
+        there = sorted(int(x.split("=")[1]) for x in self.folder.names(f"data/{name}"))
+        folders = {f: kept for f, own in state["folders"].items() if (kept := [b for b in own if b not in touched])}
+        schema = rows.drop(BUCKET).schema.jsonValue()
+        return state | {"version": state["version"] + 1, "schema": schema, "folders": folders | ({name: there} if there else {})}
+
     def _merged(self, state: dict, source: DataFrame) -> tuple[dict, set[int]]:
         """The next version with the source's rows in place of those of their keys, and which buckets were rewritten.
 
-        One shuffle: the touched buckets and the source are dealt by bucket, and of each key the source's row stays.
+        One shuffle where buckets are hashes: the touched ones and the source are dealt by bucket, and of each key the
+        source's row stays. Buckets by an expression need the keys' old buckets first, which only key columns are read for,
+        and rows dealt by key.
         """
-        keys, n = state["keys"], state["buckets"]
-        rows = stored(source.withColumn(BUCKET, bucket_of(keys, n)), "upsert")
-        found = rows.groupBy(BUCKET, *keys).count().agg(F.collect_set(BUCKET).alias("b"), F.max("count").alias("most")).first()
+        keys, spread = state["keys"], int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = stored(source.withColumn(BUCKET, self._bucket(state)), "upsert")
+        found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first(BUCKET).alias("b")).agg(F.collect_set("b").alias("b"), F.max("n").alias("most")).first()
         if (found["most"] or 0) > 1:
             raise ValueError(f"the source has several rows for a key of {keys}")
         touched = set(found["b"])
         if not touched:
             return state, touched
+        if state.get("by") and state["folders"]:
+            same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__s_{k}")) for k in keys])
+            before = self.read(state).withColumn(BUCKET, self._bucket(state)).select(BUCKET, *keys).join(rows.select(*[F.col(k).alias(f"__s_{k}") for k in keys]), same, "left_semi")
+            touched |= {r[0] for r in before.select(BUCKET).distinct().collect()}
         old = self.read(state, touched)
-        both = old.withColumns({BUCKET: bucket_of(keys, n), "__new": F.lit(0)}).unionByName(rows.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-        last = Window.partitionBy(BUCKET, *keys).orderBy(F.desc("__new"))
-        parts = min(len(touched), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        merged = both.repartition(parts, BUCKET).withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__new")
-        name = uuid.uuid4().hex
-        merged.write.partitionBy(BUCKET).parquet(f"{self.folder.path}/data/{name}")
-        folders = {f: kept for f, own in state["folders"].items() if (kept := [b for b in own if b not in touched])}
-        schema = merged.drop(BUCKET).schema.jsonValue()
-        return state | {"version": state["version"] + 1, "schema": schema, "folders": folders | {name: sorted(touched)}}, touched
+        both = old.withColumns({BUCKET: self._bucket(state), "__new": F.lit(0)}).unionByName(rows.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+        hashed = not state.get("by")
+        last = Window.partitionBy(*([BUCKET] if hashed else []), *keys).orderBy(F.desc("__new"))
+        dealt = both.repartition(min(len(touched), spread), BUCKET) if hashed else both
+        merged = dealt.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__new")
+        return self._written(state, merged if hashed else merged.hint("rebalance", BUCKET), touched), touched
+
+    def replace(self, source: DataFrame, buckets: set[int]) -> None:
+        """Makes the source's rows all that the given buckets have; it has none of other buckets."""
+        state = self.manifest()
+        rows = source.withColumn(BUCKET, self._bucket(state)).hint("rebalance", BUCKET)
+        self._commit(self._written(state, rows, set(buckets)))
 
     def upsert(self, source: DataFrame) -> set[int]:
         """Puts the source's rows in; returns the buckets rewritten. New columns are added, missing ones become null."""
@@ -134,15 +172,52 @@ class KeyedTable:
             self._commit(state)
         return touched
 
-    def vacuum(self, keep: int = 1) -> list[str]:
-        """Removes all but the last versions and the folders that none of these names; for times without readers of older ones."""
-        names = self.folder.names("versions")
-        used = {f for v in names[-keep:] for f in json.loads(self.folder.read(f"versions/{v}"))["folders"]}
-        gone = [f for f in self.folder.names("data") if f not in used]
-        for name in [*(f"versions/{v}" for v in names[:-keep]), *(f"data/{f}" for f in gone)]:
-            with suppress(OSError):
-                self.folder.remove(name)
-        return gone
+
+class LoggedTable(VersionedTable):
+    """Rows that are appended, and rewritten now and then (compacted, corrected); streams read what was appended only.
+
+    An append is a folder of its own name, a rewrite another, and the manifest says which of them are the table. A stream
+    follows the names of appends, so that a rewritten row never comes twice; vacuum removes replaced appends, which a stream
+    must have read by then.
+    """
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, schema: StructType) -> LoggedTable:
+        table = cls(spark, path)
+        if not table.exists():
+            table._commit({"version": 1, "schema": schema.jsonValue(), "folders": []})
+            table.folder.fs.mkdirs(table.folder.at("data"))
+        return table
+
+    def read(self) -> DataFrame:
+        state = self.manifest()
+        schema, paths = StructType.fromJson(state["schema"]), [f"{self.folder.path}/data/{f}" for f in state["folders"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def append(self, df: DataFrame) -> None:
+        """Streams see the rows when the folder gets its name; other writers don't stand in the way."""
+        name = uuid.uuid4().hex
+        df.select(*StructType.fromJson(self.manifest()["schema"]).names).write.parquet(f"{self.folder.path}/data/_{name}")
+        self.folder.fs.rename(self.folder.at(f"data/_{name}"), self.folder.at(f"data/append-{name}"))
+        for _ in range(100):
+            state = self.manifest()
+            with suppress(RuntimeError):
+                return self._commit(state | {"version": state["version"] + 1, "folders": [*state["folders"], f"append-{name}"]})
+        raise RuntimeError(f"append-{name} is written but not published")
+
+    def rewrite(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replaces the table by what change makes of it; fails where another writer publishes meanwhile."""
+        state, name = self.manifest(), f"rewrite-{uuid.uuid4().hex}"
+        change(self.read()).select(*StructType.fromJson(state["schema"]).names).write.parquet(f"{self.folder.path}/data/{name}")
+        self._commit(state | {"version": state["version"] + 1, "folders": [name]})
+
+    def compact(self, files: int = 1) -> None:
+        """The same rows in fewer files."""
+        self.rewrite(lambda df: df.repartition(files))
+
+    def stream(self) -> DataFrame:
+        """Appended rows as they come, each once, whatever is rewritten."""
+        return self.spark.readStream.schema(StructType.fromJson(self.manifest()["schema"])).parquet(f"{self.folder.path}/data/append-*")
 
 
 def upsert_row(spark: SparkSession, path: str, key: str, row: DataFrame) -> DataFrame:

@@ -5,14 +5,17 @@ Stream: deduplicate, attribute ads to orders by an interval join, aggregate slid
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tradewind.operators.windows import latest_by_key
 from tradewind.sources.sinks import replace_where, upsert
+from tradewind.sources.tables import Folder
 
 MIN_SPEND_CENTS, MIN_WINDOWS, FACTOR, LOOKBACK_MINUTES = 2000, 3, 0.5, 60
+#: Batches whose baselines are kept for a replay.
+KEPT_BASELINES = 10
 
 
 def event_time_watermark(df: DataFrame, column: str = "event_time", delay: str = "10 minutes") -> DataFrame:
@@ -73,9 +76,10 @@ def stream_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "back
 
 
 def gold_upserter(path: str, now: Column):
-    """A foreachBatch body: flags a batch's windows against the gold table so far and upserts them; idempotent by key.
+    """A foreachBatch body: flags a batch's windows against the gold table so far and upserts them with the time (last_updated).
 
-    The table is partitioned by the day of the windows (window_day). A batch reads and rewrites the days that it has, so its
+    What a batch is held against is written before its rows, beside the table, so that a replayed batch, whose own windows
+    are in the table by then, comes out as it did first. The table is partitioned by the day of the windows (window_day). A batch reads and rewrites the days that it has, so its
     cost doesn't grow with the history; days are replaced when the rewritten ones are complete."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -87,9 +91,15 @@ def gold_upserter(path: str, now: Column):
         jvm = spark.sparkContext._jvm
         there = jvm.org.apache.hadoop.fs.Path(path)
         exists = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
-        gold = rows.withColumn("is_anomaly", F.lit(False))
+        gold = rows.withColumns({"is_anomaly": F.lit(False), "last_updated": now})
         gold = spark.read.schema(gold.schema).parquet(path) if exists else gold.limit(0)
-        flagged = flag_anomaly(rows, channel_baseline(gold, now)).select(*rows.columns, "is_anomaly")
+        held = Folder(spark, f"{path}-baseline")
+        if not held.fs.exists(held.at(f"{batch_id}/_SUCCESS")):
+            channel_baseline(gold, now).write.mode("overwrite").parquet(f"{held.path}/{batch_id}")
+            for old in held.names():  # a stream replays its last batch only
+                if int(old) < batch_id - KEPT_BASELINES:
+                    held.remove(old)
+        flagged = flag_anomaly(rows, spark.read.parquet(f"{held.path}/{batch_id}")).withColumn("last_updated", now).select(*gold.columns)
         touched = gold.join(rows.select("window_day").distinct(), "window_day", "left_semi")
         replace_where(upsert(touched, flagged, ["channel", "window_start"], check=False), path, "window_day")
         rows.unpersist()
@@ -100,3 +110,15 @@ def gold_upserter(path: str, now: Column):
 def stream_to_gold(df: DataFrame, path: str, checkpoint: str, now: Column, mode: str = "backfill") -> StreamingQuery:
     writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(gold_upserter(path, now))
     return with_trigger(writer, mode).start()
+
+
+PROGRESS = "batch bigint, started string, input_rows bigint, late_rows bigint, state_rows bigint, output_rows bigint"
+
+
+def stream_progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """What a query says of its last batches: rows read, rows dropped as too late, rows kept as state, rows written (null where the sink doesn't count them)."""
+    rows = []
+    for p in query.recentProgress:
+        states, written = p["stateOperators"], p["sink"]["numOutputRows"]
+        rows.append((p["batchId"], p["timestamp"], p["numInputRows"], sum(x["numRowsDroppedByWatermark"] for x in states), sum(x["numRowsTotal"] for x in states), written if written >= 0 else None))
+    return spark.createDataFrame(rows, PROGRESS)
