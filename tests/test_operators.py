@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -13,6 +14,7 @@ from tradewind.functions import scalars as S
 from tradewind.operators import analytics as V
 from tradewind.operators import filters as P
 from tradewind.operators import joins as J
+from tradewind.operators import lineage as LG
 from tradewind.operators import quality as Q
 from tradewind.operators import reconcile as C
 from tradewind.operators import scd as D
@@ -225,13 +227,70 @@ def test_daily_run(spark, tmp_path):
     out = str(tmp_path / "run")
     digest = L.daily_run(spark, SF, out, specs).collect()
     assert [(r["delta"], r["dq_summary"]) for r in digest] == [(0, "1/2")]
-    fact = spark.read.parquet(f"{out}/fact_orders_line")
+    fact = T.KeyedTable(spark, f"{out}/fact_orders_line").read()
     again = L.success_digest(spark, out, fact, Q.run_checks(spark, specs, {"fact_orders_line": fact}, ts("2001-01-01")))
     assert again.count() == 1
-    assert spark.read.parquet(f"{out}/quantity_by_style_channel_week").count() == L.Star(spark, SF).metric.count()
+    assert T.KeyedTable(spark, f"{out}/quantity_by_style_channel_week").read().count() == L.Star(spark, SF).metric.count()
     with pytest.raises(ValueError, match="gate"):
         L.daily_run(spark, SF, str(tmp_path / "bad"), [{"type": "range", "table": "fact_orders_line", "column": "quantity", "max": 1, "severity": "fail"}])
-    assert spark.read.parquet(f"{tmp_path}/bad/fact_orders_line").count() > 0 and R.table_or_default(spark, f"{tmp_path}/bad/page_view") is None
+    assert T.KeyedTable(spark, f"{tmp_path}/bad/fact_orders_line").read().count() > 0 and R.table_or_default(spark, f"{tmp_path}/bad/page_view") is None
+
+
+def test_second_run_rewrites_touched_weeks_only(spark, tmp_path):
+    out, specs = str(tmp_path / "run"), [{"type": "unique", "table": "fact_orders_line", "column": "shopify_line_id"}]
+    L.daily_run(spark, SF, out, specs, "1999-12-31", "2000-01-01")
+    tables = {n: T.KeyedTable(spark, f"{out}/{n}") for n in ("fact_orders_line", "quantity_by_style_channel_week")}
+    before = {n: t.manifest() for n, t in tables.items()}
+    digest = L.daily_run(spark, SF, out, specs).orderBy("run_date").collect()
+    full = L.Star(spark, SF)
+    assert [r["run_date"] for r in digest] == ["1999-12-31", L.END] and digest[1]["fact_row_count"] == full.fact.count() == digest[0]["fact_row_count"] + digest[1]["delta"]
+    for n, want in (("fact_orders_line", full.fact), ("quantity_by_style_channel_week", full.metric)):
+        got = tables[n].read().select(*want.columns)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    changed = full.fact.where("order_updated_at >= timestamp '1999-12-29'").selectExpr(L.WEEK).distinct().collect()
+    (new,) = set(tables["fact_orders_line"].manifest()["folders"]) - set(before["fact_orders_line"]["folders"])
+    assert set(tables["fact_orders_line"].manifest()["folders"][new]) == {r[0] for r in changed}
+    for n, state in before.items():
+        left = {b for f, own in tables[n].manifest()["folders"].items() if f in state["folders"] for b in own}
+        assert left == tables[n].buckets(state) - {r[0] for r in changed} and left
+
+
+def test_failed_run_is_made_up(spark, tmp_path):
+    out, bad = str(tmp_path / "run"), [{"type": "range", "table": "fact_orders_line", "column": "quantity", "max": 1, "severity": "fail"}]
+    L.daily_run(spark, SF, out, [], "1999-12-31", "2000-01-01")
+    with pytest.raises(ValueError, match="gate"):
+        L.daily_run(spark, SF, out, bad)
+    L.daily_run(spark, SF, out, [])
+    got, want = T.KeyedTable(spark, f"{out}/quantity_by_style_channel_week").read(), L.Star(spark, SF).metric
+    assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_product_keys_stay(spark, tmp_path):
+    raw = Views(spark, SF).product(1)
+    path = str(tmp_path / "dim")
+    first = {r["sku"]: r["product_key"] for r in L.refresh_dim_product(raw.where("sku > '3'"), path).collect()}
+    second = {r["sku"]: r["product_key"] for r in L.refresh_dim_product(raw, path).collect()}
+    assert first.items() < second.items() and len(set(second.values())) == len(second) and second.keys() == {r["sku"] for r in L.build_dim_product(raw).collect()}
+
+
+def test_unique_keys_in_one_pass(spark, monkeypatch):
+    rows = [(k % 50, k % 7, None if k % 3 else "x", k) for k in range(300)]
+    df = spark.createDataFrame(rows, "a int, b int, c string, d int")
+    lists = [["a"], ["a", "b"], ["c"], ["d"], ["c", "d"]]
+    plain = lambda k: sum(n for n in Counter(tuple(r["abcd".index(c)] for c in k) for r in rows).values() if n > 1)
+    assert Q.check_unique_keys(df, lists) == [(300, plain(k)) for k in lists]
+    collide = F.xxhash64
+    monkeypatch.setattr(Q.F, "xxhash64", lambda *c: F.pmod(collide(*c), F.lit(5)))
+    assert Q.check_unique_keys(df, lists) == [(300, plain(k)) for k in lists]
+
+
+def test_long_chains_and_cycles(spark):
+    n = 10_000
+    chain = spark.range(n).select(F.format_string("n%05d", "id").alias("source"), F.format_string("n%05d", F.col("id") + 1).alias("target"))
+    ring = spark.range(50).select(F.format_string("r%d", "id").alias("source"), F.format_string("r%d", (F.col("id") + 1) % 50).alias("target"))
+    edges = chain.union(ring).union(spark.createDataFrame([("n00000", "n00000")], "source string, target string")).coalesce(2)
+    assert LG._closure(edges, "n00000", "source", "target").count() == n + 1
+    assert LG.connected(edges, "r7").count() == 50 and LG.connected(edges, "alone").count() == 1
 
 
 def test_report_and_presets(spark, tmp_path):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions import scalars as S
+from tradewind.sources.sinks import stored
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -23,23 +24,20 @@ def overlay(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def _closure(edges: DataFrame, start: str, come: str, go: str) -> DataFrame:
-    """Nodes reachable from start: a frontier that meets only edges to nodes not seen before, until it is empty."""
-    spark = edges.sparkSession
-    seen = frontier = spark.createDataFrame([(start,)], "node string")
+    """Nodes reachable from start, by path doubling: after round k all within 2^k - 1 edges are seen, so rounds grow with
+    the logarithm of the longest way. A jump joins the ends of 2^k edges in a row; both tables are written each round."""
+    seen = edges.sparkSession.createDataFrame([(start,)], "node string")
+    jumps, n = edges.select(F.col(come).alias("low"), F.col(go).alias("high")).where("low <> high").distinct(), 1
     while True:
-        step = frontier.join(edges, F.col("node") == F.col(come)).select(F.col(go).alias("next")).distinct()
-        fresh = step.join(seen, F.col("next") == F.col("node"), "left_anti").select(F.col("next").alias("node"))
-        if spark.conf.get("spark.checkpoint.dir", None):
-            fresh = fresh.checkpoint()
-        else:
-            fresh = fresh.persist()
-        if not fresh.limit(1).count():
+        seen = stored(seen.union(seen.join(jumps, F.col("node") == F.col("low")).select("high")).distinct(), "seen")
+        if n == (n := seen.count()):
             return seen
-        seen, frontier = seen.union(fresh), fresh
+        again = jumps.select(F.col("low").alias("middle"), F.col("high").alias("end"))
+        jumps = stored(jumps.join(again, F.col("high") == F.col("middle")).select("low", F.col("end").alias("high")).distinct(), "jumps")
 
 
 def connected(edges: DataFrame, node: str) -> DataFrame:
-    """Everything upstream and everything downstream of the node, and itself."""
+    """Everything upstream and everything downstream of the node, and itself. Meant for graphs of tables: jumps are pairs of nodes."""
     return _closure(edges, node, "target", "source").union(_closure(edges, node, "source", "target")).distinct()
 
 

@@ -1,4 +1,4 @@
-"""Data-quality checks as specs: all but uniqueness of a table in one aggregation, results as a DataFrame.
+"""Data-quality checks as specs: all of a table in one aggregation, and all of its unique keys in another; results as a DataFrame.
 
 A spec is a dict with type, table, column (or columns), and severity where it differs from the type's. A new type is a
 function registered under its name that turns a spec into (checked, failed) aggregates.
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import key_to_timestamp
+from tradewind.sources.sinks import stored
 
 SEVERITY = {"not_null": "fail", "unique": "fail", "range": "warn", "freshness": "warn", "allowed_values": "fail", "row_count": "warn"}
 RESULT = "table_name string, check_type string, column_name string, severity string, checked bigint, failed bigint, passed boolean, message string"
@@ -72,11 +73,26 @@ def _row_count(df: DataFrame, spec: dict, now: Column) -> tuple[Column, Column]:
     return n, ((n < spec.get("min", 0)) | (n > spec.get("max", 1 << 62))).cast("bigint")
 
 
+def check_unique_keys(df: DataFrame, lists: list[list[str]]) -> list[tuple[int, int]]:
+    """For each list of columns the rows, and the rows in groups of equal keys: all members of a group count.
+
+    One pass and one shuffle for all lists: a row becomes a (list, hash) for each, and these are counted. Only rows whose
+    hash occurs more than once are looked at again, by their keys themselves, as two keys may have one hash.
+    """
+    keys = [F.struct(F.lit(k).alias("k"), F.xxhash64(*columns).alias("h")) for k, columns in enumerate(lists)]
+    counts = stored(df.select(F.explode(F.array(*keys)).alias("x")).groupBy("x.k", "x.h").agg(F.count(F.lit(1)).alias("n")), "keys")
+    rows = {r["k"]: (r["n"], r["again"]) for r in counts.groupBy("k").agg(F.sum("n").alias("n"), F.sum((F.col("n") > 1).cast("bigint")).alias("again")).collect()}
+    suspect, failed = [k for k, (_, again) in rows.items() if again], {}
+    if suspect:
+        whole = [F.struct(F.lit(k).alias("k"), F.xxhash64(*lists[k]).alias("h"), F.array(*[F.col(c).cast("string") for c in lists[k]]).alias("key")) for k in suspect]
+        again = df.select(F.explode(F.array(*whole)).alias("x")).select("x.*").join(counts.where("n > 1").select("k", "h"), ["k", "h"], "left_semi")
+        n = F.col("count")
+        failed = dict(again.groupBy("k", "h", "key").count().groupBy("k").agg(F.sum(F.when(n > 1, n).otherwise(0))).collect())
+    return [(rows.get(k, (0, 0))[0], failed.get(k, 0)) for k in range(len(lists))]
+
+
 def check_unique(df: DataFrame, columns: list[str]) -> tuple[int, int]:
-    """Rows, and rows in groups of equal keys: all members of a group count."""
-    n = F.col("count")
-    row = df.groupBy(*columns).count().agg(F.sum(n), F.sum(F.when(n > 1, n))).first()
-    return row[0] or 0, row[1] or 0
+    return check_unique_keys(df, [columns])[0]
 
 
 def check_fk(df: DataFrame, parent: DataFrame, column: str, parent_column: str) -> DataFrame:
@@ -102,13 +118,16 @@ def run_checks(spark: SparkSession, specs: list[dict], tables: dict[str, DataFra
     name = lambda s: ",".join(s.get("columns") or [s.get("column") or ""])
     result = lambda s, checked, failed, text="": (s["table"], s["type"], name(s), s.get("severity") or SEVERITY.get(s["type"], "warn"), checked, failed, failed == 0, text)
     for table in dict.fromkeys(s["table"] for s in specs):
-        df, fused, aggs = tables.get(table), [], []
+        df, fused, aggs, unique = tables.get(table), [], [], []
         for s in (s for s in specs if s["table"] == table):
             try:
                 if df is None:
                     raise ValueError(f"no table {table}")
                 if s["type"] == "unique":
-                    out.append(result(s, *check_unique(df, s.get("columns") or [s["column"]])))
+                    columns = s.get("columns") or [s["column"]]
+                    if lost := sorted(set(columns) - set(df.columns)):
+                        raise ValueError(f"no columns {lost}")
+                    unique.append((s, columns))
                 elif s["type"] not in CHECKS:
                     out.append((table, s["type"], name(s), "warn", 0, 0, True, "unknown type, skipped"))
                 else:
@@ -118,6 +137,8 @@ def run_checks(spark: SparkSession, specs: list[dict], tables: dict[str, DataFra
                     fused.append(s)
             except Exception as e:  # noqa: BLE001  a broken check must not hide the others
                 out.append(result(s, 0, 1, str(e)[:200]))
+        if unique:
+            out += [result(s, *found) for (s, _), found in zip(unique, check_unique_keys(df, [c for _, c in unique]), strict=True)]
         if fused:
             row = df.agg(*[a.alias(str(k)) for k, a in enumerate(aggs)]).first()
             out += [result(s, row[2 * k], row[2 * k + 1]) for k, s in enumerate(fused)]

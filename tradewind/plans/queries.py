@@ -19,7 +19,7 @@ from tradewind.operators import scd as D
 from tradewind.operators import windows as W
 from tradewind.operators.history import History
 from tradewind.plans import metrics as M
-from tradewind.plans.pipelines import Star, refund_analysis, sales_order_clean
+from tradewind.plans.pipelines import WEEK, Star, refund_analysis, sales_order_clean
 from tradewind.plans.registry import query
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
@@ -183,8 +183,8 @@ def _history(s: Star, merged: bool = True):
     return history.all_versions()
 
 
-def _upserted(s: Star, target, source, keys, buckets=16):
-    table = KeyedTable.create(target, K.scratch(s.spark, "keyed"), keys, buckets)
+def _upserted(s: Star, target, source, keys, by=None):
+    table = KeyedTable.create(target, K.scratch(s.spark, "keyed"), keys, 16, by)
     table.upsert(source)
     return table.read()
 
@@ -293,7 +293,7 @@ def _since(s: Star, since: str | None):
     return build_fact(s.v, s.dates, s.products, s.channels, since, s.v.metafield)
 
 
-query("d9_full_equals_incremental", lambda s: _upserted(s, _since(s, None).where("order_updated_at < timestamp '2000-01-01'"), _since(s, "2000-01-01"), ["shopify_line_id"], 64), FACT, "SELECT * FROM fact")
+query("d9_full_equals_incremental", lambda s: _upserted(s, _since(s, None).where("order_updated_at < timestamp '2000-01-01'"), _since(s, "2000-01-01"), ["shopify_line_id"], WEEK), FACT, "SELECT * FROM fact")
 
 # ---- scalars
 query("f1_normalize_source", lambda s: s.v.touch.select("order_id", "position", "tie_1", "tie_2", S.normalize_source(F.col("source")).alias("source")), "order_id position:i tie_1:i tie_2:i source", "SELECT order_id, position, tie_1, tie_2, CASE WHEN regexp_matches(trim(source), '(?i)^google%') THEN 'google-ads' WHEN lower(trim(source)) = 'emarsys' THEN 'Emarsys' ELSE trim(source) END AS source FROM f_touch")

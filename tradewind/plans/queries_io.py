@@ -16,7 +16,7 @@ from tradewind.plans.queries import FLAGS, GRAIN, HISTORY, NOW, WINDOWS, _rankin
 from tradewind.plans.registry import query
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
-from tradewind.sources.tables import LoggedTable
+from tradewind.sources.tables import KeyedTable, LoggedTable
 from tradewind.streaming import streams as ST
 
 ORDER = "id:i financial_status total_cents:i"
@@ -208,4 +208,18 @@ def _product_history(s: Star):
 
 query("g2_build_dim_product_scd2", _product_history, HISTORY, "SELECT * FROM history_2")
 RUN_SPECS = [{"type": "unique", "table": "fact_orders_line", "column": "shopify_line_id"}, {"type": "row_count", "table": "fact_orders_line", "min": 1}]
-query("g11_daily_run", lambda s: L.daily_run(s.spark, s.v.sf_dir, K.scratch(s.spark, "daily"), RUN_SPECS), "run_date fact_row_count:i dq_summary delta:i", "SELECT '2000-12-31' AS run_date, count(*) AS fact_row_count, '2/2' AS dq_summary, 0 AS delta FROM fact")
+
+
+def _two_days(s: Star):
+    """A first daily run before 2000, then one over all: the second builds what changed since. The folder and its digest."""
+    out = K.scratch(s.spark, "daily")
+    for day, before in (("1999-12-31", "2000-01-01"), (L.END, None)):
+        digest = L.daily_run(s.spark, s.v.sf_dir, out, RUN_SPECS, day, before)
+    return out, digest
+
+
+query("g11_daily_run", lambda s: _two_days(s)[1], "run_date fact_row_count:i dq_summary delta:i", "SELECT '1999-12-31' AS run_date, count(*) FILTER (order_updated_at < TIMESTAMP '2000-01-01') AS fact_row_count, '2/2' AS dq_summary, 0 AS delta FROM fact UNION ALL SELECT '2000-12-31', count(*), '2/2', count(*) - count(*) FILTER (order_updated_at < TIMESTAMP '2000-01-01') FROM fact")
+query("m3_metric_refresh", lambda s: KeyedTable(s.spark, f"{_two_days(s)[0]}/quantity_by_style_channel_week").read(), "iso_year:i iso_week:i vend_id item_description season channel_source channel_group value:i", "SELECT * FROM metric")
+query("g11_fact_of_two_runs", lambda s: KeyedTable(s.spark, f"{_two_days(s)[0]}/fact_orders_line").read().groupBy("iso_year", "iso_week").agg(F.count("*").alias("rows"), F.sum("quantity").alias("units"), F.sum("refunded_quantity").alias("refunded"), F.max("order_updated_at").alias("last")), "iso_year:i iso_week:i rows:i units:i refunded:i last:t", "SELECT iso_year, iso_week, count(*) AS rows, sum(quantity) AS units, sum(refunded_quantity) AS refunded, max(order_updated_at) AS last FROM fact GROUP BY 1, 2")
+KEY_LISTS = [["shopify_line_id"], ["shopify_order_id", "sku_raw"], ["date_key", "channel_key"], ["product_key"], ["tw_order_id", "quantity"]]
+query("q5_unique_keys", lambda s: s.spark.createDataFrame([(",".join(k), *found) for k, found in zip(KEY_LISTS, Q.check_unique_keys(s.fact, KEY_LISTS), strict=True)], "keys string, checked bigint, failed bigint"), "keys checked:i failed:i", " UNION ALL ".join(f"SELECT '{','.join(k)}' AS keys, sum(n) AS checked, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS failed FROM (SELECT count(*) AS n FROM fact GROUP BY {', '.join(k)})" for k in KEY_LISTS))

@@ -111,6 +111,9 @@ class KeyedTable(VersionedTable):
         table._commit(table._merged(empty, df)[0] | {"version": 1})
         return table
 
+    def buckets(self, state: dict | None = None) -> set[int]:
+        return {b for own in (state or self.manifest())["folders"].values() for b in own}
+
     def paths(self, state: dict, buckets: set[int] | None = None) -> list[str]:
         return [f"{self.folder.path}/data/{f}/{BUCKET}={b}" for f, own in state["folders"].items() for b in own if buckets is None or b in buckets]
 
