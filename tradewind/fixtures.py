@@ -80,6 +80,7 @@ class Views:
         return self.table("lineitem").where("l_orderkey % 89 <> 0").select(
             F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_linenumber").alias("position"), F.col("l_shipdate").alias("click_date"), p.alias("tie_1"), F.col("l_suppkey").alias("tie_2"),
             F.when(p % 211 == 0, "mystery-src").otherwise(_pick(SOURCES, p % 8)).alias("source"), F.when(F.col("l_suppkey") % 2 == 0, "last").otherwise("linear").alias("attribution_model"),
+            *[F.when(F.col("l_suppkey") % 4 != 0, F.concat(F.lit(n), (p % m).cast("string"))).alias(f"{c}_id") for c, n, m in (("campaign", "c", 13), ("adset", "s", 29), ("ad", "a", 97))],
         )
 
     def product(self, version: int = 1) -> DataFrame:
@@ -88,17 +89,17 @@ class Views:
         rows = self.table("part").select(
             k.alias("key"), k.cast("string").alias("sku"), F.col("p_brand").alias("vend_id"), F.when(k % 17 != 0, F.col("p_name")).alias("item_description"), F.col("p_type").alias("season"),
             F.concat(F.lit("G"), (F.col("p_size") % 5).cast("string")).alias("group_name"), F.when(k % 3 == 0, "M").when(k % 3 == 1, "F").otherwise("U").alias("gender"), F.concat(F.lit("C"), (F.col("p_size") % 7).cast("string")).alias("class_name"),
-            F.round(F.col("p_retailprice") * 100).cast("bigint").alias("retail_cents"),
+            F.when(k % 13 != 0, F.concat(F.lit("M"), (k % 9).cast("string"))).alias("master_style"), F.expr("cast(round(p_retailprice * 100) as bigint) * 6 div 10").alias("cost_cents"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("retail_cents"),
         )
         if version == 2:
             rows = rows.where("key % 19 <> 0")
             rows = rows.withColumn("retail_cents", F.expr("retail_cents + if(key % 10 = 0, 100, 0)"))
             added = self.table("part").where("p_partkey < 20").select(
                 (F.col("p_partkey") + 90000000).alias("key"), (F.col("p_partkey") + 90000000).cast("string").alias("sku"), F.lit("Brand#New").alias("vend_id"), F.lit("new item").alias("item_description"), F.lit("PROMO").alias("season"),
-                F.lit("G0").alias("group_name"), F.lit("U").alias("gender"), F.lit("C0").alias("class_name"), F.lit(1000).cast("bigint").alias("retail_cents"),
+                F.lit("G0").alias("group_name"), F.lit("U").alias("gender"), F.lit("C0").alias("class_name"), F.lit("M0").alias("master_style"), F.lit(600).cast("bigint").alias("cost_cents"), F.lit(1000).cast("bigint").alias("retail_cents"),
             )
             rows = rows.unionByName(added)
-        return rows.withColumn("retail", cents("retail_cents").cast("decimal(10,2)"))
+        return rows.withColumns({c: cents(f"{c}_cents").cast("decimal(10,2)") for c in ("cost", "retail")}).drop("cost_cents")
 
     @cached_property
     def web_page(self) -> DataFrame:
@@ -197,13 +198,15 @@ f_refund AS (SELECT id AS order_line_id, CAST(greatest(1, quantity // 2) AS INTE
   UNION ALL SELECT id, 1, l_linestatus FROM f_line WHERE l_returnflag = 'R' AND l_suppkey % 7 = 0 AND quantity > 2),
 f_metafield AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 29 = 0 THEN 'Replace' ELSE 'Refund' END AS replace_refund FROM orders WHERE o_orderkey % 29 = 0 OR o_orderkey % 31 = 0),
 f_touch AS (SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_linenumber AS position, l_shipdate AS click_date, l_partkey AS tie_1, l_suppkey AS tie_2,
-    CASE WHEN l_partkey % 211 = 0 THEN 'mystery-src' ELSE {_case(SOURCES, "l_partkey % 8")} END AS source, CASE WHEN l_suppkey % 2 = 0 THEN 'last' ELSE 'linear' END AS attribution_model FROM lineitem WHERE l_orderkey % 89 <> 0),
+    CASE WHEN l_partkey % 211 = 0 THEN 'mystery-src' ELSE {_case(SOURCES, "l_partkey % 8")} END AS source, CASE WHEN l_suppkey % 2 = 0 THEN 'last' ELSE 'linear' END AS attribution_model,
+    CASE WHEN l_suppkey % 4 <> 0 THEN 'c' || (l_partkey % 13) END AS campaign_id, CASE WHEN l_suppkey % 4 <> 0 THEN 's' || (l_partkey % 29) END AS adset_id, CASE WHEN l_suppkey % 4 <> 0 THEN 'a' || (l_partkey % 97) END AS ad_id FROM lineitem WHERE l_orderkey % 89 <> 0),
 f_product_1 AS (SELECT *, CAST(retail_cents * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS retail FROM (
   SELECT p_partkey AS key, CAST(p_partkey AS VARCHAR) AS sku, p_brand AS vend_id, CASE WHEN p_partkey % 17 <> 0 THEN p_name END AS item_description, p_type AS season, 'G' || (p_size % 5) AS group_name,
-    CASE WHEN p_partkey % 3 = 0 THEN 'M' WHEN p_partkey % 3 = 1 THEN 'F' ELSE 'U' END AS gender, 'C' || (p_size % 7) AS class_name, CAST(round(p_retailprice * 100) AS BIGINT) AS retail_cents FROM part)),
+    CASE WHEN p_partkey % 3 = 0 THEN 'M' WHEN p_partkey % 3 = 1 THEN 'F' ELSE 'U' END AS gender, 'C' || (p_size % 7) AS class_name, CASE WHEN p_partkey % 13 <> 0 THEN 'M' || (p_partkey % 9) END AS master_style,
+    CAST((CAST(round(p_retailprice * 100) AS BIGINT) * 6 // 10) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS cost, CAST(round(p_retailprice * 100) AS BIGINT) AS retail_cents FROM part)),
 f_product_2 AS (SELECT *, CAST(retail_cents * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS retail FROM (
   SELECT * EXCLUDE (retail_cents, retail), retail_cents + CASE WHEN key % 10 = 0 THEN 100 ELSE 0 END AS retail_cents FROM f_product_1 WHERE key % 19 <> 0
-  UNION ALL SELECT p_partkey + 90000000, CAST(p_partkey + 90000000 AS VARCHAR), 'Brand#New', 'new item', 'PROMO', 'G0', 'U', 'C0', 1000 FROM part WHERE p_partkey < 20)),
+  UNION ALL SELECT p_partkey + 90000000, CAST(p_partkey + 90000000 AS VARCHAR), 'Brand#New', 'new item', 'PROMO', 'G0', 'U', 'C0', 'M0', 6.00, 1000 FROM part WHERE p_partkey < 20)),
 f_web_page AS (SELECT DATE '1998-01-01' + CAST(event_id % 365 AS INTEGER) AS date, CASE WHEN event_id % 11 = 0 THEN '/cart' ELSE '/products/p' || (user_id % 15) || '?ref=' || (event_id % 3) END AS page_path, 1 AS event_count, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS add_to_carts FROM events),
 f_web_traffic AS (SELECT DATE '1998-01-01' + CAST(event_id % 365 AS INTEGER) AS date, CASE WHEN event_id % 11 = 0 THEN '/cart' ELSE '/products/p' || (user_id % 15) END AS landing_page, {_case(GROUPS, "event_id % 15")} AS channel_group, 1 AS sessions FROM events),
 f_product_page AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 23 <> 0 THEN 'p' || (p_partkey % 15) END AS handle FROM part),

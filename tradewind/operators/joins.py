@@ -33,14 +33,14 @@ def semi_prefilter(touches: DataFrame, orders: DataFrame, key: str = "order_id")
 
 
 def attach_attribution(lines: DataFrame, touches: DataFrame) -> DataFrame:
-    mine = touches.select(F.col("order_id").alias("tw_order_id"), F.col("source").alias("tw_channel_source"), "channel_source_norm", F.col("click_date").alias("tw_touch_ts"), "position", "attribution_model")
+    mine = touches.select(F.col("order_id").alias("tw_order_id"), F.col("source").alias("tw_channel_source"), "channel_source_norm", F.col("click_date").alias("tw_touch_ts"), "position", "attribution_model", "campaign_id", "adset_id", "ad_id")
     return lines.join(mine, F.col("order_id").cast("string") == F.col("tw_order_id"), "left")
 
 
 def lookup_key(df: DataFrame, dim: DataFrame, value: str, dim_value: str, key: str) -> DataFrame:
     """Adds the surrogate key of a value; 0 where the dimension doesn't have it."""
     found = dim.where(F.col(dim_value).isNotNull()).select(F.col(dim_value).alias("__value"), F.col(key).alias("__key"))
-    return df.join(found, F.col(value) == F.col("__value"), "left").withColumn(key, F.coalesce("__key", F.lit(0)).cast("int")).drop("__value", "__key")
+    return df.join(found, F.col(value) == F.col("__value"), "left").withColumn(key, F.coalesce("__key", F.lit(0))).drop("__value", "__key")
 
 
 def lookup_order_dims(orders: DataFrame, dates: DataFrame, channels: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def lookup_order_dims(orders: DataFrame, dates: DataFrame, channels: DataFrame)
 
 
 def join_star(fact: DataFrame, dates: DataFrame, products: DataFrame, channels: DataFrame) -> DataFrame:
-    products = products.withColumnRenamed("sku", "product_sku")
+    products = products.withColumnsRenamed({"sku": "product_sku", "_ingested_at": "product_ingested_at"})
     return fact.drop("iso_year", "iso_week").join(dates, "date_key").join(products, "product_key").join(channels, "channel_key")
 
 

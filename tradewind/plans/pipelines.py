@@ -21,17 +21,23 @@ from tradewind.sources import tables as T
 from tradewind.streaming import streams as ST
 
 START, END = "1996-01-01", "2000-12-31"
-TEXTS = ["vend_id", "item_description", "season", "group_name", "gender", "class_name"]
+#: The load time that builds of the given tables bear, which are of a fixed time; a live run passes its own.
+LOADED = f"{END} 06:00:00"
+TEXTS = ["vend_id", "item_description", "season", "group_name", "gender", "class_name", "master_style"]
 
 
-def build_dim_product(raw: DataFrame) -> DataFrame:
+def loaded(at: Column | None) -> Column:
+    return (F.lit(LOADED).cast("timestamp") if at is None else at).alias("_ingested_at")
+
+
+def build_dim_product(raw: DataFrame, loaded_at: Column | None = None) -> DataFrame:
     """Product dimension without history: keyed, filled, deduplicated, numbered by sku, with the unknown member."""
     rows = P.fill_sentinels(P.drop_missing_key(raw, "sku"), TEXTS)
     rows = P.completeness_flag(rows, ["vend_id", "item_description"])
-    rows = W.latest_by_key(rows.withColumn("sku", F.trim("sku")), ["sku"], ["key"]).select("sku", *TEXTS, "retail", "is_complete")
+    rows = W.latest_by_key(rows.withColumn("sku", F.trim("sku")), ["sku"], ["key"]).select("sku", *TEXTS, "cost", "retail", "is_complete", loaded(loaded_at))
     keyed = W.surrogate_key(rows, "sku", "product_key")
     unknown = raw.sparkSession.range(1).select(*[
-        {"product_key": F.lit(0), "is_complete": F.lit(False), "retail": F.lit(None)}.get(f.name, F.lit(S.UNKNOWN)).cast(f.dataType).alias(f.name) for f in keyed.schema
+        {"product_key": F.lit(0), "is_complete": F.lit(False), "cost": F.lit(None), "retail": F.lit(None), "_ingested_at": loaded(loaded_at)}.get(f.name, F.lit(S.UNKNOWN)).cast(f.dataType).alias(f.name) for f in keyed.schema
     ])
     return unknown.unionByName(keyed)
 
@@ -47,7 +53,7 @@ def build_dim_product_scd2(raw: DataFrame, path: str, at: Column, tracked: list[
     return history.all_versions()
 
 
-def build_fact(v: Views, dates: DataFrame, products: DataFrame, channels: DataFrame, since: str | None = None, metafield: DataFrame | None = None, start: str = START, end: str = END) -> DataFrame:
+def build_fact(v: Views, dates: DataFrame, products: DataFrame, channels: DataFrame, since: str | None = None, metafield: DataFrame | None = None, start: str = START, end: str = END, loaded_at: Column | None = None) -> DataFrame:
     """The order-line fact: all orders of the days from start to end, or those changed since the watermark less two days (with all of their lines)."""
     orders = P.filter_since(v.order, "updated_at", since)
     local = S.business_time(F.col("processed_at"))
@@ -63,14 +69,14 @@ def build_fact(v: Views, dates: DataFrame, products: DataFrame, channels: DataFr
     orders = J.lookup_order_dims(J.attach_attribution(P.exclusion_flags(orders), touches), dates, channels)
     lines = J.net_refunds(v.line.join(orders, "order_id"), v.refund)
     lines = J.lookup_key(lines, products, "sku", "sku", "product_key")
-    return project_fact(lines)
+    return project_fact(lines.withColumn("_ingested_at", loaded(loaded_at)))
 
 
 def project_fact(df: DataFrame) -> DataFrame:
     return df.select(
         "channel_key", "product_key", "date_key", F.col("order_id").cast("string").alias("shopify_order_id"), F.col("order_name").alias("shopify_order_name"), "tw_order_id", F.col("id").cast("string").alias("shopify_line_id"), F.col("sku").alias("sku_raw"),
-        F.col("quantity").cast("int").alias("quantity"), "refunded_quantity", F.col("price").cast("decimal(10,2)").alias("pre_tax_price"), "tw_channel_source", "channel_source_norm", "tw_touch_ts", "attribution_model", "position", "financial_status",
-        "is_exc_order", "is_replacement_order", "is_sales_attributable", "iso_year", "iso_week", "order_updated_at",
+        F.col("quantity").cast("int").alias("quantity"), "refunded_quantity", F.col("price").cast("decimal(10,2)").alias("pre_tax_price"), "tw_channel_source", "channel_source_norm", "tw_touch_ts", "attribution_model", "position", "campaign_id", "adset_id", "ad_id", "financial_status",
+        "is_exc_order", "is_replacement_order", "is_sales_attributable", "iso_year", "iso_week", "order_updated_at", "_ingested_at",
     )
 
 
@@ -99,14 +105,14 @@ def build_receiving(v: Views, days: int = 8) -> DataFrame:
 
 
 #: Where an application wrote the star of a folder, with the fact's columns.
-_WRITTEN: dict[tuple[str, str], tuple[str, list[str]]] = {}
+_WRITTEN: dict[tuple, tuple[str, list[str]]] = {}
 
 
 class Star:
     """The star schema and gold tables of one folder, built lazily.
 
     The product dimension and the fact, partitioned by ISO week, are written once an application and then read, as every
-    query over them would otherwise build them anew; the folder's tables are taken as unchanged meanwhile.
+    query over them would otherwise build them anew; they are written again once a table of the folder has changed.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
@@ -122,7 +128,7 @@ class Star:
 
     @cached_property
     def _written(self) -> tuple[str, list[str]]:
-        key = (self.spark.sparkContext.applicationId, self.v.sf_dir)
+        key = (self.spark.sparkContext.applicationId, self.v.sf_dir, *map(self._state, ("orders", "lineitem", "part")))
         if key not in _WRITTEN:
             path = K.scratch(self.spark, "star")
             K.overwrite_table(build_dim_product(self.v.product(1)), f"{path}/dim_product")
@@ -131,6 +137,17 @@ class Star:
             _WRITTEN[key] = path, fact.columns
         return _WRITTEN[key]
 
+    def _state(self, table: str) -> tuple[int, int, int]:
+        """Bytes, files and time of a table, by which a change of it is seen."""
+        folder = T.Folder(self.spark, f"{self.v.sf_dir}/{table}.parquet")
+        held = folder.fs.getContentSummary(folder.at(""))
+        return held.getLength(), held.getFileCount(), folder.fs.getFileStatus(folder.at("")).getModificationTime()
+
+    def remove(self) -> None:
+        """Removes what this application wrote of the star of its folder."""
+        for key in [k for k in _WRITTEN if k[:2] == (self.spark.sparkContext.applicationId, self.v.sf_dir)]:
+            K.remove(self.spark, _WRITTEN.pop(key)[0])
+
     def new_fact(self, products: DataFrame) -> DataFrame:
         return build_fact(self.v, self.dates, products, self.channels, metafield=self.v.metafield)
 
@@ -236,16 +253,17 @@ def watermark_advance(spark: SparkSession, path: str, table: str, batch: DataFra
 WEEK = "iso_year * 100 + iso_week"
 
 
-def refresh_dim_product(raw: DataFrame, path: str) -> DataFrame:
+def refresh_dim_product(raw: DataFrame, path: str, loaded_at: Column | None = None) -> DataFrame:
     """The product dimension at a path after a delivery: known skus keep their keys, new ones get keys above the highest."""
-    spark, built = raw.sparkSession, build_dim_product(raw)
+    spark, built = raw.sparkSession, build_dim_product(raw, loaded_at)
     table = T.KeyedTable(spark, path)
     if not table.exists():
         return T.KeyedTable.create(built, path, ["sku"], 16).read()
     known = table.read()
     rows = K.stored(built.drop("product_key").join(known.select("sku", "product_key"), "sku", "left").select(*known.columns), "products")
     fresh = W.surrogate_key(rows.where("product_key is null").drop("product_key"), "sku", "product_key", known.agg(F.max("product_key")).first()[0] or 0)
-    changed = rows.where("product_key is not null").exceptAll(known)
+    same = known.select(F.struct(*[c for c in known.columns if c != "_ingested_at"]).alias("__known"))
+    changed = rows.where("product_key is not null").join(same, F.struct(*[F.col(c) for c in known.columns if c != "_ingested_at"]).eqNullSafe(F.col("__known")), "left_anti")
     table.upsert(changed.unionByName(fresh))
     return table.read()
 
@@ -283,9 +301,9 @@ def daily_run(spark: SparkSession, sf_dir: str, out: str, specs: list[dict], day
     for name, df in (("dim_date", star.dates), ("dim_channel", star.channels)):
         K.overwrite_table(df, f"{out}/{name}")
     dates, channels = (spark.read.parquet(f"{out}/{n}") for n in ("dim_date", "dim_channel"))
-    products = refresh_dim_product(star.v.product(1), f"{out}/dim_product")
+    products = refresh_dim_product(star.v.product(1), f"{out}/dim_product", F.lit(f"{day} 06:00:00").cast("timestamp"))
     since = watermark_read(spark, f"{out}/watermarks", "fact_orders_line")
-    batch = K.stored(build_fact(star.v, dates, products, channels, since, star.v.metafield), "batch")
+    batch = K.stored(build_fact(star.v, dates, products, channels, since, star.v.metafield, loaded_at=F.lit(f"{day} 06:00:00").cast("timestamp")), "batch")
     table, weeks = refresh_fact(batch, f"{out}/fact_orders_line")
     fact = table.read()
     results = Q.run_checks(spark, specs, {"fact_orders_line": fact}, F.lit(f"{END} 00:00:00").cast("timestamp"))

@@ -19,7 +19,7 @@ from tradewind.operators import scd as D
 from tradewind.operators import windows as W
 from tradewind.operators.history import History
 from tradewind.plans import metrics as M
-from tradewind.plans.pipelines import WEEK, Star, refund_analysis, sales_order_clean
+from tradewind.plans.pipelines import Star, refund_analysis, sales_order_clean
 from tradewind.plans.registry import query
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
@@ -141,7 +141,7 @@ query("src16_explode_ranking", _ranking, "collection product_id position:i is_pi
 query("src17_read_partition_pruned", lambda s: R.read_partition_pruned(s.v.order.withColumn("event_date", F.to_date("processed_at")), "event_date", "2000-03-01", "2000-12-31").groupBy("event_date").agg(F.count("*").alias("rows")), "event_date:d rows:i", "SELECT CAST(processed_at AS DATE) AS event_date, count(*) AS rows FROM f_order WHERE CAST(processed_at AS DATE) >= DATE '2000-02-28' GROUP BY 1")
 
 # ---- projections and filters
-FACT = "channel_key:i product_key:i date_key:i shopify_order_id shopify_order_name tw_order_id shopify_line_id sku_raw quantity:i refunded_quantity:i pre_tax_price:f tw_channel_source channel_source_norm tw_touch_ts:t attribution_model position:i financial_status is_exc_order is_replacement_order is_sales_attributable iso_year:i iso_week:i order_updated_at:t"
+FACT = "channel_key:i product_key:i date_key:i shopify_order_id shopify_order_name tw_order_id shopify_line_id sku_raw quantity:i refunded_quantity:i pre_tax_price:f tw_channel_source channel_source_norm tw_touch_ts:t attribution_model position:i campaign_id adset_id ad_id financial_status is_exc_order is_replacement_order is_sales_attributable iso_year:i iso_week:i order_updated_at:t _ingested_at:t"
 query("p1_project_fact", lambda s: s.fact, FACT, "SELECT * FROM fact")
 query("p2_filter_since", lambda s: P.filter_since(s.v.order, "updated_at", "2000-06-01").select("id", "updated_at"), "id:i updated_at:t", "SELECT id, updated_at FROM f_order WHERE updated_at >= TIMESTAMP '2000-06-01' - INTERVAL 2 DAY")
 query("p3_filter_window", lambda s: P.filter_window(s.v.order.select("id", F.to_date("processed_at").alias("day")), "day", "1997-01-01", "1997-12-31"), "id:i day:d", "SELECT id, CAST(processed_at AS DATE) AS day FROM f_order WHERE CAST(processed_at AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'")
@@ -183,8 +183,8 @@ def _history(s: Star, merged: bool = True):
     return history.all_versions()
 
 
-def _upserted(s: Star, target, source, keys, by=None):
-    table = KeyedTable.create(target, K.scratch(s.spark, "keyed"), keys, 16, by)
+def _upserted(s: Star, target, source, keys):
+    table = KeyedTable.create(target, K.scratch(s.spark, "keyed"), keys, 16)
     table.upsert(source)
     return table.read()
 
@@ -253,7 +253,7 @@ query("t2_first_n", lambda s: s.monthly.orderBy("order_month").limit(12), "order
 query("t3_worst_rows", lambda s: C.worst(C.reconcile(*_sides(s), GRAIN), GRAIN), "iso_year:i iso_week:i vend_id diff:i pct:f status", "SELECT iso_year, iso_week, vend_id, diff, pct, status FROM reconciled WHERE status IN ('FAIL', 'MISSING_OLD', 'MISSING_NEW') ORDER BY pct DESC, abs(diff) DESC, 1, 2, 3 LIMIT 10")
 query("t4_top_n_per_group", lambda s: _ranking(s).where("position <= 5"), "collection product_id position:i", "SELECT * FROM (SELECT season AS collection, sku AS product_id, row_number() OVER (PARTITION BY season ORDER BY key // 50, key) AS position FROM f_product_1) WHERE position <= 5")
 query("t5_page_of_matrix", lambda s: V.page_of(s.metric.groupBy("vend_id", "item_description").agg(F.sum("value").alias("total")), [F.desc("total"), "vend_id", "item_description"], 1), "vend_id item_description total:i", "SELECT vend_id, item_description, sum(value) AS total FROM metric GROUP BY 1, 2 ORDER BY total DESC, 1, 2 LIMIT 25 OFFSET 25")
-query("u1_unknown_member", lambda s: s.products, "product_key:i sku vend_id item_description season retail:f is_complete", "SELECT * FROM dim_product")
+query("u1_unknown_member", lambda s: s.products, "product_key:i sku vend_id item_description season master_style cost:f retail:f is_complete _ingested_at:t", "SELECT * FROM dim_product")
 query("u2_union_padded", lambda s: s.v.order.select("id", "name").unionByName(s.v.freight.select(F.col("order_id").alias("id"), "carrier"), allowMissingColumns=True), "id:i name carrier", "SELECT id, name, NULL AS carrier FROM f_order UNION ALL SELECT order_id, NULL, carrier FROM f_freight")
 query("u3_distinct", lambda s: s.v.touch.select("order_id", "source").distinct(), "order_id source", "SELECT DISTINCT order_id, source FROM f_touch")
 
@@ -293,7 +293,7 @@ def _since(s: Star, since: str | None):
     return build_fact(s.v, s.dates, s.products, s.channels, since, s.v.metafield)
 
 
-query("d9_full_equals_incremental", lambda s: _upserted(s, _since(s, None).where("order_updated_at < timestamp '2000-01-01'"), _since(s, "2000-01-01"), ["shopify_line_id"], WEEK), FACT, "SELECT * FROM fact")
+query("d9_full_equals_incremental", lambda s: _upserted(s, _since(s, None).where("order_updated_at < timestamp '2000-01-01'"), _since(s, "2000-01-01"), ["shopify_line_id"]), FACT, "SELECT * FROM fact")
 
 # ---- scalars
 query("f1_normalize_source", lambda s: s.v.touch.select("order_id", "position", "tie_1", "tie_2", S.normalize_source(F.col("source")).alias("source")), "order_id position:i tie_1:i tie_2:i source", "SELECT order_id, position, tie_1, tie_2, CASE WHEN regexp_matches(trim(source), '(?i)^google%') THEN 'google-ads' WHEN lower(trim(source)) = 'emarsys' THEN 'Emarsys' ELSE trim(source) END AS source FROM f_touch")

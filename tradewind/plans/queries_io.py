@@ -16,7 +16,7 @@ from tradewind.plans.queries import FLAGS, GRAIN, HISTORY, NOW, WINDOWS, _rankin
 from tradewind.plans.registry import query
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
-from tradewind.sources.tables import KeyedTable, LoggedTable
+from tradewind.sources.tables import LoggedTable
 from tradewind.streaming import streams as ST
 
 ORDER = "id:i financial_status total_cents:i"
@@ -211,15 +211,36 @@ RUN_SPECS = [{"type": "unique", "table": "fact_orders_line", "column": "shopify_
 
 
 def _two_days(s: Star):
-    """A first daily run before 2000, then one over all: the second builds what changed since. The folder and its digest."""
+    """A first daily run before 2000, then one over all: the second builds what changed since."""
     out = K.scratch(s.spark, "daily")
     for day, before in (("1999-12-31", "2000-01-01"), (L.END, None)):
         digest = L.daily_run(s.spark, s.v.sf_dir, out, RUN_SPECS, day, before)
-    return out, digest
+    return digest
+
 
+query("g11_daily_run", _two_days, "run_date fact_row_count:i dq_summary delta:i", "SELECT '1999-12-31' AS run_date, count(*) FILTER (order_updated_at < TIMESTAMP '2000-01-01') AS fact_row_count, '2/2' AS dq_summary, 0 AS delta FROM fact UNION ALL SELECT '2000-12-31', count(*), '2/2', count(*) - count(*) FILTER (order_updated_at < TIMESTAMP '2000-01-01') FROM fact")
+def _refreshed(s: Star):
+    """Fact and metric in tables by ISO week after a build of the orders changed before 2000 and a batch of what changed since."""
+    path, dims = K.scratch(s.spark, "weeks"), [s.dates, s.products, s.channels]
+    since = K.stored(L.build_fact(s.v, *dims, "2000-01-01", s.v.metafield), "batch")
+    for batch in (s.fact.where("order_updated_at < timestamp '2000-01-01'"), since):
+        fact, weeks = L.refresh_fact(batch, f"{path}/fact")
+        metric = L.refresh_metric(fact, weeks, dims, f"{path}/metric")
+    return fact.read(), metric.read()
 
-query("g11_daily_run", lambda s: _two_days(s)[1], "run_date fact_row_count:i dq_summary delta:i", "SELECT '1999-12-31' AS run_date, count(*) FILTER (order_updated_at < TIMESTAMP '2000-01-01') AS fact_row_count, '2/2' AS dq_summary, 0 AS delta FROM fact UNION ALL SELECT '2000-12-31', count(*), '2/2', count(*) - count(*) FILTER (order_updated_at < TIMESTAMP '2000-01-01') FROM fact")
-query("m3_metric_refresh", lambda s: KeyedTable(s.spark, f"{_two_days(s)[0]}/quantity_by_style_channel_week").read(), "iso_year:i iso_week:i vend_id item_description season channel_source channel_group value:i", "SELECT * FROM metric")
-query("g11_fact_of_two_runs", lambda s: KeyedTable(s.spark, f"{_two_days(s)[0]}/fact_orders_line").read().groupBy("iso_year", "iso_week").agg(F.count("*").alias("rows"), F.sum("quantity").alias("units"), F.sum("refunded_quantity").alias("refunded"), F.max("order_updated_at").alias("last")), "iso_year:i iso_week:i rows:i units:i refunded:i last:t", "SELECT iso_year, iso_week, count(*) AS rows, sum(quantity) AS units, sum(refunded_quantity) AS refunded, max(order_updated_at) AS last FROM fact GROUP BY 1, 2")
+
+query("m3_metric_refresh", lambda s: _refreshed(s)[1], "iso_year:i iso_week:i vend_id item_description season channel_source channel_group value:i", "SELECT * FROM metric")
+query("g11_fact_of_two_batches", lambda s: _refreshed(s)[0].groupBy("iso_year", "iso_week").agg(F.count("*").alias("rows"), F.sum("quantity").alias("units"), F.sum("refunded_quantity").alias("refunded"), F.max("order_updated_at").alias("last")), "iso_year:i iso_week:i rows:i units:i refunded:i last:t", "SELECT iso_year, iso_week, count(*) AS rows, sum(quantity) AS units, sum(refunded_quantity) AS refunded, max(order_updated_at) AS last FROM fact GROUP BY 1, 2")
 KEY_LISTS = [["shopify_line_id"], ["shopify_order_id", "sku_raw"], ["date_key", "channel_key"], ["product_key"], ["tw_order_id", "quantity"]]
 query("q5_unique_keys", lambda s: s.spark.createDataFrame([(",".join(k), *found) for k, found in zip(KEY_LISTS, Q.check_unique_keys(s.fact, KEY_LISTS), strict=True)], "keys string, checked bigint, failed bigint"), "keys checked:i failed:i", " UNION ALL ".join(f"SELECT '{','.join(k)}' AS keys, sum(n) AS checked, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS failed FROM (SELECT count(*) AS n FROM fact GROUP BY {', '.join(k)})" for k in KEY_LISTS))
+
+
+def _all_dates(s: Star):
+    """The fact over all days that the orders have, not only those of the star's calendar."""
+    day = F.to_date(S.business_time(F.col("processed_at")))
+    first, last = (str(x) for x in s.v.order.agg(F.min(day), F.max(day)).first())
+    return L.build_fact(s.v, R.generate_calendar(s.spark, first, last), s.products, s.channels, metafield=s.v.metafield, start=first, end=last)
+
+
+query("g1_fact_of_all_dates", lambda s: _all_dates(s).groupBy("iso_year", "channel_source_norm").agg(F.count("*").alias("rows"), F.sum("quantity").alias("units"), F.sum("refunded_quantity").alias("refunded"), F.sum(F.col("is_sales_attributable").cast("int")).alias("attributable")), "iso_year:i channel_source_norm rows:i units:i refunded:i attributable:i",
+      "SELECT CAST(isoyear((o.processed_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS INTEGER) AS iso_year, t.channel_source_norm, count(*) AS rows, sum(l.quantity) AS units, sum(CAST(coalesce(round(r.q), 0) AS INTEGER)) AS refunded, sum((NOT (coalesce(o.name LIKE '%EXC%', false) OR o.id IN (SELECT order_id FROM f_metafield WHERE replace_refund = 'Replace')))::INT) AS attributable FROM f_line l JOIN f_order o ON l.order_id = o.id LEFT JOIN refund_1 r ON r.order_line_id = l.id LEFT JOIN touch_1 t ON t.order_id = CAST(o.id AS VARCHAR) GROUP BY 1, 2")

@@ -22,17 +22,17 @@ _TEXT = {"date": "yyyy-MM-dd", "timestamp": "yyyy-MM-dd HH:mm:ss", "timestamp_nt
 STAR = """
 dim_date AS (SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, CAST(d AS DATE) AS date_actual, CAST(isoyear(d) AS INTEGER) AS iso_year, CAST(week(d) AS INTEGER) AS iso_week, CAST(isodow(d) AS INTEGER) AS iso_day_of_week, CAST(year(d) AS INTEGER) AS cal_year, CAST(month(d) AS INTEGER) AS cal_month, CAST(day(d) AS INTEGER) AS cal_day, CAST(quarter(d) AS INTEGER) AS cal_quarter, monthname(d) AS month_name, dayname(d) AS day_name, isodow(d) >= 6 AS is_weekend
   FROM generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '2000-12-31', INTERVAL 1 DAY) t(d)),
-dim_product AS (SELECT CAST(row_number() OVER (ORDER BY sku) AS INTEGER) AS product_key, sku, trim(vend_id) AS vend_id, coalesce(trim(item_description), 'UNKNOWN') AS item_description, season, group_name, gender, class_name, retail, item_description IS NOT NULL AS is_complete FROM f_product_1 WHERE sku IS NOT NULL AND trim(sku) <> ''
-  UNION ALL SELECT 0, 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', NULL, false),
+dim_product AS (SELECT CAST(row_number() OVER (ORDER BY sku) AS INTEGER) AS product_key, sku, trim(vend_id) AS vend_id, coalesce(trim(item_description), 'UNKNOWN') AS item_description, season, group_name, gender, class_name, coalesce(master_style, 'UNKNOWN') AS master_style, cost, retail, item_description IS NOT NULL AS is_complete, TIMESTAMP '2000-12-31 06:00:00' AS _ingested_at FROM f_product_1 WHERE sku IS NOT NULL AND trim(sku) <> ''
+  UNION ALL SELECT 0, 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', NULL, NULL, false, TIMESTAMP '2000-12-31 06:00:00'),
 dim_channel(channel_key, channel_source, channel_group, is_paid, is_meta) AS (VALUES {channels}),
 touch_1 AS (SELECT *, CASE WHEN regexp_matches(trim(source), '(?i)^google%') THEN 'google-ads' WHEN lower(trim(source)) = 'emarsys' THEN 'Emarsys' ELSE trim(source) END AS channel_source_norm
   FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY position DESC NULLS LAST, click_date DESC NULLS LAST, tie_1 DESC, tie_2 DESC) AS n FROM f_touch) WHERE n = 1),
 refund_1 AS (SELECT order_line_id, sum(quantity) AS q FROM f_refund GROUP BY 1),
-fact AS (SELECT coalesce(c.channel_key, 0) AS channel_key, coalesce(p.product_key, 0) AS product_key, x.date_key, CAST(x.order_id AS VARCHAR) AS shopify_order_id, x.name AS shopify_order_name, t.order_id AS tw_order_id, x.id AS shopify_line_id, x.sku AS sku_raw, x.quantity, CAST(coalesce(round(r.q), 0) AS INTEGER) AS refunded_quantity, x.price AS pre_tax_price, t.source AS tw_channel_source, t.channel_source_norm, t.click_date AS tw_touch_ts, t.attribution_model, t.position, x.financial_status, x.is_exc_order, x.is_replacement_order, NOT (x.is_exc_order OR x.is_replacement_order) AS is_sales_attributable, d.iso_year, d.iso_week, x.updated_at AS order_updated_at
+fact AS (SELECT coalesce(c.channel_key, 0) AS channel_key, coalesce(p.product_key, 0) AS product_key, x.date_key, CAST(x.order_id AS VARCHAR) AS shopify_order_id, x.name AS shopify_order_name, t.order_id AS tw_order_id, x.id AS shopify_line_id, x.sku AS sku_raw, x.quantity, CAST(coalesce(round(r.q), 0) AS INTEGER) AS refunded_quantity, x.price AS pre_tax_price, t.source AS tw_channel_source, t.channel_source_norm, t.click_date AS tw_touch_ts, t.attribution_model, t.position, t.campaign_id, t.adset_id, t.ad_id, x.financial_status, x.is_exc_order, x.is_replacement_order, NOT (x.is_exc_order OR x.is_replacement_order) AS is_sales_attributable, d.iso_year, d.iso_week, x.updated_at AS order_updated_at, TIMESTAMP '2000-12-31 06:00:00' AS _ingested_at
   FROM (SELECT l.*, o.name, o.financial_status, o.updated_at, CAST(strftime((o.processed_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y%m%d') AS INTEGER) AS date_key, coalesce(o.name LIKE '%EXC%', false) AS is_exc_order, o.id IN (SELECT order_id FROM f_metafield WHERE replace_refund = 'Replace') AS is_replacement_order FROM f_line l JOIN f_order o ON l.order_id = o.id) x
   LEFT JOIN refund_1 r ON r.order_line_id = x.id LEFT JOIN touch_1 t ON t.order_id = CAST(x.order_id AS VARCHAR) LEFT JOIN dim_date d ON d.date_key = x.date_key
   LEFT JOIN dim_product p ON p.sku = x.sku LEFT JOIN dim_channel c ON c.channel_source = t.channel_source_norm WHERE x.date_key BETWEEN 19960101 AND 20001231),
-star AS (SELECT f.* EXCLUDE (iso_year, iso_week), d.* EXCLUDE (date_key), p.* EXCLUDE (product_key, sku), p.sku AS product_sku, c.* EXCLUDE (channel_key) FROM fact f JOIN dim_date d USING (date_key) JOIN dim_product p USING (product_key) JOIN dim_channel c USING (channel_key)),
+star AS (SELECT f.* EXCLUDE (iso_year, iso_week), d.* EXCLUDE (date_key), p.* EXCLUDE (product_key, sku, _ingested_at), p.sku AS product_sku, c.* EXCLUDE (channel_key) FROM fact f JOIN dim_date d USING (date_key) JOIN dim_product p USING (product_key) JOIN dim_channel c USING (channel_key)),
 metric AS (SELECT iso_year, iso_week, vend_id, item_description, season, channel_source, channel_group, sum(quantity - refunded_quantity) AS value FROM star WHERE is_sales_attributable AND vend_id IS NOT NULL GROUP BY ALL),
 valid_order AS (SELECT * FROM f_order WHERE customer_id IS NOT NULL AND created_at IS NOT NULL AND cancelled_at IS NULL AND NOT coalesce(test, false) AND NOT coalesce(deleted, false) AND coalesce(financial_status, '') NOT IN ('refunded', 'voided')),
 seq AS (SELECT *, CAST(date_trunc('month', created_at) AS DATE) AS order_month, row_number() OVER (PARTITION BY customer_id ORDER BY created_at, id) AS order_seq, CAST(min(date_trunc('month', created_at)) OVER (PARTITION BY customer_id) AS DATE) AS cohort_month FROM valid_order),
