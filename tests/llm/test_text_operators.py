@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import pytest
 import zstandard
 
 from tradewind.llm import decontamination, extraction, language, linededup
@@ -303,3 +304,57 @@ def test_drop_leaks(spark, make_docs):
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [2, 3]
     assert decontamination.drop_leaks(make_docs([]), bench).count() == 0
     assert decontamination.drop_leaks(docs, bench.where("false")).count() == 4
+
+
+def _text_of(html):
+    return extraction.Page(html).extract([])
+
+
+STORY = "<p>" + "The main story goes on and on with words. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(("html", "there", "gone"), [
+    (f'<article><h1>T</h1>{STORY}<h2 id="related-work">Related work</h2><p>x</p><h3 id="warning-signs">Warning signs</h3><h2 class="banner">Banner</h2></article>', ["Related work", "Warning signs", "Banner"], []),
+    (f'<article><h1>T</h1>{STORY}<section id="related-work"><h2>Heading</h2><p>Part of the article.</p></section></article>', ["Heading", "Part of the article."], []),
+    (f'<article><h1>T</h1>{STORY}<p class="social-science">Social.</p><p id="notice-board">Board.</p><p class="byline">By me</p></article>', ["Social.", "Board."], ["By me"]),
+    ('<div class="content"><h1>T</h1><p>Short article.</p></div><div class="sidebar-right"><p>' + "Side words. " * 40 + "</p></div>", ["Short article."], ["Side"]),
+    ('<div class="content"><h1>T</h1><p>Short article.</p></div><div class="widget-area"><p>' + "Side words. " * 40 + "</p></div>", ["Short article."], ["Side"]),
+    (f'<div class="page-with-sidebar"><div><h1>T</h1>{STORY}</div></div><div>Other words here</div>', ["The main story"], []),
+    (f'<article><h1>T</h1>{STORY}<section class="related-articles"><ul><li><a href="1">Another story to read</a></li></ul></section><section class="comments-area"><p>A reader says so.</p></section><div id="comments-list"><p>Another reader.</p></div></article>', ["The main story"], ["Another", "reader"]),
+    (f'<article><h1>T</h1>{STORY}<div id="related-work"><p>Work in a part.</p></div></article><div id="cookie-consent"><p>We use cookies.</p></div>', ["Work in a part."], ["cookies"]),
+])
+def test_names_weigh_and_don_t_drop(html, there, gone):
+    text = _text_of(f"<html><body>{html}</body></html>")
+    assert all(x in text for x in there) and not any(x in text for x in gone), text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!-- ", "</a ", "<?x ", "<![x ", '<a x="', "<script>", "<", "<!-", "<title>", "&am"])
+def test_unclosed_pieces_of_a_megabyte(piece):
+    began = time.time()
+    for end in ("", ">", "<p>end</p>"):
+        extraction.Page("<p>start</p>" + piece * (1_000_000 // len(piece)) + end).extract([])
+    assert time.time() - began < 15
+
+
+def test_generated_pages_with_anchors_and_sidebars():
+    r, kept, had, got = random.Random(11), 0, 0, 0
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    words = lambda n: [word() for _ in range(n)]
+    names = ["related-work", "warning-signs", "social-science", "search-methods", "header-files", "promotion-rules", "menu-design"]
+    for _ in range(120):
+        parts, want = [], []
+        for _ in range(r.randint(2, 6)):
+            head, body = words(2), words(r.randint(8, 60))
+            name = r.choice(names)
+            parts.append(r.choice([f'<h2 id="{name}">{{}}</h2><p>{{}}</p>', f'<section id="{name}"><h2>{{}}</h2><p>{{}}</p></section>', f'<h3>{{}}</h3><p class="{name}">{{}}</p>']).format(" ".join(head), " ".join(body)))
+            want += head + body
+        title, side = words(3), words(r.randint(5, 400))
+        article = r.choice(["<article><h1>{}</h1>{}</article>", '<div class="content"><h1>{}</h1>{}</div>', '<main class="no-sidebar"><h1>{}</h1>{}</main>']).format(" ".join(title), "".join(parts))
+        bar = f'<div class="{r.choice(["sidebar-right", "widget-area", "left_sidebar", "sidebar"])}"><p>{" ".join(side)}</p></div>'
+        html = f'<html><body><nav><a href="/">{word()}</a></nav>{r.choice([article + bar, bar + article])}<footer>{word()}</footer></body></html>'
+        text = set(_text_of(html).split())
+        kept += len(text & {*title, *want})
+        had += len({*title, *want})
+        got += len(text)
+    print("recall of words", kept / had, "precision", kept / got)
+    assert kept >= 0.99 * had and kept >= 0.99 * got

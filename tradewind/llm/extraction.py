@@ -6,8 +6,10 @@ extracted from the most voted path of their host that they have; a page that has
 A path counts as its host's if it has CONSENSUS of the host's votes, so a host has 1 / CONSENSUS paths at most.
 
 Parts that are no article text by their class or id, and forms, are dropped only once the page is read and its text is
-weighed: one that has more than half of the page's text outside links may be a wrapper of a theme, and then stays, see
-Page._wraps. A class that says something about other parts (no-sidebar, comments-open) doesn't count.
+weighed, see Page._stays: one with more than half of the page's text outside links stays if it holds the h1, an article or
+main. Headings never go, paragraphs and other blocks of running text only where a whole class is such a word, and
+sections whose names hold one among others (related-work) only where links are much of their text. A class that says
+something about other parts (no-sidebar, comments-open) doesn't count.
 
 Defined results: a null or empty html gives an empty text; a null url (or one without a host) votes with others of its
 kind; of paths with equal votes the first by name wins, of containers with equal scores the first in the page; malformed
@@ -38,25 +40,42 @@ DROPPED = frozenset("aside button canvas dialog footer head iframe input label m
 OTHER = frozenset("ad ads adv advert advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar warning widget".split())
 #: Those of them that make an article element one of the others; its layout words don't.
 NO_ARTICLE = frozenset("advert advertisement comment comments promo promoted related reply sponsored teaser".split())
-#: Those of them that themes put in compound class words of wrappers, as in no-sidebar.
-LAYOUT = frozenset("ad ads banner banners breadcrumb breadcrumbs footer header menu nav navbar navigation search share sharing sidebar social toolbar topbar widget".split())
+#: Those of them that name other parts of a page in any compound, as in comments-area; the rest may be a subject, as in related-work.
+PLAIN = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr modal nav navbar navigation newsletter outbrain pagination popup sidebar signup sponsored subscribe taboola widget".split())
+#: Blocks that keep their text whatever their id is.
+RUNNING = frozenset("blockquote caption dd dl dt figcaption figure hgroup li p pre table tbody td tfoot th thead tr".split())
+#: Share of a doubtful section's text in links from which on it goes.
+LINKED = 0.4
 #: Words of a class that says something about the parts it names, as in has-sidebar.
 ABOUT = frozenset("closed disabled enabled has have is no not open with without".split())
+_TAG = re.compile("<[A-Za-z/!?]")
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: A start tag closes these open elements, up to the named limits.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
 @functools.lru_cache(maxsize=1 << 14)
-def _part_names(values: str) -> tuple[frozenset[str], bool]:
-    """The words of OTHER in class and id, and whether a theme may have put them in a wrapper: no class is just such a word."""
-    names, alone = set(), False
+def _part_names(values: str) -> tuple[frozenset[str], frozenset[str]]:
+    """The words of OTHER that are a class or id by themselves, and those that are in one among other words."""
+    whole, among = set(), set()
     for value in values.split():
         words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        if len(words) < 2 or ABOUT.isdisjoint(words):
-            names.update(OTHER.intersection(words))
-            alone |= value.lower() in OTHER
-    return frozenset(names), not alone
+        if len(words) == 1 or value.lower() in OTHER:
+            whole |= OTHER.intersection(words)
+        elif ABOUT.isdisjoint(words):
+            among |= OTHER.intersection(words)
+    return frozenset(whole), frozenset(among)
+
+
+def _readable(html: str) -> str:
+    """html without what a parser looks through again and again to no end: tags and comments that never close."""
+    close = html.rfind("-->") + 1
+    first = html.find("<!--", close)
+    if first >= 0:
+        html = html[: first + 4] + html[first + 4 :].replace("<!--", "")
+    end = html.rfind(">") + 1
+    tag = _TAG.search(html, end)
+    return html[: tag.start()] if tag else html
 
 
 @functools.lru_cache(maxsize=1 << 14)
@@ -73,11 +92,11 @@ class Page(HTMLParser):
         self.stack: list[tuple[str, int, bool, int, bool, int]] = []  # tag, container, dropped, other part, in an article, last block's place
         self.open: dict[str, list[int]] = defaultdict(list)  # places of the open elements of a tag
         self.names, self.parents, self.tags = [""], [0], [""]
-        self.others: list[list] = [[0, False, False, False, 0]]  # the one around it, named as a wrapper may be, has a heading, has an article, text
+        self.others: list[list] = [[0, False, False, False, 0, 0]]  # the one around it, a form, doubtful, has a landmark, text, text in links
         self.parts: list[tuple[int, list]] = []  # container, pieces of text
         self.text: list[tuple[int, str, bool]] = []  # other part, text, in a link
         self.where = self.links = 0
-        self.feed(html)
+        self.feed(_readable(html))
         self.close()
         self._flush()
         self.blocks = self._kept()  # container, text, characters in links
@@ -99,27 +118,28 @@ class Page(HTMLParser):
             self.where = self._here()[0]
         self.text.append((self._here()[2], data, self.links > 0))
 
-    def _wraps(self) -> list[bool]:
-        """Whether each of the other parts stays: it has more than half of the text, and a landmark or a wrapper's name. If that leaves no text, half is enough."""
+    def _stays(self) -> list[bool]:
+        """Whether each of the other parts stays: a doubtful one without many links, or one that has more than half of the text
+        and a landmark, or is a form. If that leaves no text, half is enough."""
         if len(self.others) == 1:
             return [True]
         for _, pieces in self.parts:
             for other, data, linked in pieces:
-                if not linked:
-                    self.others[other][4] += len(" ".join(data.split()))
+                self.others[other][5 if linked else 4] += len(" ".join(data.split()))
         for x in reversed(self.others[1:]):  # a part comes after the one around it
             self.others[x[0]][4] += x[4]
-        most = [2 * x[4] > self.others[0][4] for x in self.others]
+            self.others[x[0]][5] += x[5]
         for strict in (True, False):
             stays = [True]
-            for k, (around, named, heading, article, _) in enumerate(self.others[1:], 1):
-                stays.append(stays[around] and most[k] and (named or heading or not strict))
+            for around, form, doubtful, landmark, text, links in self.others[1:]:
+                most = 2 * text > self.others[0][4] and (landmark or form or not strict)
+                stays.append(stays[around] and (most or doubtful and links < LINKED * (text + links)))
             if any(stays[other] and data.strip() for _, pieces in self.parts for other, data, _ in pieces):
                 break
         return stays
 
     def _kept(self) -> list[tuple[int, str, int]]:
-        stays, out = self._wraps(), []
+        stays, out = self._stays(), []
         for where, pieces in self.parts:
             pieces = [x for x in pieces if stays[x[0]]]
             text = " ".join("".join([x[1] for x in pieces]).split())
@@ -145,12 +165,12 @@ class Page(HTMLParser):
         values = {k: v or "" for k, v in attrs}
         dropped = dropped or tag in DROPPED or tag not in ("html", "body", "main", "h1") and ("hidden" in values or values.get("role") in ROLES)
         dropped = dropped or tag == "header" and not inside
-        names, wrapper = (frozenset(), True) if dropped else self._other(tag, values, inside)
+        names, doubtful = (frozenset(), False) if dropped else self._other(tag, values, inside)
         if names or tag == "form" and not dropped:
-            self.others.append([other, wrapper and LAYOUT.issuperset(names), False, False, 0])
+            self.others.append([other, tag == "form", doubtful, tag == "article", 0, 0])
             other = len(self.others) - 1
         elif tag in ("h1", "main", "article") and not dropped:
-            self._landmark(other, 3 if tag == "article" else 2)
+            self._landmark(other)
         if tag in CONTAINERS:
             self.names.append(_name(tag, values.get("class", "")))
             self.parents.append(container)
@@ -161,21 +181,33 @@ class Page(HTMLParser):
         block = len(self.stack) if tag in BLOCKS else block
         self.stack.append((tag, container, dropped, other, inside or tag in ("article", "main"), block))
 
-    def _landmark(self, other: int, flag: int) -> None:
-        """Notes a heading or an article in the part and those around it, up to one that has it already."""
-        while other and not self.others[other][flag]:
-            self.others[other][flag] = True
+    def _landmark(self, other: int) -> None:
+        """Notes a landmark in the part and those around it, up to one that has it already."""
+        while other and not self.others[other][3]:
+            self.others[other][3] = True
             other = self.others[other][0]
 
     @staticmethod
     def _other(tag: str, values: dict, inside: bool) -> tuple[frozenset[str], bool]:
-        """The words that make this element one of the other parts, and whether they may be a wrapper's."""
-        if tag in ("html", "body", "main", "h1", "header") or "class" not in values and "id" not in values:
-            return frozenset(), True
-        names, wrapper = _part_names(f"{values.get('class', '')} {values.get('id', '')}")
+        """The words that make this element one of the other parts, and whether they leave it in doubt."""
+        if tag in ("html", "body", "main", "header", "h1", "h2", "h3", "h4", "h5", "h6") or "class" not in values and "id" not in values:
+            return frozenset(), False
+        whole, among = _part_names(values.get("class", ""))
+        if tag in RUNNING:
+            return whole, False
+        whole_id, among_id = _part_names(values.get("id", ""))
+        whole, among_id = whole | whole_id, among_id - among
         if tag == "article":
-            return names & NO_ARTICLE, wrapper
-        return names - {"header"} if inside else names, wrapper
+            return (whole | among) & NO_ARTICLE, False
+        if tag == "section" or inside:
+            # what is in doubt goes only with its links
+            sure = whole | (among if tag != "section" else among & PLAIN) | among_id & PLAIN
+        else:
+            sure = whole | among | among_id
+        names = whole | among | among_id
+        if inside:
+            names, sure = names - {"header"}, sure - {"header"}
+        return names, not sure
 
     def _last(self, tags: set) -> int:
         return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
