@@ -120,3 +120,12 @@ def test_near_duplicates_end_to_end(spark, make_docs):
     assert sorted(x["doc_id"] for x in kept.where("doc_id is not null").collect()) == sorted(heads)
     assert kept.where("doc_id is null").count() == 1
     assert simhash.near_duplicates(make_docs([])).count() == 0
+
+
+def test_labelled_sample_is_bounded_by_rows(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(quality, "LABELLED", 40)
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    docs = make_docs([(1, words(k)) for k in range(500)] + [(k, words(k)) for k in range(2, 60)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    first, again = (sorted(map(tuple, quality.labelled_sample(docs, labels).collect())) for _ in range(2))
+    assert len(first) == 40 and first == again

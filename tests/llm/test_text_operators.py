@@ -358,3 +358,18 @@ def test_generated_pages_with_anchors_and_sidebars():
         got += len(text)
     print("recall of words", kept / had, "precision", kept / got)
     assert kept >= 0.99 * had and kept >= 0.99 * got
+
+
+def test_contradicting_values_count_nowhere(spark, make_docs):
+    item = "The bus leaves the town at 9 and travels 60 km per hour for 3 hours until it comes to the harbour"
+    change = lambda *v: item.replace("9", v[0]).replace("60", v[1]).replace("3 hours", f"{v[2]} hours")
+    texts = [change("8", "50", "4"), change("7", "60", "7"), change("7", "7", "7"), change("9", "60", "5"), change("11", "45", "6")]
+    got = _leaks(spark, make_docs, texts, [item])
+    assert got == {(0, 0): True, (3, 0): True, (4, 0): True}
+
+
+def test_names_in_capitals_and_short_items(spark, make_docs):
+    items = ["IBM has 31 apples and gives 8 of them to NASA at the end of the long day in spring", "Capital of Peru?", "Lima"]
+    texts = ["SAP has 45 apples and gives 9 of them to ESA at the end of the long day in spring", "we ask: capital of peru? It is there", "the capital of Peru is Lima, as all know", "he said (Capital of Peru), then left", "Lima. Yes"]
+    for limit in (1 << 20, 0):
+        assert _leaks(spark, make_docs, texts, items, limit) == {(0, 0): True, (1, 1): False, (3, 1): False, (4, 2): False}

@@ -2,9 +2,9 @@
 
 Documents' windows meet the benchmark's in a hash join on the whole template. Along each alignment of a document with an
 item, the placeholders' values should correspond one to one: a re-parameterised question replaces a value by one other
-value everywhere. A document is contaminated by an item when SHARE of the item's windows match along such alignments, or
-when OWN_SHARE of them match each with values that correspond in the window itself, whatever the others have: a copy with
-one value altered, or with two values for what happened to be equal. Copied windows are among these always.
+value everywhere. A document is contaminated by an item when SHARE of the item's windows match along such
+alignments, or when OWN_SHARE of them do or have the item's own values, whatever the other windows have: a copy with one value
+altered, or with two values for what happened to be equal. Windows with other values count along a consistent alignment only.
 
 There are three templates of a window. COPIED has the words as they are, without regard to case, so every window of an
 item can be copied. In PLACED a capitalised word that begins a sentence is a word, in FREE it is a name wherever it
@@ -17,7 +17,7 @@ templates of benchmark windows go to the tasks as a filter, so that only likely
 windows are shuffled to the join. Results are the same.
 
 Defined results: null texts have no windows; items shorter than a window are searched whole, those of fewer than LEAST
-words only where they stand as a sentence of their own; repeated rows and ids count as one document; items or documents
+words only where they stand between punctuation, one word only as a sentence; repeated rows and ids count as one document; items or documents
 that are empty tables give an empty result; other columns don't matter; very long texts are one row of a task.
 """
 
@@ -43,7 +43,7 @@ RUN = 13
 BENCHMARK_WINDOWS = 1 << 20
 #: Tokens and windows that a task handles at a time.
 CHUNK = 1 << 18
-TOKEN = re.compile(r"[^\W_]+|[.!?\n]|[$€£%]")
+TOKEN = re.compile(r"""[^\W_]+|[.!?\n]|[$€£%]|[:;,"()\[\]“”«»–—]""")
 COPIED, PLACED, FREE = 0, 1, 2
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 #: Words and signs of measure; they are units next to a number only.
@@ -53,12 +53,15 @@ NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleve
 STARTERS = frozenset("a after all an and are as at before both but by can compute could did do does each every explain find for from give given had has have he how i if in is it its let list many more most name no of on or she should solve some suppose that the their there these they this those to was we were what when where which who whom whose why will with would write you".split())
 _SIGNS = frozenset("$€£%")
 _STOPS = frozenset(".!?\n")
+_PAUSES = frozenset(':;,"()[]“”«»–—')
 
 
 def _kind(token: str) -> int:
-    """0 word, 1 capitalised, 2 number, 3 unit, 4 sign, 5 end of a sentence, 6 capitalised starter."""
+    """0 word, 1 capitalised, 2 number, 3 unit, 4 sign, 5 end of a sentence, 6 capitalised starter, 7 other punctuation."""
     if token in _STOPS:
         return 5
+    if token in _PAUSES:
+        return 7
     if token in _SIGNS:
         return 4
     low = token.lower()
@@ -66,7 +69,7 @@ def _kind(token: str) -> int:
         return 2
     if low in UNITS:
         return 3
-    if len(token) > 1 and token[0].isupper() and token[1:].islower():
+    if len(token) > 1 and token[0].isupper() and (token[1:].islower() or token.isalpha() and token.isupper()):
         return 6 if low in STARTERS else 1
     return 0
 
@@ -102,7 +105,11 @@ class Words:
         places = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
         kinds, plain = known.kinds[places], known.hashes[places]
         text = np.repeat(np.arange(len(texts)), np.diff(np.array([0, *ends])))
-        border = np.ones(len(tokens) + 1, dtype=bool)  # between two tokens
+        words = kinds != 7
+        opens, closes = np.zeros(len(kinds), dtype=bool), np.zeros(len(kinds), dtype=bool)
+        opens[1:], closes[:-1] = ~words[:-1], ~words[1:]
+        kinds, plain, text, opens, closes = kinds[words], plain[words], text[words], opens[words], closes[words]
+        border = np.ones(len(kinds) + 1, dtype=bool)  # between two tokens
         border[1:-1] = text[1:] != text[:-1]
         stop, number = kinds == 5, kinds == 2
         begins, ended, beside = border[:-1].copy(), border[1:].copy(), np.zeros(len(kinds), dtype=bool)
@@ -113,6 +120,7 @@ class Words:
         kinds = np.where(((kinds == 3) | (kinds == 4)) & beside, 3, np.where(kinds == 3, 0, kinds))
         keep = kinds != 5
         keep &= kinds != 4
+        self.opens, self.closes = (begins | opens)[keep], (ended | closes)[keep]
         kinds, self.plain, self.text, self.begins, self.ended = kinds[keep], plain[keep], text[keep], begins[keep], ended[keep]
         free = np.where(kinds == 6, 0, kinds)
         placed = np.where((kinds == 1) & self.begins | (kinds == 6) & self.begins, 0, np.where(kinds == 6, 1, kinds))
@@ -142,8 +150,10 @@ class Words:
         if mode == FREE:
             differ = np.concatenate([[0], np.cumsum(self.hashes[FREE] != self.hashes[PLACED])])
             fit &= differ[last + 1] > differ[at]
-        if width < LEAST:
+        if width == 1:
             fit &= self.begins[at] & self.ended[last]
+        elif width < LEAST:
+            fit &= self.opens[at] & self.closes[last]
         return at[fit]
 
     def rows(self, mode: int, width: int, at: np.ndarray, hashes: np.ndarray) -> list[pa.Array]:
@@ -276,8 +286,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_WIN
     runs = copies.withColumn("start", F.col("item_at") - row).groupBy(*line, "width", "start").agg(F.count("*").alias("n"))
     runs = runs.where(F.col("n") + F.col("width") > RUN).select("doc_id", "th", "item_id", F.lit(True).alias("run")).distinct()
     windows = lambda where: F.countDistinct(F.when(where, F.col("item_at")))
-    template = ~F.col("copied")
-    sums = {"windows": windows(F.lit(True)), "own_t": windows(template), "whole": windows(F.col("whole")), "whole_t": windows(F.col("whole") & template)}
+    template, counted = ~F.col("copied"), F.col("whole") | ~F.col("differs")
+    sums = {"windows": windows(counted), "own_t": windows(template & counted), "whole": windows(F.col("whole")), "whole_t": windows(F.col("whole") & template)}
     sums |= {"item_windows": F.max("item_windows"), "searchable": F.max(F.when(template, F.col("searchable"))), "changed": F.max("differs")}
     found = joined.groupBy("doc_id", "th", "item_id").agg(*[v.alias(k) for k, v in sums.items()])
     enough = lambda share, of: F.greatest(F.lit(1), F.ceil(share * F.col(of)))

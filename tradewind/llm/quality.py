@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.common import SPACE, stored
 
-#: At most so many labelled rows, those of the smallest hashes of doc_id, are used to fit.
+#: At most so many labelled rows, those of the smallest hashes of doc_id and text, are used to fit.
 LABELLED = 20_000
 THRESHOLDS = 24
 MAX_RULES = 8
@@ -97,7 +97,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     wanted = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"))
-    rows = rows.select(*FEATURES, (F.col("__quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0).alias("grow"), base_failed().alias("failed"))
+    order = [F.xxhash64("doc_id").alias("__h"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th")]
+    rows = rows.select(*FEATURES, (F.col("__quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0).alias("grow"), base_failed().alias("failed"), *order)
+    # an id may have any number of rows
+    rows = rows.orderBy("__h", "__id", "__th").limit(LABELLED).drop("__h", "__id", "__th")
     # the filter comes after the table is written: before, it would be pushed below the join, to all documents
     return stored(rows.repartition(4), "labelled").where("not failed").drop("failed")
 
