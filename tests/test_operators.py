@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tradewind.fixtures import Views
 from tradewind.functions import scalars as S
+from tradewind.operators import aggregates as A
 from tradewind.operators import analytics as V
 from tradewind.operators import filters as P
 from tradewind.operators import joins as J
@@ -299,3 +300,15 @@ def test_report_and_presets(spark, tmp_path):
     assert path.endswith("r-7") and spark.read.json(path).count() == 1
     assert V.date_preset("7d", dt.date(2026, 1, 7))[0] == dt.date(2026, 1, 1)
     assert V.date_preset("month", dt.date(2026, 1, 7))[0] == dt.date(2026, 1, 1)
+
+
+def test_order_marks_equal_two_joins(spark):
+    v = Views(spark, SF)
+    lines = v.line.select("id", "order_id", "sku", "quantity")
+    marked = J.with_order_marks(lines, v.refund)
+    kept = marked.where("not is_refunded").select("id", "order_quantity")
+    want = J.exclude_matched(lines.join(A.order_total_qty(lines), "order_id"), A.refunded_keys(lines, v.refund)).select("id", "order_quantity")
+    assert kept.exceptAll(want).count() == 0 and want.exceptAll(kept).count() == 0 and marked.count() == lines.count() > kept.count()
+    rows = spark.createDataFrame([("a", 1, None, 2), ("b", 1, None, 3), ("c", 2, "s", 1)], "id string, order_id int, sku string, quantity int")
+    back = spark.createDataFrame([("a",), ("a",), ("c",)], "order_line_id string")
+    assert sorted(map(tuple, J.with_order_marks(rows, back).select("id", "order_quantity", "is_refunded").collect())) == [("a", 5, False), ("b", 5, False), ("c", 1, True)]

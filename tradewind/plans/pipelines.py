@@ -82,12 +82,11 @@ def project_fact(df: DataFrame) -> DataFrame:
 
 def build_page_view(v: Views, products: DataFrame) -> DataFrame:
     """Day and product page: sales of lines that were never refunded, web events, sessions by channel group."""
-    lines = P.derived_measures(v.line)
-    lines = lines.join(A.order_total_qty(lines), "order_id")
-    lines = lines.join(v.product_page.select(F.col("id").alias("product_id"), "handle"), "product_id", "left")
     orders = P.soft_delete_filter(v.order).where("processed_at is not null").select(F.col("id").alias("order_id"), S.legacy_business_date(F.col("processed_at")).alias("date"))
-    sales = J.exclude_matched(P.sales_line_filter(lines), A.refunded_keys(v.line, v.refund)).join(orders, "order_id")
-    sales = sales.withColumn("page", F.concat(F.lit("/products/"), "handle")).join(products.select("sku", "group_name", "gender", "item_description"), "sku", "left")
+    lines = J.with_order_marks(P.derived_measures(v.line), v.refund).where("not is_refunded").join(orders, "order_id")
+    lines = lines.join(v.product_page.select(F.col("id").alias("product_id"), "handle"), "product_id", "left")
+    sales = P.sales_line_filter(lines).withColumn("page", F.concat(F.lit("/products/"), "handle"))
+    sales = sales.join(products.select("sku", "group_name", "gender", "item_description"), "sku", "left")
     gold = J.join_on_composite(A.shopify_page_agg(sales), A.web_page_agg(v.web_page), ["date", "page"])
     return J.join_on_composite(gold, A.traffic_pivot(v.web_traffic, GROUPS), ["date", "page"])
 
@@ -137,6 +136,10 @@ class Star:
             _WRITTEN[key] = path, fact.columns
         return _WRITTEN[key]
 
+    def build(self) -> str:
+        """Writes the product dimension and the fact if they aren't there; returns their folder."""
+        return self._written[0]
+
     def _state(self, table: str) -> tuple[int, int, int]:
         """Bytes, files and time of a table, by which a change of it is seen."""
         folder = T.Folder(self.spark, f"{self.v.sf_dir}/{table}.parquet")
