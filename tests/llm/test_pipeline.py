@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -68,17 +69,30 @@ def test_parts_equal_their_sql(spark, name, tmp_path):
     docs = spark.read.parquet(full)
     odd = [(900, None, "en", "a", 0), (901, "", "en", "a", 0), (902, "w " * 9000, "en", None, 9), (902, "w " * 9000, "en", None, 9), (903, " \n\n # \u00e9\U0001f600 x\n # \u00e9\U0001f600 x", "en", "\u00e9", 9)]
     docs.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string, lang string, source string, n_chars bigint").select(docs.columns)).write.parquet(f"{tmp_path}/documents.parquet")
-    for folder, files in ((SF, full), (str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet")):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    urls = [None, "", "x", "://", "http://ORG/", "http://a.example.org/en/12?q", "HTTP://EXAMPLE.ORG/es/#/en/1", "http://xexample.org/es/", "http://a.com?/fr/", "http://c.com/fr/\u00e9", "http://org.com/de/"]
+    pages.unionByName(spark.createDataFrame([(9000 + k, u, None) for k, u in enumerate(urls)], "page_id bigint, url string, html string").select(pages.columns)).write.parquet(f"{tmp_path}/pages.parquet")
+    for folder, files in ((SF, ""), (str(tmp_path), "/*.parquet")):
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+        for table in ("documents", "pages"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet{files}'")
         found = con.execute(queries.ORACLES[name])
         columns = [d[0] for d in found.description]
         got = queries.PARTS[name](spark, folder).select(columns)
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(found.fetchall(), key=repr)
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_queries_of_tables_with_clashing_columns(spark, make_docs, monkeypatch):
+    clash = {c: F.lit("x") for c in ("size", "slot", "shard", "print", "th", "fingerprint", "component_id", "__key", "law", "n_a", "groups", "runs", "h", "g", "w")}
+    docs = make_docs([(k, f"words of document {k} that are long enough") for k in range(6)] + [(None, None), (3, ""), (3, "")]).withColumns(clash)
+    monkeypatch.setattr(queries, "_table", lambda *_: docs)
+    for name in ("op9_sampled_splitters", "op10_simhash_components", "op12_periodic_runs", "op13_align_tokenizers"):
+        got = queries.QUERIES[name](spark, "")
+        assert got.count() == 9 and len(set(got.columns)) == len(got.columns), name
 
 
 def test_op8_accuracy(spark):
