@@ -1,4 +1,9 @@
-"""A corpus from raw documents to token shards in five stages, each written as Parquet and read again as the next one's input."""
+"""A corpus from raw documents to token shards in five stages, each written as Parquet and read again as the next one's input.
+
+Defined results, as of the operators: null and empty texts fail the base rules of the first stage; rows without id are kept as
+rows of their own; repeated rows are one document after near_dedup, and of equal ids one stays; empty tables go through all
+stages as such; other columns are carried up to mix_sources; very long texts are rows like others.
+"""
 
 from __future__ import annotations
 

@@ -130,3 +130,16 @@ def test_shared_folder_where_none_is_set(spark, monkeypatch):
     assert common.shared_dir(Session()) == common.shared_dir(Session()) != common.shared_dir(spark)
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     assert before
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    full = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+    for name, n in (("none", 0), ("odd", 4)):
+        folder = f"{tmp_path}/{name}"
+        text = "plain words of a document that pass the rules of length as there are enough of them"
+        rows = [(None, text + " one", "en", "s", 1), (7, None, None, None, None), (8, "", "en", "s", 0), (9, text + " two others here", None, None, 5)][:n]
+        spark.createDataFrame(rows, full["documents"].schema).write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            full[t].limit(0 if n == 0 else 1000).write.parquet(f"{folder}/{t}.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        assert (got.count() > 0) == (n > 0)

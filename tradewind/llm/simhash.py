@@ -9,7 +9,7 @@ leaves the tables, and its subtrees are walked inside a task, which returns a sp
 A pair of large nodes goes down another level instead, so that one large group of near copies is spread over tasks.
 
 Defined results: texts without words (or null) have fingerprint zero and are linked like any other; repeated rows are
-in the component of their fingerprint; an id that is null never becomes a component's id unless all its ids are null;
+in the component of their fingerprint; ties can't arise, as a component has its smallest id; an id that is null never becomes a component's id unless all its ids are null;
 an empty table gives an empty result; other columns don't matter to the groups, and texts of any length are hashed whole.
 """
 
