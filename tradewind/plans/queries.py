@@ -138,7 +138,6 @@ def _ranking(s: Star):
 
 
 query("src16_explode_ranking", _ranking, "collection product_id position:i is_pinned is_boosted is_removed", "SELECT season AS collection, sku AS product_id, row_number() OVER (PARTITION BY season ORDER BY key // 50, key) AS position, key % 7 = 0 AS is_pinned, false AS is_boosted, false AS is_removed FROM f_product_1")
-query("src17_read_partition_pruned", lambda s: R.read_partition_pruned(s.v.order.withColumn("event_date", F.to_date("processed_at")), "event_date", "2000-03-01", "2000-12-31").groupBy("event_date").agg(F.count("*").alias("rows")), "event_date:d rows:i", "SELECT CAST(processed_at AS DATE) AS event_date, count(*) AS rows FROM f_order WHERE CAST(processed_at AS DATE) >= DATE '2000-02-28' GROUP BY 1")
 
 # ---- projections and filters
 FACT = "channel_key:i product_key:i date_key:i shopify_order_id shopify_order_name tw_order_id shopify_line_id sku_raw quantity:i refunded_quantity:i pre_tax_price:f tw_channel_source channel_source_norm tw_touch_ts:t attribution_model position:i campaign_id adset_id ad_id financial_status is_exc_order is_replacement_order is_sales_attributable iso_year:i iso_week:i order_updated_at:t _ingested_at:t"
