@@ -40,7 +40,7 @@ RESTART = 16
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
 MAGIC = b"TOKSST01"
-CACHED = 600_000
+CACHED = 300_000
 _FOOT = "<QQQQQI8s"  # index at, length; Bloom at, length; documents; width of an id; magic
 SHARD = "shard int, file string, low bigint, high bigint, n_docs bigint, n_tokens bigint, bytes bigint"
 
