@@ -22,6 +22,8 @@ from tradewind.operators import scd as D
 from tradewind.operators import windows as W
 from tradewind.plans import metrics as M
 from tradewind.plans import pipelines as L
+from tradewind.plans import queries_io  # noqa: F401
+from tradewind.plans.registry import QUERIES
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
 from tradewind.sources import tables as T
@@ -312,3 +314,16 @@ def test_order_marks_equal_two_joins(spark):
     rows = spark.createDataFrame([("a", 1, None, 2), ("b", 1, None, 3), ("c", 2, "s", 1)], "id string, order_id int, sku string, quantity int")
     back = spark.createDataFrame([("a",), ("a",), ("c",)], "order_line_id string")
     assert sorted(map(tuple, J.with_order_marks(rows, back).select("id", "order_quantity", "is_refunded").collect())) == [("a", 5, False), ("b", 5, False), ("c", 1, True)]
+
+
+def test_metrics_build_what_they_read_only(spark, monkeypatch):
+    assert {m: M.views_of(m) for m in ("revenue_by_day", "channel_health", "page_view_by_product")} == {"revenue_by_day": ["sales_day"], "channel_health": ["channel_gold"], "page_view_by_product": ["page_view"]}
+    assert M.views_of("units_dollars_by_sku_channel_week") == ["fact", "dim_date", "dim_product", "dim_channel"] and set(M.VIEWS) == set(L.Star.VIEWS)
+
+    def never(*args, **kwargs):
+        raise AssertionError("the fact is built")
+
+    monkeypatch.setattr(L, "_WRITTEN", {})
+    monkeypatch.setattr(L, "build_fact", never)
+    for name in ("m1_revenue_by_day", "m1_cohort_retention_matrix", "m2_channel_health", "u1_unknown_member", "q13_no_fanout"):
+        assert QUERIES[name](spark, SF).count() > 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _NET = "quantity - refunded_quantity"
@@ -12,7 +14,8 @@ _FILTERS = """
 _STAR = "fact f JOIN dim_date d ON f.date_key = d.date_key JOIN dim_product p ON f.product_key = p.product_key JOIN dim_channel c ON f.channel_key = c.channel_key"
 _DAYS = "f.date_key BETWEEN :start AND :end AND d.date_key BETWEEN :start AND :end AND f.is_sales_attributable"
 
-#: id -> (SQL, filters). Views: fact, dim_date, dim_product, dim_channel, page_view, receiving, sales_day, ads_day, cohort_monthly, cohort_retention, channel_gold.
+VIEWS = ("fact", "dim_date", "dim_product", "dim_channel", "page_view", "receiving", "sales_day", "ads_day", "cohort_monthly", "cohort_retention", "channel_gold")
+#: id -> (SQL, filters), over these views.
 METRICS: dict[str, tuple[str, tuple[str, ...]]] = {
     "quantity_by_style_channel_week": (
         f"SELECT d.iso_year, d.iso_week, p.vend_id, p.item_description, p.season, c.channel_source, c.channel_group, sum({_NET}) AS value FROM {_STAR} WHERE {_DAYS} AND p.vend_id IS NOT NULL {_FILTERS} GROUP BY ALL",
@@ -43,6 +46,12 @@ SNAPSHOTS: dict[str, tuple[str, tuple[str, ...]]] = {
 FILTERS = {name: [m for m, (_, f) in (METRICS | SNAPSHOTS).items() if name in f] for name in ("channels", "seasons", "styles", "statuses", "fcs")}
 
 
+def views_of(metric: str) -> list[str]:
+    """The views that a metric or snapshot reads; a caller needs to register no others."""
+    sql = (METRICS | SNAPSHOTS)[metric][0]
+    return [v for v in VIEWS if re.search(rf"\b(FROM|JOIN) {v}\b", sql)]
+
+
 def _values(given: dict, known: tuple[str, ...]) -> dict:
     if unknown := sorted(set(given) - set(known)):
         raise ValueError(f"unknown filters: {unknown}")

@@ -128,7 +128,7 @@ query("q4_check_freshness", lambda s: Q.run_checks(s.spark, [{"type": "freshness
 query("q6_gate", lambda s: Q.gate(_results(s)), "column_name checked:i failed:i", CHECKED)
 query("q9_assert_grain", lambda s: s.spark.range(1).select(F.lit(Q.assert_grain(s.fact, ["shopify_line_id"])).alias("rows")), "rows:i", "SELECT count(*) AS rows FROM fact")
 query("q12_row_count", lambda s: Q.run_checks(s.spark, [{"type": "row_count", "table": "fact", "min": 1}, {"type": "row_count", "table": "fact", "max": 10}], {"fact": s.fact}, ts(NOW)), "checked:i failed:i", "SELECT count(*) AS checked, 0 AS failed FROM fact UNION ALL SELECT count(*), 1 FROM fact")
-query("m3_materialize_metric", lambda s: (s.register(), M.materialize_metric(s.spark, "revenue_by_day", 19980101, 19981231, K.scratch(s.spark, "metric")))[1], "day:d value:f", "SELECT day, round(CAST(revenue_cents AS DOUBLE) / 100, 2) AS value FROM sales_day WHERE date_key BETWEEN 19980101 AND 19981231")
+query("m3_materialize_metric", lambda s: (s.register(M.views_of("revenue_by_day")), M.materialize_metric(s.spark, "revenue_by_day", 19980101, 19981231, K.scratch(s.spark, "metric")))[1], "day:d value:f", "SELECT day, round(CAST(revenue_cents AS DOUBLE) / 100, 2) AS value FROM sales_day WHERE date_key BETWEEN 19980101 AND 19981231")
 query("r3_categorize", lambda s: C.full_outer_compare(*_sides(s), GRAIN).select(*GRAIN, C.categorize(F.col("new_qty"), F.col("old_qty")).alias("status")), "iso_year:i iso_week:i vend_id status", "SELECT iso_year, iso_week, vend_id, status FROM reconciled")
 query("d7_build_dim_product", lambda s: L.build_dim_product(s.v.product(1).unionByName(s.v.product(1).withColumn("key", F.col("key") - 1000000).withColumn("season", F.lit("old")))).select("product_key", "sku", "season", "group_name"), "product_key:i sku season group_name", "SELECT product_key, sku, season, group_name FROM dim_product")
 
