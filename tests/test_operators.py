@@ -327,3 +327,10 @@ def test_metrics_build_what_they_read_only(spark, monkeypatch):
     monkeypatch.setattr(L, "build_fact", never)
     for name in ("m1_revenue_by_day", "m1_cohort_retention_matrix", "m2_channel_health", "u1_unknown_member", "q13_no_fanout"):
         assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_full_build_joins_by_line_and_sku_before_orders(spark):
+    """The last join of a full build is that with the orders, so that no shuffle by line or sku carries the order's columns."""
+    plan = L.Star(spark, SF).new_fact(L.Star(spark, SF).products)._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.splitlines() if "Join" in line)
+    assert "order_id" in top, top
