@@ -334,3 +334,10 @@ def test_full_build_joins_by_line_and_sku_before_orders(spark):
     plan = L.Star(spark, SF).new_fact(L.Star(spark, SF).products)._jdf.queryExecution().optimizedPlan().toString()
     top = next(line for line in plan.splitlines() if "Join" in line)
     assert "order_id" in top, top
+
+
+def test_basket_counts_distinct_values_without_copies_of_lines(spark):
+    rows = [("d", 1, 2, "a", "x", 10), ("d", 1, 1, "a", "y", 10), ("d", 1, 1, None, None, 10), ("d", 2, 1, None, "x", 5), ("e", 3, 1, "b", None, 7), ("e", 3, 1, "c", None, 7)]
+    out = A.daily_basket_metrics(spark.createDataFrame(rows, "day string, order_id int, quantity int, sku string, style string, net_line_cents bigint"))
+    assert sorted(map(tuple, out.collect())) == [("d", 2, 2.5, 0.5, 1.5, 0.175), ("e", 1, 2.0, 2.0, 0.0, 0.14)]
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
