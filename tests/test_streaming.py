@@ -6,6 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tradewind.plans import queries_io
+from tradewind.plans.registry import QUERIES
 from tradewind.sources import readers as R
 from tradewind.streaming import streams as ST
 
@@ -145,3 +147,10 @@ def test_triggers_and_watermarks(spark, feeds):
     q = ST.with_trigger(stream.writeStream.format("noop").option("checkpointLocation", str(feeds / "c9")), "backfill").start()
     q.awaitTermination()
     assert sum(p["numInputRows"] for p in q.recentProgress) == 38
+
+
+def test_micro_batches_of_several_files(spark, monkeypatch):
+    """Batches hold the same rows in one file each and in many, none of which one task has to make alone."""
+    one = sorted(map(tuple, QUERIES["st10_stream_progress"](spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(queries_io, "FILE_ROWS", 5)
+    assert one == sorted(map(tuple, QUERIES["st10_stream_progress"](spark, "/root/testdata/sf0.001").collect())) and len(one) == 3

@@ -16,7 +16,7 @@ from tradewind.plans.queries import FLAGS, GRAIN, HISTORY, NOW, WINDOWS, _rankin
 from tradewind.plans.registry import query
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
-from tradewind.sources.tables import LoggedTable
+from tradewind.sources.tables import Folder, LoggedTable
 from tradewind.streaming import streams as ST
 
 ORDER = "id:i financial_status total_cents:i"
@@ -180,14 +180,25 @@ query("f13_f14_names", lambda s: s.v.edges.select(S.short_name(F.col("source")).
 query("g4_build_cohort", lambda s: L.build_cohort(s.v.order)[1], "cohort_month:d period_index:i active_customers:i retention_rate:f", "SELECT cohort_month, period_index, active_customers, round(active_customers / cohort_size, 4) AS retention_rate FROM retention")
 
 
+#: Rows of a file of the ads that come in micro-batches, at least, once a part has more.
+FILE_ROWS = 20_000
+
+
 def _late_query(s: Star):
     """Ads in three micro-batches; of the third, those two hours older than the newest of the first are too late (a batch
-    holds its rows against the watermark before the last one's). The table and the query that wrote it."""
+    holds its rows against the watermark before the last one's). The table and the query that wrote it.
+
+    A batch is as many files as each part has, which grows with the ads; a part has at least FILE_ROWS rows a file, and rows
+    dealt in turn leave no file empty."""
     src, out, mark = (K.scratch(s.spark, x) for x in ("json", "silver", "mark"))
-    ads = s.v.ads_stream
-    for part in ("spend_cents % 3 = 0", "spend_cents % 3 = 1", "spend_cents % 3 = 2"):
-        ads.where(part).coalesce(1).write.mode("append").json(src)
-    stream = s.spark.readStream.schema(ads.schema).option("maxFilesPerTrigger", 1).json(src)
+    ads = K.stored(s.v.ads_stream, "ads")
+    parts = [ads.where(f"spend_cents % 3 = {n}") for n in range(3)]
+    files = max(1, min(part.count() for part in parts) // FILE_ROWS)
+    for n, part in enumerate(parts):
+        part.repartition(files).write.mode("append").option("maxRecordsPerFile", 0).json(src)
+        if (there := sum(x.endswith(".json") for x in Folder(s.spark, src).names())) != (n + 1) * files:
+            raise RuntimeError(f"{there} files of {n + 1} parts, expected {files} of each")
+    stream = s.spark.readStream.schema(ads.schema).option("maxFilesPerTrigger", files).json(src)
     run = ST.stream_to_table(ST.dedup_stream(stream, "ad_event_id", "2 hours"), out, mark)
     run.awaitTermination()
     return s.spark.read.schema(ads.schema).parquet(out), run
