@@ -22,7 +22,7 @@ from tradewind.operators import scd as D
 from tradewind.operators import windows as W
 from tradewind.plans import metrics as M
 from tradewind.plans import pipelines as L
-from tradewind.plans import queries_io  # noqa: F401
+from tradewind.plans import queries, queries_io  # noqa: F401
 from tradewind.plans.registry import QUERIES
 from tradewind.sources import readers as R
 from tradewind.sources import sinks as K
@@ -341,3 +341,10 @@ def test_basket_counts_distinct_values_without_copies_of_lines(spark):
     out = A.daily_basket_metrics(spark.createDataFrame(rows, "day string, order_id int, quantity int, sku string, style string, net_line_cents bigint"))
     assert sorted(map(tuple, out.collect())) == [("d", 2, 2.5, 0.5, 1.5, 0.175), ("e", 1, 2.0, 2.0, 0.0, 0.14)]
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reconciled_sides_are_summed_once_by_style(spark):
+    s = L.Star(spark, SF)
+    sides = queries._sides(s)
+    assert all("item_description" not in x._jdf.queryExecution().toString() and "channel" not in x._jdf.queryExecution().toString() for x in sides)
+    assert sides[0].count() > 0
