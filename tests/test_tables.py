@@ -182,3 +182,12 @@ def test_buckets_by_week_follow_moving_keys(spark, tmp_path):
     assert table.read(buckets={12}).count() == 0 and table.read(buckets={-1}).first()["v"] == "lost"
     table.replace(rows([(1, 1, "only")]), {1, 2})
     assert table.read(buckets={1, 2}).count() == 1 and table.read().count() == 81
+
+
+@pytest.mark.parametrize("by", [None, "k % 3"])
+def test_new_table_is_dealt_by_bucket_only(spark, tmp_path, monkeypatch, by):
+    """Its keys are unique, so no row has to be found last of its key."""
+    monkeypatch.setattr("tradewind.sources.tables.Window", None)
+    rows = spark.range(40).selectExpr("if(id = 0, null, id) as k", "id as v")
+    table = KeyedTable.create(rows, str(tmp_path / "t"), ["k"], 4, by)
+    assert sorted(r["v"] for r in table.read().collect()) == list(range(40))
