@@ -348,3 +348,18 @@ def test_reconciled_sides_are_summed_once_by_style(spark):
     sides = queries._sides(s)
     assert all("item_description" not in x._jdf.queryExecution().toString() and "channel" not in x._jdf.queryExecution().toString() for x in sides)
     assert sides[0].count() > 0
+
+
+def test_page_view_shuffles_lines_by_order_only(spark):
+    """Refunds that name their order and sku mark its lines as those looked up by line do; the page view shuffles no line's id."""
+    v = Views(spark, SF)
+    lines = v.line.select("id", "order_id", "sku", "quantity")
+    by_order, by_line = (J.with_order_marks(lines, r).select("id", "order_quantity", "is_refunded") for r in (v.refund, v.refund.select("order_line_id")))
+    assert by_order.exceptAll(by_line).count() == 0 and by_line.exceptAll(by_order).count() == 0 and by_order.count() == lines.count()
+    rows = spark.createDataFrame([("a", 1, None, 2), ("b", 1, "s", 3), ("c", 1, "s", 1), ("d", 2, "s", 4), ("e", None, "s", 5)], "id string, order_id int, sku string, quantity int")
+    back = spark.createDataFrame([("b", 1, "s", 9), ("b", 1, "s", 9), ("a", 1, None, 9), ("e", None, "s", 9), ("z", 3, "s", 9)], "order_line_id string, order_id int, sku string, units int")
+    marked = J.with_order_marks(rows, back)
+    assert marked.columns == ["id", "order_id", "sku", "quantity", "order_quantity", "is_refunded"]
+    assert sorted(map(tuple, marked.select("id", "order_quantity", "is_refunded").collect())) == [("a", 6, False), ("b", 6, True), ("c", 6, True), ("d", 4, False), ("e", 5, False)]
+    plan = L.Star(spark, SF).page_view._jdf.queryExecution().executedPlan().toString()
+    assert "l_linenumber" not in plan and "l_shipdate" not in plan, plan
