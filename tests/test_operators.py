@@ -363,3 +363,9 @@ def test_page_view_shuffles_lines_by_order_only(spark):
     assert sorted(map(tuple, marked.select("id", "order_quantity", "is_refunded").collect())) == [("a", 6, False), ("b", 6, True), ("c", 6, True), ("d", 4, False), ("e", 5, False)]
     plan = L.Star(spark, SF).page_view._jdf.queryExecution().executedPlan().toString()
     assert "l_linenumber" not in plan and "l_shipdate" not in plan, plan
+
+
+def test_page_views_read_no_line_id(spark):
+    for name in ("a3_page_view_by_product", "m1_page_view"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "l_linenumber" not in plan and "Window" in plan, name
