@@ -369,3 +369,18 @@ def test_page_views_read_no_line_id(spark):
     for name in ("a3_page_view_by_product", "m1_page_view"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "l_linenumber" not in plan and "Window" in plan, name
+
+
+def test_page_view_deals_texts_by_sku_only(spark):
+    """Orders are counted by marked lines before the products are looked up, so no description is dealt by order, and no dimension is written for it."""
+    rows = [("d", "p", 1, "a", 2, 10), ("d", "p", 1, "b", 1, 5), ("d", "p", 2, None, 1, 7), ("d", "q", 1, "z", 4, 1), ("e", "p", 1, "a", 1, 3), ("d", "r", None, "a", 1, 1)]
+    sales = spark.createDataFrame(rows, "date string, page string, order_id int, sku string, quantity int, net_line_cents bigint")
+    marked = A.first_of_order(sales)
+    assert marked.drop("is_first").exceptAll(sales).count() == 0 and marked.count() == len(rows)
+    raw = spark.createDataFrame([(2, " a ", "old", " g1 "), (3, "a", "new", "g2"), (1, "b", None, "g9"), (4, " ", "no key", "g0"), (5, None, "no key", "g0")], "key int, sku string, item_description string, group_name string")
+    clean = L.clean_products(raw.withColumns({c: F.lit("x") for c in L.TEXTS if c not in raw.columns}))
+    assert sorted(map(tuple, clean.select("sku", "key", "item_description", "group_name").collect())) == [("a", 3, "new", "g2"), ("b", 1, "UNKNOWN", "g9")]
+    out = A.shopify_page_agg(marked.join(clean, "sku", "left")).select("date", "page", "unique_orders", "unique_sold", "net_cents", "category", "descr")
+    assert sorted(map(tuple, out.collect())) == [("d", "p", 2, 4, 22, "g9", "new"), ("d", "q", 1, 4, 1, None, None), ("d", "r", 0, 1, 1, "g2", "new"), ("e", "p", 1, 1, 3, "g2", "new")]
+    plan = QUERIES["a3_page_view_by_product"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "dim_product" not in plan and "distinct" not in plan, plan
