@@ -414,7 +414,7 @@ def test_fact_of_a_few_columns(spark):
     assert plan.count("Join") == 1 and "Window" not in plan, plan
 
 
-@pytest.mark.parametrize("name", ["a30_order_vs_line_grain", "r5_itemize_residual", "a15_channel_group_rollup"])
+@pytest.mark.parametrize("name", ["a30_order_vs_line_grain", "r5_itemize_residual", "a15_channel_group_rollup", "a21_reconciliation_side"])
 def test_query_takes_its_columns_without_writing_the_fact(spark, monkeypatch, name):
     def never(self, name, *args):
         if name == "fact":
@@ -424,3 +424,8 @@ def test_query_takes_its_columns_without_writing_the_fact(spark, monkeypatch, na
     stored = L.Star._stored
     monkeypatch.setattr(L.Star, "_stored", never)
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_one_week_is_built_from_its_orders(spark):
+    plan = queries._week(L.Star(spark, SF), 1998, 28)._jdf.queryExecution().optimizedPlan().toString()
+    assert "1998-07-06" in plan and "channel" not in plan, plan
