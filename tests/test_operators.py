@@ -414,7 +414,7 @@ def test_fact_of_a_few_columns(spark):
     assert plan.count("Join") == 1 and "Window" not in plan, plan
 
 
-@pytest.mark.parametrize("name", ["a30_order_vs_line_grain", "r5_itemize_residual", "a15_channel_group_rollup", "a21_reconciliation_side", "v1_kpi_totals"])
+@pytest.mark.parametrize("name", ["a30_order_vs_line_grain", "r5_itemize_residual", "a15_channel_group_rollup", "a21_reconciliation_side", "v1_kpi_totals", "q5_run_checks"])
 def test_query_takes_its_columns_without_writing_the_fact(spark, monkeypatch, name):
     def never(self, name, *args):
         if name == "fact":
@@ -426,6 +426,17 @@ def test_query_takes_its_columns_without_writing_the_fact(spark, monkeypatch, na
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_repeated_hashes_only_are_written(spark, monkeypatch):
+    """Of the hashes of unique keys, those that occur once are one row of a task."""
+    written = []
+    monkeypatch.setattr(Q, "stored", lambda df, name: written.append(K.stored(df, name)) or written[-1])
+    df = spark.range(1000).selectExpr("id", "id % 990 AS other", "if(id > 0, id, null) AS with_null")
+    assert Q.check_unique_keys(df, [["id"], ["other"], ["with_null"]]) == [(1000, 0), (1000, 20), (1000, 0)]
+    assert written[0].where("h is not null").count() == 10 and written[0].where("h is null").count() <= 3 * 8
+    assert Q.check_unique_keys(df.limit(0), [["id"]]) == [(0, 0)]
+    assert Q.columns_of(queries.SPECS, "fact") == ["shopify_line_id", "sku_raw", "shopify_order_id", "quantity", "pre_tax_price", "date_key", "financial_status"]
+
+
 def test_one_week_is_built_from_its_orders(spark):
     plan = queries._week(L.Star(spark, SF), 1998, 28)._jdf.queryExecution().optimizedPlan().toString()
     assert "1998-07-06" in plan and "channel" not in plan, plan

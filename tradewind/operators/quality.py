@@ -80,12 +80,14 @@ def check_unique_keys(df: DataFrame, lists: list[list[str]]) -> list[tuple[int,
     hash occurs more than once are looked at again, by their keys themselves, as two keys may have one hash.
     """
     keys = [F.struct(F.lit(k).alias("k"), F.xxhash64(*columns).alias("h")) for k, columns in enumerate(lists)]
-    counts = stored(df.select(F.explode(F.array(*keys)).alias("x")).groupBy("x.k", "x.h").agg(F.count(F.lit(1)).alias("n")), "keys")
-    rows = {r["k"]: (r["n"], r["again"]) for r in counts.groupBy("k").agg(F.sum("n").alias("n"), F.sum((F.col("n") > 1).cast("bigint")).alias("again")).collect()}
+    counts = df.select(F.explode(F.array(*keys)).alias("x")).groupBy("x.k", "x.h").agg(F.count(F.lit(1)).alias("n"))
+    # hashes that occur once become one row of a list and task, so only repeated ones are written
+    counts = stored(counts.groupBy("k", F.when(F.col("n") > 1, F.col("h")).alias("h")).agg(F.sum("n").alias("n")), "keys")
+    rows = {r["k"]: (r["n"], r["again"]) for r in counts.groupBy("k").agg(F.sum("n").alias("n"), F.count("h").alias("again")).collect()}
     suspect, failed = [k for k, (_, again) in rows.items() if again], {}
     if suspect:
         whole = [F.struct(F.lit(k).alias("k"), F.xxhash64(*lists[k]).alias("h"), F.array(*[F.col(c).cast("string") for c in lists[k]]).alias("key")) for k in suspect]
-        again = df.select(F.explode(F.array(*whole)).alias("x")).select("x.*").join(counts.where("n > 1").select("k", "h"), ["k", "h"], "left_semi")
+        again = df.select(F.explode(F.array(*whole)).alias("x")).select("x.*").join(counts.where("h is not null").select("k", "h"), ["k", "h"], "left_semi")
         n = F.col("count")
         failed = dict(again.groupBy("k", "h", "key").count().groupBy("k").agg(F.sum(F.when(n > 1, n).otherwise(0))).collect())
     return [(rows.get(k, (0, 0))[0], failed.get(k, 0)) for k in range(len(lists))]
@@ -112,6 +114,11 @@ def slo_tier(rate: Column, warn: float, fail: float) -> Column:
     return F.when(rate >= fail, "FAIL").when(rate >= warn, "WARN").otherwise("PASS")
 
 
+def columns_of(specs: list[dict], table: str) -> list[str]:
+    """The columns of a table that its specs name."""
+    return list(dict.fromkeys(c for s in specs if s["table"] == table for c in s.get("columns") or [s.get("column")] if c))
+
+
 def run_checks(spark: SparkSession, specs: list[dict], tables: dict[str, DataFrame], now: Column) -> DataFrame:
     """A row for each spec. Unknown types are skipped with a warning; a check that can't run is a failed result."""
     out = []
