@@ -94,7 +94,7 @@ FLAGGED = f"{MIDDLE} SELECT w.*, w.window_start >= t AND coalesce(w.spend_cents
 query("snk14_foreach_batch_upsert", _anomalies, WINDOWS + " is_anomaly", FLAGGED)
 query("g10_stream_anomaly", _anomalies, WINDOWS + " is_anomaly last_updated:t", FLAGGED)
 query("snk1_overwrite_table", lambda s: _written(s, lambda p: (K.overwrite_table(s.v.freight, p), K.overwrite_table(_order(s), p))), ORDER, ORDER_SQL)
-query("snk2_overwrite_partitioned", lambda s: _written(s, lambda p: K.overwrite_partitioned(s.fact, p, ["iso_year", "iso_week"])).groupBy("iso_year", "iso_week").agg(F.count("*").alias("rows"), F.sum("quantity").alias("units")), "iso_year:i iso_week:i rows:i units:i", "SELECT iso_year, iso_week, count(*) AS rows, sum(quantity) AS units FROM fact GROUP BY 1, 2")
+query("snk2_overwrite_partitioned", lambda s: _written(s, lambda p: K.overwrite_partitioned(s.new_fact(s.products), p, ["iso_year", "iso_week"])).groupBy("iso_year", "iso_week").agg(F.count("*").alias("rows"), F.sum("quantity").alias("units")), "iso_year:i iso_week:i rows:i units:i", "SELECT iso_year, iso_week, count(*) AS rows, sum(quantity) AS units FROM fact GROUP BY 1, 2")
 query("snk3_append_raw", lambda s: _written(s, lambda p: (K.append_raw(_order(s), p), K.append_raw(_order(s).withColumn("extra", F.lit("x")), p)), lambda p: K.read_merged(s.spark, p)), ORDER + " extra", f"SELECT *, NULL AS extra FROM ({ORDER_SQL}) UNION ALL SELECT *, 'x' FROM ({ORDER_SQL})")
 
 
