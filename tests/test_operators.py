@@ -440,3 +440,11 @@ def test_repeated_hashes_only_are_written(spark, monkeypatch):
 def test_one_week_is_built_from_its_orders(spark):
     plan = queries._week(L.Star(spark, SF), 1998, 28)._jdf.queryExecution().optimizedPlan().toString()
     assert "1998-07-06" in plan and "channel" not in plan, plan
+
+
+def test_batch_meets_its_orders_columns_last(spark):
+    """Of a batch, lines are looked up by sku while they are narrow, and nothing is shuffled by line."""
+    s = L.Star(spark, SF)
+    execution = L.build_fact(s.v, s.dates, s.products, s.channels, "2000-01-01", s.v.metafield)._jdf.queryExecution()
+    top = next(line for line in execution.optimizedPlan().toString().splitlines() if "Join" in line)
+    assert "order_id" in top and "hashpartitioning(id#" not in execution.executedPlan().toString(), top

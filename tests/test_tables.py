@@ -14,6 +14,7 @@ from tradewind.operators import joins as J
 from tradewind.operators import ranges, scd
 from tradewind.operators import windows as W
 from tradewind.operators.history import History, open_history
+from tradewind.sources.sinks import stored
 from tradewind.sources.tables import KeyedTable, read_state, upsert_row
 
 ts = lambda t: F.lit(t).cast("timestamp")
@@ -191,3 +192,32 @@ def test_new_table_is_dealt_by_bucket_only(spark, tmp_path, monkeypatch, by):
     rows = spark.range(40).selectExpr("if(id = 0, null, id) as k", "id as v")
     table = KeyedTable.create(rows, str(tmp_path / "t"), ["k"], 4, by)
     assert sorted(r["v"] for r in table.read().collect()) == list(range(40))
+
+
+@pytest.mark.parametrize("by", [None, "k % 3"])
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_upsert_computes_its_source_once_and_shuffles_hashes(spark, tmp_path, monkeypatch, by, most):
+    """The source is written once, in its place; of the table's rows only hashes of keys are shuffled, and few replaced keys are sent to its tasks."""
+    written, seen = [], spark.sparkContext.accumulator(0)
+    monkeypatch.setattr("tradewind.sources.tables.REPLACED", most)
+    monkeypatch.setattr("tradewind.sources.tables.stored", lambda df, name: written.append((name, df.columns)) or stored(df, name))
+    count = F.udf(lambda v: seen.add(1) or v, "bigint").asNondeterministic()
+    rows = lambda a, b, plus: spark.range(a, b).selectExpr("if(id = 0, null, id) AS k", f"id + {plus} AS v").withColumn("v", count("v"))
+    table = KeyedTable.create(rows(0, 60, 0), str(tmp_path / "t"), ["k"], 4, by)
+    assert seen.value == 60 and not written
+    table.upsert(rows(0, 20, 1000).union(rows(100, 105, 0)))
+    assert seen.value == 85 and [n for n, _ in written] == ["hits", "replaced"] and all("v" not in c for _, c in written)
+    assert sorted(r["v"] for r in table.read().collect()) == [*range(20, 60), *range(100, 105), *range(1000, 1020)]
+    twice = rows(20, 22, 0).union(rows(21, 22, 7))
+    folders = table.folder.names("data")
+    with pytest.raises(ValueError, match="several rows"):
+        table.upsert(twice)
+    assert table.folder.names("data") == folders and table.read().count() == 65
+
+
+def test_keys_of_one_hash_are_told_apart(spark, tmp_path, monkeypatch):
+    collide = F.xxhash64
+    monkeypatch.setattr("tradewind.sources.tables.F.xxhash64", lambda *c: F.pmod(collide(*c), F.lit(3)))
+    table = KeyedTable.create(spark.range(30).selectExpr("id AS k", "0 AS v"), str(tmp_path / "t"), ["k"], 2)
+    table.upsert(spark.range(28, 40).selectExpr("id AS k", "1 AS v"))
+    assert {r["k"]: r["v"] for r in table.read().collect()} == {k: int(k >= 28) for k in range(40)}
