@@ -233,8 +233,8 @@ query("g11_daily_run", _two_days, "run_date fact_row_count:i dq_summary delta:i"
 def _refreshed(s: Star, metric: bool = True):
     """The metric, or the fact, in tables by ISO week after a build of the orders changed before 2000 and a batch of what changed since."""
     path, dims = K.scratch(s.spark, "weeks"), [s.dates, s.products, s.channels]
-    since = K.stored(L.build_fact(s.v, *dims, "2000-01-01", s.v.metafield), "batch")
-    for batch in (s.fact.where("order_updated_at < timestamp '2000-01-01'"), since):
+    since = L.build_fact(s.v, *dims, "2000-01-01", s.v.metafield)
+    for batch in (s.new_fact(s.products).where("order_updated_at < timestamp '2000-01-01'"), since):  # each is written once, in its place
         fact, weeks = L.refresh_fact(batch, f"{path}/fact")
         table = L.refresh_metric(fact, weeks, dims, f"{path}/metric") if metric else fact
     return table.read()
