@@ -414,7 +414,7 @@ def test_fact_of_a_few_columns(spark):
     assert plan.count("Join") == 1 and "Window" not in plan, plan
 
 
-@pytest.mark.parametrize("name", ["a30_order_vs_line_grain", "r5_itemize_residual", "a15_channel_group_rollup", "a21_reconciliation_side", "v1_kpi_totals", "q5_run_checks", "snk2_overwrite_partitioned", "g11_fact_of_two_batches"])
+@pytest.mark.parametrize("name", ["a30_order_vs_line_grain", "r5_itemize_residual", "a15_channel_group_rollup", "a21_reconciliation_side", "v1_kpi_totals", "q5_run_checks", "snk2_overwrite_partitioned", "g11_fact_of_two_batches", "m3_metric_refresh"])
 def test_query_takes_its_columns_without_writing_the_fact(spark, monkeypatch, name):
     def never(self, name, *args):
         if name == "fact":
