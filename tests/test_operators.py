@@ -448,3 +448,12 @@ def test_batch_meets_its_orders_columns_last(spark):
     execution = L.build_fact(s.v, s.dates, s.products, s.channels, "2000-01-01", s.v.metafield)._jdf.queryExecution()
     top = next(line for line in execution.optimizedPlan().toString().splitlines() if "Join" in line)
     assert "order_id" in top and "hashpartitioning(id#" not in execution.executedPlan().toString(), top
+
+
+def test_daily_run_writes_its_batch_once(spark, tmp_path, monkeypatch):
+    """The batch goes into the fact only, and the watermark is its newest change all the same."""
+    out, names, stored = str(tmp_path / "run"), [], K.stored
+    monkeypatch.setattr(L.K, "stored", lambda df, name: names.append(name) or stored(df, name))
+    L.daily_run(spark, SF, out, [], "1999-12-31", "2000-01-01")
+    newest = L.Star(spark, SF).fact.where("order_updated_at < timestamp '2000-01-01'").agg(F.date_format(F.max("order_updated_at"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    assert "batch" not in names and L.watermark_read(spark, f"{out}/watermarks", "fact_orders_line") == newest
